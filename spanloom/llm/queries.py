@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, mixing, near_dedup, suffix_dedup, token_count, toxicity, url_filter
+from . import chat, decontam, mixing, near_dedup, suffix_dedup, token_count, toxicity, url_filter, warc
 from ._spark import read, small_batches
 
 
@@ -20,11 +20,19 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(read(spark, sf_dir, "documents"))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.digest(read(spark, sf_dir, "pages"))
+
+
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return decontam.digest(decontam.find(docs, read(spark, sf_dir, "benchmark")))
 
 
+def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.digest(chat.format_turns(chat.canonical_rows(spark, sf_dir)))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = token_count.count_tokens(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return counted.select("row.doc_id", "n_words", "n_tokens")
@@ -42,7 +50,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.digest(spark, read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filters, op2_source_mixing, op4_benchmark_decontamination, op6_token_counts, op8_suffix_array_dedup, op9_minhash_near_dedup, op10_toxicity)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filters, op2_source_mixing, op3_warc, op4_benchmark_decontamination, op5_chat_formatting, op6_token_counts, op8_suffix_array_dedup, op9_minhash_near_dedup, op10_toxicity)}
 
 _LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
@@ -53,12 +61,35 @@ ORACLE_SQL: dict[str, str] = {
             SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
         ), split AS (
             SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), {_LOWER}) AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM parts
-        ), rules(glob, host_part, path_part, verdict) AS (VALUES
+        ), rules(pattern, host_part, path_part, verdict) AS (VALUES
             ('com/en/', 'com', '/en/', 'block'), ('example.com/en/7', 'example.com', '/en/7', 'allow'), ('net/de/', 'net', '/de/', 'block'),
             ('example.net/de/8', 'example.net', '/de/8', 'block'), ('org/es/', 'org', '/es/', 'block')
         ), ranked AS (
-            SELECT s.page_id, s.host, s.path, r.glob, r.verdict, row_number() OVER (PARTITION BY s.page_id ORDER BY length(r.glob) DESC NULLS LAST) AS place
+            SELECT s.page_id, s.host, s.path, r.pattern, r.verdict, row_number() OVER (PARTITION BY s.page_id ORDER BY length(r.pattern) DESC NULLS LAST) AS place
             FROM split s LEFT JOIN rules r ON (s.host = r.host_part OR ends_with(s.host, '.' || r.host_part)) AND starts_with(s.path, r.path_part)
         )
-        SELECT page_id, host, path, glob AS rule, coalesce(verdict, 'allow') AS verdict FROM ranked WHERE place = 1""",
+        SELECT page_id, host, path, pattern AS rule, coalesce(verdict, 'allow') AS verdict FROM ranked WHERE place = 1""",
+    "op3_warc": f"""
+        WITH bytes AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+        judged AS (
+            SELECT page_id, octet_length(payload) AS payload_bytes, sha1(payload) AS payload_digest,
+                   max(page_id) OVER (PARTITION BY sha1(payload)) AS holder FROM bytes
+        )
+        SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+               CASE WHEN payload_bytes >= 1000 AND page_id <> holder THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN payload_bytes >= 1000 AND page_id <> holder THEN holder END AS refers_to
+        FROM judged""",
+    "op5_chat_formatting": f"""
+        WITH rows AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+        ), sized AS (
+            SELECT *, length({chat.escape_sql("role")}) + length({chat.escape_sql("text")}) + {sum(map(len, (chat.TURN, chat.TEXT, chat.END)))} AS size FROM rows
+        ), whole AS (
+            SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS lines,
+                   coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn NULLS FIRST, role, text), '') AS learnt, sum(size) AS chars
+            FROM sized GROUP BY conv_id
+        )
+        SELECT conv_id, CAST(n_turns AS BIGINT) AS n_turns, sha256(lines) AS turns_sha256, CAST(length(learnt) AS BIGINT) AS loss_chars,
+               sha256(learnt) AS loss_sha256, CAST(chars AS BIGINT) AS formatted_chars FROM whole""",
 }

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, mixing, near_dedup, suffix_dedup, token_count, toxicity, url_filter, warc
+from . import chat, decontam, mixing, near_dedup, suffix_dedup, token_count, toxicity, url_filter, warc, winnow
 from ._spark import read, small_batches
 
 
@@ -38,6 +38,10 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("row.doc_id", "n_words", "n_tokens")
 
 
+def op7_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnow.digest(read(spark, sf_dir, "documents"))
+
+
 def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.summary(read(spark, sf_dir, "documents"))
 
@@ -50,7 +54,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.digest(spark, read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filters, op2_source_mixing, op3_warc, op4_benchmark_decontamination, op5_chat_formatting, op6_token_counts, op8_suffix_array_dedup, op9_minhash_near_dedup, op10_toxicity)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filters, op2_source_mixing, op3_warc, op4_benchmark_decontamination, op5_chat_formatting, op6_token_counts, op7_winnowing, op8_suffix_array_dedup, op9_minhash_near_dedup, op10_toxicity)}
 
 _LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 

@@ -168,12 +168,13 @@ class Mix:
 
     def output(self) -> DataFrame:
         """The mixture itself: (shard, slot, number, index) with the pieces of documents in each block."""
-        return self.slots.join(self.spans().where("index is not null"), ["number", "index"])
+        return self.slots.hint("merge").join(self.spans().where("index is not null"), ["number", "index"])
 
     def taken(self) -> DataFrame:
         """For each document the words that the mixture takes of it, repeats counted."""
         uses = self.slots.groupBy("number", "index").agg(F.count("*").alias("uses"))
-        joined = self.spans().join(uses, ["number", "index"], "left")
+        # the slots' size can't be estimated from the few draws that they are generated from
+        joined = self.spans().join(uses.hint("merge"), ["number", "index"], "left")
         key = ["doc_id", "size", "number", "bucket", "place"]
         return joined.groupBy(*key).agg(F.coalesce(F.sum(F.col("words") * F.coalesce("uses", F.lit(0))), F.lit(0)).cast("long").alias("taken"))
 

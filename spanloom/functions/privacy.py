@@ -102,7 +102,8 @@ def redact_text(text: str, gate: Gate = Gate()) -> Redacted:  # noqa: B008
 
         def replace(m: re.Match, rule: str = rule) -> str:
             found = m.group()
-            if not _accepted(rule, found) or _TOKEN.fullmatch(found):
+            replaced = _TOKEN.fullmatch(found) or rule == "url" and found.endswith("?") and m.string.startswith("<URL", m.end())
+            if not _accepted(rule, found) or replaced:
                 return found
             out.counts[rule] = out.counts.get(rule, 0) + 1
             named = token(rule, found)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,7 +47,10 @@ def _has_exception(span: Column) -> Column:
 
 
 def _messages(raw: Column) -> Column:
-    run = F.pandas_udf(lambda texts: texts.map(lambda x: None if x is None else render_messages(x)), "string", F.PandasUDFType.SCALAR)
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda x: None if x is None else render_messages(x))
+
     return run(raw)
 
 

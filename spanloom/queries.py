@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime, timezone
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -403,9 +404,7 @@ def rule_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
 
     @F.pandas_udf("struct<behavior:string,outcome:string,tools:int>")
-    def run(texts):
-        import pandas as pd
-
+    def run(texts: pd.Series) -> pd.DataFrame:
         model = RuleSummarizer()
         found = [signals(t) for t in texts]
         return pd.DataFrame({"behavior": [model.line("behavior", s) for s in found], "outcome": [model.line("outcome", s) for s in found], "tools": [len(s.tools) for s in found]})

@@ -1,0 +1,225 @@
+"""Spans, traces, privacy, text and providers."""
+
+import json
+from datetime import datetime, timezone
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from spanloom.config import Config, ConfigError, Facet, load, validate
+from spanloom.functions import privacy, providers, text
+from spanloom.operators import store, traces
+from spanloom.sources import spans
+
+FLAT = {"trace_id": "a", "span_id": "s1", "name": "chat", "start_time": "2026-07-01T10:00:00.000Z", "end_time": "2026-07-01T10:00:01.000Z", "attributes": {"gen_ai.operation.name": "chat", "gen_ai.agent.name": "support-bot", "service.version": "v1.3", "gen_ai.prompt": "where is my refund", "gen_ai.completion": "let me check that"}}
+WIRE = {"traceId": "b", "spanId": "1", "startTimeUnixNano": "1782900000000000000", "attributes": [{"key": "n", "value": {"intValue": "5"}}, {"key": "l", "value": {"arrayValue": {"values": [{"stringValue": "x"}]}}}]}
+ENVELOPE = {"resourceSpans": [{"resource": {"attributes": [{"key": "service.name", "value": {"stringValue": "svc"}}, {"key": "n", "value": {"intValue": 1}}]}, "scopeSpans": [{"spans": [WIRE]}]}]}
+
+
+def assembled(spark, *rows):
+    lines = spark.createDataFrame([(i, r if isinstance(r, str) else json.dumps(r)) for i, r in enumerate(rows, 1)], "line_no long, value string")
+    return {r.id: r for r in traces.assemble(spans.good(spans.parse_lines(lines))).collect()}
+
+
+def test_three_span_shapes():
+    assert spans.normalize(FLAT)["start_ms"] == 1782900000000.0
+    wire = spans.normalize(WIRE)
+    assert (wire["start_ms"], wire["attributes"]) == (1782900000000.0, {"n": "5", "l": '["x"]'})
+    only = [spans.normalize(s) for s in spans.spread(ENVELOPE)]
+    assert only[0]["attributes"] == {"service.name": "svc", "n": "5", "l": '["x"]'}
+
+
+def test_bad_lines_are_rows(spark, tmp_path):
+    path = tmp_path / "spans.jsonl"
+    path.write_text(json.dumps(FLAT) + "\n\nnot json\n" + json.dumps({"x": 1}) + "\n[1]\n")
+    found = spans.read_spans(spark, str(path))
+    assert spans.good(found).count() == 1
+    assert [(r.line_no, r.error.split(": ")[0]) for r in spans.rejected(found).orderBy("line_no").collect()] == [(3, "line 3"), (4, "line 4"), (5, "line 5")]
+    with pytest.raises(spans.SpanError):
+        spans.read_spans(spark, str(path), strict=True)
+    with pytest.raises(FileNotFoundError, match="none.jsonl"):
+        spans.read_spans(spark, str(tmp_path / "none.jsonl"))
+
+
+def test_assembly_orders_spans_and_renders_them(spark):
+    second = FLAT | {"span_id": "s2", "start_time": "2026-07-01T10:00:02.000Z", "end_time": "2026-07-01T10:00:02.500Z", "attributes": {"gen_ai.tool.name": "kb", "gen_ai.tool.input": {"q": 1}, "gen_ai.usage.output_tokens": 3}, "events": [{"name": "exception", "attributes": {"exception.type": "T"}}]}
+    r = assembled(spark, second, FLAT)["a"]
+    assert (r.agent_id, r.version, r.meta.tools, r.meta.has_error, r.meta.span_count, r.meta.duration_ms) == ("support-bot", "v1.3", ["kb"], True, 2, 2500.0)
+    assert r.text == '## chat (1000ms)\ninput: where is my refund\noutput: let me check that\n## chat (500ms)\ntool: kb args: {"q":1}\ntokens: in=? out=3\nERROR: T: unknown'
+
+
+def test_error_flags(spark):
+    base = {"trace_id": "x", "start_time": 1}
+    cases = {"num": {"status": {"code": 2}}, "text": {"status": {"code": "STATUS_CODE_ERROR"}}, "digit": {"status": {"code": "2"}}, "type": {"attributes": {"error.type": "E"}}, "ok": {}}
+    got = assembled(spark, *[base | {"trace_id": k} | v for k, v in cases.items()])
+    assert {k: r.meta.has_error for k, r in got.items()} == {"num": True, "text": True, "digit": False, "type": True, "ok": False}
+    assert got["ok"].agent_id == "default" and got["ok"].meta.duration_ms is None and got["ok"].ended_at is None
+
+
+def test_messages_render():
+    assert text.render_messages('[{"role":"user","content":"hi"},{"role":"x","content":{"a":1}}]') == '\nuser: hi\nx: {"a":1}'
+    assert text.render_messages('{"role":"user","content":"hi"}') == "user: hi"
+    for raw in ("plain", "[1", '{"a":1}'):
+        assert text.render_messages(raw) == raw
+
+
+def test_writes(spark):
+    old = spark.createDataFrame([("a", 1, "x")], "k string, n int, v string")
+    batch = spark.createDataFrame([("a", 2, "y"), ("b", 2, "late"), ("b", 1, "first")], "k string, n int, v string")
+    assert [r.v for r in traces.insert_or_ignore(old, batch, ["k"], ["n"]).collect()] == ["first"]
+    assert {r.k: r.v for r in traces.latest_wins(old.union(batch), ["k"], ["n"]).collect()} == {"a": "y", "b": "late"}
+
+
+def test_since():
+    now = datetime(2026, 7, 8, tzinfo=timezone.utc)
+    assert store.resolve_since("7D", now) == datetime(2026, 7, 1, tzinfo=timezone.utc)
+    assert store.resolve_since("2026-07-01T00:00:00+00:00", now).day == 1
+    with pytest.raises(ValueError):
+        store.resolve_since("soon", now)
+
+
+PRIVATE = {
+    "mail bob@example.com or bob@example.com": {"email": 2},
+    "card 4111 1111 1111 1111 and 41111111111111112": {"card": 1},
+    "from 192.168.10.254": {"ip": 1},
+    "sk-abcdefghijklmnop1234": {"token": 1},
+    "Authorization: Bearer abcdefghijklmnopqrst": {"secret": 1},
+    "id 123e4567-e89b-12d3-a456-426614174000": {"uuid": 1},
+    "see https://a.example/x?token=1 now": {"url": 1},
+    "ssn 078-05-1120": {"ssn": 1},
+    "call +1 415 555 0132": {"phone": 1},
+    "nothing to hide in 2024": {},
+}
+
+
+def test_redaction_rules():
+    for said, counts in PRIVATE.items():
+        found = privacy.redact_text(said)
+        assert found.counts == counts, said
+        assert privacy.redact_text(found.text).text == found.text
+    assert privacy.redact_text("bob@example.com, al@example.com, bob@example.com").text == "<EMAIL_1>, <EMAIL_2>, <EMAIL_1>"
+    assert privacy.redact_text("https://a.example/x?y=1").text == "https://a.example/x?<URL_1>"
+    salted = privacy.Gate(scope="global", salt="s")
+    assert privacy.redact_text("bob@example.com", salted).text == privacy.redact_text("x bob@example.com", salted).text[2:]
+    with pytest.raises(ValueError, match="unknown redaction rule"):
+        privacy.Gate(rules=("mail",))
+
+
+def test_native_privacy_columns_agree_with_the_gate(spark):
+    rows = spark.createDataFrame([(t,) for t in PRIVATE], "t string")
+    for rule in privacy.RULE_NAMES:
+        if rule in ("card", "phone", "ssn"):
+            continue
+        got = {r.t: r.n for r in rows.select("t", privacy.count(F.col("t"), rule).alias("n")).collect()}
+        assert got == {t: c.get(rule, 0) for t, c in PRIVATE.items()}, rule
+    cards = {r.t: r.n for r in rows.select("t", privacy.count(F.col("t"), "card").alias("n")).collect()}
+    assert cards == {t: c.get("card", 0) for t, c in PRIVATE.items()}
+    token = rows.limit(1).select(privacy.global_token(F.lit("bob@example.com"), "email", "s")).first()[0]
+    assert token == privacy.redact_text("bob@example.com", privacy.Gate(scope="global", salt="s")).text
+    both = rows.select(privacy.redact(F.col("t")).alias("r")).collect()
+    assert sum(r.r.total for r in both) == sum(sum(c.values()) for c in PRIVATE.values())
+
+
+@settings(max_examples=50, deadline=None)
+@given(st.text(alphabet="0123456789 -", max_size=24))
+def test_luhn(digits):
+    own = [int(c) for c in digits if c.isdigit()][::-1]
+    total = sum(d if i % 2 == 0 else sum(divmod(2 * d, 10)) for i, d in enumerate(own))
+    assert privacy.luhn_valid(digits) == (12 <= len(own) <= 19 and total % 10 == 0)
+
+
+def test_text_columns(spark):
+    one = lambda c: spark.range(1).select(c).first()[0]
+    assert one(text.clip(F.lit("x" * 11), 10)) == "x" * 5 + text.CLIP_MARK + "x" * 5 == text.clip_text("x" * 11, 10)
+    assert one(text.key_phrase(F.lit("  a \n b "), "z")) == "a b" and one(text.key_phrase(F.lit(" "), "z")) == "z"
+    assert len(one(text.key_phrase(F.lit("y" * 91), "z"))) == 90
+    assert one(text.extract_input(F.lit("## chat\ninput: \nuser: hello\nuser: no"))) == "hello"
+    assert one(text.extract_input(F.lit(" head "))) == "head"
+    line = lambda *v: one(text.sparkline(F.lit(list(map(float, v)))))
+    assert (line(0, 0), line(1, 1), line(0, 1), line(0, 0.5, 1)) == ("▁▁", "▄▄", "▁█", "▁▅█")
+    assert (text.scorer_identifier("T-14"), text.scorer_identifier("9x"), text.scorer_identifier("-")) == ("t14", "t9x", "theme")
+
+
+REPLIES = [
+    ('{"goal": "a"}', {"goal": "a"}),
+    ('```json\n{"goal": "a", "n": 3}\n```', {"goal": "a", "n": "3"}),
+    ('Sure {not json} here: {"goal": "a } b"} bye {x}', {"goal": "a } b"}),
+    ('<think>{"goal": "no"}</think>{"goal": "yes"}', {"goal": "yes"}),
+    ('{} {"goal": "a", "l": [1]}', {"goal": "a"}),
+]
+
+
+def test_replies():
+    for raw, want in REPLIES:
+        assert providers.parse_reply(raw) == want
+    for raw in ("nothing", "<think>{", "{}"):
+        with pytest.raises(ValueError):
+            providers.parse_reply(raw)
+
+
+def test_rule_summaries():
+    model = providers.RuleSummarizer()
+    looped = "## chat\ninput: why\n## execute_tool (9ms)\ntool: kb\nERROR: T: timed out\n## execute_tool (9ms)\ntool: kb"
+    s = providers.signals(looped)
+    assert (s.steps, s.slowest_ms, s.repeated, s.timeout, s.first_input) == (3, 9, ["kb"], True, "why")
+    assert model.line("behavior", s) == "retry loop: called kb repeatedly after timeouts"
+    assert model.line("sentiment", s) == "frustrated" and model.line("goal", s) == "why"
+    assert model.line("outcome", providers.signals("output: done")) == "completed: done"
+
+
+def test_hash_embedder():
+    e = providers.HashEmbedder(32)
+    a, b, none = e.embed(["Hello, world", "world hello", ""])
+    assert np.allclose(a, b) and np.isclose(np.linalg.norm(a), 1) and not none.any() and len(a) == 32
+
+
+def test_post_json_retries():
+    waits, answers = [], [(429, b"", "7"), (503, b"", None), (200, b'{"ok": 1}', None)]
+    assert providers.post_json("u", {}, {}, send=lambda *a: answers.pop(0), sleep=waits.append) == {"ok": 1}
+    assert waits == [7.0, 1.0]
+    with pytest.raises(providers.PermanentError):
+        providers.post_json("u", {}, {}, send=lambda *a: (400, b"no", None), sleep=waits.append)
+    with pytest.raises(RuntimeError):
+        providers.post_json("u", {}, {}, attempts=2, send=lambda *a: (_ for _ in ()).throw(OSError("down")), sleep=waits.append)
+
+
+def test_hosted_embedder_restores_order():
+    post = lambda url, body, headers: {"data": [{"index": 1, "embedding": [0, 1]}, {"index": 0, "embedding": [1, 0]}]}
+    e = providers.HostedEmbedder("https://x", "m", "k", 2, post)
+    assert e.embed(["a", "b"]).tolist() == [[1, 0], [0, 1]] and len(e.embed([])) == 0
+    with pytest.raises(RuntimeError, match="dimensions"):
+        providers.HostedEmbedder("https://x", "m", "k", 3, post).embed(["a", "b"])
+
+
+def test_summaries_isolate_failures(spark):
+    class Odd:
+        def summarize(self, said, facets):
+            if "bad" in said:
+                raise RuntimeError("boom")
+            return {"goal": said, "outcome": " "}
+
+    rows = spark.createDataFrame([("1", "good bob@example.com"), ("2", "bad")], "id string, text string")
+    got = {(r.trace_id, r.facet): r for r in providers.summarize(rows, Config(), lambda c: Odd()).collect()}
+    assert got["1", "goal"].summary == "good <EMAIL_1>" and got["1", "outcome"].summary == providers.UNCLEAR
+    assert got["2", None].error == "boom" and len(got) == 5
+
+
+def test_config(tmp_path):
+    path = tmp_path / "c.json"
+    path.write_text(json.dumps({"preset": "coding", "llm": {"model": "m"}}))
+    c = load(str(path), env={"SPANLOOM_LLM_MAX_TOKENS": "9"}, overrides={"delta_sigma": 3})
+    assert (c.preset, c.llm.model, c.llm.max_tokens, c.llm.provider, c.delta_sigma) == ("coding", "m", 9, "fake", 3)
+    with pytest.raises(ConfigError) as e:
+        validate(Config(assign_threshold=7, min_cluster_size=0, facets=(Facet("Bad", " "),)))
+    assert all(x in str(e.value) for x in ("assign_threshold", "min_cluster_size", "kebab", "no instruction"))
+    with pytest.raises(ConfigError, match="salt"):
+        load(env={"SPANLOOM_PRIVACY_SCOPE": "global"})
+
+
+def test_costs():
+    one = providers.estimate_cost(10, 3500, Config())
+    assert one["output_tokens"] == 1200 and one["llm_cost"] == 0 and one["priced"]
+    assert providers.price_for("gpt-4o-mini-2024-07-18") == (0.15, 0.6) and providers.price_for("other") is None

@@ -79,9 +79,29 @@ def discover_vectors(vectors: list, threshold: float = MERGE_THRESHOLD, least: i
     return clusters, sorted(i for g in groups if len(g) < least for i in g)
 
 
-def edges(items: DataFrame, scope: list[str], threshold: float = MERGE_THRESHOLD) -> DataFrame:
+def _forest(near: np.ndarray, same: bool) -> list[tuple[int, int]]:
+    """Star links of the components of a block pair: rows number from 0, columns follow, or are the rows."""
+    n, m = near.shape
+    rows, cols = np.arange(n), np.arange(m) if same else n + np.arange(m)
+    top = n + m
+    while True:
+        to_rows = np.minimum(rows, np.where(near, cols, top).min(axis=1, initial=top))
+        to_cols = np.minimum(cols, np.where(near, to_rows[:, None], top).min(axis=0, initial=top))
+        if same:
+            to_rows = to_cols = np.minimum(to_rows, to_cols)
+        if (to_rows == rows).all() and (to_cols == cols).all():
+            break
+        rows, cols = to_rows, to_cols
+    every = rows if same else np.concatenate([rows, cols])
+    return [(int(r), i) for i, r in enumerate(every) if r != i]
+
+
+def edges(items: DataFrame, scope: list[str], threshold: float = MERGE_THRESHOLD, spanning: bool = False) -> DataFrame:
     """(scope, a, b, distance) of pairs within the threshold, a < b, from ``items(scope.., id, vector)``.
 
+    ``spanning`` gives, of each block pair, only links that span its components: enough for components,
+    and no more rows than vectors.
+
     Items are dealt to blocks of about BLOCK rows, each pair of blocks is one group, and a group is a
     matrix product: a task holds two blocks whatever the size of the scope.
     """
@@ -101,6 +121,10 @@ def edges(items: DataFrame, scope: list[str], threshold: float = MERGE_THRESHOLD
         if not len(p) or not len(q):
             return pd.DataFrame(columns=[*scope, "a", "b", "distance"])
         distance = 1.0 - np.clip(p @ q.T, -1.0, 1.0)
+        if spanning:
+            ids = left["id"].tolist() if x == y else [*left["id"], *right["id"]]
+            links = _forest(distance <= threshold + _SLACK, x == y)
+            return pd.DataFrame({**{c: [group[c].iloc[0]] * len(links) for c in scope}, "a": [ids[u] for u, _ in links], "b": [ids[v] for _, v in links], "distance": [threshold] * len(links)})
         i, j = np.nonzero(distance <= threshold + _SLACK)
         a, b = left["id"].to_numpy()[i], right["id"].to_numpy()[j]
         keep = (a < b) if x == y else np.ones(len(a), bool)
@@ -131,7 +155,7 @@ def components(items: DataFrame, links: DataFrame, scope: list[str]) -> DataFram
 def discover(items: DataFrame, scope: list[str], threshold: float = MERGE_THRESHOLD, least: int = MIN_CLUSTER_SIZE) -> DataFrame:
     """``items(scope.., id, vector)`` -> (scope, id, cluster): the least id of its cluster, null for noise."""
     ship(items.sparkSession)
-    named = components(items, edges(items, scope, threshold).drop("distance"), scope)
+    named = components(items, edges(items, scope, threshold, spanning=True).drop("distance"), scope)
     mass = named.groupBy(*scope, "root").agg(F.count("*").alias("_n"))
     worth = items.join(named, [*scope, "id"]).join(mass, [*scope, "root"])
     kinds = {f.name: f.dataType.simpleString() for f in items.schema.fields}

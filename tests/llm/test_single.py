@@ -279,14 +279,15 @@ def test_pipeline_over_odd_rows(spark, tmp_path, toxic_corpus):
     pipeline = pytest.importorskip("corpus_pipeline")
     docs, labels = toxic_corpus
     passage = " ".join(f"p{i}" for i in range(60))
-    extra = spark.createDataFrame([(5000 + i, f"own{i} {passage} own{i}", "en", None, 9) for i in range(3)] + [(5100, " ".join(f"q{i}" for i in range(20)), "en", "s", 9), (None, None, None, None, None)], docs.schema)
+    own = lambda i, side: " ".join(f"own{i}{side}{n}" for n in range(40))
+    extra = spark.createDataFrame([(5000 + i, f"{own(i, 'a')} {passage} {own(i, 'b')}", "en", None, 9) for i in range(3)] + [(5100, " ".join(f"q{i}" for i in range(20)), "en", "s", 9), (None, None, None, None, None)], docs.schema)
     docs.union(extra).write.parquet(str(tmp_path / "documents.parquet"))
     labels.write.parquet(str(tmp_path / "labels.parquet"))
     spark.createDataFrame([(1, " ".join(f"q{i}" for i in range(3, 15)))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     assert [n for n, _ in pipeline.STAGES] and len(pipeline.STAGES) == 5
     rows = {r.doc_id: r for r in pipeline.run(spark, str(tmp_path)).collect()}
     assert 5100 not in rows and None in rows and 2002 not in rows
-    assert sum(rows[5000 + i]["size"] for i in range(3)) == 62 + 2 + 2
+    assert sum(rows[5000 + i]["size"] for i in range(3)) == 140 + 80 + 80
     assert rows[2000]["size"] == 0 and all(r.taken <= 3 * r["size"] for r in rows.values())
 
 

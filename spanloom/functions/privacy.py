@@ -13,7 +13,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MODES = ("off", "mask", "pseudonymize")
@@ -159,6 +159,15 @@ def mask(text: Column, rules: tuple[str, ...] = ("url", "email", "uuid", "token"
     return text
 
 
+def preview(df: DataFrame, text: str = "text", gate: Gate = Gate(), samples: int = 3) -> DataFrame:  # noqa: B008
+    """What the gate would replace: (rule, total, texts, samples), by total; samples are a few touched texts, redacted."""
+    found = df.select(redact(F.col(text), gate).alias("r")).where("r.total > 0").select(F.explode("r.counts").alias("rule", "n"), F.left("r.text", F.lit(200)).alias("sample"))
+    ranked = found.groupBy("rule").agg(F.sum("n").alias("total"), F.count("*").alias("texts"))
+    few = found.withColumn("p", F.row_number().over(Window.partitionBy("rule").orderBy("sample"))).where(F.col("p") <= samples)
+    shown = few.groupBy("rule").agg(F.sort_array(F.collect_list("sample")).alias("samples"))
+    return ranked.join(shown, "rule").orderBy(F.desc("total"), "rule")
+
+
 def global_token(value: Column, rule: str, salt: str) -> Column:
     """The global-scope pseudonym of a value, natively."""
     return F.concat(F.lit(f"<{_LABEL[rule]}_"), F.substring(F.sha2(F.concat(F.lit(f"{salt}:{rule}:"), value).cast("binary"), 256), 1, 8), F.lit(">"))

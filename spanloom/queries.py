@@ -551,6 +551,14 @@ def pseudonym_global(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("email", privacy.global_token(F.col("email"), "email", "pepper").alias("token"))
 
 
+@query(f"""WITH c AS (SELECT len(regexp_extract_all(text, '{_EMAIL}')) AS email, len(regexp_extract_all(text, '{_IP}')) AS ip FROM documents)
+  SELECT 'email' AS rule, CAST(sum(email) AS BIGINT) AS total, count(*) FILTER (WHERE email > 0) AS texts FROM c UNION ALL SELECT 'ip', CAST(sum(ip) AS BIGINT), count(*) FILTER (WHERE ip > 0) FROM c""")
+def redact_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    found = privacy.preview(read(spark, sf_dir, "documents"), gate=privacy.Gate(rules=("email", "ip")))
+    return found.select("rule", F.col("total").cast("long").alias("total"), "texts")
+
+
 @query()
 def redact_trace_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole gate: numbered tokens within a row, all rules in order."""

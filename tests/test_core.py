@@ -223,3 +223,25 @@ def test_costs():
     one = providers.estimate_cost(10, 3500, Config())
     assert one["output_tokens"] == 1200 and one["llm_cost"] == 0 and one["priced"]
     assert providers.price_for("gpt-4o-mini-2024-07-18") == (0.15, 0.6) and providers.price_for("other") is None
+
+
+def test_fakes_have_their_stated_geometry():
+    from spanloom.functions import fakes
+
+    assert fakes.fnv1a("") == 2166136261 and fakes.fnv1a("a") == 0xE40C292C
+    draw = fakes.mulberry32(1)
+    assert all(0 <= draw() < 1 for _ in range(100)) and fakes.mulberry32(7)() == fakes.mulberry32(7)()
+    e = fakes.RecordingEmbedder(fakes.ConceptEmbedder(2048, lambda t: t.split()[0]))
+    x = e.embed([f"{c} {i}" for c in "ab" for i in range(5)])
+    sims = x @ x.T / np.outer(np.linalg.norm(x, axis=1), np.linalg.norm(x, axis=1))
+    assert abs(np.mean(sims[:5, :5][~np.eye(5, dtype=bool)]) - 0.80) < 0.05 and abs(np.mean(sims[:5, 5:]) - 0.45) < 0.05 and e.calls == 1
+    m = fakes.ModeEmbedder(8, ["loop", "refund"]).embed(["a Loop", "refund", "none"])
+    assert m.argmax(axis=1).tolist() == [0, 1, 2]
+    with pytest.raises(KeyError):
+        fakes.ScriptedSummarizer({}).summarize("x", ())
+
+
+def test_preview(spark):
+    rows = spark.createDataFrame([(t,) for t in PRIVATE], "text string")
+    got = {r.rule: (r.total, r.texts) for r in privacy.preview(rows).collect()}
+    assert got["email"] == (2, 1) and got["url"] == (1, 1) and "phone" in got

@@ -90,7 +90,7 @@ def all_themes(themes: DataFrame) -> DataFrame:
 
 def traces_for_theme(traces: DataFrame, assignments: DataFrame, k: int = 50) -> DataFrame:
     """Each theme's ``k`` most similar traces."""
-    order = Window.partitionBy("theme_id").orderBy(F.desc("similarity"), "trace_id")
+    order = Window.partitionBy("theme_id").orderBy(F.desc("similarity"), "trace_id", "facet")
     top = assignments.where("theme_id is not null").withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
     return top.select("theme_id", "facet", "place", "similarity", F.col("trace_id").alias("id")).join(traces, "id")
 

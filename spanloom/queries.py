@@ -370,7 +370,7 @@ _INPUT = r"""i0 AS (SELECT id, n, agent_id, text, trim(regexp_extract(text, '(?:
   i AS (SELECT id, n, agent_id, CASE WHEN found <> '' THEN substr(found, 1, 4000) ELSE trim(substr(text, 1, 4000), ' ') END AS input FROM i0)"""
 
 
-@query(_with(_CT, _CS, _CA, _INPUT, "e AS (SELECT facet, trace_id, row_number() OVER (PARTITION BY theme_id ORDER BY similarity DESC, trace_id) AS place FROM ca WHERE theme_id IS NOT NULL)", select="SELECT 'T-1' AS theme_id, e.facet, e.place, e.trace_id AS source_trace_id, i.input FROM e JOIN i ON i.id = e.trace_id WHERE place <= 10"))
+@query(_with(_CT, _CS, _CA, _INPUT, "e AS (SELECT facet, trace_id, row_number() OVER (PARTITION BY theme_id ORDER BY similarity DESC, trace_id, facet) AS place FROM ca WHERE theme_id IS NOT NULL)", select="SELECT 'T-1' AS theme_id, e.facet, e.place, e.trace_id AS source_trace_id, i.input FROM e JOIN i ON i.id = e.trace_id WHERE place <= 10"))
 def eval_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     top = store.traces_for_theme(conversation_traces(spark, sf_dir), conversation_assignments(spark, sf_dir).dropDuplicates(["trace_id", "facet"]), 10)
     return top.select("theme_id", "facet", F.col("place").cast("long").alias("place"), F.col("id").alias("source_trace_id"), text.extract_input(F.col("text")).alias("input"))

@@ -1,17 +1,22 @@
 """Near-duplicate documents: chosen-path set similarity join on word shingles.
 
 Texts become sets of distinct ``k``-word shingles (A-Z lower-cased words; fewer than ``k`` words are
-one shingle). Equal sets collapse into a class first, so exact copies never meet. Each of TREES
-independent trees then branches the classes by one minwise token a level: classes that agree on
+one shingle). Equal sets collapse into a class first, so exact copies never meet. Independent
+trees then branch the classes by one minwise token a level: classes that agree on
 the chosen coordinates share a node. A node of at most NODE_LIMIT classes is compared exhaustively on
 short signatures; a larger one branches again, and one that is still large at the last level passes
 on whole. Nodes only propose groups; every proposed group is confirmed on full sets, and there a link
 holds exactly where 100 * |A & B| >= threshold * |A | B|. Confirmation cuts large groups into blocks of
 bounded size and compares every pair of blocks, so no task holds a whole group.
 
-A pair at similarity 0.8 shares a node of level l in one tree with probability 0.8**l; ten trees miss
-it with 1e-7 at level 1, 4e-5 at level 2. Signature comparison lets a pair at 0.8 pass up to five
-standard deviations below.
+A pair at similarity s shares a node of level l in one tree with probability s**l, so the deeper a
+class must go before its nodes are small, the more trees it needs. Every class starts with TREES trees;
+one that reached level l in any of them goes on in further trees, with coordinates of their own, until
+at least ``trees_for`` that level are done: (1 - s**l)**trees is at most MISS / LEVELS at the threshold. A pair
+stays together in the trees of the class that needs fewer, and shares no node of it only if it differs
+within the first l tokens in all of them; over the levels that is MISS at most. At 0.8: 10, 16, 22, 30,
+40 and 52 trees for levels 1 to 6. Signature comparison lets a pair at the threshold pass up to five
+standard deviations below, and stops 8e-7 of such pairs at 0.8.
 
 Defined cases: documents without words (null, empty, only separators) have an empty set, are linked
 with nothing and are kept. Repeated rows fall into one class. A null id never names a component
@@ -22,7 +27,8 @@ by ``near_duplicates`` and kept by ``deduplicate``.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +43,8 @@ TREES = 10
 LEVELS = 6
 COORDINATES = TREES * LEVELS
 NODE_LIMIT = 128
+#: A pair at the threshold shares no small node of any tree with this probability at most.
+MISS = 1e-6
 #: Shingles and sets of one confirmation block.
 BLOCK_SHINGLES = 1 << 19
 BLOCK_SETS = 1024
@@ -45,16 +53,29 @@ _rng = np.random.Generator(np.random.PCG64(99))
 _XOR = _rng.integers(0, 2**63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _MUL = _rng.integers(0, 2**63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
-_FEATURES = "set_key long, n_shingles long, minima binary"
 
+def _tree_coordinates(tree: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hash functions of a tree beyond the first TREES."""
+    rng = np.random.Generator(np.random.PCG64([99, tree]))
+    return tuple(rng.integers(0, 2**63, (2, LEVELS), dtype=np.uint64) * np.uint64(2) + np.uint64(1))
 
-def _minima(parts: list[np.ndarray]) -> np.ndarray:
+
+def trees_for(level: int, threshold: int) -> int:
+    """Trees after which a pair at the threshold was together on ``level`` tokens once, but for MISS / LEVELS."""
+    apart = 1 - (threshold / 100) ** level
+    return max(TREES, math.ceil(math.log(MISS / LEVELS) / math.log(apart))) if 0 < apart < 1 else TREES
+
+
+_FEATURES = "set_key long, n_shingles long, minima binary, marks binary"
+
+
+def _minima(parts: list[np.ndarray], xor: np.ndarray = _XOR, mul: np.ndarray = _MUL) -> np.ndarray:
     """For each non-empty set its minwise token at each coordinate, as 32-bit numbers."""
     flat = np.concatenate(parts)
     at = np.cumsum([0, *map(len, parts[:-1])])
-    out = np.empty((len(parts), COORDINATES), np.uint32)
-    for i in range(COORDINATES):
-        out[:, i] = np.minimum.reduceat((flat ^ _XOR[i]) * _MUL[i], at) >> np.uint64(32)
+    out = np.empty((len(parts), len(xor)), np.uint32)
+    for i in range(len(xor)):
+        out[:, i] = np.minimum.reduceat((flat ^ xor[i]) * mul[i], at) >> np.uint64(32)
     return out
 
 
@@ -64,7 +85,10 @@ def _set_key(shingles: np.ndarray) -> int:
 
 
 def features(docs: DataFrame, k: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, set_key, n_shingles, minima) of each row; set_key null and no minima without words."""
+    """(doc_id, set_key, n_shingles, minima, marks) of each row; set_key null and no minima without words.
+
+    ``marks`` is the low byte of each of the minima, the short signature that nodes compare.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _text.slices(batches, text):
@@ -73,17 +97,43 @@ def features(docs: DataFrame, k: int, key: str = "doc_id", text: str = "text") -
             full = [i for i, s in enumerate(sets) if len(s)]
             minima = dict(zip(full, _minima([sets[i] for i in full]), strict=True)) if full else {}
             yield pa.RecordBatch.from_arrays(
-                [batch.column(key), pa.array([_set_key(s) if len(s) else None for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([minima[i].tobytes() if i in minima else None for i in range(batch.num_rows)], pa.binary())],
-                ["doc_id", "set_key", "n_shingles", "minima"],
+                [batch.column(key), pa.array([_set_key(s) if len(s) else None for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([minima[i].tobytes() if i in minima else None for i in range(batch.num_rows)], pa.binary()), pa.array([minima[i].astype(np.uint8).tobytes() if i in minima else None for i in range(batch.num_rows)], pa.binary())],
+                ["doc_id", "set_key", "n_shingles", "minima", "marks"],
             )
 
     small_batches(docs.sparkSession)
     return docs.select(F.col(key).cast("long").alias(key), text).mapInArrow(run, f"doc_id long, {_FEATURES}")
 
 
-def _token(tree, level: int):
-    """The minwise token that a tree chooses at a level: four bytes of ``minima``."""
-    return F.substring(F.col("minima"), (tree * LEVELS + level) * 4 + 1, 4)
+def further_paths(docs: DataFrame, needs: DataFrame, k: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Needs (set_key, rep, first, last) -> (set_key, first, last, path): the tokens of trees first to last - 1."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for batch in _text.slices(batches, text):
+            tokens = _text.tokenize(batch.column(text), _text.SPACED)
+            want, first, last = (batch.column(c).to_pylist() for c in ("set_key", "first", "last"))
+            asked: dict[tuple[int, int], list[tuple[int, np.ndarray]]] = {}
+            for i in range(batch.num_rows):
+                shingles = _text.shingles(tokens.hash[tokens.of(i)], k)
+                if len(shingles) and _set_key(shingles) == want[i]:  # repeated ids may hold other texts
+                    asked.setdefault((first[i], last[i]), []).append((i, shingles))
+            for (a, b), rows in asked.items():
+                for tree in range(a, b):
+                    known.setdefault(tree, _tree_coordinates(tree))
+                xor, mul = (np.concatenate([known[t][n] for t in range(a, b)]) for n in (0, 1))
+                found = _minima([s for _, s in rows], xor, mul)
+                index = pa.array([i for i, _ in rows], pa.int64())
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(index) for c in ("set_key", "first", "last")), pa.array([x.tobytes() for x in found], pa.binary())], ["set_key", "first", "last", "path"])
+
+    small_batches(docs.sparkSession)
+    texts = docs.select(F.col(key).cast("long").alias("rep"), text).join(needs, "rep").select("set_key", "first", "last", text)
+    return texts.mapInArrow(run, "set_key long, first int, last int, path binary").dropDuplicates(["set_key"])
+
+
+def _token(level: int):
+    """The minwise token that ``tree`` chooses at a level: four bytes of ``path``, which begins with tree ``first``."""
+    return F.substring(F.col("path"), ((F.col("tree") - F.col("first")) * LEVELS + level) * 4 + 1, 4)
 
 
 def _passing(threshold: int) -> int:
@@ -120,7 +170,7 @@ def _compare(threshold: int):
             if not batch.num_rows:
                 continue
             node, key, size = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("node", "set_key", "n_shingles"))
-            mark = np.frombuffer(b"".join(batch.column("minima").to_pylist()), np.uint8).reshape(len(node), COORDINATES, 4)[:, :, 0]
+            mark = np.frombuffer(b"".join(batch.column("marks").to_pylist()), np.uint8).reshape(len(node), COORDINATES)
             cut = np.flatnonzero(np.diff(node)) + 1
             for s, e in zip([0, *cut], [*cut, len(node)], strict=True):
                 if node[s] != current:
@@ -134,21 +184,23 @@ def _compare(threshold: int):
     return run
 
 
-def candidates(classes: DataFrame, threshold: int) -> DataFrame:
-    """Classes (set_key, n_shingles, minima) -> links (a, b) that join every group worth confirming.
+def _branched(classes: DataFrame, paths: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) from the trees of ``paths`` (set_key, first, last, path), and the level (set_key, level) that each class reached.
 
-    Only (node, set_key) rows of nodes that hold two classes or more fetch their minima, so the many
+    Only (node, set_key) rows of nodes that hold two classes or more fetch their marks, so the many
     classes that meet nobody never travel with them.
     """
-    trees = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1)))
-    rows = classes.select("set_key", "minima", trees.alias("tree"))
-    rows = rows.select("tree", "set_key", F.xxhash64("tree", F.lit(0), _token(F.col("tree"), 0)).alias("node"))
+    rows = paths.select("set_key", "first", "path", F.explode(F.sequence("first", F.col("last") - 1)).alias("tree"))
+    rows = rows.select("tree", "set_key", F.xxhash64("tree", F.lit(0), _token(0)).alias("node"))
     out = None
+    reached = paths.select("set_key", F.lit(1).alias("level"))
     for level in range(LEVELS):
         rows = saved(rows, "nodes")
+        if level:
+            reached = reached.unionByName(rows.select("set_key", F.lit(level + 1).alias("level")))
         sizes = saved(rows.groupBy("node").agg(F.count("*").alias("n"), F.min("set_key").alias("least")).where("n > 1"), "node-sizes")
         small = rows.join(sizes.where(F.col("n") <= NODE_LIMIT).select("node"), "node").select("node", "set_key")
-        ordered = small.join(classes, "set_key").select("node", "set_key", "n_shingles", "minima").repartition("node").sortWithinPartitions("node", "set_key")
+        ordered = small.join(classes.select("set_key", "n_shingles", "marks"), "set_key").repartition("node").sortWithinPartitions("node", "set_key")
         links = ordered.mapInArrow(_compare(threshold), "a long, b long")
         out = links if out is None else out.unionByName(links)
         large = sizes.where(F.col("n") > NODE_LIMIT)
@@ -157,9 +209,30 @@ def candidates(classes: DataFrame, threshold: int) -> DataFrame:
         if level == LEVELS - 1:
             out = out.unionByName(rows.join(large, "node").select(F.col("least").alias("a"), F.col("set_key").alias("b")))
             break
-        deeper = rows.join(large.select("node"), "node").join(classes.select("set_key", "minima"), "set_key")
-        rows = deeper.select("tree", "set_key", F.xxhash64("node", F.lit(level + 1), _token(F.col("tree"), level + 1)).alias("node"))
-    return out
+        deeper = rows.join(large.select("node"), "node").join(paths, "set_key")
+        rows = deeper.select("tree", "set_key", F.xxhash64("node", F.lit(level + 1), _token(level + 1)).alias("node"))
+    return out, reached.groupBy("set_key").agg(F.max("level").alias("level"))
+
+
+def candidates(classes: DataFrame, threshold: int, further: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Classes (set_key, rep, n_shingles, minima, marks) -> links (a, b) that join every group worth confirming.
+
+    ``further`` gives the paths of needs (set_key, rep, first, last). A round of further trees may take a
+    class deeper than it was, which asks for another round. A class beyond level 2 takes all the trees of
+    the last level at once, so there are three rounds at most.
+    """
+    enough = F.element_at(F.array(*[F.lit(trees_for(n if n < 3 else LEVELS, threshold)) for n in range(1, LEVELS + 1)]), F.col("level"))
+    paths = classes.select("set_key", F.lit(0).alias("first"), F.lit(TREES).alias("last"), F.col("minima").alias("path"))
+    out = None
+    while True:
+        links, reached = _branched(classes, paths, threshold)
+        links = saved(links, "links")
+        out = links if out is None else out.unionByName(links)
+        needs = reached.join(paths.select("set_key", F.col("last").alias("first")), "set_key").select("set_key", "first", enough.alias("last")).where("last > first")
+        needs = saved(needs.join(classes.select("set_key", "rep"), "set_key"), "needs")
+        if needs.isEmpty():
+            return out
+        paths = saved(further(needs), "paths")
 
 
 def _confirmed(sets: list[np.ndarray], threshold: int, split: int | None) -> list[tuple[int, int]]:
@@ -257,9 +330,9 @@ def confirm(docs: DataFrame, groups: DataFrame, k: int, threshold: int, key: str
 def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_shingles, component_id, kept."""
     found = saved(features(docs, k, key, text), "features")
-    classes = found.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("minima").alias("minima"))
+    classes = found.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("minima").alias("minima"), F.first("marks").alias("marks"))
     classes = saved(classes, "classes")
-    proposed = components(candidates(classes, threshold))
+    proposed = components(candidates(classes, threshold, lambda needs: further_paths(docs, needs, k, key, text)))
     groups = saved(classes.select("set_key", "rep", "n_shingles").join(proposed.select(F.col("node").alias("set_key"), F.col("root").alias("group")), "set_key"), "groups")
     confirmed = components(confirm(docs, groups, k, threshold, key, text))
     linked = classes.select("set_key", "rep").join(confirmed.select(F.col("node").alias("set_key"), "root"), "set_key")

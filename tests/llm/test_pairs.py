@@ -98,6 +98,22 @@ def test_near_duplicates_of_large_nodes(docs_of, monkeypatch):
     assert got == {i: c for i, (_, c) in brute_components(rows, 2, 80).items()}
 
 
+def test_near_duplicates_that_only_meet_deep_in_the_trees(docs_of, monkeypatch):
+    """Variants that add a fifth of their own to one base: ten trees of six levels lose about one in twenty."""
+    monkeypatch.setattr(near_dedup, "NODE_LIMIT", 4)
+    base = [str(n) for n in range(300)]
+    rows = [(0, " ".join(base))] + [(i, " ".join(base + [f"{i}x{n}" for n in range(74)])) for i in range(1, 401)]
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs_of(rows), 2).collect()}
+    assert brute_components([rows[0], rows[1]], 2, 80)[1][1] == 0
+    assert [i for i, c in got.items() if c] == []
+
+
+def test_trees_follow_the_depth():
+    for level in range(1, near_dedup.LEVELS + 1):
+        assert (1 - 0.8**level) ** near_dedup.trees_for(level, 80) <= near_dedup.MISS / near_dedup.LEVELS
+    assert near_dedup.trees_for(1, 80) == near_dedup.TREES and near_dedup.trees_for(3, 100) == near_dedup.TREES
+
+
 def test_deduplicate_keeps_columns_and_odd_rows(docs_of):
     rows = [(3, "a b c d e f"), (1, "a b c d e f"), (2, None), (4, ""), (1, "a b c d e f"), (None, "x y z"), (None, "x y z")]
     docs = docs_of(rows).withColumns({"set_key": F.lit(1), "_id": F.lit("own"), "minima": F.lit(2)}).drop("_id")

@@ -78,8 +78,9 @@ def anchors(docs: DataFrame, min_words: int = MIN_WORDS, anchor: int = ANCHOR) -
 
 
 def repeated(rows: DataFrame) -> DataFrame:
-    """Sort (hash, doc_id, place) and keep rows with an equal neighbour.
+    """Sort (hash, doc_id, place) and keep rows with an equal neighbour at another place.
 
+    Equal rows come from repeated rows of the table, and are one: the range sort brings them to one task.
     ``first`` marks the first row of its hash. Rows at a task's ends are kept as ``edge`` and judged
     against the neighbouring tasks' ends.
     """
@@ -101,6 +102,10 @@ def repeated(rows: DataFrame) -> DataFrame:
             if not batch.num_rows:
                 continue
             new = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("hash", "doc_id", "place")])
+            own = np.append(held is None or (new[:, 0] != held[:, -1]).any(), (new[:, 1:] != new[:, :-1]).any(axis=0))
+            if not own.any():
+                continue
+            new = new[:, own]
             if held is not None:
                 yield judged(held, before, int(new[0][0]), opens, False)
                 before, opens = int(held[0][-1]), False

@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from spanloom.llm import _text, decontam, near_dedup, suffix_dedup
+from spanloom.llm import _spark, _text, decontam, near_dedup, suffix_dedup
 
 LOW = {i: i + 32 for i in range(65, 91)}
 SPACED, ALNUM = r"[^\x20\x09-\x0D]+", r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -166,6 +166,19 @@ def test_passage_repeated_inside_one_document(docs_of):
     assert {r.doc_id: (r.n_words, r.n_repeated, r.n_removed) for r in got} == {1: (111, 110, 55), 2: (0, 0, 0)}
 
 
+@pytest.mark.parametrize("batch_rows", [512, 3])
+def test_repeated_rows_are_one_document(docs_of, monkeypatch, batch_rows):
+    monkeypatch.setattr(_spark, "BATCH_ROWS", batch_rows)  # equal rows on both sides of a batch's end
+    rng = random.Random(3)
+    text = lambda n: " ".join(str(rng.random()) for _ in range(n))
+    shared = text(60)
+    rows = [(1, text(130))] * 3 + [(2, f"{text(10)} {shared}")] * 2 + [(3, f"{shared} {text(5)}")] * 2 + [(None, text(70))] * 2
+    got = sorted((r.doc_id or 0, r.n_words, r.n_repeated, r.n_removed) for r in suffix_dedup.summary(docs_of(rows)).collect())
+    assert got == [(0, 70, 0, 0)] * 2 + [(1, 130, 0, 0)] * 3 + [(2, 70, 60, 0)] * 2 + [(3, 65, 60, 60)] * 2
+    left = sorted((r.doc_id or 0, len(words(r.text))) for r in suffix_dedup.remove(docs_of(rows)).collect())
+    assert left == [(0, 70)] * 2 + [(1, 130)] * 3 + [(2, 70)] * 2 + [(3, 5)] * 2
+
+
 ITEMS = [(1, " ".join(f"w{i}" for i in range(25))), (2, "tiny item"), (3, None), (4, ""), (10, " ".join(f"W{i}" for i in range(5, 20))), (None, "null named"), (2, "other words of two")]
 
 

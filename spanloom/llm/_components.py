@@ -7,27 +7,41 @@ from pyspark.sql import functions as F
 
 from ._spark import saved
 
+#: A node that holds more than this share of all edges is a hub; there are at most twice as many hubs as this.
+HUBS = 500
+
+
+def _with_least(pairs: DataFrame, key: str, other: str, edges: int) -> DataFrame:
+    """``pairs`` with ``root``, the least of ``other`` among the rows of a row's ``key``.
+
+    The least is an aggregate, combined before the shuffle, and is joined back. A hub's rows would all meet
+    it in one task, so hubs, which the share bounds to 2 * HUBS rows, are broadcast, and their rows stay
+    where they are.
+    """
+    least = pairs.groupBy(key).agg(F.min(other).alias("root"), F.count("*").alias("degree"))
+    hubs = least.where(F.col("degree") > edges // HUBS).select(key, F.col("root").alias("hub_root"))
+    met = pairs.join(F.broadcast(hubs), key, "left")
+    rest = met.where("hub_root is null").drop("hub_root").join(least.select(key, "root"), key)
+    return met.where("hub_root is not null").withColumnRenamed("hub_root", "root").unionByName(rest)
+
 
 def components(edges: DataFrame) -> DataFrame:
     """``edges(a, b)`` of longs -> ``(node, root)``: the smallest node reachable, for every node named.
 
     Alternates large-star and small-star rewrites (Kiveris et al., 2014): every round links each
     node's greater neighbours, then its smaller ones, to the least of its neighbourhood, so hubs
-    shrink to stars in about a logarithmic number of rounds. Neighbourhoods are never gathered:
-    the least neighbour is an aggregate that combines before the shuffle, and is joined back.
+    shrink to stars in about a logarithmic number of rounds. Neighbourhoods are never gathered.
     """
     pairs = saved(edges.where("a <> b").select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct(), "edges")
-    before = None
+    count, before = pairs.count(), None
     while True:
         both = pairs.select(F.col("lo").alias("n"), F.col("hi").alias("m")).unionByName(pairs.select(F.col("hi").alias("n"), F.col("lo").alias("m")))
-        least = both.groupBy("n").agg(F.least(F.min("m"), F.col("n")).alias("root"))
-        large = both.where("m > n").join(least, "n").select(F.col("root").alias("lo"), F.col("m").alias("hi")).where("lo <> hi").distinct()
-        down = large.groupBy("hi").agg(F.min("lo").alias("root"))
-        small = large.join(down, "hi").select("root", "lo", "hi")
+        large = _with_least(both, "n", "m", 2 * count).where("m > n").select(F.least("root", "n").alias("lo"), F.col("m").alias("hi")).distinct()
+        small = _with_least(large, "hi", "lo", count)
         after = saved(small.select(F.col("root").alias("lo"), F.col("lo").alias("hi")).unionByName(small.select(F.col("root").alias("lo"), "hi")).where("lo <> hi").distinct(), "edges")
         sums = after.agg(F.count("*"), F.sum(F.xxhash64("lo", "hi").cast("decimal(38,0)")), F.coalesce(F.max("lo"), F.lit(0))).first()
         if before == sums:
             break
-        before, pairs = sums, after
+        before, pairs, count = sums, after, sums[0]
     nodes = after.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
     return nodes.unionByName(after.select(F.col("lo").alias("node"), F.col("lo").alias("root")).distinct())

@@ -1,12 +1,14 @@
 """Vectorised tokens: words and their 64-bit hashes straight from Arrow's UTF-8 buffers.
 
-A word's hash is a polynomial over its folded bytes modulo 2**64, taken from prefix sums, so a
-batch of texts needs no Python loop over words. Texts of any length go in pieces of about PIECE
-bytes that are cut between words.
+A word's hash takes its folded bytes eight at a time through a bijective finaliser, for all words of a
+batch at once: words of equal length up to eight bytes never share a hash, longer ones only by chance.
+Words beyond LONG bytes are rare and are digested one by one. Texts of any length go in pieces of about
+PIECE bytes that are cut between words.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,10 +19,8 @@ import pyarrow.compute as pc
 PIECE = 1 << 20
 SLICE_BYTES = 4 << 20
 
-_rng = np.random.Generator(np.random.PCG64(20240607))
-_BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_R = np.uint64(0x9E3779B97F4A7C15)
-_R_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+#: Bytes of a word beyond which it is digested by itself.
+LONG = 64
 _M1 = np.uint64(0xBF58476D1CE4E5B9)
 _M2 = np.uint64(0x94D049BB133111EB)
 
@@ -83,11 +83,23 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
     return out
 
 
-_POW, _POW_INV = _powers(_R, PIECE + 4096), _powers(_R_INV, PIECE + 4096)
+def _hashed(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the words at ``start`` to ``end`` in folded bytes that eight zeros follow."""
+    size = end - start
+    out = mix(size.astype(np.uint64) + np.uint64(1))
+    eight = np.ndarray(len(data) - 7, np.dtype("<u8"), data, strides=(1,))  # the eight bytes from each place on
+    live, at, left = slice(None), start, size
+    while len(at):
+        chunk = eight[at] & _KEEP[np.minimum(left, 8)]
+        out[live] = mix(mix(out[live] ^ chunk) + np.uint64(1))
+        more = np.flatnonzero((left > 8) & (left + at - start[live] <= LONG))
+        live, at, left = (more if isinstance(live, slice) else live[more]), at[more] + 8, left[more] - 8
+    for i in np.flatnonzero(size > LONG):
+        out[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
 
 
-def _pow(n: int) -> tuple[np.ndarray, np.ndarray]:
-    return (_POW, _POW_INV) if n <= len(_POW) else (_powers(_R, n), _powers(_R_INV, n))
+_KEEP = np.array([(1 << (8 * n)) - 1 for n in range(9)], np.uint64)
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -121,11 +133,8 @@ def tokenize(column: pa.Array, kind: Alphabet) -> Tokens:
         finishes = mask.copy()
         finishes[:-1] &= ~mask[1:] | cut[1:-1]
         s, e = np.flatnonzero(begins), np.flatnonzero(finishes) + 1
-        power, inverse = _pow(b - a)
-        total = np.empty(b - a + 1, np.uint64)
-        total[0] = 0
-        np.cumsum(_BYTE[kind.fold[data[a:b]]] * power[: b - a], out=total[1:])
-        hashes.append(mix((total[e] - total[s]) * inverse[s]))
+        folded = np.concatenate([kind.fold[data[a:b]], np.zeros(8, np.uint8)])
+        hashes.append(_hashed(folded, s, e))
         starts.append(s + a)
         ends.append(e + a)
         a = b
@@ -151,11 +160,6 @@ def windows(hashes: np.ndarray, k: int) -> np.ndarray:
     return mix((total[k:] - total[:-k]) * _powers(_Q_INV, n - k + 1))
 
 
-def whole(hashes: np.ndarray) -> int:
-    """One hash for a sequence of words."""
-    return int(windows(hashes, len(hashes))[0]) if len(hashes) else 0
-
-
 def shingles(hashes: np.ndarray, k: int) -> np.ndarray:
     """Distinct ``k``-word shingles, sorted; a shorter sequence is one shingle, none is none."""
     if not len(hashes):

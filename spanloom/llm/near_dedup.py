@@ -1,13 +1,14 @@
 """Near-duplicate documents: chosen-path set similarity join on word shingles.
 
 Texts become sets of distinct ``k``-word shingles (A-Z lower-cased words; fewer than ``k`` words are
-one shingle). Equal sets collapse into a class first, so exact copies never meet. Independent
-trees then branch the classes by one minwise token a level: classes that agree on
-the chosen coordinates share a node. A node of at most NODE_LIMIT classes is compared exhaustively on
-short signatures; a larger one branches again, and one that is still large at the last level passes
-on whole. Nodes only propose groups; every proposed group is confirmed on full sets, and there a link
-holds exactly where 100 * |A & B| >= threshold * |A | B|. Confirmation cuts large groups into blocks of
-bounded size and compares every pair of blocks, so no task holds a whole group.
+one shingle). Equal sets, by a 128-bit digest, collapse into a class first, so exact copies never meet.
+Independent trees then branch the classes by one minwise token a level: classes that agree on the chosen
+coordinates share a node. A node of at most NODE_LIMIT classes is compared exhaustively on short
+signatures, which gives groups of that node alone; a larger one branches again, and one that is still
+large at the last level is a group as it stands. Every group, equal ones once, is confirmed on full sets, and there a
+link holds exactly where 100 * |A & B| >= threshold * |A | B|. Only confirmed links ever join documents,
+so unlike ones are never chained into one group. Groups of more than one block are compared block by
+block, so no task holds a whole group.
 
 A pair at similarity s shares a node of level l in one tree with probability s**l, so the deeper a
 class must go before its nodes are small, the more trees it needs. Every class starts with TREES trees;
@@ -16,23 +17,25 @@ at least ``trees_for`` that level are done: (1 - s**l)**trees is at most MISS /
 stays together in the trees of the class that needs fewer, and shares no node of it only if it differs
 within the first l tokens in all of them; over the levels that is MISS at most. At 0.8: 10, 16, 22, 30,
 40 and 52 trees for levels 1 to 6. Signature comparison lets a pair at the threshold pass up to five
-standard deviations below, and stops 8e-7 of such pairs at 0.8.
+standard deviations below, and stops 8e-7 of such pairs at 0.8. Further trees skip pairs that confirmed
+links have joined already.
 
 Defined cases: documents without words (null, empty, only separators) have an empty set, are linked
-with nothing and are kept. Repeated rows fall into one class. A null id never names a component
-unless all its documents have null ids. Empty tables give empty results; extra columns are ignored
-by ``near_duplicates`` and kept by ``deduplicate``.
+with nothing and are kept. Repeated rows fall into one class. Rows that share an id but not a text are
+documents of their own, and so are rows without an id. A null id never names a component unless all its
+documents have null ids. Empty tables give empty results; extra columns are ignored by
+``near_duplicates`` and kept by ``deduplicate``.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _text
@@ -66,7 +69,8 @@ def trees_for(level: int, threshold: int) -> int:
     return max(TREES, math.ceil(math.log(MISS / LEVELS) / math.log(apart))) if 0 < apart < 1 else TREES
 
 
-_FEATURES = "set_key long, n_shingles long, minima binary, marks binary"
+#: What stands for a null id wherever rows are matched by id.
+NO_ID = -(2**63)
 
 
 def _minima(parts: list[np.ndarray], xor: np.ndarray = _XOR, mul: np.ndarray = _MUL) -> np.ndarray:
@@ -79,44 +83,62 @@ def _minima(parts: list[np.ndarray], xor: np.ndarray = _XOR, mul: np.ndarray = _
     return out
 
 
-def _set_key(shingles: np.ndarray) -> int:
-    """A 64-bit digest of a sorted set; zero stands for the empty set only."""
-    return int.from_bytes(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), "little", signed=True) or 1
+def _digest(shingles: np.ndarray) -> bytes:
+    """128 bits that stand for a sorted set."""
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
+
+
+def _sets(batch: pa.RecordBatch, text: str, k: int) -> list[np.ndarray]:
+    tokens = _text.tokenize(batch.column(text), _text.SPACED)
+    return [_text.shingles(tokens.hash[tokens.of(i)], k) for i in range(batch.num_rows)]
+
+
+def _row_key(key: str, text: str) -> tuple[Column, Column]:
+    return F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("rep_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("rep_mark")
+
+
+def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(rep_id, rep_mark, text): a row is known by its id and a hash of its text, for ids may repeat or lack."""
+    return docs.select(*_row_key(key, text), F.col(text).alias("text"))
 
 
 def features(docs: DataFrame, k: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, set_key, n_shingles, minima, marks) of each row; set_key null and no minima without words.
+    """(rep_id, rep_mark, digest, n_shingles, minima, marks) of each row; digest and minima null without words.
 
     ``marks`` is the low byte of each of the minima, the short signature that nodes compare.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _text.slices(batches, text):
-            tokens = _text.tokenize(batch.column(text), _text.SPACED)
-            sets = [_text.shingles(tokens.hash[tokens.of(i)], k) for i in range(batch.num_rows)]
+        for batch in _text.slices(batches):
+            sets = _sets(batch, "text", k)
             full = [i for i, s in enumerate(sets) if len(s)]
             minima = dict(zip(full, _minima([sets[i] for i in full]), strict=True)) if full else {}
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(key), pa.array([_set_key(s) if len(s) else None for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([minima[i].tobytes() if i in minima else None for i in range(batch.num_rows)], pa.binary()), pa.array([minima[i].astype(np.uint8).tobytes() if i in minima else None for i in range(batch.num_rows)], pa.binary())],
-                ["doc_id", "set_key", "n_shingles", "minima", "marks"],
-            )
+            known = [minima.get(i) for i in range(len(sets))]
+            own = [pa.array([None if m is None else _digest(s) for s, m in zip(sets, known, strict=True)], pa.binary()), pa.array(list(map(len, sets)), pa.int64()), pa.array([None if m is None else m.tobytes() for m in known], pa.binary()), pa.array([None if m is None else m.astype(np.uint8).tobytes() for m in known], pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column("rep_id"), batch.column("rep_mark"), *own], ["rep_id", "rep_mark", "digest", "n_shingles", "minima", "marks"])
 
     small_batches(docs.sparkSession)
-    return docs.select(F.col(key).cast("long").alias(key), text).mapInArrow(run, f"doc_id long, {_FEATURES}")
+    return _keyed(docs, key, text).mapInArrow(run, "rep_id long, rep_mark long, digest binary, n_shingles long, minima binary, marks binary")
+
+
+def _classes(found: DataFrame) -> DataFrame:
+    """One row for each distinct set: its number, the row that stands for it, and its least id."""
+    rep = F.min(F.struct("rep_id", "rep_mark"))
+    least = F.min(F.when(F.col("rep_id") != NO_ID, F.col("rep_id")))
+    one = found.where("digest is not null").groupBy("digest").agg(rep.alias("rep"), least.alias("least"), *[F.first(c).alias(c) for c in ("n_shingles", "minima", "marks")])
+    return one.select(F.monotonically_increasing_id().alias("set_key"), "digest", "rep.*", "least", "n_shingles", "minima", "marks")
 
 
 def further_paths(docs: DataFrame, needs: DataFrame, k: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Needs (set_key, rep, first, last) -> (set_key, first, last, path): the tokens of trees first to last - 1."""
+    """Needs (set_key, label, rep_id, rep_mark, digest, first, last) -> (set_key, label, first, last, path): tokens of trees first to last - 1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for batch in _text.slices(batches, text):
-            tokens = _text.tokenize(batch.column(text), _text.SPACED)
-            want, first, last = (batch.column(c).to_pylist() for c in ("set_key", "first", "last"))
+        for batch in _text.slices(batches):
+            want, first, last = (batch.column(c).to_pylist() for c in ("digest", "first", "last"))
             asked: dict[tuple[int, int], list[tuple[int, np.ndarray]]] = {}
-            for i in range(batch.num_rows):
-                shingles = _text.shingles(tokens.hash[tokens.of(i)], k)
-                if len(shingles) and _set_key(shingles) == want[i]:  # repeated ids may hold other texts
+            for i, shingles in enumerate(_sets(batch, "text", k)):
+                if len(shingles) and _digest(shingles) == want[i]:
                     asked.setdefault((first[i], last[i]), []).append((i, shingles))
             for (a, b), rows in asked.items():
                 for tree in range(a, b):
@@ -124,11 +146,11 @@ def further_paths(docs: DataFrame, needs: DataFrame, k: int, key: str = "doc_id"
                 xor, mul = (np.concatenate([known[t][n] for t in range(a, b)]) for n in (0, 1))
                 found = _minima([s for _, s in rows], xor, mul)
                 index = pa.array([i for i, _ in rows], pa.int64())
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(index) for c in ("set_key", "first", "last")), pa.array([x.tobytes() for x in found], pa.binary())], ["set_key", "first", "last", "path"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(index) for c in ("set_key", "label", "first", "last")), pa.array([x.tobytes() for x in found], pa.binary())], ["set_key", "label", "first", "last", "path"])
 
     small_batches(docs.sparkSession)
-    texts = docs.select(F.col(key).cast("long").alias("rep"), text).join(needs, "rep").select("set_key", "first", "last", text)
-    return texts.mapInArrow(run, "set_key long, first int, last int, path binary").dropDuplicates(["set_key"])
+    texts = _keyed(docs, key, text).join(needs, ["rep_id", "rep_mark"]).select("set_key", "label", "digest", "first", "last", "text")
+    return texts.mapInArrow(run, "set_key long, label long, first int, last int, path binary").dropDuplicates(["set_key"])
 
 
 def _token(level: int):
@@ -142,34 +164,38 @@ def _passing(threshold: int) -> int:
     return max(1, int(COORDINATES * t - 5 * (COORDINATES * t * (1 - t)) ** 0.5))
 
 
+def _similar(key: np.ndarray, label: np.ndarray, mark: np.ndarray, size: np.ndarray, threshold: int) -> list[np.ndarray]:
+    """Groups of a node's rows that signatures find similar across labels; the rest need no confirmation."""
+    least, n = _passing(threshold), len(key)
+    root, met = np.arange(n), np.zeros(n, bool)
+    for i in range(n - 1):
+        other = slice(i + 1, n)
+        near = (np.minimum(size[other], size[i]) * 100 >= threshold * np.maximum(size[other], size[i])) & (label[other] != label[i])
+        hit = np.flatnonzero(near & ((mark[other] == mark[i]).sum(axis=1) >= least)) + i + 1
+        if len(hit):
+            met[i] = met[hit] = True
+            groups = np.unique(root[np.append(hit, i)])
+            root[np.isin(root, groups)] = groups[0]
+    return [key[met & (root == r)] for r in np.unique(root[met])]
+
+
 def _compare(threshold: int):
-    """Rows sorted by node, nodes of at most NODE_LIMIT rows -> a star for each group of similar rows."""
-    least = _passing(threshold)
-
-    def star(key: np.ndarray, mark: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        n = len(key)
-        root = np.arange(n)
-        for i in range(n - 1):
-            near = np.minimum(size[i + 1 :], size[i]) * 100 >= threshold * np.maximum(size[i + 1 :], size[i])
-            hit = np.flatnonzero(near & ((mark[i + 1 :] == mark[i]).sum(axis=1) >= least)) + i + 1
-            if len(hit):
-                groups = np.unique(root[np.append(hit, i)])
-                root[np.isin(root, groups)] = groups[0]
-        other = np.flatnonzero(root != np.arange(n))
-        return key[root[other]], key[other]
+    """Rows sorted by node, nodes of at most NODE_LIMIT rows -> (grp, set_key) of each group of similar rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         current = None
 
         def closed() -> pa.RecordBatch:
-            a, b = star(*(np.concatenate(x) for x in zip(*held, strict=True)))
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            found = [np.sort(g) for g in _similar(*(np.concatenate(x) for x in zip(*held, strict=True)), threshold)]
+            names = [int.from_bytes(hashlib.blake2b(g.tobytes(), digest_size=8).digest(), "little", signed=True) for g in found]
+            keys = np.concatenate(found) if found else np.empty(0, np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(names, np.int64), list(map(len, found)))), pa.array(keys)], ["grp", "set_key"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            node, key, size = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("node", "set_key", "n_shingles"))
+            node, key, label, size = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("node", "set_key", "label", "n_shingles"))
             mark = np.frombuffer(b"".join(batch.column("marks").to_pylist()), np.uint8).reshape(len(node), COORDINATES)
             cut = np.flatnonzero(np.diff(node)) + 1
             for s, e in zip([0, *cut], [*cut, len(node)], strict=True):
@@ -177,7 +203,7 @@ def _compare(threshold: int):
                     if len(held) > 1 or held and len(held[0][0]) > 1:
                         yield closed()
                     held, current = [], node[s]
-                held.append((key[s:e], mark[s:e], size[s:e]))
+                held.append((key[s:e], label[s:e], mark[s:e], size[s:e]))
         if held:
             yield closed()
 
@@ -185,54 +211,60 @@ def _compare(threshold: int):
 
 
 def _branched(classes: DataFrame, paths: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame]:
-    """Links (a, b) from the trees of ``paths`` (set_key, first, last, path), and the level (set_key, level) that each class reached.
+    """Groups (grp, set_key) from the trees of ``paths`` (set_key, label, first, last, path), and the level (set_key, level) that each class reached.
 
-    Only (node, set_key) rows of nodes that hold two classes or more fetch their marks, so the many
+    Only (node, set_key) rows of nodes that hold two labels or more fetch their marks, so the many
     classes that meet nobody never travel with them.
     """
-    rows = paths.select("set_key", "first", "path", F.explode(F.sequence("first", F.col("last") - 1)).alias("tree"))
-    rows = rows.select("tree", "set_key", F.xxhash64("tree", F.lit(0), _token(0)).alias("node"))
-    out = None
+    rows = paths.select("set_key", "label", "first", "path", F.explode(F.sequence("first", F.col("last") - 1)).alias("tree"))
+    rows = rows.select("tree", "set_key", "label", F.xxhash64("tree", F.lit(0), _token(0)).alias("node"))
+    out, stars = None, None
     reached = paths.select("set_key", F.lit(1).alias("level"))
     for level in range(LEVELS):
         rows = saved(rows, "nodes")
         if level:
             reached = reached.unionByName(rows.select("set_key", F.lit(level + 1).alias("level")))
-        sizes = saved(rows.groupBy("node").agg(F.count("*").alias("n"), F.min("set_key").alias("least")).where("n > 1"), "node-sizes")
-        small = rows.join(sizes.where(F.col("n") <= NODE_LIMIT).select("node"), "node").select("node", "set_key")
+        sizes = rows.groupBy("node").agg(F.count("*").alias("n"), F.min("set_key").alias("least"), F.min("label").alias("low"), F.max("label").alias("high"))
+        sizes = saved(sizes.where("low < high").select("node", "n", "least"), "node-sizes")
+        small = rows.join(sizes.where(F.col("n") <= NODE_LIMIT).select("node"), "node").select("node", "set_key", "label")
         ordered = small.join(classes.select("set_key", "n_shingles", "marks"), "set_key").repartition("node").sortWithinPartitions("node", "set_key")
-        links = ordered.mapInArrow(_compare(threshold), "a long, b long")
-        out = links if out is None else out.unionByName(links)
+        groups = ordered.mapInArrow(_compare(threshold), "grp long, set_key long")
+        out = groups if out is None else out.unionByName(groups)
         large = sizes.where(F.col("n") > NODE_LIMIT)
         if large.isEmpty():
             break
         if level == LEVELS - 1:
-            out = out.unionByName(rows.join(large, "node").select(F.col("least").alias("a"), F.col("set_key").alias("b")))
+            stars = rows.join(large, "node").select(F.col("least").alias("a"), F.col("set_key").alias("b"))
             break
-        deeper = rows.join(large.select("node"), "node").join(paths, "set_key")
-        rows = deeper.select("tree", "set_key", F.xxhash64("node", F.lit(level + 1), _token(level + 1)).alias("node"))
-    return out, reached.groupBy("set_key").agg(F.max("level").alias("level"))
+        deeper = rows.join(large.select("node"), "node").join(paths.select("set_key", "first", "path"), "set_key")
+        rows = deeper.select("tree", "set_key", "label", F.xxhash64("node", F.lit(level + 1), _token(level + 1)).alias("node"))
+    out = out.distinct()
+    if stars is not None:
+        out = out.unionByName(components(stars).select(F.col("root").alias("grp"), F.col("node").alias("set_key")))
+    return saved(out, "groups"), reached.groupBy("set_key").agg(F.max("level").alias("level"))
 
 
-def candidates(classes: DataFrame, threshold: int, further: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Classes (set_key, rep, n_shingles, minima, marks) -> links (a, b) that join every group worth confirming.
+def links(docs: DataFrame, classes: DataFrame, k: int, threshold: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Confirmed links (a, b) between classes, as many as join every pair of classes that chains of links join.
 
-    ``further`` gives the paths of needs (set_key, rep, first, last). A round of further trees may take a
-    class deeper than it was, which asks for another round. A class beyond level 2 takes all the trees of
-    the last level at once, so there are three rounds at most.
+    A round of further trees may take a class deeper than it was, which asks for another round. A class
+    beyond level 2 takes all the trees of the last level at once, so there are three rounds at most.
     """
     enough = F.element_at(F.array(*[F.lit(trees_for(n if n < 3 else LEVELS, threshold)) for n in range(1, LEVELS + 1)]), F.col("level"))
-    paths = classes.select("set_key", F.lit(0).alias("first"), F.lit(TREES).alias("last"), F.col("minima").alias("path"))
+    paths = classes.select("set_key", F.col("set_key").alias("label"), F.lit(0).alias("first"), F.lit(TREES).alias("last"), F.col("minima").alias("path"))
+    members = classes.select("set_key", "rep_id", "rep_mark", "digest", "n_shingles")
     out = None
     while True:
-        links, reached = _branched(classes, paths, threshold)
-        links = saved(links, "links")
-        out = links if out is None else out.unionByName(links)
+        groups, reached = _branched(classes, paths, threshold)
+        found = saved(confirm(docs, groups.join(members, "set_key"), k, threshold, key, text), "links")
+        out = found if out is None else out.unionByName(found)
         needs = reached.join(paths.select("set_key", F.col("last").alias("first")), "set_key").select("set_key", "first", enough.alias("last")).where("last > first")
-        needs = saved(needs.join(classes.select("set_key", "rep"), "set_key"), "needs")
+        needs = saved(needs, "needs")
         if needs.isEmpty():
             return out
-        paths = saved(further(needs), "paths")
+        joined = components(out).select(F.col("node").alias("set_key"), F.col("root").alias("label"))
+        labelled = needs.join(joined, "set_key", "left").withColumn("label", F.coalesce("label", "set_key"))
+        paths = saved(further_paths(docs, labelled.join(members, "set_key"), k, key, text), "paths")
 
 
 def _confirmed(sets: list[np.ndarray], threshold: int, split: int | None) -> list[tuple[int, int]]:
@@ -279,78 +311,88 @@ def _confirmed(sets: list[np.ndarray], threshold: int, split: int | None) -> lis
 
 
 def confirm(docs: DataFrame, groups: DataFrame, k: int, threshold: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Proposed groups (group, set_key, n_shingles, rep) -> confirmed links (a, b) between classes.
+    """Groups (grp, set_key, rep_id, rep_mark, digest, n_shingles) -> confirmed links (a, b) between classes.
 
-    ``rep`` is the id of a document that has the set. Members are dealt to blocks of about
-    BLOCK_SHINGLES; a group of one block is one task's work, of several one for each pair of blocks.
+    Members are dealt to blocks of about BLOCK_SHINGLES; a group of one block is one task's work, of
+    several one for each pair of blocks.
     """
-    total = groups.groupBy("group").agg(F.sum("n_shingles").alias("mass"), F.count("*").alias("sets"))
+    total = groups.groupBy("grp").agg(F.sum("n_shingles").alias("mass"), F.count("*").alias("sets"))
     blocks = F.ceil(F.greatest(F.col("mass") / BLOCK_SHINGLES, F.col("sets") / BLOCK_SETS)).cast("long")
-    dealt = groups.join(saved(total.select("group", blocks.alias("blocks")), "blocks"), "group")
-    dealt = dealt.select("group", "set_key", "rep", "blocks", F.pmod(F.xxhash64("set_key"), F.col("blocks")).alias("block"))
+    dealt = groups.join(saved(total.select("grp", blocks.alias("blocks")), "blocks"), "grp")
+    dealt = dealt.select("grp", "set_key", "rep_id", "rep_mark", "digest", "blocks", F.pmod(F.xxhash64("set_key"), F.col("blocks")).alias("block"))
+    # a class may be in many groups: its text is fetched once, and its set goes to each
+    wanted = dealt.groupBy("rep_id", "rep_mark", "digest", "set_key").agg(F.collect_list(F.struct("grp", "blocks", "block")).alias("places"))
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _text.slices(batches, text):
-            tokens = _text.tokenize(batch.column(text), _text.SPACED)
-            sets = [_text.shingles(tokens.hash[tokens.of(i)], k) for i in range(batch.num_rows)]
-            keep = [i for i, want in enumerate(batch.column("set_key").to_pylist()) if len(sets[i]) and _set_key(sets[i]) == want]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(keep, pa.int64())) for c in ("group", "set_key", "blocks", "block")), pa.array([sets[i].tobytes() for i in keep], pa.binary())], ["group", "set_key", "blocks", "block", "members"])
+        for batch in _text.slices(batches):
+            sets = _sets(batch, "text", k)
+            keep = [i for i, want in enumerate(batch.column("digest").to_pylist()) if len(sets[i]) and _digest(sets[i]) == want]
+            index = pa.array(keep, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("set_key").take(index), batch.column("places").take(index), pa.array([sets[i].tobytes() for i in keep], pa.binary())], ["set_key", "places", "members"])
 
     small_batches(docs.sparkSession)
-    texts = docs.select(F.col(key).cast("long").alias("rep"), text).join(dealt, "rep").select("group", "set_key", "blocks", "block", text)
-    sets = texts.mapInArrow(sets_of, "group long, set_key long, blocks long, block long, members binary")
+    texts = _keyed(docs, key, text).join(wanted, ["rep_id", "rep_mark"]).select("set_key", "digest", "places", "text")
+    sets = texts.mapInArrow(sets_of, "set_key long, places array<struct<grp:long,blocks:long,block:long>>, members binary")
+    placed = sets.select("set_key", "members", F.explode("places").alias("p")).select("set_key", "members", "p.*")
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    paired = sets.select("group", "set_key", "block", "members", other.alias("other"))
-    paired = paired.select("group", "set_key", "block", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "members")
+    paired = placed.select("grp", "set_key", "block", "members", other.alias("other"))
+    paired = paired.select("grp", "set_key", "block", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "members")
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def links(rows: list[tuple]) -> pa.RecordBatch:
+        def found(rows: list[tuple]) -> pa.RecordBatch:
             rows = list({r[1]: r for r in rows}.values())  # repeated rows of the table repeat a set
             sets = [np.frombuffer(r[2], np.uint64) for r in rows]
             two = rows[0][3] != rows[0][4]
             split = sum(r[0] == rows[0][3] for r in rows) if two else None
-            found = _confirmed(sets, threshold, split)
-            return pa.RecordBatch.from_arrays([pa.array([rows[i][1] for i, _ in found], pa.int64()), pa.array([rows[j][1] for _, j in found], pa.int64())], ["a", "b"])
+            pairs = _confirmed(sets, threshold, split)
+            return pa.RecordBatch.from_arrays([pa.array([rows[i][1] for i, _ in pairs], pa.int64()), pa.array([rows[j][1] for _, j in pairs], pa.int64())], ["a", "b"])
 
         held, current = [], None
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("block", "set_key", "members", "x", "y", "group")]
-            for block, set_key, members, x, y, group in zip(*columns, strict=True):
-                if (group, x, y) != current:
+            columns = [batch.column(c).to_pylist() for c in ("block", "set_key", "members", "x", "y", "grp")]
+            for block, set_key, members, x, y, grp in zip(*columns, strict=True):
+                if (grp, x, y) != current:
                     if len(held) > 1:
-                        yield links(held)
-                    held, current = [], (group, x, y)
+                        yield found(held)
+                    held, current = [], (grp, x, y)
                 held.append((block, set_key, members, x, y))
         if len(held) > 1:
-            yield links(held)
+            yield found(held)
 
-    return paired.repartition("group", "x", "y").sortWithinPartitions("group", "x", "y", "block", "set_key").mapInArrow(link, "a long, b long")
+    return paired.repartition("grp", "x", "y").sortWithinPartitions("grp", "x", "y", "block", "set_key").mapInArrow(link, "a long, b long")
+
+
+def judged(docs: DataFrame, k: int, threshold: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """For every row: rep_id, rep_mark, n_shingles, component (a class number, null without words) and its least id."""
+    found = saved(features(docs, k, key, text), "features")
+    classes = saved(_classes(found), "classes")
+    joined = components(links(docs, classes, k, threshold, key, text)).select(F.col("node").alias("set_key"), "root")
+    named = saved(classes.select("set_key", "digest", "least").join(joined, "set_key", "left").withColumn("root", F.coalesce("root", "set_key")), "named")
+    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    final = saved(named.select("digest", "root").join(least, "root").withColumnRenamed("root", "component"), "components")
+    return found.select("rep_id", "rep_mark", "n_shingles", "digest").join(final, "digest", "left").drop("digest")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_shingles, component_id, kept."""
-    found = saved(features(docs, k, key, text), "features")
-    classes = found.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("minima").alias("minima"), F.first("marks").alias("marks"))
-    classes = saved(classes, "classes")
-    proposed = components(candidates(classes, threshold, lambda needs: further_paths(docs, needs, k, key, text)))
-    groups = saved(classes.select("set_key", "rep", "n_shingles").join(proposed.select(F.col("node").alias("set_key"), F.col("root").alias("group")), "set_key"), "groups")
-    confirmed = components(confirm(docs, groups, k, threshold, key, text))
-    linked = classes.select("set_key", "rep").join(confirmed.select(F.col("node").alias("set_key"), "root"), "set_key")
-    least = linked.groupBy("root").agg(F.min("rep").alias("least"))
-    named = linked.join(least, "root").select("set_key", "least")
-    alone = classes.select("set_key", "rep").join(named, "set_key", "left").select("set_key", F.coalesce("least", "rep").alias("least"))
-    final = saved(alone, "named")
-    out = found.select("doc_id", "n_shingles", "set_key").join(final, "set_key", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
+    doc_id = F.when(F.col("rep_id") != NO_ID, F.col("rep_id"))
+    out = judged(docs, k, threshold, key, text).select(doc_id.alias("doc_id"), "n_shingles", F.when(F.col("component").isNull(), doc_id).otherwise(F.col("component_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
 
 
-def deduplicate(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFrame:
-    """``docs`` with one document of each component: the one with the smallest id.
+def deduplicate(docs: DataFrame, k: int = 5, threshold: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with one row of each component: that of the smallest id (null last), ties by a hash of the text.
 
-    Rows that repeat an id are one document, the first by text stays; rows without an id stay apart
-    unless their texts are equal.
+    Rows that differ in id or text are never taken for each other; of rows that repeat both, one stays if
+    there are words in it, and all stay if there are none.
     """
-    kept = near_duplicates(docs, k, threshold).where("kept").select(F.coalesce("doc_id", F.lit(-(2**63))).alias("_id")).distinct()
-    marked = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))).join(kept, "_id", "left_semi")
-    one = Window.partitionBy("_id", F.when(F.col("doc_id").isNull(), F.xxhash64("text"))).orderBy("text")
-    return marked.withColumn("_row", F.row_number().over(one)).where("_row = 1").select(docs.columns)
+    found = judged(docs, k, threshold, key, text).where("component is not null")
+    first = F.min(F.struct((F.col("rep_id") == NO_ID).alias("lacks"), "rep_id", "rep_mark"))
+    keepers = found.groupBy("component").agg(first.alias("first")).select("first.rep_id", "first.rep_mark")
+    rows = ["rep_id", "rep_mark"]
+    plain = [c for c, kind in docs.dtypes if not kind.startswith(("map", "variant"))]
+    wordless = ~F.coalesce(F.col(text), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    whole = docs.select(F.struct(*docs.columns).alias("row"), F.struct(*plain).alias("order"), wordless.alias("wordless"), *_row_key(key, text))
+    kept = whole.where("not wordless").join(keepers, rows, "left_semi")
+    one = kept.withColumn("place", F.row_number().over(Window.partitionBy(*rows).orderBy("order"))).where("place = 1")
+    return one.select("row.*").unionByName(whole.where("wordless").select("row.*"))

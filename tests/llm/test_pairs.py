@@ -1,6 +1,7 @@
 """Near-duplicates, repeated passages and decontamination against brute force, with odd rows among them."""
 
 import hashlib
+import itertools
 import random
 import re
 from collections import defaultdict
@@ -8,11 +9,11 @@ from collections import defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
-from hypothesis import given, settings
+from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from spanloom.llm import _spark, _text, decontam, near_dedup, suffix_dedup
+from spanloom.llm import _components, _spark, _text, decontam, near_dedup, suffix_dedup
 
 LOW = {i: i + 32 for i in range(65, 91)}
 SPACED, ALNUM = r"[^\x20\x09-\x0D]+", r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -39,6 +40,19 @@ def test_long_words_cross_pieces():
     assert np.diff(t.ptr).tolist() == [2, 2, 0, 0] and t.hash[1] == t.hash[2]
 
 
+def thue_morse(n, letters="ab"):
+    """A word whose letters swapped give any polynomial hash modulo a power of two the same value, if long enough."""
+    return "".join(letters[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_hashes_of_structured_words_differ():
+    for n in (1, 4, 8, 9, 16, 64, 65, 512, 1024, 2048, 1 << 16):
+        h = _text.tokenize(pa.array([thue_morse(n), thue_morse(n, "ba")]), _text.SPACED).hash
+        assert h[0] != h[1], n
+    few = ["".join(x) for n in range(1, 5) for x in itertools.product("a\x01é", repeat=n)]
+    assert len(set(_text.tokenize(pa.array(few), _text.SPACED).hash.tolist())) == len(few)
+
+
 def corpus(seed=4, n=60):
     """Random texts with exact copies, near copies, shared passages, nulls, empties and repeated rows."""
     rng = random.Random(seed)
@@ -114,15 +128,55 @@ def test_trees_follow_the_depth():
     assert near_dedup.trees_for(1, 80) == near_dedup.TREES and near_dedup.trees_for(3, 100) == near_dedup.TREES
 
 
+def test_structured_words_are_no_copies(docs_of):
+    rows = [(1, thue_morse(1024)), (2, thue_morse(1024, "ba")), (3, thue_morse(2048)), (4, thue_morse(2048, "ba"))]
+    got = {r.doc_id: (r.component_id, r.kept) for r in near_dedup.near_duplicates(docs_of(rows), 2).collect()}
+    assert got == {i: (i, True) for i in got} and len(got) == 4
+    assert near_dedup.deduplicate(docs_of(rows)).count() == 4
+
+
 def test_deduplicate_keeps_columns_and_odd_rows(docs_of):
     rows = [(3, "a b c d e f"), (1, "a b c d e f"), (2, None), (4, ""), (1, "a b c d e f"), (None, "x y z"), (None, "x y z")]
-    docs = docs_of(rows).withColumns({"set_key": F.lit(1), "_id": F.lit("own"), "minima": F.lit(2)}).drop("_id")
+    docs = docs_of(rows).withColumns({"set_key": F.lit(1), "_id": F.lit("own"), "minima": F.lit(2), "_row": F.lit(3), "rep_id": F.lit(4), "my col": F.lit(5)})
     got = near_dedup.deduplicate(docs)
     assert got.columns == docs.columns
     assert sorted((r.doc_id or 0, r.text or "") for r in got.collect()) == [(0, "x y z"), (1, "a b c d e f"), (2, ""), (4, "")]
+    assert {(r["_id"], r["_row"], r["rep_id"], r["my col"]) for r in got.collect()} == {("own", 3, 4, 5)}
     assert near_dedup.deduplicate(docs.limit(0)).count() == 0
 
 
+def test_rows_that_share_an_id_are_judged_by_their_texts(docs_of):
+    rng = random.Random(8)
+    text = lambda n: " ".join(str(rng.random()) for _ in range(n))
+    one, two, three, four = text(40), text(40), text(40), text(200)
+    rows = [(7, one), (7, two), (3, two), (9, three), (9, three.replace("0.", "1.")), (None, four), (None, four + " end"), (None, text(30))]
+    got = near_dedup.near_duplicates(docs_of(rows), 2).collect()
+    assert sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in got) == sorted([(7, 7, True), (7, 3, False), (3, 3, True), (9, 9, True), (9, 9, True), (0, 0, True), (0, 0, True), (0, 0, True)])
+    left = sorted((r.doc_id or 0, r.text) for r in near_dedup.deduplicate(docs_of(rows), 2).collect())
+    kept_four = min((four, four + " end"), key=lambda t: t in {x for _, x in left})
+    assert [x for x in left if x[0]] == sorted([(7, one), (3, two), (9, three), (9, three.replace("0.", "1."))])
+    assert len([x for x in left if not x[0]]) == 2 and (0, rows[-1][1]) in left and kept_four not in {x for _, x in left}
+
+
+def test_a_very_long_text_and_its_near_copy(docs_of):
+    long = " ".join(f"w{i % 70_001}" for i in range(400_000))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(docs_of([(1, long), (2, "other " + long), (3, "short text")]), 2).collect()}
+    assert got == {1: (70_001, 1), 2: (70_002, 1), 3: (1, 3)}
+
+
+@settings(max_examples=5, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.tuples(st.integers(0, 40), st.integers(0, 40)), max_size=60))
+def test_components_with_hubs(spark, pairs):
+    pairs = [*pairs, *((100, n) for n in range(50, 70)), *((200 + n, 300) for n in range(20))]
+    root = {x: x for p in pairs for x in p if p[0] != p[1]}
+    for _ in root:
+        for a, b in pairs:
+            if a != b:
+                root[a] = root[b] = min(root[a], root[b])
+    edges = spark.createDataFrame(pairs, "a long, b long")
+    assert {r.node: r.root for r in _components.components(edges).collect()} == root
+
+
 def brute_passages(rows, size=50):
     docs = {(i, t): words(t) for i, t in rows}
     place = defaultdict(list)

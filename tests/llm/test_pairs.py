@@ -200,7 +200,7 @@ def test_repeated_passages(docs_of):
     for d, w in docs.items():
         r = got[d[0]]
         assert (r.n_words, r.n_repeated, r.n_removed) == (len(w), len(repeated[d]), len(removed[d])), d[0]
-    frame = docs_of(rows).withColumn("mark", F.lit("own"))
+    frame = docs_of(rows).withColumns({"mark": F.lit("own"), "my col": F.lit(1)})
     left = suffix_dedup.remove(frame)
     assert left.columns == frame.columns
     after = {r.doc_id: r for r in left.collect()}
@@ -233,6 +233,51 @@ def test_repeated_rows_are_one_document(docs_of, monkeypatch, batch_rows):
     assert left == [(0, 70)] * 2 + [(1, 130)] * 3 + [(2, 70)] * 2 + [(3, 5)] * 2
 
 
+@pytest.mark.parametrize(("chunk", "group", "partitions"), [(1 << 14, 1 << 15, 4), (7, 5, 1), (3, 1 << 15, 31)])
+def test_passages_that_share_parts_of_each_other(spark, docs_of, monkeypatch, chunk, group, partitions):
+    """Copies that go on alike to the left with some documents and to the right with others, few words apart."""
+    monkeypatch.setattr(suffix_dedup, "CHUNK", chunk)
+    monkeypatch.setattr(suffix_dedup, "GROUP", group)
+    rng = random.Random(chunk)
+    base = [f"w{i}" for i in range(400)]
+    rows = []
+    for i in range(60):
+        own, words_ = (lambda: [f"{i}x{rng.random()}" for _ in range(rng.randint(0, 30))]), []
+        for _ in range(rng.randint(1, 4)):
+            a, n = rng.randrange(0, 340, 5), rng.choice((20, 45, 49, 50, 51, 60, 90, 130))
+            words_ += own() + base[a : a + n]
+        rows.append((i, " ".join(words_ + own())))
+    rows += [(100, rows[3][1]), (100, rows[4][1]), (None, rows[5][1]), (None, rows[6][1]), rows[7], rows[7]]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = sorted((-1 if r.doc_id is None else r.doc_id, *r[1:]) for r in suffix_dedup.summary(docs_of(rows)).collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    # among rows of one id, and of none, the hash of the text orders them
+    mark = {r.text: r.m for r in docs_of(rows).select("text", F.xxhash64("text").alias("m")).collect()}
+    place, repeated, removed = defaultdict(list), defaultdict(set), defaultdict(set)
+    docs = sorted(set(rows), key=lambda d: (-1 if d[0] is None else d[0], mark[d[1]]))
+    for d in docs:
+        w = words(d[1])
+        for a in range(len(w) - 49):
+            place[tuple(w[a : a + 50])].append((d, a))
+    for found in place.values():
+        for n, (d, a) in enumerate(found if len(found) > 1 else []):
+            repeated[d] |= set(range(a, a + 50))
+            removed[d] |= set(range(a, a + 50)) if n else set()
+    assert got == sorted((-1 if d[0] is None else d[0], len(words(d[1])), len(repeated[d]), len(removed[d])) for d in rows)
+
+
+def test_a_very_long_text_that_repeats(docs_of):
+    long = " ".join(f"w{i}" for i in range(300_000))
+    got = {r.doc_id: tuple(r)[1:] for r in suffix_dedup.summary(docs_of([(1, long), (2, "x " + long), (3, " ".join(["a"] * 5000)), (4, "b " * 49 + "b")])).collect()}
+    # one word over and over: all its windows but the first are copies
+    assert got == {1: (300_000, 300_000, 0), 2: (300_001, 300_000, 300_000), 3: (5000, 5000, 4999), 4: (50, 0, 0)}
+
+
 ITEMS = [(1, " ".join(f"w{i}" for i in range(25))), (2, "tiny item"), (3, None), (4, ""), (10, " ".join(f"W{i}" for i in range(5, 20))), (None, "null named"), (2, "other words of two")]
 
 

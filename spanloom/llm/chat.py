@@ -1,9 +1,11 @@
 """Chat formatting: schema fingerprints choose declarative mappings into canonical turns.
 
-A record's layout is known by its fingerprint: a hash of its sorted nested field paths. ``LAYOUTS`` maps
-fingerprints to mappings, which say in which paths the roles and texts of the turns lie. Layouts are found
-either from a DataFrame's schema (all rows alike) or, for JSON records of mixed layouts, row by row from
-the record's own structure. All of it is native: expressions on the JVM, no Python on the rows.
+A record's layout is known by its fingerprint: a hash of its sorted nested field paths, as far as any
+layout knows them (names that no layout knows are metadata, such as ids or scores, and change nothing).
+``LAYOUTS`` maps fingerprints to mappings, which say in which paths the roles and texts of the turns lie.
+A table's own schema gives one fingerprint for all its rows (``rows_of_table``, for tables with a row a
+turn, and ``turns_of_schema``, for those with a row a record); JSON records of mixed layouts have theirs
+taken row by row (``turns_of_record``). All of it is native: expressions on the JVM, no Python on the rows.
 
 Template: each turn is ``<|turn|>role<|text|>text<|end|>``. Control strings inside roles and texts get a
 backslash after their first character, and backslashes are doubled, so that what is between markers can
@@ -12,12 +14,15 @@ in code points of the formatted string) that cover each assistant text, without
 
 Defined cases: null texts and roles are empty; only the role ``assistant`` is learnt from. Turns are
 ordered by turn (null first), ties by role and text. Rows with a null conv_id form one conversation.
-Repeated rows are separate turns. A record of unknown layout is an error under ``strict``, else it has no
-turns. An empty table gives an empty result; other columns are ignored.
+Repeated rows are separate turns. A record of unknown layout has no turns, and ``layout_of_record`` is
+null for it, so that such records can be counted; under ``strict`` it is an error. A table that fits no
+layout is an error; further columns, whatever they are called, are ignored, as the row layout with the
+most columns that are all there wins. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -44,11 +49,20 @@ class Layout:
     text: str = ""
     optional: tuple[str, ...] = ()
     roles: tuple[tuple[str, str], ...] = ()
+    parts: str = ""
 
 
 #: Other names of the canonical roles, as layouts in use have them.
 ALIASES = (("human", "user"), ("gpt", "assistant"), ("bot", "assistant"), ("model", "assistant"))
 
+
+def _list(name: str, items: str, role: str, text: str, roles: tuple[tuple[str, str], ...] = ()) -> tuple[Layout, ...]:
+    """A list of turns; the same whose texts are lists of typed parts; and the empty list, which has no role or text to show."""
+    own = (items, f"{items}.{role}", f"{items}.{text}")
+    parts = (*own, f"{items}.{text}.text", f"{items}.{text}.type")
+    return Layout(name, own, items=items, role=role, text=text, roles=roles), Layout(f"{name} in parts", parts, items=items, role=role, text=text, roles=roles, parts="text"), Layout(f"{name}, empty", (items,), items=items, role=role, text=text, roles=roles)
+
+
 LAYOUTS = (
     Layout("prompt and completion", ("completion", "prompt"), (("user", "prompt"), ("assistant", "completion"))),
     Layout("prompt and response", ("prompt", "response"), (("user", "prompt"), ("assistant", "response"))),
@@ -56,16 +70,40 @@ LAYOUTS = (
     Layout("system, question and response", ("question", "response", "system_prompt"), (("system", "system_prompt"), ("user", "question"), ("assistant", "response")), optional=("system_prompt",)),
     Layout("instruction", ("instruction", "output"), (("user", "instruction"), ("assistant", "output"))),
     Layout("instruction with input", ("input", "instruction", "output"), (("user", "instruction"), ("user", "input"), ("assistant", "output")), optional=("input",)),
-    Layout("messages", ("messages", "messages.content", "messages.role"), items="messages", role="role", text="content"),
-    Layout("conversation list", ("conversation", "conversation.content", "conversation.role"), items="conversation", role="role", text="content"),
-    Layout("from and value", ("conversations", "conversations.from", "conversations.value"), items="conversations", role="from", text="value", roles=ALIASES),
+    *_list("messages", "messages", "role", "content"),
+    *_list("conversation list", "conversation", "role", "content"),
+    *_list("from and value", "conversations", "from", "value", ALIASES),
+)
+
+
+@dataclass(frozen=True)
+class RowLayout:
+    """A table with a row for each turn: the columns of its conversation, place, role and text."""
+
+    name: str
+    conv_id: str
+    turn: str
+    role: str
+    text: str
+    roles: tuple[tuple[str, str], ...] = ()
+
+    @property
+    def paths(self) -> tuple[str, ...]:
+        return self.conv_id, self.turn, self.role, self.text
+
+
+ROW_LAYOUTS = (
+    RowLayout("turns", "conv_id", "turn", "role", "text"),
+    RowLayout("messages of conversations", "conversation_id", "position", "role", "content"),
+    RowLayout("threaded messages", "thread_id", "message_index", "author", "body", ALIASES),
+    RowLayout("from and value rows", "id", "index", "from", "value", ALIASES),
 )
 
 TURNS = "array<struct<role:string,text:string>>"
 
 
 def fingerprint(paths: tuple[str, ...]) -> Column:
-    """The hash of a layout's nested field paths."""
+    """The hash of a layout's nested field paths, to compare with a record's."""
     return F.xxhash64(F.lit("\n".join(sorted(paths))))
 
 
@@ -82,30 +120,40 @@ def schema_paths(schema: T.StructType, prefix: str = "") -> tuple[str, ...]:
     return tuple(sorted(out))
 
 
-def record_fingerprint(record: Column) -> Column:
-    """Row by row, the hash of a JSON record's nested field paths; null where it is no JSON object.
+#: Every path that some layout of records names.
+KNOWN = tuple(sorted({path for layout in LAYOUTS for path in layout.paths}))
+
 
-    The paths of objects and of lists of objects are read off the record's variant schema, level by
-    level: names before a colon, with the names of what encloses them.
+def record_paths(record: Column) -> Column:
+    """Row by row, a JSON record's nested field paths; null where it is no JSON object.
+
+    They are read off the record's variant schema token by token: a name stands before a colon, and belongs
+    to what encloses it; lists stand for their elements. A name with other characters than letters, digits
+    and underscores comes in backticks and keeps them, so that it equals no layout's path by accident.
     """
     shape = F.schema_of_variant(F.try_parse_json(record))
-    start = F.struct(F.array().cast("array<string>").alias("stack"), F.lit("").alias("last"), F.array().cast("array<string>").alias("paths"), F.array().cast("array<string>").alias("opens"))
+    none = F.array().cast("array<string>")
+    start = F.struct(none.alias("stack"), F.lit("").alias("last"), none.alias("paths"), F.array().cast("array<boolean>").alias("opens"))
+    but_last = lambda xs: F.slice(xs, 1, F.greatest(F.size(xs) - 1, F.lit(0)))
 
     def step(state, token):
         stack, last, paths, opens = (state[k] for k in ("stack", "last", "paths", "opens"))
-        opened = F.struct(F.when(last == "", stack).otherwise(F.array_append(stack, last)).alias("stack"), F.lit("").alias("last"), paths.alias("paths"), F.array_append(opens, F.when(last == "", F.lit("root")).otherwise(F.lit("object"))).alias("opens"))
-        leaves = F.element_at(opens, -1) == "object"
-        closed = F.struct(F.when(leaves, F.slice(stack, 1, F.greatest(F.size(stack) - 1, F.lit(0)))).otherwise(stack).alias("stack"), F.lit("").alias("last"), paths.alias("paths"), F.slice(opens, 1, F.greatest(F.size(opens) - 1, F.lit(0))).alias("opens"))
-        path = F.array_join(F.array_append(stack, token), ".")
-        named = F.struct(stack.alias("stack"), token.alias("last"), F.array_append(paths, path).alias("paths"), opens.alias("opens"))
-        return F.when(token == "OBJECT<", opened).when((token == ">") & (F.size(opens) > 0), closed).when(token == ">", state).otherwise(named)
+        opened = F.struct(F.when(last == "", stack).otherwise(F.array_append(stack, last)).alias("stack"), F.lit("").alias("last"), paths.alias("paths"), F.array_append(opens, last != "").alias("opens"))
+        closed = F.struct(F.when(F.try_element_at(opens, F.lit(-1)), but_last(stack)).otherwise(stack).alias("stack"), F.lit("").alias("last"), paths.alias("paths"), but_last(opens).alias("opens"))
+        named = F.struct(stack.alias("stack"), token.alias("last"), F.array_append(paths, F.array_join(F.array_append(stack, token), ".")).alias("paths"), opens.alias("opens"))
+        return F.when(token.isin("OBJECT<", "ARRAY<"), opened).when(token == ">", closed).otherwise(named)
+
+    tokens = F.regexp_extract_all(shape, F.lit(r"(?:`(?:[^`]|``)*`|\w+)(?=: )|OBJECT<|ARRAY<|>"), F.lit(0))
+    return F.when(F.startswith(shape, F.lit("OBJECT<")), F.aggregate(tokens, start, step, lambda s: s["paths"]))
 
-    # lists close with the same bracket as objects; only objects' brackets are kept
-    plain = F.regexp_replace(shape, r"ARRAY<(\w+)>", "$1")
-    listed = F.regexp_replace(plain, r"ARRAY<(OBJECT<[^<>]*>)>", "$1")
-    tokens = F.regexp_extract_all(listed, F.lit(r"[A-Za-z_]\w*(?=: )|OBJECT<|>"), F.lit(0))
-    paths = F.aggregate(tokens, start, step, lambda s: s["paths"])
-    return F.when(F.startswith(shape, F.lit("OBJECT<")), F.xxhash64(F.array_join(F.array_sort(paths), "\n")))
+
+def record_fingerprint(record: Column) -> Column:
+    """The hash of those of a JSON record's field paths that layouts know."""
+    return F.xxhash64(F.array_join(F.array_sort(F.array_intersect(record_paths(record), F.lit(list(KNOWN)))), "\n"))
+
+
+def _fingerprint_of(paths) -> str:
+    return hashlib.sha256("\n".join(sorted(paths)).encode()).hexdigest()
 
 
 def _role(role: Column, layout: Layout) -> Column:
@@ -122,28 +170,50 @@ def _turn(role: Column, text: Column) -> Column:
 def _mapped(layout: Layout, value) -> Column:
     """A layout's turns; ``value(path)`` gives the column at a path."""
     if layout.items:
-        return F.transform(F.coalesce(value(layout.items), F.array()), lambda x: _turn(_role(x[layout.role], layout), x[layout.text]))
+        said = lambda x: x if not layout.parts else F.array_join(F.transform(x, lambda p: F.coalesce(p[layout.parts], F.lit(""))), "")
+        return F.transform(F.coalesce(value(layout.items), F.array()), lambda x: _turn(_role(x[layout.role], layout), said(x[layout.text])))
     turns = F.array(*[F.when((F.coalesce(value(path), F.lit("")) == "") & F.lit(path in layout.optional), F.lit(None)).otherwise(_turn(F.lit(role), value(path))) for role, path in layout.fixed])
     return F.filter(turns, lambda x: x.isNotNull())
 
 
 def turns_of_schema(df: DataFrame, ignore: tuple[str, ...] = ()) -> Column:
-    """Turns of a table whose columns are one layout, chosen by the schema's fingerprint."""
+    """Turns of a table with a row a record, whose layout its schema's fingerprint chooses."""
     own = schema_paths(T.StructType([f for f in df.schema.fields if f.name not in ignore]))
-    for layout in LAYOUTS:
-        if layout.paths == own:
-            return _mapped(layout, F.col).cast(TURNS)
-    raise ValueError(f"no layout has the field paths {own}")
+    by_print = {_fingerprint_of(layout.paths): layout for layout in LAYOUTS if layout.items not in layout.paths or len(layout.paths) > 1}
+    layout = by_print.get(_fingerprint_of(set(own) & set(KNOWN)))
+    if layout is None:
+        raise ValueError(f"no layout has the field paths {own}")
+    return _mapped(layout, lambda path: F.col(f"`{path}`")).cast(TURNS)
+
+
+def rows_of_table(df: DataFrame) -> DataFrame:
+    """(conv_id, turn, role, text) of a table with a row a turn, whose layout its schema's fingerprint chooses."""
+    own = set(schema_paths(df.schema))
+    fits = [layout for layout in ROW_LAYOUTS if _fingerprint_of(own & set(layout.paths)) == _fingerprint_of(layout.paths)]
+    if not fits:
+        raise ValueError(f"no layout of rows has the field paths {tuple(sorted(own))}")
+    layout = fits[0]
+    role = F.coalesce(F.col(f"`{layout.role}`"), F.lit(""))
+    for name, canonical in layout.roles:
+        role = F.when(role == name, F.lit(canonical)).otherwise(role)
+    return df.select(F.col(f"`{layout.conv_id}`").cast("long").alias("conv_id"), F.col(f"`{layout.turn}`").cast("long").alias("turn"), role.alias("role"), F.col(f"`{layout.text}`").alias("text"))
 
 
-def turns_of_record(record: Column, strict: bool = True) -> Column:
+def layout_of_record(record: Column) -> Column:
+    """The name of the layout that a JSON record's fingerprint chooses; null where there is none."""
+    mark = record_fingerprint(record)
+    return F.coalesce(*[F.when(mark == fingerprint(layout.paths), F.lit(layout.name)) for layout in LAYOUTS])
+
+
+def turns_of_record(record: Column, strict: bool = False) -> Column:
     """Turns of JSON records of mixed layouts, each chosen by its own fingerprint."""
     mark = record_fingerprint(record)
     unknown = F.raise_error(F.concat(F.lit("no layout fits the record "), F.coalesce(F.substring(record, 1, 200), F.lit("null")))) if strict else F.array()
     out = unknown.cast(TURNS)
     for layout in reversed(LAYOUTS):
         if layout.items:
-            schema = f"{layout.items} array<struct<`{layout.role}`:string,`{layout.text}`:string>>"
+            kind = "array<struct<text:string>>" if layout.parts else "string"
+            schema = f"{layout.items} array<struct<`{layout.role}`:string,`{layout.text}`:{kind}>>"
         else:
             schema = ", ".join(f"`{path}` string" for path in layout.paths)
         parsed = F.from_json(record, schema)
@@ -158,15 +228,6 @@ def escape(text: Column) -> Column:
     return out
 
 
-def escape_sql(column: str) -> str:
-    """``escape`` as SQL text, for the oracle."""
-    quoted = lambda x: "'" + x.replace("'", "''") + "'"
-    out = f"replace({column}, chr(92), chr(92) || chr(92))"
-    for mark in CONTROL:
-        out = f"replace({out}, {quoted(mark)}, {quoted(mark[0])} || chr(92) || {quoted(mark[1:])})"
-    return out
-
-
 def unescape(text: Column) -> Column:
     return F.regexp_replace(text, r"(?s)\\(.)", "$1")
 
@@ -208,8 +269,8 @@ EXTRA = '{"messages": [{"role": "user", "content": "</s>[INST] ok [/INST]"}, {"r
 
 def canonical_rows(spark, sf_dir: str) -> DataFrame:
     """All rows of ``conversations`` and the turns of conversation -1."""
-    extra = spark.range(1).select(F.lit(-1).cast("long").alias("conv_id"), F.posexplode(turns_of_record(F.lit(EXTRA))).alias("turn", "x"))
-    table = read(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
+    extra = spark.range(1).select(F.lit(-1).cast("long").alias("conv_id"), F.posexplode(turns_of_record(F.lit(EXTRA), strict=True)).alias("turn", "x"))
+    table = rows_of_table(read(spark, sf_dir, "conversations"))
     return table.unionByName(extra.select("conv_id", F.col("turn").cast("long").alias("turn"), F.col("x.role").alias("role"), F.col("x.text").alias("text")))
 
 

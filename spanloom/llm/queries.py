@@ -58,6 +58,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
 
 _LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
+#: What grows by one character when op5 escapes it: backslashes, and control strings of chat templates.
+_MARKS = r"""'\\|<\|(?:turn|text|end|im_start|im_end|endoftext|system|user|assistant)\|>|</?s>|\[/?INST\]|<</?SYS>>'"""
+
 #: DuckDB SQL of the queries that SQL can express over whole tables.
 ORACLE_SQL: dict[str, str] = {
     "op1_url_filters": f"""
@@ -88,7 +91,7 @@ ORACLE_SQL: dict[str, str] = {
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
             UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
         ), sized AS (
-            SELECT *, length({chat.escape_sql("role")}) + length({chat.escape_sql("text")}) + {sum(map(len, (chat.TURN, chat.TEXT, chat.END)))} AS size FROM rows
+            SELECT *, length(role) + length(text) + len(regexp_extract_all(role, {_MARKS})) + len(regexp_extract_all(text, {_MARKS})) + {len("<|turn|>" + "<|text|>" + "<|end|>")} AS size FROM rows
         ), whole AS (
             SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS lines,
                    coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn NULLS FIRST, role, text), '') AS learnt, sum(size) AS chars

@@ -115,16 +115,53 @@ def test_ranges_coalesce_and_records_are_verified():
 
 
 def test_layouts(spark):
-    rows = [('{"prompt":"p","completion":"c"}', ["user:p", "assistant:c"]), ('{"output":"o","input":"","instruction":"i"}', ["user:i", "assistant:o"]), ('{"instruction":"i","input":"x","output":null}', ["user:i", "user:x", "assistant:"]), ('{"conversations":[{"from":"human","value":"h"},{"from":"gpt","value":"g"}]}', ["user:h", "assistant:g"]), ('{"messages":[{"role":"system","content":"s"}]}', ["system:s"]), ('{"unknown":1}', []), (None, []), ("[1]", []), ("not json", [])]
+    rows = [
+        ('{"prompt":"p","completion":"c"}', ["user:p", "assistant:c"]),
+        ('{"output":"o","input":"","instruction":"i"}', ["user:i", "assistant:o"]),
+        ('{"instruction":"i","input":"x","output":null}', ["user:i", "user:x", "assistant:"]),
+        ('{"conversations":[{"from":"human","value":"h"},{"from":"gpt","value":"g"}]}', ["user:h", "assistant:g"]),
+        ('{"messages":[{"role":"system","content":"s"}]}', ["system:s"]),
+        # metadata that no layout knows, empty lists, lists within lists, texts in parts
+        ('{"messages":[{"role":"user","content":"n","name":"bo","meta":{"a":[[1]]}}],"id":7,"tags":["x"]}', ["user:n"]),
+        ('{"messages":[]}', []),
+        ('{"messages":[{"role":"user","content":[{"type":"text","text":"a"},{"type":"text","text":"b"}]}]}', ["user:ab"]),
+        # names beyond letters: nothing of such a record may pass for another layout's field
+        ('{"a-b":{"prompt":"nested"},"completion":"c"}', []),
+        ('{"a-b":{"question":"nested"},"answer":"c"}', []),
+        ('{"a-b":[{"x y":1}],"prompt":"p","completion":"c"}', ["user:p", "assistant:c"]),
+        ('{"x":{"prompt":"p"},"completion":"c"}', []),
+        ('{"messages.role":"r","messages.content":"c","messages":[{"role":"user"}]}', []),
+        ('{"prompt":"p","completion":"c","response":"r"}', []),
+        ('{"OBJECT<":1,"`":{"prompt: ":2},"question":"q","answer":"a"}', ["user:q", "assistant:a"]),
+        ('{"unknown":1}', []), ("{}", []), (None, []), ("[1]", []), ("not json", []),
+    ]
     df = spark.createDataFrame([(i, r) for i, (r, _) in enumerate(rows)], "i int, r string")
-    got = df.select("i", chat.turns_of_record(F.col("r"), strict=False).alias("t")).orderBy("i").collect()
+    got = df.select("i", chat.turns_of_record(F.col("r")).alias("t"), chat.layout_of_record(F.col("r")).alias("name")).orderBy("i").collect()
     assert [[f"{x.role}:{x.text}" for x in r.t] for r in got] == [t for _, t in rows]
+    assert [r.name is not None for r in got] == [bool(t) or r == '{"messages":[]}' for r, t in rows]
     with pytest.raises(Exception, match="no layout"):
-        df.select(chat.turns_of_record(F.col("r"))).collect()
-    table = spark.createDataFrame([("q", "a")], "question string, answer string")
+        df.select(chat.turns_of_record(F.col("r"), strict=True)).collect()
+    table = spark.createDataFrame([("q", "a", 1)], "question string, answer string, `my col` int")
     assert [x.role for x in table.select(chat.turns_of_schema(table).alias("t")).first().t] == ["user", "assistant"]
 
 
+def test_row_layouts(spark):
+    for names in (("conv_id", "turn", "role", "text"), ("thread_id", "message_index", "author", "body")):
+        table = spark.createDataFrame([(1, 0, "user", "q", "x", 2)], f"`{names[0]}` long, `{names[1]}` int, `{names[2]}` string, `{names[3]}` string, content string, `my col` int")
+        assert [tuple(r) for r in chat.rows_of_table(table).collect()] == [(1, 0, "user", "q")]
+    aliased = spark.createDataFrame([(1, 0, "gpt", "q")], "id long, index int, `from` string, value string")
+    assert chat.rows_of_table(aliased).first().role == "assistant"
+    with pytest.raises(ValueError, match="no layout of rows"):
+        chat.rows_of_table(table.withColumnRenamed("body", "said"))
+
+
+def test_chat_of_very_long_texts_and_clashing_columns(spark):
+    long = "[INST]" + "é\\" * 200_000
+    table = spark.createDataFrame([(1, 0, "user", "q", "own"), (1, 1, "assistant", long, "own")], "conv_id long, turn long, role string, text string, head string").withColumns({"formatted": F.lit(1), "before": F.lit(2), "at": F.lit(3)})
+    r = chat.digest(chat.format_turns(chat.rows_of_table(table))).first()
+    assert (r.n_turns, r.loss_chars, r.loss_sha256) == (2, len(long), hashlib.sha256(long.encode()).hexdigest())
+
+
 def test_chat_round_trip(spark):
     odd = ["a\\<s>[/INST]\n<|turn|>x\\", None, "", "<|tur<|turn|>n|>\\<|end|>", "😀é", "\\", "<<SYS>>\\\\"]
     rows = [(i % 3 - 5, i // 3, ("assistant", "user", None, "<|text|>\\")[i % 4], odd[i % len(odd)]) for i in range(60)]

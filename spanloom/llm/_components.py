@@ -7,20 +7,19 @@ from pyspark.sql import functions as F
 
 from ._spark import saved
 
-#: A node that holds more than this share of all edges is a hub; there are at most twice as many hubs as this.
+#: A node with more than this share of all rows is a hub; there are at most this many.
 HUBS = 500
 
 
-def _with_least(pairs: DataFrame, key: str, other: str, edges: int) -> DataFrame:
-    """``pairs`` with ``root``, the least of ``other`` among the rows of a row's ``key``.
+def _with_least(rows: DataFrame, key: str, other: str, count: int) -> DataFrame:
+    """``rows`` (``count`` of them) with ``root``, the least of ``other`` among the rows of a row's ``key``.
 
     The least is an aggregate, combined before the shuffle, and is joined back. A hub's rows would all meet
-    it in one task, so hubs, which the share bounds to 2 * HUBS rows, are broadcast, and their rows stay
-    where they are.
+    it in one task, so hubs, of which there are HUBS at most, are broadcast, and their rows stay where they are.
     """
-    least = pairs.groupBy(key).agg(F.min(other).alias("root"), F.count("*").alias("degree"))
-    hubs = least.where(F.col("degree") > edges // HUBS).select(key, F.col("root").alias("hub_root"))
-    met = pairs.join(F.broadcast(hubs), key, "left")
+    least = rows.groupBy(key).agg(F.min(other).alias("root"), F.count("*").alias("degree"))
+    hubs = least.where(F.col("degree") > count // HUBS).select(key, F.col("root").alias("hub_root"))
+    met = rows.join(F.broadcast(hubs), key, "left")
     rest = met.where("hub_root is null").drop("hub_root").join(least.select(key, "root"), key)
     return met.where("hub_root is not null").withColumnRenamed("hub_root", "root").unionByName(rest)
 
@@ -30,18 +29,24 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternates large-star and small-star rewrites (Kiveris et al., 2014): every round links each
     node's greater neighbours, then its smaller ones, to the least of its neighbourhood, so hubs
-    shrink to stars in about a logarithmic number of rounds. Neighbourhoods are never gathered.
+    shrink to stars in about a logarithmic number of rounds. Neighbourhoods are never gathered, and
+    what a step makes is written before the next one reads it, so plans stay short.
     """
     pairs = saved(edges.where("a <> b").select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct(), "edges")
-    count, before = pairs.count(), None
+    sums = _sums(pairs)
     while True:
-        both = pairs.select(F.col("lo").alias("n"), F.col("hi").alias("m")).unionByName(pairs.select(F.col("hi").alias("n"), F.col("lo").alias("m")))
-        large = _with_least(both, "n", "m", 2 * count).where("m > n").select(F.least("root", "n").alias("lo"), F.col("m").alias("hi")).distinct()
-        small = _with_least(large, "hi", "lo", count)
-        after = saved(small.select(F.col("root").alias("lo"), F.col("lo").alias("hi")).unionByName(small.select(F.col("root").alias("lo"), "hi")).where("lo <> hi").distinct(), "edges")
-        sums = after.agg(F.count("*"), F.sum(F.xxhash64("lo", "hi").cast("decimal(38,0)")), F.coalesce(F.max("lo"), F.lit(0))).first()
+        both = pairs.select(F.explode(F.array(F.struct(F.col("lo").alias("n"), F.col("hi").alias("m")), F.struct(F.col("hi").alias("n"), F.col("lo").alias("m")))).alias("x")).select("x.*")
+        large = saved(_with_least(both, "n", "m", 2 * sums[0]).where("m > n").select(F.least("root", "n").alias("lo"), F.col("m").alias("hi")).distinct(), "large-star")
+        small = _with_least(large, "hi", "lo", sums[0])
+        links = F.explode(F.array(F.struct("root", F.col("lo").alias("other")), F.struct("root", F.col("hi").alias("other"))))
+        pairs = saved(small.select(links.alias("x")).select(F.col("x.root").alias("lo"), F.col("x.other").alias("hi")).where("lo <> hi").distinct(), "small-star")
+        before, sums = sums, _sums(pairs)
         if before == sums:
             break
-        before, pairs, count = sums, after, sums[0]
-    nodes = after.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
-    return nodes.unionByName(after.select(F.col("lo").alias("node"), F.col("lo").alias("root")).distinct())
+    nodes = pairs.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
+    return nodes.unionByName(pairs.select(F.col("lo").alias("node"), F.col("lo").alias("root")).distinct())
+
+
+def _sums(pairs: DataFrame) -> tuple:
+    """How many pairs there are, and an order-free sum over them that tells tables apart."""
+    return tuple(pairs.agg(F.count("*"), F.sum(F.xxhash64("lo", "hi").cast("decimal(38,0)"))).first())

@@ -4,8 +4,10 @@
    BLOCK words, the last one shorter. Positions come from a two-level prefix sum (about the square root
    of a source's rows in each of as many buckets), so a source with a third of all rows is no task's
    alone.
-2. A source's target becomes a number of slots. Output shards draw their counts of each source: a
-   multinomial draw conditional on every source's total, which is a multivariate hypergeometric one.
+2. A source's target becomes a number of slots. Output shards of SHARD_SLOTS slots draw their counts of each
+   source: a multinomial draw conditional on every source's total, so that targets are met (a multivariate
+   hypergeometric one). Draws form a binary tree: a node's slots are split between its halves at random, from
+   a seed of its own, so each task draws the shards of its range by itself, and all tasks agree.
 3. A source's n-th slot maps to block perm(n mod blocks) of its round n div blocks, where perm is a
    keyed pseudorandom permutation of the source's block numbers (a Feistel network with cycle walking),
    another for each round.
@@ -15,11 +17,11 @@ Source weights: 1, 2, 3 and so on again, for the sources by code point, null las
 words by weight; none exceeds LIMIT times its source's words, the excess goes to the others by weight
 until none is above.
 
-The driver holds one row for each source (name, rows, words), the same that the weights are given for;
-more than MAX_SOURCES is an error. Everything else stays distributed.
+The driver holds one row for each source (name, rows, words): it is the list that the weights are given
+for. Everything else stays distributed, and nothing depends on how many slots or shards there are.
 
 Defined cases: null and empty texts have size 0 and take 0. A null source is a source. Repeated rows are
-separate documents. An empty table gives an empty result. Other columns stay in ``row``.
+separate documents. Ids may repeat or lack. An empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,9 +40,14 @@ from ._spark import saved, small_batches
 BLOCK = 64
 WEIGHTS = (1, 2, 3)
 LIMIT = 3
-MAX_SOURCES = 100_000
 SHARD_SLOTS = 1 << 16
-MAX_SHARDS = 1 << 12
+#: Most tasks that draw and write out slots; each takes a range of shards.
+MAX_TASKS = 20_000
+#: Sources whose table is broadcast; more are joined by salted keys.
+BROADCAST_SOURCES = 1_000_000
+_SALTS = 64
+#: Items that are picked one by one rather than by binomial draws.
+FEW = 64
 SEED = 20240229
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -71,8 +78,6 @@ def targets(sizes: list[int], weights: list[int], limit: int = LIMIT) -> list[Fr
 
 def plan(rows: list[tuple[str | None, int, int]], block: int = BLOCK, weights: tuple[int, ...] = WEIGHTS, limit: int = LIMIT) -> list[Source]:
     """(name, rows, words) of every source -> its target, blocks and slots."""
-    if len(rows) > MAX_SOURCES:
-        raise ValueError(f"{len(rows)} sources; weights for at most {MAX_SOURCES} are supported")
     rows = sorted(rows, key=lambda r: (r[0] is None, r[0] or ""))
     sizes = [r[2] for r in rows]
     found = targets(sizes, [weights[i % len(weights)] for i in range(len(rows))], limit) if sum(sizes) else [Fraction(0)] * len(rows)
@@ -84,39 +89,46 @@ def plan(rows: list[tuple[str | None, int, int]], block: int = BLOCK, weights: t
     return out
 
 
-def shards(sources: list[Source], slots_per_shard: int = SHARD_SLOTS, seed: int = SEED) -> list[tuple[int, int, int, int]]:
-    """(shard, source number, count, first slot of the source) of every non-empty draw."""
-    left = np.array([s.slots for s in sources], np.int64)
-    total = int(left.sum())
-    number = min(MAX_SHARDS, max(1, -(-total // slots_per_shard)))
-    rng = np.random.Generator(np.random.PCG64(seed))
-    done, out = np.zeros(len(sources), np.int64), []
-    for shard in range(number):
-        size = total * (shard + 1) // number - total * shard // number
-        drawn = _draw(left, size, rng)
-        out += [(shard, i, int(n), int(done[i])) for i, n in enumerate(drawn) if n]
-        done += drawn
-        left -= drawn
-    return out
-
-
-def _draw(left: np.ndarray, size: int, rng: np.random.Generator) -> np.ndarray:
-    """Counts by source of ``size`` slots taken at random from those that are left."""
-    out, rest = np.zeros(len(left), np.int64), int(left.sum())
-    for i, mine in enumerate(left.tolist()):
-        rest -= mine
-        if rest + mine == size:
-            out[i:] = left[i:]
-            break
-        # numpy's hypergeometric draw is limited to 10**9; beyond it the normal limit is exact enough
-        if max(mine, rest) < 10**9:
-            out[i] = rng.hypergeometric(mine, rest, size) if size and mine else 0
-        else:
-            p = mine / (mine + rest)
-            spread = (size * p * (1 - p) * (mine + rest - size) / max(1, mine + rest - 1)) ** 0.5
-            out[i] = min(max(round(rng.normal(size * p, spread)), size - rest, 0), mine, size)
-        size -= int(out[i])
-    return out
+def picked(counts: np.ndarray, n: int, rng: np.random.Generator) -> np.ndarray:
+    """How many of each kind are in a random ``n`` of the items, every choice of ``n`` being as likely.
+
+    Each item goes in by itself with probability n / total, which makes a binomial draw for each kind; what
+    is too much then goes at random, or what lacks comes. The surplus is about the root of ``n``, so the
+    same steps again soon leave a FEW, which are picked one by one. Exact at any size.
+    """
+    total = int(counts.sum())
+    if 2 * n > total:
+        return counts - picked(counts, total - n, rng)
+    if n <= FEW:
+        out, left = np.zeros_like(counts), np.cumsum(counts)
+        for _ in range(n):
+            at = int(np.searchsorted(left, rng.integers(left[-1]), "right"))
+            out[at] += 1
+            left[at:] -= 1
+        return out
+    out = rng.binomial(counts, n / total)
+    over = int(out.sum()) - n
+    return out - picked(out, over, rng) if over > 0 else out + picked(counts - out, -over, rng)
+
+
+def drawn(slots: np.ndarray, number: int, first: int, last: int, seed: int = SEED) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Shards ``first`` to ``last`` - 1 of ``number``: (shard, counts by source, slots of each source before it).
+
+    A node of the tree is a range of shards; its slots are split by a generator seeded with the range.
+    """
+    total = int(slots.sum())
+    start = lambda shard: total * shard // number
+    nodes = [(0, number, slots, np.zeros_like(slots))]
+    while nodes:
+        a, b, own, before = nodes.pop()
+        if b <= first or a >= last:
+            continue
+        if b - a == 1:
+            yield a, own, before
+            continue
+        middle = (a + b) // 2
+        left = picked(own, start(middle) - start(a), np.random.Generator(np.random.PCG64([seed, a, b])))
+        nodes += [(middle, b, own - left, before + left), (a, middle, left, before)]
 
 
 def permuted(index: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -138,14 +150,17 @@ def permuted(index: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def _number(source: Column, sources: list[Source]) -> Column:
-    """A source's number, from its name, by a map that is as large as the list of sources."""
-    named = [s for s in sources if s.name is not None]
-    null = next((s.number for s in sources if s.name is None), None)
-    if not named:
-        return F.lit(null)
-    known = F.map_from_arrays(F.lit([s.name for s in named]), F.lit([s.number for s in named]))
-    return F.when(source.isNull(), F.lit(null)).otherwise(F.try_element_at(known, source))
+def _table(spark, sources: list[Source]) -> DataFrame:
+    """The sources as a table, one row each: number, source, source_size, target."""
+    return spark.createDataFrame([(s.number, s.name, s.size, s.target) for s in sources], "number int, source string, source_size long, target double")
+
+
+def _with_source(rows: DataFrame, table: DataFrame, count: int, condition: Column) -> DataFrame:
+    """``rows`` beside their source's row: broadcast up to a bound, beyond it by keys that are salted on both sides."""
+    if count <= BROADCAST_SOURCES:
+        return rows.join(F.broadcast(table), condition)
+    salted = table.withColumn("salt_of", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "mark"), F.lit(_SALTS))).join(salted, condition & (F.col("salt") == F.col("salt_of")))
 
 
 @dataclass
@@ -175,7 +190,7 @@ class Mix:
         uses = self.slots.groupBy("number", "index").agg(F.count("*").alias("uses"))
         # the slots' size can't be estimated from the few draws that they are generated from
         joined = self.spans().join(uses.hint("merge"), ["number", "index"], "left")
-        key = ["doc_id", "size", "number", "bucket", "place"]
+        key = ["doc_id", "mark", "size", "number", "bucket", "place"]
         return joined.groupBy(*key).agg(F.coalesce(F.sum(F.col("words") * F.coalesce("uses", F.lit(0))), F.lit(0)).cast("long").alias("taken"))
 
 
@@ -183,50 +198,47 @@ def mix(docs: DataFrame, block: int = BLOCK, weights: tuple[int, ...] = WEIGHTS,
     """Plan and draw a mixture of ``docs`` (doc_id, source, text)."""
     spark = docs.sparkSession
     small_batches(spark)
-    size = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)).cast("long")
-    sized = saved(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size")), "sizes")
-    totals = sized.groupBy("source").agg(F.count("*").alias("rows"), F.sum("size").alias("size")).limit(MAX_SOURCES + 1).collect()
+    said = F.coalesce(F.col("text"), F.lit(""))
+    size = F.regexp_count(said, F.lit(WORD)).cast("long")
+    sized = saved(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(said).alias("mark"), F.col("source").cast("string").alias("source"), size.alias("size")), "sizes")
+    totals = sized.groupBy("source").agg(F.count("*").alias("rows"), F.sum("size").alias("size")).collect()
     sources = plan([(r.source, r.rows, r.size) for r in totals], block, weights, limit)
     buckets = max(1, round(max((s.rows for s in sources), default=1) ** 0.5))
-    numbered = sized.select("doc_id", "size", _number(F.col("source"), sources).alias("number"), F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).alias("bucket"))
+    names = _table(spark, sources).select(F.col("source").alias("name"), "number")
+    numbered = _with_source(sized, names, len(sources), F.col("source").eqNullSafe(F.col("name"))).select("doc_id", "mark", "size", "number", F.pmod(F.xxhash64("doc_id", "mark"), F.lit(buckets)).alias("bucket"))
     mass = numbered.groupBy("number", "bucket").agg(F.sum("size").alias("mass"))
     before = Window.partitionBy("number").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = saved(mass.select("number", "bucket", F.coalesce(F.sum("mass").over(before), F.lit(0)).alias("start")), "bucket-starts")
-    inside = Window.partitionBy("number", "bucket").orderBy("doc_id", "size")
+    inside = Window.partitionBy("number", "bucket").orderBy("doc_id", "mark", "size")
     placed = numbered.withColumn("place", F.row_number().over(inside)).withColumn("ahead", F.coalesce(F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    documents = placed.join(starts, ["number", "bucket"]).select("doc_id", "size", "number", "bucket", "place", (F.col("start") + F.col("ahead")).alias("begin"))
-    return Mix(documents, slots(spark, sources, shards(sources, seed=seed), seed), sources, block)
+    documents = placed.join(starts, ["number", "bucket"]).select("doc_id", "mark", "size", "number", "bucket", "place", (F.col("start") + F.col("ahead")).alias("begin"))
+    return Mix(documents, slots(spark, sources, seed), sources, block)
 
 
-def slots(spark, sources: list[Source], draws: list[tuple[int, int, int, int]], seed: int = SEED) -> DataFrame:
-    """(shard, slot, number, index): which block fills each slot of each shard."""
-    rows, at = [], {}
-    for shard, number, count, first in draws:
-        for a in range(0, count, 1 << 14):  # no task has to write out a whole source's slots
-            n = min(1 << 14, count - a)
-            rows.append((shard, at.get(shard, 0) + a, number, first + a, n, sources[number].blocks))
-        at[shard] = at.get(shard, 0) + count
-    draw = spark.createDataFrame(rows, "shard int, slot long, number int, first long, n long, blocks long") if rows else spark.createDataFrame([], "shard int, slot long, number int, first long, n long, blocks long")
-    parts = draw.repartition("shard", "number", "first")
+def slots(spark, sources: list[Source], seed: int = SEED, per_shard: int = SHARD_SLOTS) -> DataFrame:
+    """(shard, slot, number, index): which block fills each slot of each shard. Every task draws its own shards."""
+    wanted, blocks = np.array([s.slots for s in sources], np.int64), np.array([s.blocks for s in sources], np.int64)
+    number = -(-int(wanted.sum()) // per_shard) if sources else 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for shard, slot, number, first, n, blocks in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
-                order = first + np.arange(n)
-                turn, index = order // blocks, order % blocks
-                key = (turn.astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D) + np.uint64(number * 7919 + seed)) * np.uint64(0xD1342543DE82EF95)
-                found = permuted(index, np.full(n, blocks), key)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, shard, np.int32)), pa.array(slot + np.arange(n)), pa.array(np.full(n, number, np.int32)), pa.array(found)], ["shard", "slot", "number", "index"])
+            own = batch.column("id").to_pylist()  # a range, in order
+            for shard, counts, before in drawn(wanted, number, own[0], own[-1] + 1, seed) if own else ():
+                slot = 0
+                for i in np.flatnonzero(counts).tolist():
+                    n = int(counts[i])
+                    order = before[i] + np.arange(n)
+                    turn, index = order // blocks[i], order % blocks[i]
+                    key = (turn.astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D) + np.uint64(i * 7919 + seed)) * np.uint64(0xD1342543DE82EF95)
+                    found = permuted(index, np.full(n, blocks[i]), key)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, shard, np.int64)), pa.array(slot + np.arange(n)), pa.array(np.full(n, i, np.int32)), pa.array(found)], ["shard", "slot", "number", "index"])
+                    slot += n
 
-    return parts.mapInArrow(run, "shard int, slot long, number int, index long")
+    return spark.range(0, number, 1, min(MAX_TASKS, max(1, number))).mapInArrow(run, "shard long, slot long, number int, index long")
 
 
 def digest(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """doc_id, source, size, source_size, target and taken of every document."""
     mixed = mix(docs, block)
-    taken = mixed.taken()
-    if not mixed.sources:
-        facts = [F.lit(None).cast("string"), F.lit(0).cast("long"), F.lit(0.0)]
-    else:
-        facts = [F.get(F.array(*[F.lit(v).cast(kind) for v in values]), F.col("number")) for values, kind in (([s.name for s in mixed.sources], "string"), ([s.size for s in mixed.sources], "long"), ([s.target for s in mixed.sources], "double"))]
-    return taken.select("doc_id", facts[0].alias("source"), "size", facts[1].alias("source_size"), facts[2].alias("target"), "taken")
+    facts = _table(docs.sparkSession, mixed.sources).withColumnRenamed("number", "of")
+    return _with_source(mixed.taken(), facts, len(mixed.sources), F.col("number") == F.col("of")).select("doc_id", "source", "size", "source_size", "target", "taken")

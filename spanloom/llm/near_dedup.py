@@ -11,14 +11,14 @@ so unlike ones are never chained into one group. Groups of more than one block a
 block, so no task holds a whole group.
 
 A pair at similarity s shares a node of level l in one tree with probability s**l, so the deeper a
-class must go before its nodes are small, the more trees it needs. Every class starts with TREES trees;
-one that reached level l in any of them goes on in further trees, with coordinates of their own, until
-at least ``trees_for`` that level are done: (1 - s**l)**trees is at most MISS / LEVELS at the threshold. A pair
+class must go before its nodes are small, the more trees it needs. Every class starts with FIRST_TREES trees
+and takes TREES at least; one that reached level l in any of them goes on in further trees, with coordinates
+of their own, until at least ``trees_for`` that level are done: (1 - s**l)**trees is at most MISS / LEVELS at the threshold. A pair
 stays together in the trees of the class that needs fewer, and shares no node of it only if it differs
 within the first l tokens in all of them; over the levels that is MISS at most. At 0.8: 10, 16, 22, 30,
 40 and 52 trees for levels 1 to 6. Signature comparison lets a pair at the threshold pass up to five
-standard deviations below, and stops 8e-7 of such pairs at 0.8. Further trees skip pairs that confirmed
-links have joined already.
+standard deviations below, and stops 8e-7 of such pairs at 0.8. Later rounds skip pairs that confirmed
+links have joined already, so a large group of copies is compared in the first trees and not in all.
 
 Defined cases: documents without words (null, empty, only separators) have an empty set, are linked
 with nothing and are kept. Repeated rows fall into one class. Rows that share an id but not a text are
@@ -43,6 +43,8 @@ from ._components import components
 from ._spark import saved, small_batches
 
 TREES = 10
+#: Trees of the first round; what they join needs no comparison in the others.
+FIRST_TREES = 2
 LEVELS = 6
 COORDINATES = TREES * LEVELS
 NODE_LIMIT = 128
@@ -130,7 +132,7 @@ def _classes(found: DataFrame) -> DataFrame:
 
 
 def further_paths(docs: DataFrame, needs: DataFrame, k: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Needs (set_key, label, rep_id, rep_mark, digest, first, last) -> (set_key, label, first, last, path): tokens of trees first to last - 1."""
+    """Needs (set_key, rep_id, rep_mark, digest, first, last) -> (set_key, origin, first, last, path): tokens of trees first to last - 1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -146,16 +148,16 @@ def further_paths(docs: DataFrame, needs: DataFrame, k: int, key: str = "doc_id"
                 xor, mul = (np.concatenate([known[t][n] for t in range(a, b)]) for n in (0, 1))
                 found = _minima([s for _, s in rows], xor, mul)
                 index = pa.array([i for i, _ in rows], pa.int64())
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(index) for c in ("set_key", "label", "first", "last")), pa.array([x.tobytes() for x in found], pa.binary())], ["set_key", "label", "first", "last", "path"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(index) for c in ("set_key", "first", "last")), pa.array([x.tobytes() for x in found], pa.binary())], ["set_key", "first", "last", "path"])
 
     small_batches(docs.sparkSession)
-    texts = _keyed(docs, key, text).join(needs, ["rep_id", "rep_mark"]).select("set_key", "label", "digest", "first", "last", "text")
-    return texts.mapInArrow(run, "set_key long, label long, first int, last int, path binary").dropDuplicates(["set_key"])
+    texts = _keyed(docs, key, text).join(needs, ["rep_id", "rep_mark"]).select("set_key", "digest", "first", "last", "text")
+    return texts.mapInArrow(run, "set_key long, first int, last int, path binary").dropDuplicates(["set_key"]).withColumn("origin", F.col("first"))
 
 
 def _token(level: int):
-    """The minwise token that ``tree`` chooses at a level: four bytes of ``path``, which begins with tree ``first``."""
-    return F.substring(F.col("path"), ((F.col("tree") - F.col("first")) * LEVELS + level) * 4 + 1, 4)
+    """The minwise token that ``tree`` chooses at a level: four bytes of ``path``, which begins with tree ``origin``."""
+    return F.substring(F.col("path"), ((F.col("tree") - F.col("origin")) * LEVELS + level) * 4 + 1, 4)
 
 
 def _passing(threshold: int) -> int:
@@ -211,21 +213,21 @@ def _compare(threshold: int):
 
 
 def _branched(classes: DataFrame, paths: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame]:
-    """Groups (grp, set_key) from the trees of ``paths`` (set_key, label, first, last, path), and the level (set_key, level) that each class reached.
+    """Groups (grp, set_key) from the trees of ``paths`` (set_key, label, fresh, origin, first, last, path), and the level (set_key, level) that each class reached.
 
-    Only (node, set_key) rows of nodes that hold two labels or more fetch their marks, so the many
-    classes that meet nobody never travel with them.
+    Only (node, set_key) rows of nodes that hold two labels or more, and a class that is new to their tree,
+    fetch their marks, so the many classes that meet nobody never travel with them.
     """
-    rows = paths.select("set_key", "label", "first", "path", F.explode(F.sequence("first", F.col("last") - 1)).alias("tree"))
-    rows = rows.select("tree", "set_key", "label", F.xxhash64("tree", F.lit(0), _token(0)).alias("node"))
-    out, stars = None, None
+    rows = paths.select("set_key", "label", "fresh", "origin", "path", F.explode(F.sequence("first", F.col("last") - 1)).alias("tree"))
+    rows = rows.select("tree", "set_key", "label", "fresh", "origin", F.xxhash64("tree", F.lit(0), _token(0)).alias("node"))
+    out = None
     reached = paths.select("set_key", F.lit(1).alias("level"))
     for level in range(LEVELS):
         rows = saved(rows, "nodes")
         if level:
             reached = reached.unionByName(rows.select("set_key", F.lit(level + 1).alias("level")))
-        sizes = rows.groupBy("node").agg(F.count("*").alias("n"), F.min("set_key").alias("least"), F.min("label").alias("low"), F.max("label").alias("high"))
-        sizes = saved(sizes.where("low < high").select("node", "n", "least"), "node-sizes")
+        sizes = rows.groupBy("node").agg(F.count("*").alias("n"), F.min("set_key").alias("least"), F.min("label").alias("low"), F.max("label").alias("high"), F.max("fresh").alias("fresh"))
+        sizes = saved(sizes.where("low < high and fresh").select("node", "n", "least"), "node-sizes")
         small = rows.join(sizes.where(F.col("n") <= NODE_LIMIT).select("node"), "node").select("node", "set_key", "label")
         ordered = small.join(classes.select("set_key", "n_shingles", "marks"), "set_key").repartition("node").sortWithinPartitions("node", "set_key")
         groups = ordered.mapInArrow(_compare(threshold), "grp long, set_key long")
@@ -234,37 +236,45 @@ def _branched(classes: DataFrame, paths: DataFrame, threshold: int) -> tuple[Dat
         if large.isEmpty():
             break
         if level == LEVELS - 1:
-            stars = rows.join(large, "node").select(F.col("least").alias("a"), F.col("set_key").alias("b"))
+            # the large nodes of several trees that have the same least member are one group
+            out = out.unionByName(rows.join(large, "node").select(F.col("least").alias("grp"), "set_key"))
             break
-        deeper = rows.join(large.select("node"), "node").join(paths.select("set_key", "first", "path"), "set_key")
-        rows = deeper.select("tree", "set_key", "label", F.xxhash64("node", F.lit(level + 1), _token(level + 1)).alias("node"))
-    out = out.distinct()
-    if stars is not None:
-        out = out.unionByName(components(stars).select(F.col("root").alias("grp"), F.col("node").alias("set_key")))
-    return saved(out, "groups"), reached.groupBy("set_key").agg(F.max("level").alias("level"))
+        deeper = rows.join(large.select("node"), "node").join(paths.select("set_key", "origin", "path"), ["set_key", "origin"])
+        rows = deeper.select("tree", "set_key", "label", "fresh", "origin", F.xxhash64("node", F.lit(level + 1), _token(level + 1)).alias("node"))
+    return saved(out.distinct(), "groups"), reached.groupBy("set_key").agg(F.max("level").alias("level"))
 
 
 def links(docs: DataFrame, classes: DataFrame, k: int, threshold: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Confirmed links (a, b) between classes, as many as join every pair of classes that chains of links join.
 
-    A round of further trees may take a class deeper than it was, which asks for another round. A class
-    beyond level 2 takes all the trees of the last level at once, so there are three rounds at most.
+    A round of further trees may take a class deeper than it was, which asks for another round. Who was in a
+    tree before stays in it for those who come later. A class
+    beyond level 2 takes all the trees of the last level at once, so there are four rounds at most.
     """
     enough = F.element_at(F.array(*[F.lit(trees_for(n if n < 3 else LEVELS, threshold)) for n in range(1, LEVELS + 1)]), F.col("level"))
-    paths = classes.select("set_key", F.col("set_key").alias("label"), F.lit(0).alias("first"), F.lit(TREES).alias("last"), F.col("minima").alias("path"))
+    base = classes.select("set_key", "minima")
+    paths = base.select("set_key", F.lit(0).alias("origin"), F.lit(0).alias("first"), F.lit(FIRST_TREES).alias("last"), F.col("minima").alias("path"))
+    labels, before, low = classes.select("set_key", F.col("set_key").alias("label")), None, 0
     members = classes.select("set_key", "rep_id", "rep_mark", "digest", "n_shingles")
     out = None
     while True:
-        groups, reached = _branched(classes, paths, threshold)
+        present = paths.withColumn("fresh", F.lit(True))
+        if before is not None:
+            present = present.unionByName(before.where(F.col("last") > low).withColumn("first", F.greatest("first", F.lit(low))).withColumn("fresh", F.lit(False)))
+        groups, reached = _branched(classes, present.join(labels, "set_key"), threshold)
         found = saved(confirm(docs, groups.join(members, "set_key"), k, threshold, key, text), "links")
         out = found if out is None else out.unionByName(found)
-        needs = reached.join(paths.select("set_key", F.col("last").alias("first")), "set_key").select("set_key", "first", enough.alias("last")).where("last > first")
-        needs = saved(needs, "needs")
-        if needs.isEmpty():
+        before = paths if before is None else before.unionByName(paths)
+        done = before.groupBy("set_key").agg(F.max("last").alias("first"))
+        needs = saved(reached.join(done, "set_key").select("set_key", "first", enough.alias("last")).where("last > first"), "needs")
+        low = needs.agg(F.min("first")).first()[0]
+        if low is None:
             return out
         joined = components(out).select(F.col("node").alias("set_key"), F.col("root").alias("label"))
-        labelled = needs.join(joined, "set_key", "left").withColumn("label", F.coalesce("label", "set_key"))
-        paths = saved(further_paths(docs, labelled.join(members, "set_key"), k, key, text), "paths")
+        labels = saved(base.select("set_key").join(joined, "set_key", "left").withColumn("label", F.coalesce("label", "set_key")), "labels")
+        near = needs.where(F.col("first") < TREES).join(base, "set_key").select("set_key", F.lit(0).alias("origin"), "first", F.least("last", F.lit(TREES)).alias("last"), F.col("minima").alias("path"))
+        far = needs.where(F.col("last") > TREES).withColumn("first", F.greatest("first", F.lit(TREES)))
+        paths = saved(near.unionByName(further_paths(docs, far.join(members, "set_key"), k, key, text)), "paths")
 
 
 def _confirmed(sets: list[np.ndarray], threshold: int, split: int | None) -> list[tuple[int, int]]:

@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import _text
 from ._spark import small_batches
@@ -163,5 +164,5 @@ def count_tokens(docs: DataFrame, path: str = VOCABULARY, scores: str = "rank",
             total = np.append(0, np.cumsum(counts[inverse]))
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(np.diff(tokens.ptr)), pa.array(np.diff(total[tokens.ptr]))], ["row", "n_words", "n_tokens"])
 
-    row = docs.select(F.struct(*docs.columns).alias("row"), F.col(text).alias("_text"))
-    return row.mapInArrow(run, f"row {row.schema['row'].dataType.simpleString()}, n_words long, n_tokens long")
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text).alias("_text"))
+    return row.mapInArrow(run, T.StructType([row.schema["row"], T.StructField("n_words", T.LongType()), T.StructField("n_tokens", T.LongType())]))

@@ -9,7 +9,11 @@ and length of each record, URL, digest. A repeated task writes an archive of its
 that Spark commits names only the archives of tasks that ended well, so lost executors do no harm.
 ``fetch`` takes index rows, sorts them by archive and offset, joins neighbouring ranges up to RANGE_BYTES
 with gaps of up to GAP_BYTES, and cuts the records out of what it has read. Every response's digest is
-verified against its payload. Archives are reached through pyarrow's file systems (file, hdfs, s3, gs).
+verified against its payload. Archives are reached through pyarrow's file systems (file, hdfs, s3, gs, abfs);
+Hadoop's names for them (s3a, s3n, viewfs, wasb, wasbs, abfss, dbfs) are mapped to those.
+
+Large payloads meet their digest's holder by a join. A digest with more than a share of 1 / HOT of all rows is
+broadcast, HOT rows at most, and its rows stay where they are, so no page that is found everywhere gathers in one task.
 
 Defined cases: null URLs have an empty target, control characters in a target are percent-encoded, while
 the index keeps the URL itself. A null page_id has a record id of its own kind and reads back as null; it
@@ -37,10 +41,13 @@ from . import _text
 from ._spark import new_path, saved, small_batches
 
 REVISIT_BYTES = 1000
+HOT = 1000
 RANGE_BYTES = 8 << 20
 GAP_BYTES = 64 << 10
 #: Archives are read in parts of this size, so that a large one is not one task's work.
 PART_BYTES = 32 << 20
+#: Tasks that read, at most; each takes as many parts as that leaves it, one after the other.
+MAX_TASKS = 20_000
 DATE = "2024-01-01T00:00:00Z"
 _ID, _NULL_ID = 0x7370616E6C6F4F00, 0x7370616E6C6F4E00
 
@@ -91,25 +98,41 @@ def parse(raw: bytes) -> dict:
     return {"page_id": _page_id(fields["WARC-Record-ID"]), "url": fields["WARC-Target-URI"], "record_type": fields["WARC-Type"], "payload_bytes": size, "payload_digest": digest, "refers_to": refers, "payload": payload if response else None}
 
 
-def _open(archive: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(archive if "://" in archive or archive.startswith("file:") else f"file://{archive}")
+#: Hadoop's names of file systems, and pyarrow's.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "wasb": "abfs", "wasbs": "abfs", "abfss": "abfs", "viewfs": "hdfs"}
+
 
+def located(archive: str) -> str:
+    """A Hadoop path as a URI that pyarrow knows."""
+    scheme, colon, rest = archive.partition(":")
+    if not colon or "/" in scheme:
+        return f"file://{archive}"
+    if scheme == "file":
+        return "file:///" + rest.lstrip("/")
+    if scheme == "dbfs":  # mounted for every process of such a cluster
+        return "file:///dbfs/" + rest.lstrip("/")
+    return f"{SCHEMES.get(scheme, scheme)}:{rest}"
 
-def _uri(path: str) -> str:
-    return "file://" + path[5:] if path.startswith("file:/") and not path.startswith("file://") else path
+
+def _open(archive: str) -> tuple[fs.FileSystem, str]:
+    return fs.FileSystem.from_uri(located(archive))
 
 
 def write(pages: DataFrame, folder: str | None = None) -> DataFrame:
     """Archive ``pages`` (page_id, url, html) and return the index."""
     spark = pages.sparkSession
     small_batches(spark)
-    folder = _uri(folder or new_path(spark, "warc"))
+    folder = folder or new_path(spark, "warc")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     payload = F.col("html").cast("binary")
     rows = rows.withColumn("digest", F.sha1(payload))
     large = rows.where(F.octet_length(payload) >= REVISIT_BYTES)
-    shared = saved(large.groupBy("digest").agg(F.count("*").alias("n"), F.max("page_id").alias("holder")).where("n > 1 and holder is not null").select("digest", "holder"), "payloads")
-    judged = rows.join(shared, "digest", "left").withColumn("revisit", F.coalesce(F.col("holder").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("holder")), F.lit(False)))
+    shared = saved(large.groupBy("digest").agg(F.count("*").alias("n"), F.max("page_id").alias("holder")).where("n > 1 and holder is not null"), "payloads")
+    least = (shared.agg(F.sum("n")).first()[0] or 0) // HOT
+    hot = F.broadcast(shared.where(F.col("n") > least).select("digest", F.col("holder").alias("hot_holder")))  # HOT rows at most
+    met = rows.join(hot, "digest", "left").withColumn("key", F.when(F.col("hot_holder").isNull(), F.col("digest")).otherwise(F.xxhash64("page_id", "url").cast("string")))
+    rest = shared.where(F.col("n") <= least).select(F.col("digest").alias("key"), "holder")
+    judged = met.join(rest, "key", "left").withColumn("holder", F.coalesce("hot_holder", "holder")).withColumn("revisit", F.coalesce(F.col("holder").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("holder")), F.lit(False)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
@@ -181,7 +204,9 @@ def fetch(index: DataFrame, payloads: bool = False) -> DataFrame:
 
     schema = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long" + (", payload binary" if payloads else "")
     rows = index.select("archive", "offset", "length", F.floor(F.col("offset") / PART_BYTES).alias("part"))
-    return rows.repartition("archive", "part").sortWithinPartitions("archive", "offset").mapInArrow(run, schema)
+    # index rows are small and what they name is not: the tasks are counted by the bytes to be read
+    parts = min(MAX_TASKS, max(1, rows.select("archive", "part").distinct().count()))
+    return rows.repartition(parts, "archive", "part").sortWithinPartitions("archive", "offset").mapInArrow(run, schema)
 
 
 def digest(pages: DataFrame) -> DataFrame:

@@ -219,59 +219,84 @@ def test_counted_documents(docs_of):
 # ---------------------------------------------------------------- fingerprints
 
 
-def brute_prints(text):
-    own = re.findall(r"[^\x20\x09-\x0D]{1,16}", text)
-
-    def h(gram):
-        s = 42
-        for x in gram:
-            s = xxhash.xxh64(x.encode(), seed=s).intdigest()
-        return s & ((1 << 36) - 1)
-
-    grams = [h(own[i : i + 4]) for i in range(max(1, len(own) - 3))] if own else []
+def brute_prints(text, gram=16, window=64):
+    def chain(values):
+        h = 42
+        for v in values:
+            h = xxhash.xxh64(v, seed=h).intdigest()
+        return h
+
+    fours = [chain(c.encode() for c in text[i : i + 4]) for i in range(len(text))]
+    grams = [chain(f.to_bytes(8, "little") for f in fours[i : i + 13 : 4]) & ((1 << 50) - 1) for i in range(max(1, len(text) - gram + 1))] if text else []
     out = []
-    for i in range(max(1, len(grams) - 7)) if grams else []:
-        window = grams[i : i + 8]
-        pick = (min(window), i + max(j for j, x in enumerate(window) if x == min(window)))
-        if pick not in out:
+    for i in range(max(1, len(grams) - window + 1)) if grams else []:
+        part = grams[i : i + window]
+        pick = (min(part), i + max(j for j, x in enumerate(part) if x == min(part)))
+        if not out or pick[1] != out[-1][1]:
             out.append(pick)
     return out
 
 
-def test_winnowing(docs_of, monkeypatch):
-    monkeypatch.setattr(winnow, "BUCKET_ROWS", 10)
-    rng = random.Random(6)
-    rows = [(i * 7, " ".join(rng.choice(("a", "bb", "é", "x" * 40)) + str(rng.randrange(9)) for _ in range(rng.choice((0, 1, 3, 50, 200))))) for i in range(60)]
-    rows += [(1000, None), (1001, ""), (1002, "y" * 100), (1003, "a a a " * 30), (-4, "😀é b c")]
+def edits_of(rows):
     ordered = sorted((i, t or "") for i, t in rows)
-    shown = lambda p: " ".join(f"{x:X}@{y}" for x, y in p)
-
-    def like(p, q):
-        a, b = {x for x, _ in p}, {x for x, _ in q}
-        return len(a & b) / len(a | b) if a | b else 1.0
-
-    got = {r.doc_id: tuple(r)[1:] for r in winnow.digest(docs_of(rows).withColumn("bucket", F.lit(1))).collect()}
     for n, (i, t) in enumerate(ordered):
         after = ordered[(n + 1) % len(ordered)][1]
         half = len(t) // 2
-        edited = t[: len(t) - half] + after[:half]
+        yield i, t, t[: len(t) - half] + after[:half], after
+
+
+def alike(p, q):
+    a, b = {x for x, _ in p}, {x for x, _ in q}
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+@pytest.mark.parametrize("piece", [1 << 12, 100])
+def test_winnowing(docs_of, monkeypatch, piece):
+    monkeypatch.setattr(winnow, "BUCKET_ROWS", 10)
+    monkeypatch.setattr(winnow, "PIECE", piece)
+    rng = random.Random(6)
+    rows = [(i * 7, " ".join(rng.choice(("a", "bb", "é", "x" * 40)) + str(rng.randrange(9)) for _ in range(rng.choice((0, 1, 3, 12, 20, 26, 30, 50, 200))))) for i in range(90)]
+    rows += [(n, "".join(rng.choice("ab 日") for _ in range(size))) for n, size in enumerate((1, 15, 16, 17, 77, 78, 79, 80, 156, 157, 158, 159, 160, 316, 3000), 2001)]
+    rows += [(1000, None), (1001, ""), (1002, "y" * 100), (1003, "a a a " * 300), (-4, "😀é b c"), (1004, "".join(rng.choice("xyz") for _ in range(9000)))]
+    shown = lambda p: " ".join(f"{x:X}@{y}" for x, y in p)
+    got = {r.doc_id: tuple(r)[1:] for r in winnow.digest(docs_of(rows).withColumns({"bucket": F.lit(1), "mark": F.lit(2), "my col": F.lit(3)})).collect()}
+    assert len(got) == len(rows)
+    for i, t, edited, after in edits_of(rows):
         a, b, c = brute_prints(t), brute_prints(edited), brute_prints(after)
-        assert got[i] == (len(t), hashlib.sha256(edited.encode()).hexdigest(), shown(a), shown(b), like(a, b), like(a, c)), i
+        assert got[i] == (len(t), hashlib.sha256(edited.encode()).hexdigest(), shown(a), shown(b), alike(a, b), alike(a, c)), i
 
 
-def test_winnowing_of_odd_tables(docs_of):
+def test_winnowing_of_odd_tables(docs_of, monkeypatch):
     one = winnow.digest(docs_of([(1, "ab")])).first()
     assert one.edited_sha256 == hashlib.sha256(b"aa").hexdigest() and one.near_next == 1.0
     assert winnow.digest(docs_of([]).limit(0)).count() == 0
     twice = winnow.digest(docs_of([(1, "a b c d e"), (1, "a b c d e"), (None, None)])).collect()
     assert len(twice) == 3 and len({r.fingerprint for r in twice if r.doc_id == 1}) == 1
+    # one id, and none, for most rows: they are dealt to buckets by their texts, and each meets the next by that order
+    monkeypatch.setattr(winnow, "BUCKET_ROWS", 4)
+    rows = [(5, f"text {n} of five" * n) for n in range(40)] + [(None, f"no id {n}" * n) for n in range(40)] + [(n, f"own {n}") for n in range(10)]
+    marks = {(r.doc_id, r.text): r.m for r in docs_of(rows).select("doc_id", "text", F.xxhash64("text").alias("m")).collect()}
+    order = sorted(rows, key=lambda r: (-1 if r[0] is None else r[0], marks[r]))
+    want = []
+    for n, (i, t) in enumerate(order):
+        after, half = order[(n + 1) % len(order)][1], len(t) // 2
+        want.append((i, len(t), hashlib.sha256((t[: len(t) - half] + after[:half]).encode()).hexdigest()))
+    assert sorted(map(str, want)) == sorted(str(tuple(r)[:3]) for r in winnow.digest(docs_of(rows)).collect())
+
+
+def test_winnowing_of_a_very_long_text(docs_of):
+    rng = random.Random(9)
+    long = "".join(rng.choice("abcdefgh ") for _ in range(300_000))
+    got = {r.doc_id: r for r in winnow.digest(docs_of([(1, long), (2, "é" + long)])).collect()}
+    prints = [(int(x.split("@")[0], 16), int(x.split("@")[1])) for x in got[1].fingerprint.split()]
+    assert prints == brute_prints(long) and got[1].near_next > 0.99 and 0.45 < got[1].near_edited < 0.55  # its own first half, twice
 
 
 def test_match_guarantee(docs_of):
     rng = random.Random(1)
-    fresh = lambda n: [str(rng.random())[2:10] for _ in range(n)]
-    common = fresh(winnow.GRAM + winnow.WINDOW - 1)
-    docs = docs_of([(i, " ".join(fresh(30) + common + fresh(30))) for i in range(2)])
+    fresh = lambda n: "".join(rng.choice("abcdefghijklmnop日é ") for _ in range(n))
+    common = fresh(winnow.SPAN)
+    docs = docs_of([(i, fresh(30 + 7 * i) + common + fresh(30)) for i in range(2)])
     a, b = (set(r.h) for r in winnow.fingerprints(docs).select(winnow.hashes(F.col("prints")).alias("h")).collect())
     assert a & b
 

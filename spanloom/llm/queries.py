@@ -57,6 +57,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
 
 _LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
+_SPACED, _ALNUM = r"[^\x20\x09-\x0D]+", r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_WORDS = lambda text, rx: f"regexp_extract_all(translate(coalesce({text}, ''), {_LOWER}), '{rx}')"
+
 #: What grows by one character when op5 escapes it: backslashes, and control strings of chat templates.
 _MARKS = r"""'\\|<\|(?:turn|text|end|im_start|im_end|endoftext|system|user|assistant)\|>|</?s>|\[/?INST\]|<</?SYS>>'"""
 
@@ -98,4 +101,31 @@ ORACLE_SQL: dict[str, str] = {
         )
         SELECT conv_id, CAST(n_turns AS BIGINT) AS n_turns, sha256(lines) AS turns_sha256, CAST(length(learnt) AS BIGINT) AS loss_chars,
                sha256(learnt) AS loss_sha256, CAST(chars AS BIGINT) AS formatted_chars FROM whole""",
+    "op4_benchmark_decontamination": rf"""
+        WITH dw AS (SELECT doc_id, {_WORDS("text", _ALNUM)} AS w FROM documents), iw AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, {_WORDS("text", _ALNUM)} AS w FROM benchmark),
+        sized AS (SELECT item, w, least(10, len(w)) AS size FROM iw WHERE len(w) > 0),
+        windows AS (SELECT DISTINCT item, size, array_to_string(w[pos : pos + size - 1], ' ') AS gram FROM (SELECT *, unnest(range(1, len(w) - size + 2)) AS pos FROM sized)),
+        grams AS (SELECT doc_id, size, pos, array_to_string(w[pos : pos + size - 1], ' ') AS gram FROM (SELECT *, unnest(range(1, len(w) - size + 2)) AS pos FROM dw, (SELECT DISTINCT size FROM windows) WHERE len(w) >= size)),
+        met AS (SELECT g.doc_id, g.pos, g.size, v.item FROM grams g JOIN windows v ON v.size = g.size AND v.gram = g.gram),
+        hits AS (SELECT doc_id, count(DISTINCT place) AS n FROM (SELECT doc_id, unnest(range(pos, pos + size)) AS place FROM met) GROUP BY doc_id),
+        named AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM met) GROUP BY doc_id)
+        SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(h.n, 0) AS n_hit, coalesce(n.n, 0) AS n_items, sha256(coalesce(n.items, '')) AS items_sha256, coalesce(h.n, 0) > 0 AS contaminated
+        FROM dw d LEFT JOIN hits h ON h.doc_id = d.doc_id LEFT JOIN named n ON n.doc_id = d.doc_id""",
+    "op8_suffix_array_dedup": rf"""
+        WITH dw AS (SELECT doc_id, {_WORDS("text", _SPACED)} AS w FROM documents),
+        windows AS (SELECT doc_id, pos, md5(array_to_string(w[pos : pos + 49], ' ')) AS gram FROM (SELECT *, unnest(range(1, len(w) - 48)) AS pos FROM dw WHERE len(w) >= 50)),
+        judged AS (SELECT doc_id, pos, count(*) OVER (PARTITION BY gram) AS n, row_number() OVER (PARTITION BY gram ORDER BY doc_id, pos) AS place FROM windows),
+        covered AS (SELECT doc_id, word, bool_or(later) AS later FROM (SELECT doc_id, unnest(range(pos, pos + 50)) AS word, place > 1 AS later FROM judged WHERE n > 1) GROUP BY doc_id, word),
+        counted AS (SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE later) AS gone FROM covered GROUP BY doc_id)
+        SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(c.n, 0) AS n_repeated, coalesce(c.gone, 0) AS n_removed FROM dw d LEFT JOIN counted c ON c.doc_id = d.doc_id""",
+    "op9_minhash_near_dedup": rf"""
+        WITH RECURSIVE dw AS (SELECT doc_id, {_WORDS("text", _SPACED)} AS w FROM documents),
+        sets AS (SELECT DISTINCT doc_id, CASE WHEN len(w) = 1 THEN w[1] ELSE w[pos] || ' ' || w[pos + 1] END AS shingle FROM (SELECT *, unnest(range(1, greatest(len(w), 2))) AS pos FROM dw WHERE len(w) > 0)),
+        sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+        common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM sets a JOIN sets b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+        links AS (SELECT c.a, c.b FROM common c JOIN sizes x ON x.doc_id = c.a JOIN sizes y ON y.doc_id = c.b WHERE 100 * c.n >= 80 * (x.n + y.n - c.n)),
+        both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+        reach(doc_id, other) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, l.b FROM reach r JOIN both_ways l ON l.a = r.other),
+        least AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
+        SELECT l.doc_id, coalesce(s.n, 0) AS n_shingles, l.component_id, l.doc_id = l.component_id AS kept FROM least l LEFT JOIN sizes s ON s.doc_id = l.doc_id""",
 }

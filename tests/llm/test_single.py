@@ -41,11 +41,14 @@ def test_automaton_against_regular_expressions():
 
 def test_judged_urls(spark):
     urls = [None, "", "no scheme/com/en/", "https://A.EXAMPLE.com/en/7?x=/es/", "http://b.org/es/#a", "http://b.org?/es/", "a://b.com/en/", "a://com/en/\nx", "x" * 300_000, "s://" + "h" * 100_000 + ".net/de/"]
-    pages = spark.createDataFrame(list(enumerate(urls)), "page_id int, url string").withColumn("rule", F.lit("own"))
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id int, url string").withColumns({"rule": F.lit("own"), "_rule": F.lit("kept"), "number": F.lit(7), "my col": F.lit(8), "row": F.lit(9)})
     got = [(r.host if len(r.host) < 99 else "long", r.path[:9], r.rule, r.verdict) for r in url_filter.judge_urls(pages).orderBy("page_id").collect()]
     none = ("", "", None, "allow")
     assert got == [none, none, none, ("a.example.com", "/en/7", "example.com/en/7", "allow"), ("b.org", "/es/", "org/es/", "block"), ("b.org", "", None, "allow"), ("b.com", "/en/", "com/en/", "block"), ("com", "/en/\nx", "com/en/", "block"), none, ("long", "/de/", "net/de/", "block")]
+    assert {(r["_rule"], r["number"], r["my col"], r["row"]) for r in url_filter.judge_urls(pages).collect()} == {("kept", 7, 8, 9)}
     assert url_filter.judge_urls(pages.limit(0)).count() == 0
+    twice = url_filter.judge_urls(pages.where("page_id = 5").unionAll(pages.where("page_id = 5"))).collect()
+    assert len(twice) == 2 and twice[0] == twice[1]
     assert url_filter.judge_urls(pages, ()).where("verdict = 'allow'").count() == len(urls)
 
 
@@ -83,6 +86,57 @@ def test_mixture(docs_of):
     assert m.output().groupBy("shard", "slot").agg(F.sum("words").alias("w")).where("w > 64").count() == 0
 
 
+def test_picked_subsets():
+    rng = np.random.Generator(np.random.PCG64(4))
+    counts = np.array([3, 0, 500, 20_000, 10**12, 4 * 10**12], np.int64)
+    for n in (0, 1, 64, 65, 10_000, 10**9, int(counts.sum()) - 5, int(counts.sum())):
+        got = mixing.picked(counts, n, rng)
+        assert got.sum() == n and (got >= 0).all() and (got <= counts).all()
+    share = mixing.picked(counts, 10**12, rng)[4] / 10**12
+    assert abs(share - 0.2) < 1e-5
+    # every subset is as likely: hypergeometric mean and variance of a small case, above and below FEW
+    for n in (20, 150):
+        draws = np.array([mixing.picked(np.array([100, 200]), n, rng)[0] for _ in range(4000)])
+        assert abs(draws.mean() - n / 3) < 0.2 and abs(draws.var() / (n * (1 / 3) * (2 / 3) * (300 - n) / 299) - 1) < 0.12
+
+
+def test_draws_agree_whatever_their_range():
+    wanted = np.array([1000, 0, 70_000, 333], np.int64)
+    whole = list(mixing.drawn(wanted, 13, 0, 13))
+    assert [s for s, _, _ in whole] == list(range(13)) and (sum(c for _, c, _ in whole) == wanted).all()
+    done = np.zeros(4, np.int64)
+    for s, c, before in whole:
+        assert (before == done).all() and c.sum() == 71_333 * (s + 1) // 13 - 71_333 * s // 13
+        [(again, own, first)] = list(mixing.drawn(wanted, 13, s, s + 1))
+        assert again == s and (own == c).all() and (first == before).all()
+        done += c
+
+
+def test_taken_words_against_brute_force(docs_of, monkeypatch):
+    rng = random.Random(12)
+    rows = [(rng.choice((i, i, None, 7)), " ".join(f"w{i}" for _ in range(rng.choice((0, 1, 63, 64, 65, 300)))), rng.choice(("b", "a", None) + ("hot",) * 3)) for i in range(300)]
+    monkeypatch.setattr(mixing, "SHARD_SLOTS", 40)
+    monkeypatch.setattr(mixing.slots, "__defaults__", (mixing.SEED, 40))
+    m = mixing.mix(docs_of(rows))
+    documents, slots = m.documents.collect(), m.slots.collect()
+    total = sum(s.slots for s in m.sources)
+    shards = -(-total // 40)
+    assert len(documents) == len(rows) and len(slots) == total and shards > 3
+    assert sorted({(s.shard, s.slot) for s in slots}) == [(h, n) for h in range(shards) for n in range(total * (h + 1) // shards - total * h // shards)]
+    uses = {}
+    for s in slots:
+        uses[s.number, s.index] = uses.get((s.number, s.index), 0) + 1
+    for source in m.sources:
+        own = sorted((d.begin, d.begin + d["size"]) for d in documents if d.number == source.number)
+        assert own[0][0] == 0 and own[-1][1] == source.size and all(x[1] == y[0] for x, y in zip(own, own[1:], strict=False))
+        counts = {uses.get((source.number, b), 0) for b in range(source.blocks)}
+        assert sum(uses.get((source.number, b), 0) for b in range(source.blocks)) == source.slots
+        assert not source.blocks or counts <= {source.slots // source.blocks, -(-source.slots // source.blocks)}
+    taken = lambda d: sum(n * max(0, min(d.begin + d["size"], (b + 1) * 64) - max(d.begin, b * 64)) for (k, b), n in uses.items() if k == d.number)
+    key = lambda d: (d.number, d.bucket, d.place)
+    assert {key(d): d.taken for d in m.taken().collect()} == {key(d): taken(d) for d in documents}
+
+
 # ---------------------------------------------------------------- WARC
 
 
@@ -102,6 +156,25 @@ def test_warc_round_trip(spark):
     assert warc.digest(pages.limit(0)).count() == 0
 
 
+def test_warc_of_large_payloads_and_repeated_rows(spark, monkeypatch):
+    monkeypatch.setattr(warc, "RANGE_BYTES", 3000)
+    monkeypatch.setattr(warc, "PART_BYTES", 5000)
+    rng = random.Random(2)
+    rows = [(i, "u", "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.choice((10, 900, 9000))))) for i in range(60)]
+    rows += [(i, "hot", "same " * 400) for i in range(100, 140)] + [(139, "hot", "same " * 400), (3, "u", rows[3][2])]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"holder": F.lit(1), "my col": F.lit(2), "key": F.lit(3)})
+    index = warc.write(pages.repartition(3)).cache()
+    assert warc.fetch(index).rdd.getNumPartitions() == index.selectExpr("archive", "floor(offset / 5000)").distinct().count() > 3
+    got = sorted(warc.digest(pages).collect(), key=lambda r: (r.page_id, r.payload_digest))
+    assert [(r.page_id, r.payload_bytes, r.payload_digest) for r in got] == sorted((i, len(h), hashlib.sha1(h.encode()).hexdigest()) for i, _, h in rows)
+    assert {(r.page_id, r.record_type, r.refers_to) for r in got if r.page_id >= 100} == {(i, "revisit", 139) for i in range(100, 139)} | {(139, "response", None)}
+
+
+def test_hadoop_paths():
+    want = {"s3a://b/x": "s3://b/x", "wasbs://c@a/x": "abfs://c@a/x", "abfss://c@a/x": "abfs://c@a/x", "viewfs://n/x": "hdfs://n/x", "dbfs:/x": "file:///dbfs/x", "file:/x y": "file:///x y", "file:///x": "file:///x", "/x/y": "file:///x/y", "hdfs://n:1/x": "hdfs://n:1/x", "gs://b/x": "gs://b/x"}
+    assert {k: warc.located(k) for k in want} == want
+
+
 def test_ranges_coalesce_and_records_are_verified():
     offsets, lengths = np.array([0, 10, 20, 500_000]), np.array([10, 10, 10, 10])
     assert warc.ranges(offsets, lengths) == [(0, 3), (3, 4)] and warc.ranges(offsets, lengths, most=20) == [(0, 2), (2, 3), (3, 4)]
@@ -208,7 +281,7 @@ def test_counted_documents(docs_of):
     tokenizers = pytest.importorskip("tokenizers")
     library = tokenizers.Tokenizer(tokenizers.models.Unigram([("<unk>", 0.0), *model.score.items()], 0, False))
     rows = [(1, "the cat  sat\non the mat"), (2, None), (3, ""), (4, " \t"), (5, "the " * 3000 + "x" * 5000), (1, "the cat"), (6, "日本語 😀")]
-    docs = docs_of(rows).withColumn("n_words", F.lit("own"))
+    docs = docs_of(rows).withColumns({"n_words": F.lit("own"), "my col": F.lit(1)})
     got = token_count.count_tokens(docs).select("row.doc_id", "row.text", "row.n_words", "n_tokens").collect()
     for r in got:
         assert r.n_words == "own" and r.n_tokens == sum(brute_count(model, "▁" + w) for w in (r.text or "").split())
@@ -337,6 +410,94 @@ def test_toxicity(spark, toxic_corpus):
     assert toxicity.reject(docs.limit(5), labels.limit(0)).count() == 5
 
 
+def plain_score(model, text):
+    """The network word by word, as it is written down: embeddings, filters, the greatest response, one logistic layer."""
+    words_ = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate({i: i + 32 for i in range(65, 91)}))
+    ids = toxicity.slots(toxicity._text.tokenize(toxicity.pa.array([" ".join(words_)]), toxicity._text.ALNUM))
+    hidden = []
+    for number, kernel in enumerate(model.kernels):
+        for f in range(toxicity.FILTERS):
+            replies = [sum(float(np.dot(model.embedding[h][ids[h, at + o]], kernel[o, h, :, f])) for o in range(len(kernel)) for h in range(toxicity.HASHES)) for at in range(len(words_) - len(kernel) + 1)]
+            hidden.append(max(0.0, max(replies) + model.bias[number * toxicity.FILTERS + f]) if replies else 0.0)
+    return 1 / (1 + np.exp(-(np.dot(hidden, model.out) + model.out_bias)))
+
+
+def test_scores_against_a_plain_convolution():
+    rng = random.Random(7)
+    text = lambda n: " ".join(rng.choice("abcdefgh") * rng.randint(1, 9) for _ in range(n))
+    own = [text(n) for n in (0, 1, 2, 3, 4, 5, 40, 200)] + [None, "!?", "Ünï çödé", "a" * 300]
+    column = toxicity.pa.array(own, toxicity.pa.string())
+    tokens = toxicity._text.tokenize(column, toxicity._text.ALNUM)
+    every = toxicity.slots(tokens)
+    model = toxicity.fit([(every[:, tokens.of(i)], i % 2) for i in range(len(own))] * 6, epochs=3)
+    got = toxicity.score_texts(model, toxicity._split_tables(model), column)
+    assert np.allclose(got, [plain_score(model, t) for t in own], atol=1e-5) and got.std() > 0.01
+
+
+def test_calibration():
+    rows = lambda *parts: [(s, y) for s, y, n in parts for _ in range(n)]
+    usual = toxicity.DEFAULT_THRESHOLD
+    low = toxicity.calibrate({"en": rows((0.95, 1, 30), (0.5, 1, 30), (0.1, 0, 60))})
+    assert 0.3 <= low["en"] <= 0.5 and low[""] == usual  # lower where that is safe; no pooled rows, so the usual one for the rest
+    high = toxicity.calibrate({"en": rows((0.95, 1, 30), (0.8, 0, 30)), None: rows((0.95, 1, 30), (0.8, 0, 30))})
+    assert 0.8 < high["en"] < 0.95 and high[""] == high["en"]
+    few = toxicity.calibrate({"es": rows((0.9, 1, 3), (0.1, 0, 90)), None: rows((0.95, 1, 30), (0.8, 0, 30), (0.1, 0, 90))})
+    assert few["es"] == few[""] > 0.8
+    never = toxicity.calibrate({"en": rows((0.9, 0, 40), (0.8, 1, 40))})
+    assert never["en"] > 0.9
+    ties = toxicity.calibrate({"en": rows((0.9, 1, 40), (0.9, 0, 40), (0.2, 0, 40))})
+    assert ties["en"] > 0.9 and toxicity.calibrate({}) == {"": usual}
+
+
+def test_sample_is_bounded_and_spread(spark, docs_of):
+    docs = docs_of([(i, " ".join(f"w{i}x{n}" for n in range(i))) for i in range(300)] + [(5, "again")])
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(300)], "doc_id long, quality int, toxic int")
+    got = toxicity.sample(docs, labels, rows=50, words=100)
+    assert len(got) == 50 and len({r.doc_id for r in got}) == 50 and max(r.doc_id for r in got) > 250
+    assert all(len(r.words) == 2 * toxicity.HASHES * min(100, r.doc_id) for r in got if r.doc_id != 5)
+    assert all(zlib.crc32(str(r.doc_id).encode()) % 3 != 1 for r in got)
+    weights = toxicity.by_language([(1, "en")] * 90 + [(1, "es")] * 10 + [(0, "en")] * 900)
+    assert weights[0] < weights[95] <= 5 and weights[-1] == 1
+
+
+def test_pipeline_against_brute_force(spark, tmp_path, toxic_corpus):
+    """Every stage's decision over what is left, worked out plainly; scores come from the classifier that the stage trains."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    from test_pairs import brute_components, brute_hits, brute_passages, corpus
+
+    docs, labels = toxic_corpus
+    rows = [(10_000 + (i or 0), t) for i, t in corpus(3)]
+    rows = list({i: (i, t) for i, t in rows}.values()) + [(20_000 + i, f"{' '.join(f'own{i}x{n}' for n in range(30))} {' '.join(f'q{n}' for n in range(20))}") for i in range(3)]
+    extra = spark.createDataFrame([(i, t, "en", "s2" if i % 3 else "s", 1) for i, t in rows], docs.schema)
+    docs.where("doc_id < 300").dropDuplicates(["doc_id"]).union(extra).withColumn("_row", F.lit("own")).withColumn("my col", F.lit(1)).write.parquet(str(tmp_path / "documents.parquet"))
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    items = [(1, " ".join(f"q{i}" for i in range(3, 15)))]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    every = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    classifier = toxicity.train(every, labels)
+    left = {r.doc_id: (r.text, r.source) for r in every.collect() if (plain_score(classifier.model, r.text) < classifier.thresholds.get(r.lang, classifier.thresholds[""]))}
+    parts = brute_components([(i, t) for i, (t, _) in left.items()], 5, 80)
+    left = {i: x for i, x in left.items() if parts[i][1] == i}
+    found, _, removed = brute_passages([(i, t) for i, (t, _) in left.items()])
+    kept = {}
+    for (i, t), w in found.items():
+        rest = [x for n, x in enumerate(w) if n not in removed[i, t]]
+        if rest or not removed[i, t]:
+            kept[i] = (" ".join(rest), left[i][1])
+    hit = brute_hits([(i, t) for i, (t, _) in kept.items()], items)
+    kept = {i: (len(t.split()), source) for i, (t, source) in kept.items() if not hit[i][4]}
+    got = {r.doc_id: r for r in pipeline.run(spark, str(tmp_path)).collect()}
+    assert {i: (r["size"], r.source) for i, r in got.items()} == kept
+    sizes = {}
+    for size, source in kept.values():
+        sizes[source] = sizes.get(source, 0) + size
+    names = sorted(sizes)
+    want = dict(zip(names, mixing.targets([sizes[n] for n in names], [(1, 2, 3)[i % 3] for i in range(len(names))]), strict=True))
+    for name in names:
+        assert all(abs(r.target - float(want[name])) < 1e-6 and r.source_size == sizes[name] for r in got.values() if r.source == name)
+        assert abs(sum(r.taken for r in got.values() if r.source == name) - float(want[name])) <= 64
+
+
 def test_pipeline_over_odd_rows(spark, tmp_path, toxic_corpus):
     pipeline = pytest.importorskip("corpus_pipeline")
     docs, labels = toxic_corpus

@@ -30,16 +30,16 @@ def components(edges: DataFrame) -> DataFrame:
     Alternates large-star and small-star rewrites (Kiveris et al., 2014): every round links each
     node's greater neighbours, then its smaller ones, to the least of its neighbourhood, so hubs
     shrink to stars in about a logarithmic number of rounds. Neighbourhoods are never gathered, and
-    what a step makes is written before the next one reads it, so plans stay short.
+    what a round makes is written before the next one reads it.
     """
     pairs = saved(edges.where("a <> b").select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct(), "edges")
     sums = _sums(pairs)
-    while True:
+    while sums[0]:
         both = pairs.select(F.explode(F.array(F.struct(F.col("lo").alias("n"), F.col("hi").alias("m")), F.struct(F.col("hi").alias("n"), F.col("lo").alias("m")))).alias("x")).select("x.*")
-        large = saved(_with_least(both, "n", "m", 2 * sums[0]).where("m > n").select(F.least("root", "n").alias("lo"), F.col("m").alias("hi")).distinct(), "large-star")
+        large = _with_least(both, "n", "m", 2 * sums[0]).where("m > n").select(F.least("root", "n").alias("lo"), F.col("m").alias("hi")).distinct()
         small = _with_least(large, "hi", "lo", sums[0])
         links = F.explode(F.array(F.struct("root", F.col("lo").alias("other")), F.struct("root", F.col("hi").alias("other"))))
-        pairs = saved(small.select(links.alias("x")).select(F.col("x.root").alias("lo"), F.col("x.other").alias("hi")).where("lo <> hi").distinct(), "small-star")
+        pairs = saved(small.select(links.alias("x")).select(F.col("x.root").alias("lo"), F.col("x.other").alias("hi")).where("lo <> hi").distinct(), "stars")
         before, sums = sums, _sums(pairs)
         if before == sums:
             break

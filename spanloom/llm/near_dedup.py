@@ -15,8 +15,8 @@ class must go before its nodes are small, the more trees it needs. Every class s
 and takes TREES at least; one that reached level l in any of them goes on in further trees, with coordinates
 of their own, until at least ``trees_for`` that level are done: (1 - s**l)**trees is at most MISS / LEVELS at the threshold. A pair
 stays together in the trees of the class that needs fewer, and shares no node of it only if it differs
-within the first l tokens in all of them; over the levels that is MISS at most. At 0.8: 10, 16, 22, 30,
-40 and 52 trees for levels 1 to 6. Signature comparison lets a pair at the threshold pass up to five
+within the first l tokens in all of them; over the levels that is MISS at most. At 0.8: 10, 15, 22 and 29
+trees for levels 1 to 4. Signature comparison lets a pair at the threshold pass up to five
 standard deviations below, and stops 8e-7 of such pairs at 0.8. Later rounds skip pairs that confirmed
 links have joined already, so a large group of copies is compared in the first trees and not in all.
 
@@ -45,8 +45,9 @@ from ._spark import saved, small_batches
 TREES = 10
 #: Trees of the first round; what they join needs no comparison in the others.
 FIRST_TREES = 2
-LEVELS = 6
-COORDINATES = TREES * LEVELS
+LEVELS = 4
+#: Minwise tokens of a class: the first TREES * LEVELS are its path, and the low bytes of all its signature.
+COORDINATES = 60
 NODE_LIMIT = 128
 #: A pair at the threshold shares no small node of any tree with this probability at most.
 MISS = 1e-6
@@ -107,7 +108,7 @@ def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
 def features(docs: DataFrame, k: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(rep_id, rep_mark, digest, n_shingles, minima, marks) of each row; digest and minima null without words.
 
-    ``marks`` is the low byte of each of the minima, the short signature that nodes compare.
+    ``minima`` are the tokens of the first trees, ``marks`` the low bytes of all of them: the short signature that nodes compare.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,7 +117,7 @@ def features(docs: DataFrame, k: int, key: str = "doc_id", text: str = "text") -
             full = [i for i, s in enumerate(sets) if len(s)]
             minima = dict(zip(full, _minima([sets[i] for i in full]), strict=True)) if full else {}
             known = [minima.get(i) for i in range(len(sets))]
-            own = [pa.array([None if m is None else _digest(s) for s, m in zip(sets, known, strict=True)], pa.binary()), pa.array(list(map(len, sets)), pa.int64()), pa.array([None if m is None else m.tobytes() for m in known], pa.binary()), pa.array([None if m is None else m.astype(np.uint8).tobytes() for m in known], pa.binary())]
+            own = [pa.array([None if m is None else _digest(s) for s, m in zip(sets, known, strict=True)], pa.binary()), pa.array(list(map(len, sets)), pa.int64()), pa.array([None if m is None else m[: TREES * LEVELS].tobytes() for m in known], pa.binary()), pa.array([None if m is None else m.astype(np.uint8).tobytes() for m in known], pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column("rep_id"), batch.column("rep_mark"), *own], ["rep_id", "rep_mark", "digest", "n_shingles", "minima", "marks"])
 
     small_batches(docs.sparkSession)
@@ -270,8 +271,9 @@ def links(docs: DataFrame, classes: DataFrame, k: int, threshold: int, key: str
         low = needs.agg(F.min("first")).first()[0]
         if low is None:
             return out
-        joined = components(out).select(F.col("node").alias("set_key"), F.col("root").alias("label"))
-        labels = saved(base.select("set_key").join(joined, "set_key", "left").withColumn("label", F.coalesce("label", "set_key")), "labels")
+        if out is found:  # what the first round has joined is most of it; the labels serve all others
+            joined = components(out).select(F.col("node").alias("set_key"), F.col("root").alias("label"))
+            labels = saved(base.select("set_key").join(joined, "set_key", "left").withColumn("label", F.coalesce("label", "set_key")), "labels")
         near = needs.where(F.col("first") < TREES).join(base, "set_key").select("set_key", F.lit(0).alias("origin"), "first", F.least("last", F.lit(TREES)).alias("last"), F.col("minima").alias("path"))
         far = needs.where(F.col("last") > TREES).withColumn("first", F.greatest("first", F.lit(TREES)))
         paths = saved(near.unionByName(further_paths(docs, far.join(members, "set_key"), k, key, text)), "paths")

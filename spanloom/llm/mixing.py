@@ -185,6 +185,23 @@ class Mix:
         """The mixture itself: (shard, slot, number, index) with the pieces of documents in each block."""
         return self.slots.hint("merge").join(self.spans().where("index is not null"), ["number", "index"])
 
+    def blocks(self, docs: DataFrame) -> DataFrame:
+        """(number, index, words): the text of every block, of the documents that were mixed. A block has few pieces, a word each at least."""
+        said = F.coalesce(F.col("text"), F.lit(""))
+        texts = docs.select(F.col("doc_id").cast("long").alias("of"), F.xxhash64(said).alias("mark_of"), said.alias("text")).dropDuplicates(["of", "mark_of"])
+        spans = self.spans().where("index is not null")
+        cut = spans.groupBy("doc_id", "mark", "number", "bucket", "place", "begin").agg(F.collect_list(F.struct("index", "from", "words")).alias("spans"))
+        met = cut.join(texts, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("mark") == F.col("mark_of")))
+        piece = lambda words: F.transform("spans", lambda x: F.struct(x["index"].alias("index"), F.array_join(F.slice(words, x["from"].cast("int") + 1, x["words"].cast("int")), " ").alias("words")))
+        found = F.explode(F.get(F.transform(F.array(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))), piece), F.lit(0)))
+        pieces = met.select("number", "begin", found.alias("x")).select("number", "begin", "x.*")
+        ordered = F.array_sort(F.collect_list(F.struct("begin", "words")))
+        return pieces.groupBy("number", "index").agg(F.array_join(F.transform(ordered, lambda x: x["words"]), " ").alias("words"))
+
+    def packed(self, docs: DataFrame) -> DataFrame:
+        """(shard, slot, number, index, words): the mixture's own text, block by block, joined by index."""
+        return self.slots.hint("merge").join(self.blocks(docs), ["number", "index"]).select("shard", "slot", "number", "index", "words")
+
     def taken(self) -> DataFrame:
         """For each document the words that the mixture takes of it, repeats counted."""
         uses = self.slots.groupBy("number", "index").agg(F.count("*").alias("uses"))

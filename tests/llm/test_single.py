@@ -135,6 +135,14 @@ def test_taken_words_against_brute_force(docs_of, monkeypatch):
     taken = lambda d: sum(n * max(0, min(d.begin + d["size"], (b + 1) * 64) - max(d.begin, b * 64)) for (k, b), n in uses.items() if k == d.number)
     key = lambda d: (d.number, d.bucket, d.place)
     assert {key(d): d.taken for d in m.taken().collect()} == {key(d): taken(d) for d in documents}
+    # the packed text is, block for block, each source's stream of words
+    text = {(d, mark): t for d, mark, t in docs_of(rows).select("doc_id", F.xxhash64("text"), "text").collect()}
+    stream = {}
+    for d in sorted(documents, key=lambda d: (d.number, d.begin)):
+        stream.setdefault(d.number, []).extend(text[d.doc_id, d.mark].split())
+    packed = m.packed(docs_of(rows)).collect()
+    assert sorted((r.shard, r.slot) for r in packed) == sorted((s.shard, s.slot) for s in slots)
+    assert all(r.words.split() == stream[r.number][r.index * 64 : (r.index + 1) * 64] for r in packed)
 
 
 # ---------------------------------------------------------------- WARC

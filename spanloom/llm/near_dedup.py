@@ -10,13 +10,13 @@ link holds exactly where 100 * |A & B| >= threshold * |A | B|. Only confirmed li
 so unlike ones are never chained into one group. Groups of more than one block are compared block by
 block, so no task holds a whole group.
 
-A pair at similarity s shares a node of level l in one tree with probability s**l, so the deeper a
-class must go before its nodes are small, the more trees it needs. Every class starts with FIRST_TREES trees
-and takes TREES at least; one that reached level l in any of them goes on in further trees, with coordinates
-of their own, until at least ``trees_for`` that level are done: (1 - s**l)**trees is at most MISS / LEVELS at the threshold. A pair
-stays together in the trees of the class that needs fewer, and shares no node of it only if it differs
-within the first l tokens in all of them; over the levels that is MISS at most. At 0.8: 10, 15, 22 and 29
-trees for levels 1 to 4. Signature comparison lets a pair at the threshold pass up to five
+A pair at similarity s shares a node of level l in one tree with probability s**l, so trees are repeated
+until a class has met its target: the logarithms of 1 - s**l at the threshold, over its trees with the level l that
+its node had in each, must add up to that of MISS, so that it may be apart from a like one in all of them with that
+probability at most. Every class starts with FIRST_TREES trees and takes TREES in all if its nodes there were
+small at the first level, else ALL trees, which suffice at the last level; one that lacks anything after that takes
+the rest as well. At 0.8 that is 13 or 27 trees of four levels.
+Signature comparison lets a pair at the threshold pass up to five
 standard deviations below, and stops 8e-7 of such pairs at 0.8. Later rounds skip pairs that confirmed
 links have joined already, so a large group of copies is compared in the first trees and not in all.
 
@@ -42,14 +42,14 @@ from . import _text
 from ._components import components
 from ._spark import saved, small_batches
 
-TREES = 10
+TREES = 13
 #: Trees of the first round; what they join needs no comparison in the others.
 FIRST_TREES = 2
 LEVELS = 4
 #: Minwise tokens of a class: the first TREES * LEVELS are its path, and the low bytes of all its signature.
 COORDINATES = 60
 NODE_LIMIT = 128
-#: A pair at the threshold shares no small node of any tree with this probability at most.
+#: A pair at the threshold shares no node of any tree with this probability at most.
 MISS = 1e-6
 #: Shingles and sets of one confirmation block.
 BLOCK_SHINGLES = 1 << 19
@@ -66,10 +66,19 @@ def _tree_coordinates(tree: int) -> tuple[np.ndarray, np.ndarray]:
     return tuple(rng.integers(0, 2**63, (2, LEVELS), dtype=np.uint64) * np.uint64(2) + np.uint64(1))
 
 
-def trees_for(level: int, threshold: int) -> int:
-    """Trees after which a pair at the threshold was together on ``level`` tokens once, but for MISS / LEVELS."""
+def gain(level: int, threshold: int) -> float:
+    """What a tree adds whose node had ``level``: minus the logarithm of the chance that a pair at the threshold is apart in it."""
     apart = 1 - (threshold / 100) ** level
-    return max(TREES, math.ceil(math.log(MISS / LEVELS) / math.log(apart))) if 0 < apart < 1 else TREES
+    return -math.log(apart) if 0 < apart < 1 else TARGET
+
+
+#: The sum of gains at which a class is done.
+TARGET = -math.log(MISS)
+
+
+def all_trees(threshold: int) -> int:
+    """Trees that are enough even if every node is at the last level."""
+    return max(TREES, math.ceil(TARGET / gain(LEVELS, threshold)))
 
 
 #: What stands for a null id wherever rows are matched by id.
@@ -214,7 +223,7 @@ def _compare(threshold: int):
 
 
 def _branched(classes: DataFrame, paths: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame]:
-    """Groups (grp, set_key) from the trees of ``paths`` (set_key, label, fresh, origin, first, last, path), and the level (set_key, level) that each class reached.
+    """Groups (grp, set_key) from the trees of ``paths`` (set_key, label, fresh, origin, first, last, path), and (set_key, gain, level) of the classes that are new to them: what they gained, and their deepest node.
 
     Only (node, set_key) rows of nodes that hold two labels or more, and a class that is new to their tree,
     fetch their marks, so the many classes that meet nobody never travel with them.
@@ -222,11 +231,12 @@ def _branched(classes: DataFrame, paths: DataFrame, threshold: int) -> tuple[Dat
     rows = paths.select("set_key", "label", "fresh", "origin", "path", F.explode(F.sequence("first", F.col("last") - 1)).alias("tree"))
     rows = rows.select("tree", "set_key", "label", "fresh", "origin", F.xxhash64("tree", F.lit(0), _token(0)).alias("node"))
     out = None
-    reached = paths.select("set_key", F.lit(1).alias("level"))
+    gains = [gain(level, threshold) for level in range(1, LEVELS + 1)]
+    reached = paths.where("fresh").select("set_key", ((F.col("last") - F.col("first")) * gains[0]).alias("gain"), F.lit(1).alias("level"))
     for level in range(LEVELS):
         rows = saved(rows, "nodes")
         if level:
-            reached = reached.unionByName(rows.select("set_key", F.lit(level + 1).alias("level")))
+            reached = reached.unionByName(rows.where("fresh").select("set_key", F.lit(gains[level] - gains[level - 1]).alias("gain"), F.lit(level + 1).alias("level")))
         sizes = rows.groupBy("node").agg(F.count("*").alias("n"), F.min("set_key").alias("least"), F.min("label").alias("low"), F.max("label").alias("high"), F.max("fresh").alias("fresh"))
         sizes = saved(sizes.where("low < high and fresh").select("node", "n", "least"), "node-sizes")
         small = rows.join(sizes.where(F.col("n") <= NODE_LIMIT).select("node"), "node").select("node", "set_key", "label")
@@ -242,41 +252,43 @@ def _branched(classes: DataFrame, paths: DataFrame, threshold: int) -> tuple[Dat
             break
         deeper = rows.join(large.select("node"), "node").join(paths.select("set_key", "origin", "path"), ["set_key", "origin"])
         rows = deeper.select("tree", "set_key", "label", "fresh", "origin", F.xxhash64("node", F.lit(level + 1), _token(level + 1)).alias("node"))
-    return saved(out.distinct(), "groups"), reached.groupBy("set_key").agg(F.max("level").alias("level"))
+    return saved(out.distinct(), "groups"), saved(reached.groupBy("set_key").agg(F.sum("gain").alias("gain"), F.max("level").alias("level")), "gains")
 
 
 def links(docs: DataFrame, classes: DataFrame, k: int, threshold: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Confirmed links (a, b) between classes, as many as join every pair of classes that chains of links join.
 
-    A round of further trees may take a class deeper than it was, which asks for another round. Who was in a
-    tree before stays in it for those who come later. A class
-    beyond level 2 takes all the trees of the last level at once, so there are four rounds at most.
+    Who was in a tree before stays in it for those who come later. There are three rounds at most, as the second or the
+    third gives a class all trees.
     """
-    enough = F.element_at(F.array(*[F.lit(trees_for(n if n < 3 else LEVELS, threshold)) for n in range(1, LEVELS + 1)]), F.col("level"))
+    every = all_trees(threshold)
     base = classes.select("set_key", "minima")
     paths = base.select("set_key", F.lit(0).alias("origin"), F.lit(0).alias("first"), F.lit(FIRST_TREES).alias("last"), F.col("minima").alias("path"))
-    labels, before, low = classes.select("set_key", F.col("set_key").alias("label")), None, 0
     members = classes.select("set_key", "rep_id", "rep_mark", "digest", "n_shingles")
-    out = None
-    while True:
+    labels, before, low, out, scores = classes.select("set_key", F.col("set_key").alias("label")), None, 0, None, None
+    for turn in range(3):
         present = paths.withColumn("fresh", F.lit(True))
         if before is not None:
             present = present.unionByName(before.where(F.col("last") > low).withColumn("first", F.greatest("first", F.lit(low))).withColumn("fresh", F.lit(False)))
-        groups, reached = _branched(classes, present.join(labels, "set_key"), threshold)
+        groups, gained = _branched(classes, present.join(labels, "set_key"), threshold)
         found = saved(confirm(docs, groups.join(members, "set_key"), k, threshold, key, text), "links")
-        out = found if out is None else out.unionByName(found)
-        before = paths if before is None else before.unionByName(paths)
+        out, scores, before = (x if y is None else y.unionByName(x) for x, y in ((found, out), (gained, scores), (paths, before)))
+        if turn == 2:
+            break
         done = before.groupBy("set_key").agg(F.max("last").alias("first"))
-        needs = saved(reached.join(done, "set_key").select("set_key", "first", enough.alias("last")).where("last > first"), "needs")
+        total = scores.groupBy("set_key").agg(F.sum("gain").alias("gain"), F.max("level").alias("level"))
+        enough = F.lit(every) if turn else F.when(F.col("level") == 1, F.lit(TREES)).otherwise(F.lit(every))
+        needs = saved(total.where(F.col("gain") < TARGET).join(done, "set_key").select("set_key", "first", enough.alias("last")).where("last > first"), "needs")
         low = needs.agg(F.min("first")).first()[0]
         if low is None:
-            return out
-        if out is found:  # what the first round has joined is most of it; the labels serve all others
+            break
+        if turn == 0:  # what the first round has joined is most of it; the labels serve the others too
             joined = components(out).select(F.col("node").alias("set_key"), F.col("root").alias("label"))
             labels = saved(base.select("set_key").join(joined, "set_key", "left").withColumn("label", F.coalesce("label", "set_key")), "labels")
         near = needs.where(F.col("first") < TREES).join(base, "set_key").select("set_key", F.lit(0).alias("origin"), "first", F.least("last", F.lit(TREES)).alias("last"), F.col("minima").alias("path"))
         far = needs.where(F.col("last") > TREES).withColumn("first", F.greatest("first", F.lit(TREES)))
         paths = saved(near.unionByName(further_paths(docs, far.join(members, "set_key"), k, key, text)), "paths")
+    return out
 
 
 def _confirmed(sets: list[np.ndarray], threshold: int, split: int | None) -> list[tuple[int, int]]:

@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import random
 import re
 from collections import defaultdict
@@ -124,8 +125,9 @@ def test_near_duplicates_that_only_meet_deep_in_the_trees(docs_of, monkeypatch):
 
 def test_trees_follow_the_depth():
     for level in range(1, near_dedup.LEVELS + 1):
-        assert (1 - 0.8**level) ** near_dedup.trees_for(level, 80) <= near_dedup.MISS / near_dedup.LEVELS
-    assert near_dedup.trees_for(1, 80) == near_dedup.TREES and near_dedup.trees_for(3, 100) == near_dedup.TREES
+        assert math.isclose(math.exp(-near_dedup.gain(level, 80)), 1 - 0.8**level)
+    assert (1 - 0.8**near_dedup.LEVELS) ** near_dedup.all_trees(80) <= near_dedup.MISS
+    assert 0.2**near_dedup.TREES <= near_dedup.MISS and near_dedup.all_trees(100) == near_dedup.TREES
 
 
 def test_structured_words_are_no_copies(docs_of):

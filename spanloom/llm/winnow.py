@@ -39,7 +39,7 @@ WINDOW = 64
 PIECE = 1 << 12
 _PLACES = 13
 _LAST = (1 << _PLACES) - 1
-_HASH = (1 << 50) - 1
+_HASH = ((1 << 50) - 1) << _PLACES
 #: Characters of one window.
 SPAN = GRAM + WINDOW - 1
 #: Documents of one bucket, and the most buckets; their bounds are held by the driver.
@@ -67,7 +67,7 @@ def _chosen(piece: Column) -> Column:
         grams = F.greatest(F.size(fours) - (GRAM - 1), F.lit(1))
         starts = F.slice(fours, 1, grams)
         value = lambda x, i: F.xxhash64(x, *[F.get(fours, i + j) for j in (4, 8, 12)])
-        return F.transform(starts, lambda x, i: F.shiftleft(value(x, i).bitwiseAND(_HASH), _PLACES).bitwiseOR(F.lit(_LAST) - i))
+        return F.transform(starts, lambda x, i: value(x, i).bitwiseAND(_HASH).bitwiseOR(F.lit(_LAST) - i))
 
     windows = lambda xs: F.greatest(F.size(xs) - (WINDOW - 1), F.lit(1))
     least = lambda xs: _let(_rolled(xs, 1, None, F.least), lambda a: _let(_rolled(a, 4, None, F.least), lambda b: _rolled(b, 16, windows(b), F.least)))
@@ -123,10 +123,14 @@ def _shifted(prints: Column, by: Column) -> Column:
     return F.transform(prints, lambda x: F.struct(x["hash"].alias("hash"), (x["at"] + by).alias("at")))
 
 
-def _within(prints: Column, text: Column, size: Column) -> Column:
-    """The prints that the windows within the first ``size`` characters of a text choose."""
-    last = size - SPAN  # the last such window
-    choice = F.get(fingerprint(F.substring(text, last + 1, F.lit(SPAN))), F.lit(0))["at"] + last
+def _within(prints: Column, size: Column) -> Column:
+    """The prints that the windows within the first ``size`` characters of a text choose.
+
+    The last such window's choice is the least print in it, the rightmost of equals, and no window before it chooses beyond that.
+    """
+    last = (size - SPAN).cast("long")
+    inside = F.filter(prints, lambda x: x["at"].between(last, last + WINDOW - 1))
+    choice = -F.array_min(F.transform(inside, lambda x: F.struct(x["hash"].alias("hash"), (-x["at"]).alias("back"))))["back"]
     kept = _let(choice, lambda most: F.filter(prints, lambda x: x["at"] <= most))
     return F.when(last >= 0, kept).otherwise(F.array().cast(PRINTS))
 
@@ -137,7 +141,7 @@ def joined(first: Column, first_prints: Column, size: Column, second: Column, se
     own = F.substring(first, start + 1, size - start)
     across = F.concat(own, F.left(second, F.when(more >= SPAN, F.lit(SPAN - 1)).otherwise(more)))
     fresh = F.when((start > 0) & (F.length(across) < SPAN), F.array().cast(PRINTS)).otherwise(_shifted(fingerprint(across), start.cast("long")))
-    return _let(F.concat(_within(first_prints, first, size), fresh, _shifted(_within(second_prints, second, more), size.cast("long"))), _onward)
+    return _let(F.concat(_within(first_prints, size), fresh, _shifted(_within(second_prints, more), size.cast("long"))), _onward)
 
 
 def _bucket(key: Column, mark: Column, cuts: list[int]) -> Column:

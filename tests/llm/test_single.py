@@ -308,7 +308,7 @@ def brute_prints(text, gram=16, window=64):
         return h
 
     fours = [chain(c.encode() for c in text[i : i + 4]) for i in range(len(text))]
-    grams = [chain(f.to_bytes(8, "little") for f in fours[i : i + 13 : 4]) & ((1 << 50) - 1) for i in range(max(1, len(text) - gram + 1))] if text else []
+    grams = [chain(f.to_bytes(8, "little") for f in fours[i : i + 13 : 4]) >> 13 & ((1 << 50) - 1) for i in range(max(1, len(text) - gram + 1))] if text else []
     out = []
     for i in range(max(1, len(grams) - window + 1)) if grams else []:
         part = grams[i : i + window]

@@ -1,18 +1,16 @@
-"""Privacy: ordered redaction rules, as a Python gate and as native columns.
+"""Privacy: ordered redaction rules, as native columns and for single texts.
 
-Rules claim text in their order, so the more specific ones come first. ``redact_text`` numbers tokens
-within one call (trace scope) or derives them from a salted hash (global scope). The native columns
-mask, count or hash single rules on the JVM, and agree with the gate rule by rule.
+Rules claim text in their order, so the more specific ones come first. Tokens are numbered within one text
+(trace scope) or derived from a salted hash (global scope). ``redact`` is the gate as a native column, and
+``redact_text`` its plain form for single texts on the driver; other columns mask, count or hash single rules.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,7 +33,7 @@ PATTERNS: tuple[tuple[str, str, str], ...] = (
 RULE_NAMES = tuple(name for name, _, _ in PATTERNS)
 _LABEL = {name: label for name, label, _ in PATTERNS}
 _COMPILED = {name: re.compile(pattern, re.ASCII) for name, _, pattern in PATTERNS}
-_TOKEN = re.compile(r"<[A-Z_]+(?:_[^>]+)?>")
+_TOKEN = re.compile(f"<(?:{'|'.join(_LABEL.values())})(?:_\\w+)?>")
 
 
 def luhn_valid(text: str) -> bool:
@@ -67,7 +65,7 @@ class Gate:
             raise ValueError(f"unknown privacy mode or scope: {self.mode}, {self.scope}")
         for name in self.rules:
             if name not in RULE_NAMES:
-                raise ValueError(f"unknown redaction rule {name!r}; available: {', '.join(RULE_NAMES)}")
+                raise ValueError(f"no redaction rule is called {name!r}; the rules are {', '.join(RULE_NAMES)}")
 
 
 @dataclass
@@ -113,19 +111,69 @@ def redact_text(text: str, gate: Gate = Gate()) -> Redacted:  # noqa: B008
     return out
 
 
-REDACTED = "struct<text:string,counts:map<string,int>,total:int>"
+def _let(value: Column, body) -> Column:
+    """``body(value)``, with ``value`` evaluated once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _digits(x: Column) -> Column:
+    return F.regexp_replace(x, "[^0-9]", "")
+
+
+def _holds(rule: str, match: Column) -> Column:
+    """Whether a match of the rule's pattern passes its validator."""
+    if rule == "card":
+        return F.length(_digits(match)).between(12, 19) & F.call_function("luhn_check", _digits(match))
+    if rule == "phone":
+        return F.length(_digits(match)).between(9, 15)
+    return F.lit(True)
+
+
+def _named(rule: str, gate: Gate, value: Column, known: Column) -> Column:
+    """The token that stands for a value; ``known`` holds the rule's values in the order in which they came."""
+    label = _LABEL[rule]
+    if gate.mode == "mask":
+        token = F.lit(f"<{label}>")
+    elif gate.scope == "global":
+        token = global_token(value, rule, gate.salt)
+    else:
+        token = F.concat(F.lit(f"<{label}_"), F.array_position(known, value).cast("string"), F.lit(">"))
+    return F.concat(F.substring_index(value, "?", 1), F.lit("?"), token) if rule == "url" else token
 
 
 def redact(text: Column, gate: Gate = Gate()) -> Column:  # noqa: B008
-    """The gate over a column: struct of text, counts by rule and total. Numbering is state within a row."""
+    """The gate over a column, natively: struct of text, counts by rule and total.
+
+    Each rule splits the text at its matches and joins it again with their tokens, so a value is replaced
+    only where it was found; the next rule sees what the one before has left.
+    """
+    none = F.array().cast("array<struct<key:string,value:int>>")
+    state = F.struct(text.alias("text"), none.alias("counts"))
+
+    def apply(rule: str):
+        # a URL that was redacted before ends in the mark of its token, and isn't matched again
+        pattern = _pattern(rule) + "+(?!<URL)" if rule == "url" else _pattern(rule)
+
+        def step(s):
+            def joined(matches):
+                own = F.filter(matches, lambda x: _holds(rule, x))
+                known = F.array_distinct(own)
+                tokens = F.transform(matches, lambda x: F.when(_holds(rule, x), _named(rule, gate, x, known)).otherwise(x))
+                whole = F.array_join(F.zip_with(F.split(s["text"], pattern, -1), tokens, lambda part, token: F.concat(part, F.coalesce(token, F.lit("")))), "")
+                counted = F.struct(F.lit(rule).alias("key"), F.size(own).alias("value"))
+                touched = F.struct(whole.alias("text"), F.array_append(s["counts"], counted).alias("counts"))
+                return F.when(F.size(own) > 0, touched).otherwise(s)
 
-    @F.pandas_udf(REDACTED)
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = [redact_text(t, gate) if t is not None else Redacted(None) for t in batch]
-            yield pd.DataFrame({"text": [r.text for r in found], "counts": [r.counts for r in found], "total": [r.total for r in found]})
+            return _let(F.regexp_extract_all(s["text"], F.lit(pattern), F.lit(0)), joined)
 
-    return run(text)
+        return step
+
+    for rule in gate.rules if gate.mode != "off" else ():
+        state = _let(state, apply(rule))
+    total = lambda s: F.aggregate(s["counts"], F.lit(0), lambda n, x: n + x["value"])
+    out = _let(state, lambda s: F.struct(s["text"].alias("text"), F.map_from_entries(s["counts"]).alias("counts"), total(s).alias("total")))
+    nothing = F.struct(text.alias("text"), F.map_from_entries(none).alias("counts"), F.lit(0).alias("total"))
+    return F.when(text.isNull(), nothing).otherwise(out)
 
 
 def _pattern(rule: str) -> str:
@@ -135,12 +183,7 @@ def _pattern(rule: str) -> str:
 def matches(text: Column, rule: str) -> Column:
     """All matches of one rule in a text, after its validator."""
     found = F.regexp_extract_all(text, F.lit(_pattern(rule)), F.lit(0))
-    digits = lambda x: F.regexp_replace(x, "[^0-9]", "")
-    if rule == "card":
-        return F.filter(found, lambda x: F.length(digits(x)).between(12, 19) & F.call_function("luhn_check", digits(x)))
-    if rule == "phone":
-        return F.filter(found, lambda x: F.length(digits(x)).between(9, 15))
-    return found
+    return F.filter(found, lambda x: _holds(rule, x)) if rule in ("card", "phone") else found
 
 
 def count(text: Column, rule: str) -> Column:

@@ -81,23 +81,25 @@ def as_text(value: Any) -> str | None:
     return compact(value) if isinstance(value, (dict, list)) else None
 
 
-def render_messages(raw: str) -> str:
-    """A JSON message, or list of messages, as ``role: content`` lines; anything else as it is."""
-    body = raw.strip()
-    if body[:1] not in ("[", "{"):
-        return raw
-    try:
-        parsed = json.loads(body)
-    except ValueError:
-        return raw
-    lines = []
-    for message in parsed if isinstance(parsed, list) else [parsed]:
-        if not isinstance(message, dict):
-            lines.append(as_text(message) or "")
-            continue
-        role = as_text(message.get("role"))
-        if role is None or "content" not in message:
-            return raw
-        content = message["content"]
-        lines.append(f"{role}: {content if isinstance(content, str) else compact(content)}")
-    return raw if not lines else lines[0] if len(lines) == 1 else "\n" + "\n".join(lines)
+def render_messages(raw: Column) -> Column:
+    """A JSON message, or list of messages, as ``role: content`` lines; anything else as it is. Native throughout.
+
+    A list's elements come as JSON text each, so an object is told from a plain value by its first character; a
+    message needs a role and a content, and content that is no string stays JSON.
+    """
+    let = lambda value, body: F.get(F.transform(F.array(value), body), F.lit(0))
+    body = F.trim(F.regexp_replace(raw, r"^\s+|\s+$", ""))
+
+    def line(x: Column) -> Column:
+        said = F.from_json(x, "role string, content string")
+        message = let(said, lambda m: F.when(F.coalesce(m["role"], F.lit("")) != "", F.concat(m["role"], F.lit(": "), F.coalesce(m["content"], F.lit("null")))))
+        whole = F.coalesce(F.array_contains(F.json_object_keys(x), "content"), F.lit(False))
+        return F.when(~F.startswith(x, F.lit("{")), x).when(whole, message)
+
+    def shown(lines: Column) -> Column:
+        several = F.concat(F.lit("\n"), F.array_join(lines, "\n"))
+        return F.when((F.size(lines) == 0) | F.exists(lines, lambda x: x.isNull()), raw).when(F.size(lines) == 1, F.get(lines, F.lit(0))).otherwise(several)
+
+    items = F.when(F.startswith(body, F.lit("[")), F.from_json(body, "array<string>")).otherwise(F.array(body))
+    rendered = let(F.transform(items, lambda x: line(F.coalesce(x, F.lit("")))), shown)
+    return F.when(F.coalesce(body, F.lit("")).rlike(r"^[\[{]"), F.coalesce(rendered, raw)).otherwise(raw)

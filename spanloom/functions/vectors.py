@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..session import ship
 
 
 def as_double(v: Column) -> Column:
@@ -61,17 +68,58 @@ def fold_centroid(centroid: Column, count: Column, total: Column, added: Column)
     return F.zip_with(centroid, total, lambda c, s: (c * count + s) / (count + added))
 
 
+#: Bytes of centroids that are held beside every task; more are joined by scope.
+HELD_BYTES = 64 << 20
+
+
 def nearest(items: DataFrame, themes: DataFrame, item: str = "item_id", scope: list[str] | None = None) -> DataFrame:
     """Each item's most similar theme within its scope, ties to the smallest theme id.
 
-    ``items(item, scope.., vector)`` and ``themes(theme_id, scope.., centroid)``. The themes are a
-    registry, not data; Spark broadcasts them while they stay below its broadcast threshold, and joins
-    by scope beyond it. Only one row for each item survives, through a bounded aggregate.
+    ``items(item, scope.., vector)`` and ``themes(theme_id, scope.., centroid)``. While the themes' centroids take
+    HELD_BYTES at most, which is measured, they go to every task, and a batch of items is one matrix product and
+    a row's best place; no pairs are made and nothing is shuffled. Beyond that, items and themes are joined by scope.
     """
     scope = scope or []
+    size = themes.agg(F.coalesce(F.sum(F.size("centroid") * 8 + 64), F.lit(0)).alias("n")).first().n
+    if size > HELD_BYTES:
+        return _nearest_joined(items, themes, item, scope)
+    ship(items.sparkSession)
+    held: dict[tuple, tuple[list[str], np.ndarray]] = {}
+    rows = themes.select("theme_id", *scope, as_double(F.col("centroid")).alias("centroid")).collect()
+    for r in sorted(rows, key=lambda r: r.theme_id):
+        held.setdefault(tuple(r[c] for c in scope), []).append(r)
+    known = {k: ([r.theme_id for r in own], _units(own[0].centroid, [r.centroid for r in own])) for k, own in held.items()}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            parts = batch.groupby(scope, sort=False, dropna=False) if scope else [((), batch)]
+            for key, part in parts:
+                names, units = known.get(tuple(key), ([], None))
+                if not names:
+                    continue
+                wide = {len(v) for v in part["vector"]} - {units.shape[1]}
+                if wide:
+                    raise ValueError(f"vectors differ in size: {wide.pop()} and {units.shape[1]}")
+                found = np.clip(_units(part["vector"].iloc[0], part["vector"].tolist()) @ units.T, -1.0, 1.0)
+                at = found.argmax(axis=1)
+                yield part[[item, *scope]].assign(theme_id=[names[i] for i in at], similarity=found[np.arange(len(at)), at])
+
+    own = items.select(item, *scope, as_double(F.col("vector")).alias("vector"))
+    fields = [own.schema[c] for c in (item, *scope)]
+    return own.mapInPandas(run, T.StructType([*fields, T.StructField("theme_id", T.StringType()), T.StructField("similarity", T.DoubleType())]))
+
+
+def _units(first, vectors: list) -> np.ndarray:
+    x = np.array(vectors, np.float64).reshape(len(vectors), len(first))
+    size = np.linalg.norm(x, axis=1, keepdims=True)
+    return np.divide(x, size, out=np.zeros_like(x), where=size > 0)
+
+
+def _nearest_joined(items: DataFrame, themes: DataFrame, item: str, scope: list[str]) -> DataFrame:
+    """The same by pairs: a group limit by item keeps one of them before anything else is shuffled."""
     left = items.withColumn("_n", norm(F.col("vector")))
     right = themes.withColumn("_m", norm(F.col("centroid")))
-    pairs = left.join(right, scope, "inner") if scope else left.crossJoin(F.broadcast(right))
+    pairs = left.withColumn("_one", F.lit(1)).join(right.withColumn("_one", F.lit(1)), [*scope, "_one"]).drop("_one")
     scored = pairs.select(item, *scope, "theme_id", cosine(F.col("vector"), F.col("centroid"), F.col("_n"), F.col("_m")).alias("similarity"))
     best = Window.partitionBy(item, *scope).orderBy(F.desc("similarity"), "theme_id")
     return scored.withColumn("_r", F.row_number().over(best)).where("_r = 1").drop("_r")

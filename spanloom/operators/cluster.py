@@ -4,7 +4,8 @@ Two groups merge only if their average distance is within the threshold, so some
 final cluster therefore lies inside one connected component of the graph of pairs within the threshold, and
 components don't influence each other: (1) block pairs of vectors are compared by matrix products and give
 edges; (2) components of the edges; (3) exact average linkage within each component. Memory follows the
-largest component and not the whole set. ``discover_vectors`` is the plain form for one group.
+largest component and not the whole set. A scope of at most DIRECT vectors is one task's work from the start, as
+three rounds of jobs would cost more than its matrix. ``discover_vectors`` is the plain form for one group.
 """
 
 from __future__ import annotations
@@ -16,13 +17,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import checkpointed, ship
 
 MERGE_THRESHOLD = 0.35
 MIN_CLUSTER_SIZE = 5
 BLOCK = 1024
 #: Vectors of one component; beyond it the matrix of one task would pass 1.2 GB.
 MAX_COMPONENT = 12_000
+#: Vectors of a scope that one task links without looking for components first.
+DIRECT = 2_500
 _SLACK = 1e-9
 
 
@@ -140,13 +143,13 @@ def components(items: DataFrame, links: DataFrame, scope: list[str]) -> DataFram
     Labels take the least of their neighbourhood and then jump to their label's label; rounds are written
     to the checkpoint folder, so lineage stays short and a lost executor costs no more than a read.
     """
-    both = links.select(*scope, F.col("a").alias("u"), F.col("b").alias("v")).unionByName(links.select(*scope, F.col("b").alias("u"), F.col("a").alias("v"))).distinct().checkpoint()
-    labels = items.select(*scope, "id", F.col("id").alias("root")).checkpoint()
+    both = checkpointed(links.select(*scope, F.col("a").alias("u"), F.col("b").alias("v")).unionByName(links.select(*scope, F.col("b").alias("u"), F.col("a").alias("v"))).distinct())
+    labels = checkpointed(items.select(*scope, "id", F.col("id").alias("root")))
     while True:
         around = both.join(labels.withColumnsRenamed({"id": "v", "root": "r"}), [*scope, "v"]).groupBy(*scope, F.col("u").alias("id")).agg(F.min("r").alias("least"))
         met = labels.join(around, [*scope, "id"], "left").select(*scope, "id", F.least("root", F.coalesce("least", "root")).alias("root"), F.col("root").alias("was"))
         jumps = met.select(*scope, F.col("id").alias("root"), F.col("root").alias("next"))
-        moved = met.join(jumps, [*scope, "root"], "left").select(*scope, "id", F.least("root", F.coalesce("next", "root")).alias("root"), "was").checkpoint()
+        moved = checkpointed(met.join(jumps, [*scope, "root"], "left").select(*scope, "id", F.least("root", F.coalesce("next", "root")).alias("root"), "was"))
         if moved.where("root <> was").isEmpty():
             return moved.drop("was")
         labels = moved.drop("was")
@@ -155,9 +158,6 @@ def components(items: DataFrame, links: DataFrame, scope: list[str]) -> DataFram
 def discover(items: DataFrame, scope: list[str], threshold: float = MERGE_THRESHOLD, least: int = MIN_CLUSTER_SIZE) -> DataFrame:
     """``items(scope.., id, vector)`` -> (scope, id, cluster): the least id of its cluster, null for noise."""
     ship(items.sparkSession)
-    named = components(items, edges(items, scope, threshold, spanning=True).drop("distance"), scope)
-    mass = named.groupBy(*scope, "root").agg(F.count("*").alias("_n"))
-    worth = items.join(named, [*scope, "id"]).join(mass, [*scope, "root"])
     kinds = {f.name: f.dataType.simpleString() for f in items.schema.fields}
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in scope) + f", id {kinds['id']}, cluster {kinds['id']}"
 
@@ -172,22 +172,15 @@ def discover(items: DataFrame, scope: list[str], threshold: float = MERGE_THRESH
                 out[i] = ids[members[0]]
         return group[[*scope, "id"]].assign(cluster=pd.Series(out, dtype=object))
 
+    sizes = items.groupBy(*scope).agg(F.count("*").alias("_n"))
+    wide = checkpointed(sizes.where(F.col("_n") > DIRECT).select(*scope))
+    if wide.isEmpty():
+        return items.groupBy(*scope).applyInPandas(link, schema)
+    narrow = items.join(wide, scope, "left_anti").groupBy(*scope).applyInPandas(link, schema)
+    rest = items.join(wide, scope, "left_semi")
+    named = components(rest, edges(rest, scope, threshold, spanning=True).drop("distance"), scope)
+    mass = named.groupBy(*scope, "root").agg(F.count("*").alias("_n"))
+    worth = rest.join(named, [*scope, "id"]).join(mass, [*scope, "root"])
     large = worth.where(F.col("_n") >= least).groupBy(*scope, "root").applyInPandas(link, schema)
     small = worth.where(F.col("_n") < least).select(*scope, "id", F.lit(None).cast(kinds["id"]).alias("cluster"))
-    return large.unionByName(small)
-
-
-def leaders(vectors: np.ndarray, radius: float) -> Iterator[tuple[int, int]]:
-    """The optional leader pass: (row, leader's number), each row to its nearest leader within ``radius``."""
-    unit = _unit(np.asarray(vectors, np.float64))
-    sums: list[np.ndarray] = []
-    for i, v in enumerate(unit):
-        if sums:
-            d = 1.0 - _unit(np.array(sums)) @ v
-            at = int(d.argmin())
-            if d[at] <= radius:
-                sums[at] = sums[at] + v
-                yield i, at
-                continue
-        sums.append(v.copy())
-        yield i, len(sums) - 1
+    return narrow.unionByName(large).unionByName(small)

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..schemas import ASSIGNMENT, THEME, columns
-from ..session import ship
+from ..session import checkpointed, ship
 from . import cluster, stats
 
 ASSIGN_THRESHOLD = 0.72
@@ -148,7 +148,7 @@ def discover(pool: DataFrame, labels: DataFrame | None, first_number: int, now:
     commonest summary does. Theme numbers follow agent, facet order, size and first member.
     """
     items = pool.select(*SCOPE, F.col("trace_id").alias("id"), V.as_double(F.col("embedding")).alias("vector"))
-    found = cluster.discover(items, SCOPE, threshold, least).checkpoint()
+    found = checkpointed(cluster.discover(items, SCOPE, threshold, least))
     members = pool.join(found.withColumnRenamed("id", "trace_id").where("cluster is not null"), [*SCOPE, "trace_id"])
     centers = V.mean_vectors(members, [*SCOPE, "cluster"], "embedding")
     facts = members.groupBy(*SCOPE, "cluster").agg(F.count("*").cast("int").alias("member_count"), F.min("window").alias("first_window"), F.max("window").alias("last_seen_window"))
@@ -156,7 +156,8 @@ def discover(pool: DataFrame, labels: DataFrame | None, first_number: int, now:
     numbered = facts.withColumn("number", F.row_number().over(Window.orderBy("agent_id", rank, "facet", F.desc("member_count"), "cluster")) + (first_number - 1))
     if labels is None:
         labels = stub_labels(members)
-    named = numbered.join(centers, [*SCOPE, "cluster"]).join(labels, [*SCOPE, "cluster"], "left").withColumn("id", F.concat(F.lit(prefix), F.col("number").cast("string"))).checkpoint()
+    named = numbered.join(centers, [*SCOPE, "cluster"]).join(labels, [*SCOPE, "cluster"], "left").withColumn("id", F.concat(F.lit(prefix), F.col("number").cast("string")))
+    named = checkpointed(named)
     scored = members.join(named.select(*SCOPE, "cluster", F.col("id").alias("theme_id"), "centroid"), [*SCOPE, "cluster"])
     assigned = scored.select("trace_id", *SCOPE, "theme_id", V.cosine(V.as_double(F.col("embedding")), F.col("centroid")).alias("similarity"), "window")
     listed = stats.exemplar_lists(assigned, max_exemplars).withColumnRenamed("theme_id", "id")

@@ -1,8 +1,9 @@
 """Window statistics over the assignment table: counts, shares, series, deltas, report, check, alerts.
 
 Every view is a function of the same counts, for all agents and facets at once. The fact table is shuffled
-once, on (agent, facet, window, theme), after partial aggregation; what follows works on the counts, whose
-size is themes times windows and not the number of traces. Windows are ordered by their names.
+on (agent, facet, window, theme), after partial aggregation; what follows works on the counts, whose
+size is themes times windows and not the number of traces. Views take the assignments themselves or what
+``counted`` has made of them: that is written once, so that several views scan the assignments once. Windows are ordered by their names.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import sparkline
+from ..session import checkpointed
 
 SCOPE = ["agent_id", "facet"]
 #: No change below this share counts as exceeding a theme's history.
@@ -24,9 +26,19 @@ def counts_by_window(assignments: DataFrame) -> DataFrame:
     return counts.withColumn("total", F.sum("n").over(Window.partitionBy(*SCOPE, "window")))
 
 
+def counted(assignments: DataFrame) -> DataFrame:
+    """The counts, written and read again: what all views of one call start from."""
+    return checkpointed(counts_by_window(assignments))
+
+
+def _counts(given: DataFrame) -> DataFrame:
+    return given if {"n", "total"} <= set(given.columns) else counts_by_window(given)
+
+
 def windows(assignments: DataFrame) -> DataFrame:
     """Distinct windows of each scope, with their totals and residual counts."""
-    return assignments.groupBy(*SCOPE, "window").agg(F.count("*").alias("total"), F.count_if(F.col("theme_id").isNull()).alias("residual"))
+    residual = F.coalesce(F.sum(F.when(F.col("theme_id").isNull(), F.col("n"))), F.lit(0).cast("long"))
+    return _counts(assignments).groupBy(*SCOPE, "window").agg(F.sum("n").alias("total"), residual.alias("residual"))
 
 
 def residual_share(assignments: DataFrame) -> DataFrame:
@@ -54,7 +66,7 @@ def all_pairs(assignments: DataFrame) -> DataFrame:
 
 def grid(assignments: DataFrame) -> DataFrame:
     """Dense: each theme seen in a scope in each of its windows, zeros included."""
-    counts = counts_by_window(assignments)
+    counts = _counts(assignments)
     own = counts.groupBy(*SCOPE, "window").agg(F.max("total").alias("total"))
     themes = counts.where("theme_id is not null").select(*SCOPE, "theme_id").distinct()
     dense = themes.join(own, SCOPE).join(counts.drop("total"), [*SCOPE, "window", "theme_id"], "left")
@@ -106,18 +118,20 @@ def delta_summary(assignments: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def facet_report(assignments: DataFrame, themes: DataFrame, at: DataFrame | None = None) -> DataFrame:
-    """All themes of the registry in each scope's window (the latest, unless ``at`` names one)."""
+    """All themes of the registry in each scope's window (the latest, unless ``at`` names one), beside that window's residual share."""
     dense = grid(assignments)
     order = Window.partitionBy(*SCOPE, "theme_id").orderBy("window")
     lagged = dense.withColumn("previous_share", F.lag("share").over(order)).withColumn("history", F.collect_list("share").over(order))
     chosen = at if at is not None else latest_windows(assignments, 1).select(*SCOPE, "window")
     current = lagged.join(chosen, [*SCOPE, "window"])
     known = themes.select("agent_id", "facet", F.col("id").alias("theme_id"), "label", "state", "member_count", "first_window")
-    rows = known.join(chosen.withColumnRenamed("window", "report_window"), SCOPE, "left").join(current, [*SCOPE, "theme_id"], "left")
+    residual = residual_share(assignments).select(*SCOPE, "window", F.col("share").alias("residual_share"))
+    named = chosen.join(residual, [*SCOPE, "window"], "left").withColumnRenamed("window", "report_window")
+    rows = known.join(named, SCOPE, "left").join(current, [*SCOPE, "theme_id"], "left")
     history = F.coalesce("history", F.array().cast("array<double>"))
     share, n = F.coalesce("share", F.lit(0.0)), F.coalesce("n", F.lit(0).cast("long"))
     return rows.select(
-        *SCOPE, "theme_id", "label", "state", "member_count", F.col("report_window").alias("window"), n.alias("n"), share.alias("share"), F.col("previous_share"), (share - F.col("previous_share")).alias("delta"), history.alias("history"), sparkline(history).alias("spark"), F.coalesce((F.col("first_window") == F.col("report_window")) & (n > 0), F.lit(False)).alias("is_new_here")
+        *SCOPE, "theme_id", "label", "state", "member_count", F.col("report_window").alias("window"), n.alias("n"), share.alias("share"), F.col("previous_share"), (share - F.col("previous_share")).alias("delta"), history.alias("history"), sparkline(history).alias("spark"), F.coalesce((F.col("first_window") == F.col("report_window")) & (n > 0), F.lit(False)).alias("is_new_here"), "residual_share"
     ).orderBy(*SCOPE, F.desc("share"), F.desc("member_count"), "theme_id")
 
 
@@ -139,7 +153,7 @@ def pending_alerts(assignments: DataFrame, themes: DataFrame, log: DataFrame) ->
     event = F.when((F.col("state") == "regressed") & (F.col("last_seen_window") == F.col("window")), "regressed").when((F.col("state") == "new") & (F.col("first_window") == F.col("window")), "new")
     found = themes.join(latest, SCOPE).withColumn("event", event).where("event is not null").withColumnRenamed("id", "theme_id")
     fresh = found.join(log.select("agent_id", "theme_id", "event", "window"), ["agent_id", "theme_id", "event", "window"], "left_anti")
-    n = counts_by_window(assignments).where("theme_id is not null").select(*SCOPE, "window", "theme_id", "n")
+    n = _counts(assignments).where("theme_id is not null").select(*SCOPE, "window", "theme_id", "n")
     counted = fresh.join(n, [*SCOPE, "window", "theme_id"], "left")
     return counted.select("agent_id", "facet", "theme_id", "label", "event", "window", "state", F.coalesce("n", F.lit(0).cast("long")).alias("n"), F.coalesce(F.col("n") / F.col("total"), F.lit(0.0)).alias("share"), "member_count")
 

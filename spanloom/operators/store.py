@@ -47,6 +47,24 @@ def distinct_agents(traces: DataFrame) -> DataFrame:
     return traces.select("agent_id").distinct().orderBy("agent_id")
 
 
+def distinct_facets(table: DataFrame) -> DataFrame:
+    return table.select("facet").distinct().orderBy("facet")
+
+
+def counts(table: DataFrame, **equal: str | None) -> DataFrame:
+    """How many rows there are, of those that equal the given values where any are given."""
+    for name, value in equal.items():
+        if value is not None:
+            table = table.where(F.col(name) == value)
+    return table.agg(F.count("*").alias("n"))
+
+
+def window_for(traces: DataFrame, trace_id: str) -> str | None:
+    """The window that a trace belongs to; None if there is no such trace."""
+    found = get(traces, id=trace_id).select(window_of(F.col("version"), F.col("started_at")).alias("window")).first()
+    return found.window if found else None
+
+
 def needing_summaries(traces: DataFrame, summaries: DataFrame, facets: list[str], agent_id: str | None = None, since: datetime | None = None) -> DataFrame:
     """Traces with fewer summaries than there are facets: one aggregate of the summaries, one left join."""
     have = summaries.where(F.col("facet").isin(facets)).groupBy(F.col("trace_id").alias("id")).agg(F.count("*").alias("_have"))

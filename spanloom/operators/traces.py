@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,14 +45,6 @@ def _has_exception(span: Column) -> Column:
     return F.coalesce(F.exists(span["events"], lambda e: F.coalesce(e["name"] == "exception", F.lit(False))), F.lit(False))
 
 
-def _messages(raw: Column) -> Column:
-    @F.pandas_udf("string")
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda x: None if x is None else render_messages(x))
-
-    return run(raw)
-
-
 def _lines(span: Column, prompt: Column, completion: Column) -> Column:
     """The lines that one span adds to its trace's text."""
     took = F.when(span["end_ms"].isNotNull(), F.concat(F.lit(" ("), F.floor(span["end_ms"] - span["start_ms"] + 0.5).cast("string"), F.lit("ms)"))).otherwise(F.lit(""))
@@ -83,7 +74,7 @@ def assemble(spans: DataFrame, agent_id: str = "default") -> DataFrame:
     """
     span = F.struct("span_id", "name", "start_ms", "end_ms", "attributes", "events", "status")
     one = spans.select("trace_id", span.alias("s"))
-    shown = one.withColumn("prompt", _messages(_pick(F.col("s"), PROMPT))).withColumn("completion", _messages(_pick(F.col("s"), COMPLETION)))
+    shown = one.withColumn("prompt", render_messages(_pick(F.col("s"), PROMPT))).withColumn("completion", render_messages(_pick(F.col("s"), COMPLETION)))
     wanted = sorted({*AGENT, *VERSION, TOOL})
     small = F.map_filter("s.attributes", lambda k, v: k.isin(wanted))
     row = F.struct(F.col("s.start_ms").alias("start_ms"), F.coalesce("s.span_id", F.lit("")).alias("span_id"), _lines(F.col("s"), F.col("prompt"), F.col("completion")).alias("text"), F.col("s.end_ms").alias("end_ms"), is_error(F.col("s")).alias("error"), F.to_json(small).alias("kept"))

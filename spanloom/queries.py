@@ -9,15 +9,17 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime, timezone
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import privacy, text
 from .functions import vectors as V
-from .functions.providers import HashEmbedder, RuleSummarizer, embed_column, estimate_cost, signals
+from .functions import rules
+from .functions.providers import HashEmbedder, embed_column, estimate_cost
 from .operators import cluster, registry, stats, store, traces
 from .session import ship
+from .sources import spans
+from .streaming import staging
 
 NOW = datetime(2024, 2, 1, tzinfo=timezone.utc)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -99,19 +101,19 @@ def _findings(found: DataFrame) -> DataFrame:
 @query(_with(_A, _T, _W, _G, _P, _D, select=f"SELECT {_D_OUT} FROM d"))
 def delta_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: what changed between each agent's last two windows."""
-    a = assignments(spark, sf_dir)
+    a = stats.counted(assignments(spark, sf_dir))
     return _findings(stats.deltas(a, themes(spark, sf_dir), stats.latest_pair(a)))
 
 
 @query(_with(_A, _T, _W, _G, _PA, _D, select=f"SELECT {_D_OUT} FROM d"))
 def delta_all_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = assignments(spark, sf_dir)
+    a = stats.counted(assignments(spark, sf_dir))
     return _findings(stats.deltas(a, themes(spark, sf_dir), stats.all_pairs(a)))
 
 
 @query(_with(_A, _T, _W, _G, _PA, _D, select="SELECT agent_id, facet, from_window, to_window, theme_id, round(to_share, 6) AS to_share, round(delta, 6) AS delta, severity, to_share >= 0.2 AS failed FROM d WHERE severity IN ('regression', 'new')"))
 def check_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = assignments(spark, sf_dir)
+    a = stats.counted(assignments(spark, sf_dir))
     found = stats.check(stats.deltas(a, themes(spark, sf_dir), stats.all_pairs(a)), min_share=0.2)
     return found.select("agent_id", "facet", "from_window", "to_window", "theme_id", F.round("to_share", 6).alias("to_share"), F.round("delta", 6).alias("delta"), "severity", "failed")
 
@@ -164,7 +166,7 @@ def latest_window_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
   round(h.share - h.previous_share, 6) AS delta, s.spark, t.first_window = h."window" AND h.n > 0 AS is_new_here
   FROM t JOIN h ON h.theme_id = t.id AND h.agent_id = t.agent_id AND h."window" = h.latest JOIN s ON s.theme_id = t.id AND s.agent_id = t.agent_id"""))
 def facet_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = stats.facet_report(assignments(spark, sf_dir), themes(spark, sf_dir))
+    found = stats.facet_report(stats.counted(assignments(spark, sf_dir)), themes(spark, sf_dir))
     r = lambda c: F.round(c, 6).alias(c)
     return found.select("agent_id", "facet", "theme_id", "label", "state", "member_count", "window", "n", r("share"), r("previous_share"), r("delta"), "spark", "is_new_here")
 
@@ -179,13 +181,15 @@ def pending_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.pending_alerts(a, themes(spark, sf_dir), log).select("agent_id", "facet", "theme_id", "event", "window", "n")
 
 
-@query(_with(_A, _T, _W, _P, """q AS (SELECT DISTINCT a.theme_id FROM a JOIN r ON r.agent_id = a.agent_id AND r."window" = a."window" WHERE r.place <= 1 AND a.theme_id IS NOT NULL AND CAST(a.trace_id AS BIGINT) % 7 > 2 AND a.theme_id <> 'signup-0')""",
-  select="SELECT id FROM t WHERE state IN ('new', 'active', 'regressed') AND id NOT IN (SELECT theme_id FROM q)"))
+@query("WITH " + _A + ", " + _T + """, s AS (SELECT * FROM a WHERE NOT (coalesce(theme_id, '') IN ('signup-0', 'click-1', 'error-2', 'purchase-0') AND "window" >= '2024-01-15')),
+  recent AS (SELECT agent_id, facet, "window", dense_rank() OVER (PARTITION BY agent_id, facet ORDER BY "window" DESC) AS place, count(*) OVER (PARTITION BY agent_id, facet) AS windows FROM (SELECT DISTINCT agent_id, facet, "window" FROM s)),
+  lively AS (SELECT DISTINCT s.theme_id FROM s JOIN recent r ON r.agent_id = s.agent_id AND r.facet = s.facet AND r."window" = s."window" WHERE r.place <= 2 AND s.theme_id IS NOT NULL)
+  SELECT id FROM t WHERE state NOT IN ('resolved', 'muted') AND EXISTS (SELECT 1 FROM recent r WHERE r.agent_id = t.agent_id AND r.facet = t.facet AND r.windows > 2) AND NOT EXISTS (SELECT 1 FROM lively l WHERE l.theme_id = t.id)""")
 def auto_resolve_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Themes without a trace in the last window; the fixture silences one theme."""
+    """Open themes without a trace in the last two windows; the fixture silences four themes from the third week on."""
     a = assignments(spark, sf_dir)
-    silent = a.where("theme_id is null or theme_id <> 'signup-0' or window < '2024-01-15'")
-    return stats.empty_windows(silent, themes(spark, sf_dir), 1)
+    quiet = F.coalesce(F.col("theme_id").isin("signup-0", "click-1", "error-2", "purchase-0"), F.lit(False)) & (F.col("window") >= "2024-01-15")
+    return stats.empty_windows(a.where(~quiet), themes(spark, sf_dir), 2)
 
 
 @query(_with(_A, _W, _P, select="""SELECT w.agent_id, w.facet, w."window", round(w.residual / CAST(w.total AS DOUBLE), 6) AS residual_share, w.residual / CAST(w.total AS DOUBLE) > 0.08 AS needed FROM w JOIN r ON r.agent_id = w.agent_id AND r.facet = w.facet AND r."window" = w."window" WHERE r.place = 1"""))
@@ -261,10 +265,9 @@ def settled_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
   n AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session FROM s) SELECT user_id, CAST(session AS BIGINT) AS session, min(ts) AS first_at, max(ts) AS last_at, count(*) AS spans FROM n GROUP BY user_id, session""")
 def session_settle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sessions closed by twelve quiet hours: the batch form of quiet-period assembly."""
-    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    e = read(spark, sf_dir, "events").withColumn("before", F.lag("ts").over(order))
-    opens = F.when(F.col("ts") - F.col("before") <= F.expr("interval 12 hours"), 0).otherwise(1)
-    return e.withColumn("session", F.sum(opens).over(order)).groupBy("user_id", "session").agg(F.min("ts").alias("first_at"), F.max("ts").alias("last_at"), F.count("*").alias("spans"))
+    rows = read(spark, sf_dir, "events").select(F.col("user_id").alias("trace_id"), F.col("ts").alias("received_at"))
+    found = staging.quiet_periods(rows, "12 hours", F.count("*").alias("spans")).withColumnRenamed("trace_id", "user_id")
+    return found.withColumn("session", F.row_number().over(Window.partitionBy("user_id").orderBy("first_at")).cast("long"))
 
 
 @query("""WITH b AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events) SELECT user_id, event_id, event_type FROM b WHERE r = 1 AND user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'signup' AND value > 100)""")
@@ -286,6 +289,31 @@ def span_dedupe_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", traces.dedupe_key(F.when(F.col("event_id") % 3 == 0, F.col("event_id").cast("string")), F.concat("props", "event_type")).alias("span_key"))
 
 
+def span_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A line for each event, in one of three span shapes, and some that are none: (line_no, value)."""
+    e = read(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    n, ms = F.col("event_id"), F.unix_millis("ts")
+    quoted = lambda x: F.to_json(F.struct(x.alias("v")))
+    k = F.get_json_object("props", "$.k")
+    flat = F.format_string('{"trace_id":"u%s","span_id":"s%s","name":"%s","start_time":%s,"end_time":"%s","attributes":{"k":%s,"kind":"%s","none":null},"status":{"code":%s}}', "user_id", n, "event_type", ms, F.date_format(F.timestamp_millis(ms + 1500), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"), k, "event_type", F.when(F.col("event_type") == "error", F.lit("2")).otherwise('"OK"'))
+    wire = '{"traceId":"u%s","spanId":"s%s","startTimeUnixNano":"%s000000","endTimeUnixNano":%s000000,"attributes":[{"key":"k","value":{"intValue":"%s"}},{"key":"kind","value":{"stringValue":"%s"}},{"key":"list","value":{"arrayValue":{"values":[{"boolValue":true},{"doubleValue":2.5}]}}}]}'
+    camel = F.format_string(wire, "user_id", n, ms, ms + 1500, k, "event_type")
+    envelope = F.format_string('{"resourceSpans":[{"resource":{"attributes":[{"key":"service.name","value":{"stringValue":"svc"}},{"key":"k","value":{"intValue":9}}]},"scopeSpans":[{"spans":[%s]}]}]}', camel)
+    bad = F.when(n % 50 == 7, "not json").when(n % 50 == 8, '{"name":"no trace"}').when(n % 50 == 9, " ").when(n % 50 == 10, "[1]")
+    return e.select(n.alias("line_no"), F.coalesce(bad, F.when(n % 3 == 0, flat).when(n % 3 == 1, camel).otherwise(envelope)).alias("value"))
+
+
+@query("""WITH e AS (SELECT event_id AS n, event_id % 50 AS odd, event_id % 3 AS shape, epoch_us(ts) // 1000 AS ms, * FROM events WHERE event_id % 50 <> 9), g AS (SELECT *, odd IN (7, 8, 10) AS bad FROM e)
+  SELECT n AS line_no, CASE WHEN NOT bad THEN 'u' || user_id END AS trace_id, CASE WHEN NOT bad THEN 's' || event_id END AS span_id, CASE WHEN NOT bad AND shape = 0 THEN event_type END AS name, CASE WHEN NOT bad THEN CAST(ms AS DOUBLE) END AS start_ms, CASE WHEN NOT bad THEN CAST(ms + 1500 AS DOUBLE) END AS end_ms,
+  CASE WHEN NOT bad THEN json_extract_string(props, '$.k') END AS k, CASE WHEN NOT bad THEN event_type END AS kind, CASE WHEN NOT bad AND shape <> 0 THEN '[true,2.5]' END AS list, CASE WHEN NOT bad AND shape = 2 THEN 'svc' END AS service,
+  CASE WHEN bad OR shape <> 0 THEN NULL WHEN event_type = 'error' THEN '2' ELSE 'OK' END AS code, CASE WHEN NOT bad AND shape = 0 AND event_type = 'error' THEN 2 END AS code_num, CASE odd WHEN 7 THEN 'line ' || n || ': invalid JSON' WHEN 8 THEN 'line ' || n || ': span has no trace id' WHEN 10 THEN 'line ' || n || ': not a JSON object' END AS error FROM g""")
+def span_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of three shapes, and of none, as normalized spans and rejected lines."""
+    found = spans.parse_lines(span_lines(spark, sf_dir))
+    attr = lambda name: F.try_element_at("attributes", F.lit(name))
+    return found.select("line_no", "trace_id", "span_id", "name", F.round("start_ms", 1).alias("start_ms"), F.round("end_ms", 1).alias("end_ms"), attr("k").alias("k"), attr("kind").alias("kind"), attr("list").alias("list"), attr("service.name").alias("service"), F.col("status.code").alias("code"), F.col("status.code_num").alias("code_num"), "error")
+
+
 # ---------------------------------------------------------------- conversations as traces and summaries
 
 
@@ -355,6 +383,15 @@ def distinct_agents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.distinct_agents(conversation_traces(spark, sf_dir))
 
 
+@query(_with(_CT, _CS, _CA, select="SELECT facet, count(*) AS summaries, count(*) FILTER (WHERE trace_id IN (SELECT trace_id FROM ca WHERE theme_id = 'T-1')) AS themed FROM cs GROUP BY facet"))
+def facet_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct facets, with counts of their summaries, and of those of traces that have a theme."""
+    s, a = conversation_summaries(spark, sf_dir), conversation_assignments(spark, sf_dir)
+    themed = s.join(store.get(a, theme_id="T-1").select("trace_id").distinct(), "trace_id", "left_semi")
+    parts = [store.counts(s, facet=f).select(F.lit(f).alias("facet"), F.col("n").alias("summaries")).crossJoin(store.counts(themed, facet=f).withColumnRenamed("n", "themed")) for f in ("goal", "outcome")]  # single rows
+    return store.distinct_facets(s).join(parts[0].unionByName(parts[1]), "facet")
+
+
 @query(_with(_CT, _CS, _CA, select="SELECT cs.trace_id, cs.facet, cs.agent_id, strftime(ct.started_at, '%Y-%m-%d') AS \"window\" FROM cs JOIN ct ON ct.id = cs.trace_id LEFT JOIN ca ON ca.trace_id = cs.trace_id AND ca.facet = cs.facet WHERE cs.embedded AND ca.theme_id IS NULL"))
 def unassigned_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     pool = store.unassigned_pool(conversation_summaries(spark, sf_dir), conversation_traces(spark, sf_dir), conversation_assignments(spark, sf_dir))
@@ -398,26 +435,39 @@ def stub_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registry.stub_labels(members).select(F.col("cluster").alias("source"), "label")
 
 
-@query()
+def told_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's day as rendered text: requests, steps, tools, errors, waits and answers by event type."""
+    k = F.get_json_object("props", "$.k").cast("int")
+    say = lambda head, x, tail="": F.concat(F.lit(head), x.cast("string"), F.lit(tail))
+    kind = F.col("event_type")
+    line = F.when(kind == "signup", say("input: join ", k)).when(kind == "click", say("tool: t", k % 3, " args: {}")).when(kind == "error", say("ERROR: code ", k % 4)).when(kind == "purchase", say("output: bought ", k)).when(k % 7 == 0, say("page ", k, " timed out")).otherwise(say("## page (", k, "ms)"))
+    e = read(spark, sf_dir, "events").select(F.concat_ws("/", F.col("user_id").cast("string"), F.date_format("ts", "yyyy-MM-dd")).alias("id"), F.struct("ts", "event_id", line.alias("line")).alias("x"))
+    return e.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["line"]), "\n").alias("text"))
+
+
+@query("""WITH e AS (SELECT CAST(user_id AS VARCHAR) || '/' || strftime(ts, '%Y-%m-%d') AS id, event_type AS kind, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, row_number() OVER (PARTITION BY user_id, strftime(ts, '%Y-%m-%d') ORDER BY ts, event_id) AS place FROM events),
+  tools AS (SELECT id, 't' || (k % 3) AS tool, min(place) AS place, count(*) AS n FROM e WHERE kind = 'click' GROUP BY id, k % 3),
+  used AS (SELECT id, string_agg(tool, ', ' ORDER BY place) AS tools, coalesce(string_agg(tool, ', ' ORDER BY place) FILTER (WHERE n > 1), '') AS repeated, count(*) AS kinds FROM tools GROUP BY id),
+  f AS (SELECT e.id, bool_or(kind = 'view' AND k % 7 = 0) AS late, count(*) FILTER (WHERE kind = 'view' AND k % 7 <> 0) AS steps, coalesce(max(k) FILTER (WHERE kind = 'view' AND k % 7 <> 0), 0) AS slowest, arg_min('code ' || (k % 4), place) FILTER (WHERE kind = 'error') AS error,
+    arg_min('join ' || k, place) FILTER (WHERE kind = 'signup') AS asked, arg_max('bought ' || k, place) FILTER (WHERE kind = 'purchase') AS said FROM e GROUP BY e.id),
+  g AS (SELECT f.*, coalesce(u.tools, '') AS tools, coalesce(u.repeated, '') AS repeated, coalesce(u.kinds, 0) AS kinds, steps || CASE WHEN steps = 1 THEN ' step' ELSE ' steps' END AS taken FROM f LEFT JOIN used u ON u.id = f.id)
+  SELECT id, steps, slowest, coalesce(asked, 'nothing asked') AS goal, CASE WHEN late THEN 'not done, ran out of time' WHEN error IS NOT NULL THEN 'not done, error: ' || error WHEN said IS NOT NULL THEN 'done, said: ' || said ELSE 'open, nothing said in the end' END AS outcome,
+  CASE WHEN repeated <> '' THEN 'calls over and over: ' || repeated || CASE WHEN late THEN '; ran out of time' ELSE '' END WHEN late AND kinds > 0 THEN 'waits too long for: ' || tools WHEN late THEN 'waits too long' WHEN error IS NOT NULL THEN 'meets an error: ' || error WHEN kinds > 0 THEN 'one call each: ' || tools || '; ' || taken ELSE 'no tools; ' || taken END AS behavior,
+  CASE WHEN late OR error IS NOT NULL THEN 'likely annoyed' ELSE 'even' END AS sentiment, CASE WHEN error IS NOT NULL OR late THEN 'at ' || coalesce(nullif(split_part(tools, ', ', 1), ''), 'no tool') || ': ' || coalesce(error, 'timeout') ELSE 'none' END AS failure_stage FROM g""")
 def rule_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One line for each facet of each assembled trace, by rules."""
-    ship(spark)
-
-    @F.pandas_udf("struct<behavior:string,outcome:string,tools:int>")
-    def run(texts: pd.Series) -> pd.DataFrame:
-        model = RuleSummarizer()
-        found = [signals(t) for t in texts]
-        return pd.DataFrame({"behavior": [model.line("behavior", s) for s in found], "outcome": [model.line("outcome", s) for s in found], "tools": [len(s.tools) for s in found]})
+    """Signals of each day's text, and one line for each of several facets, by rules."""
+    told = told_days(spark, sf_dir).select("id", rules.signals(F.col("text")).alias("s"), rules.summaries(F.col("text"), ["goal", "outcome", "behavior", "sentiment", "failure-stage"]).alias("m"))
+    return told.select("id", F.col("s.steps").cast("long").alias("steps"), F.col("s.slowest_ms").alias("slowest"), *[F.col("m")[f].alias(f.replace("-", "_")) for f in ("goal", "outcome", "behavior", "sentiment", "failure-stage")])
 
-    return traces.assemble(event_spans(spark, sf_dir)).select("id", run("text").alias("s")).select("id", "s.*")
 
-
-@query()
+@query("""WITH t AS (SELECT conv_id, turn, md5(unnest(regexp_extract_all(lower(text), '[a-z0-9]+'))) AS h FROM conversations),
+  c AS (SELECT conv_id, turn, CAST('0x' || substr(h, 1, 7) AS BIGINT) % 64 AS pos, sum(CASE WHEN substr(h, 8, 1) >= '8' THEN 1.0 ELSE -1.0 END) AS x FROM t GROUP BY ALL), n AS (SELECT conv_id, turn, sqrt(sum(x * x)) AS size FROM c GROUP BY ALL)
+  SELECT c.conv_id, c.turn, CAST(pos AS INTEGER) AS pos, round(CAST(x / size AS DOUBLE), 6) AS x FROM c JOIN n ON n.conv_id = c.conv_id AND n.turn = c.turn WHERE x <> 0""")
 def hash_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ship(spark)
+    """Every component of every vector that isn't zero."""
     d = read(spark, sf_dir, "conversations")
     vector = embed_column(F.col("text"), HashEmbedder(64))
-    return d.select("conv_id", "turn", vector.alias("v")).select("conv_id", "turn", F.round(V.norm(F.col("v")), 6).alias("size"))
+    return d.select("conv_id", "turn", F.posexplode(vector).alias("pos", "x")).where("x <> 0").withColumn("x", F.round("x", 6))
 
 
 @query(_with(_CT, select="""SELECT count(*) AS traces, CAST(sum(least(length(text), 24000)) AS BIGINT) AS chars, count(*) * 120 AS output_tokens, count(*) * 100 AS embed_tokens FROM ct"""))
@@ -494,19 +544,35 @@ def edges_within_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster.edges(items.select("label", "id", "vector"), ["label"], 0.65).select("a", "b", F.round("distance", 6).alias("distance"))
 
 
-@query()
+_EDGES = "e AS (SELECT a, b FROM s WHERE distance <= 0.65 UNION ALL SELECT b, a FROM s WHERE distance <= 0.65)"
+
+
+@query("WITH RECURSIVE " + ", ".join((_V, _PAIR, _EDGES, "reach(id, r) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT reach.id, e.b FROM reach JOIN e ON e.a = reach.r)")) + " SELECT m.label, reach.id, min(reach.r) AS root FROM reach JOIN embeddings m ON m.vec_id = reach.id GROUP BY m.label, reach.id")
 def components(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = vector_items(spark, sf_dir).withColumnRenamed("vec_id", "id").select("label", "id", "vector")
     return cluster.components(items, cluster.edges(items, ["label"], 0.65).drop("distance"), ["label"])
 
 
-@query()
+# average linkage step by step: at each step every label merges its closest pair of groups, while there is one within the threshold
+@query("WITH RECURSIVE " + ", ".join((_V, _PAIR, """d AS (SELECT a, b, distance FROM s UNION ALL SELECT b, a, distance FROM s),
+  walk(step, label, id, grp) AS (SELECT 0, label, vec_id, vec_id FROM embeddings UNION ALL (
+    WITH g AS (SELECT x.label, x.grp AS p, y.grp AS q, avg(d.distance) AS apart FROM walk x JOIN walk y ON x.label = y.label AND x.grp < y.grp JOIN d ON d.a = x.id AND d.b = y.id GROUP BY x.label, x.grp, y.grp),
+    m AS (SELECT label, arg_min(p, (apart, p, q)) AS p, arg_min(q, (apart, p, q)) AS q FROM g WHERE apart <= 0.7 GROUP BY label)
+    SELECT w.step + 1, w.label, w.id, CASE WHEN w.grp = m.q THEN m.p ELSE w.grp END FROM walk w JOIN m ON m.label = w.label)),
+  final AS (SELECT label, id, arg_max(grp, step) AS grp FROM walk GROUP BY label, id)""")) + " SELECT label, id, CASE WHEN count(*) OVER (PARTITION BY label, grp) >= 2 THEN min(id) OVER (PARTITION BY label, grp) END AS cluster FROM final")
 def upgma_discover(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = vector_items(spark, sf_dir).withColumnRenamed("vec_id", "id").select("label", "id", "vector")
     return cluster.discover(items, ["label"], 0.7, 2)
 
 
-@query()
+# the order-dependent rule, item by item: one row holds all centroids and counts as they stand
+@query("WITH RECURSIVE " + ", ".join((_V, _C, """i AS (SELECT row_number() OVER (ORDER BY vec_id) AS n, lpad(CAST(vec_id AS VARCHAR), 9, '0') AS trace_id, 'w' || CAST(vec_id % 4 AS VARCHAR) AS w, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+  k AS (SELECT theme_id, label, list(x ORDER BY dim) AS x FROM c GROUP BY theme_id, label),
+  start AS (SELECT list(theme_id ORDER BY theme_id) AS names, list(x ORDER BY theme_id) AS means, list(label + 5 ORDER BY theme_id) AS sizes FROM k),
+  walk AS (SELECT 0 AS n, names, means, [CAST(z AS DOUBLE) for z in sizes] AS sizes, CAST(NULL AS VARCHAR) AS trace_id, CAST(NULL AS VARCHAR) AS w, CAST(NULL AS VARCHAR) AS theme_id, CAST(NULL AS DOUBLE) AS similarity FROM start UNION ALL
+    SELECT n, names, CASE WHEN best < 0.25 THEN means ELSE list_transform(means, lambda m, p: CASE WHEN p = place THEN list_transform(m, lambda y, q: (y * sizes[place] + v[q]) / (sizes[place] + 1)) ELSE m END) END,
+      CASE WHEN best < 0.25 THEN sizes ELSE list_transform(sizes, lambda z, p: CASE WHEN p = place THEN z + 1 ELSE z END) END, trace_id, w, CASE WHEN best >= 0.25 THEN names[place] END, best
+    FROM (SELECT *, list_max(sims) AS best, list_position(sims, list_max(sims)) AS place FROM (SELECT i.n, walk.names, walk.means, walk.sizes, i.trace_id, i.w, i.v, list_transform(walk.means, lambda m: list_cosine_similarity(m, i.v)) AS sims FROM walk JOIN i ON i.n = walk.n + 1)))""")) + ' SELECT trace_id, theme_id, round(similarity, 6) AS similarity, w AS "window" FROM walk WHERE n > 0')
 def assign_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The order-dependent rule, scope by scope."""
     events = registry.assign_exact(_pool(spark, sf_dir), _registry(spark, sf_dir), NOW, 0.25)
@@ -559,9 +625,31 @@ def redact_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("rule", F.col("total").cast("long").alias("total"), "texts")
 
 
-@query()
+_LUHN = """list_sum(list_transform(range(1, length({d}) + 1), lambda i: CASE WHEN (length({d}) - i) % 2 = 0 THEN CAST(substr({d}, i, 1) AS INTEGER) ELSE CAST(substr({d}, i, 1) AS INTEGER) * 2 - CASE WHEN CAST(substr({d}, i, 1) AS INTEGER) > 4 THEN 9 ELSE 0 END END)) % 10 = 0"""
+_VALID = {"card": "length({d}) BETWEEN 12 AND 19 AND " + _LUHN, "phone": "length({d}) BETWEEN 9 AND 15"}
+
+
+def _redaction_sql() -> str:
+    """A step for each rule: find, number the values by first sight, and join the pieces between with their tokens."""
+    steps = ["r0 AS (SELECT doc_id, text FROM documents)"]
+    for n, (rule, label, pattern) in enumerate(privacy.PATTERNS, 1):
+        valid = _VALID.get(rule, "true").replace("{d}", "regexp_replace(x, '[^0-9]', '', 'g')")
+        value = "split_part(x, '?', 1) || '?' || " if rule == "url" else ""
+        quoted = "'" + pattern.replace("'", "''") + "'"
+        kept = "".join(f", c{i}" for i in range(1, n))
+        steps.append(f"f{n} AS (SELECT doc_id, text{kept}, regexp_extract_all(text, {quoted}) AS m, regexp_split_to_array(text, {quoted}) AS parts FROM r{n - 1})")
+        steps.append(f"v{n} AS (SELECT *, list_filter(m, lambda x: {valid}) AS own FROM f{n})")
+        steps.append(f"d{n} AS (SELECT *, list_filter(own, lambda x, i: list_position(own, x) = i) AS known FROM v{n})")
+        token = f"CASE WHEN list_position(known, x) IS NULL THEN x ELSE {value}'<{label}_' || list_position(known, x) || '>' END"
+        steps.append(f"r{n} AS (SELECT doc_id{kept}, len(own) AS c{n}, CASE WHEN len(own) = 0 THEN text ELSE array_to_string(list_transform(parts, lambda part, i: part || coalesce(list_transform(m, lambda x: {token})[i], '')), '') END AS text FROM d{n})")
+    last = len(privacy.PATTERNS)
+    counts = ", ".join(f"CAST(c{n} AS INTEGER) AS {name}" for n, name in enumerate(privacy.RULE_NAMES, 1))
+    return f"WITH {', '.join(steps)} SELECT doc_id, text, {counts}, CAST({' + '.join(f'c{n}' for n in range(1, last + 1))} AS INTEGER) AS total FROM r{last}"
+
+
+@query(_redaction_sql())
 def redact_trace_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole gate: numbered tokens within a row, all rules in order."""
-    ship(spark)
+    """The whole gate: numbered tokens within a row, all rules in order, with counts of each."""
     d = read(spark, sf_dir, "documents").select("doc_id", privacy.redact(F.col("text")).alias("r"))
-    return d.select("doc_id", "r.text", F.col("r.total").alias("total"))
+    counts = [F.coalesce(F.try_element_at(F.col("r.counts"), F.lit(n)), F.lit(0)).alias(n) for n in privacy.RULE_NAMES]
+    return d.select("doc_id", "r.text", *counts, F.col("r.total").alias("total"))

@@ -8,7 +8,7 @@ import shutil
 import tempfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = Path(__file__).resolve().parent.parent
 _shipped: set[str] = set()
@@ -28,6 +28,20 @@ def local_session(cpus: int | str = "*", partitions: int = 8, memory: str = "8g"
     )
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` with its lineage cut, in the folder that ``spark.checkpoint.dir`` names.
+
+    Where none is set, a temporary one serves a local session, whose driver and executors are one process; on a cluster that is an error.
+    """
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        found = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not found and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(found or tempfile.mkdtemp(prefix="spanloom-"))
+    return df.checkpoint()
+
+
 def ship(spark: SparkSession) -> None:
     """Make the package importable by Python workers, once for each application.
 

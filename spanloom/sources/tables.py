@@ -158,6 +158,11 @@ class Store:
     def set_meta(self, key: str, value: str) -> None:
         self.put("meta", self.spark.createDataFrame([(key, value)], TABLES["meta"][0]))
 
+    def compact_beyond(self, name: str, folders: int = 32) -> None:
+        """Compact a table once it lies in more than so many folders, so reads stay short however long a stream runs."""
+        if len((self._pending or self.snapshot).folders.get(name, [])) > folders:
+            self.compact(name)
+
     def compact(self, name: str) -> None:
         """Rewrite a table as its current rows."""
         with self.transaction():
@@ -167,6 +172,14 @@ class Store:
 
 
 def migrate(found: Snapshot) -> Snapshot:
-    """Older snapshots: version 1 named no agents on assignments, version 2 had no alert log; both read as they are."""
+    """Older snapshots, a version at a time; tables are read by name, so what a version lacks comes as null or empty.
+
+    Version 1 kept no agent with an assignment, and its rows can't be counted by agent: they are left out, and the
+    next assignment pass makes them anew. Version 2 had no alert log: it starts empty.
+    """
+    if found.schema_version < 2:
+        found.folders = {**found.folders, "assignments": []}
+    if found.schema_version < 3:
+        found.folders = {"alert_log": [], **found.folders}
     found.schema_version = SCHEMA_VERSION
     return found

@@ -17,6 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators.store import settled_traces
 from ..operators.traces import assemble, dedupe_key
 from ..sources.spans import parse_lines
+from ..session import checkpointed
 from ..sources.tables import Store
 
 SETTLE = timedelta(seconds=30)
@@ -61,7 +62,7 @@ def run(store: Store, folder: str, checkpoint: str, settle: timedelta = SETTLE,
 def flush(store: Store, now: datetime, settle: timedelta = SETTLE, limit: int | None = None, agent_id: str = "default") -> int:
     """Assemble settled traces, insert those that are new, and clear their staged spans; one transaction."""
     pending = store.table("pending_spans")
-    ids = settled_traces(pending, now - settle, limit).select("trace_id").checkpoint()
+    ids = checkpointed(settled_traces(pending, now - settle, limit).select("trace_id"))
     if ids.isEmpty():
         return 0
     rows = pending.join(ids, "trace_id", "left_semi")
@@ -69,6 +70,8 @@ def flush(store: Store, now: datetime, settle: timedelta = SETTLE, limit: int |
     with store.transaction():
         n = store.add("traces", assemble(parse_lines(lines).where("error is null"), agent_id))
         store.delete("pending_spans", rows.select("trace_id", "span_key"))
+        for name in ("pending_spans", "traces"):
+            store.compact_beyond(name)
     return n
 
 
@@ -79,4 +82,10 @@ def pending_count(store: Store) -> int:
 def sessions(stream: DataFrame, gap: str = "30 seconds") -> DataFrame:
     """The watermark form: a trace's spans gathered by quiet period, emitted once the watermark passes it."""
     rows = staged(stream, F.col("received_at")).withWatermark("received_at", gap)
-    return rows.groupBy("trace_id", F.session_window("received_at", gap)).agg(F.collect_set(F.struct("span_key", "span")).alias("spans"), F.max("received_at").alias("last_at"))
+    return quiet_periods(rows, gap, F.collect_set(F.struct("span_key", "span")).alias("spans"))
+
+
+def quiet_periods(rows: DataFrame, gap: str, *facts) -> DataFrame:
+    """Each trace's runs of rows (trace_id, received_at) without a pause of ``gap``; of a batch or a stream."""
+    every = rows.groupBy("trace_id", F.session_window("received_at", gap)).agg(F.min("received_at").alias("first_at"), F.max("received_at").alias("last_at"), *facts)
+    return every.drop("session_window")

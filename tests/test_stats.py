@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from spanloom.config import load
 from spanloom.functions import vectors as V
-from spanloom.operators import cluster, registry, stats
+from spanloom.operators import cluster, registry, stats, store
 from spanloom.plans import export
 from spanloom.plans.pipeline import Pipeline
 from spanloom.schemas import ASSIGNMENT, THEME, columns
@@ -224,7 +224,7 @@ def test_planted_failure_end_to_end(spark, tmp_path):
     assert p.summarize()[0] == 120 and p.embed() == 480
     assert p.bootstrap() > 0 and p.pending().count() == 0
     looped = {r.trace_id for r in truth.where("scenario = 'search-retry-loop'").collect()}
-    found = p.store.table("themes").where("facet = 'behavior' and label like 'retry loop%'").first()
+    found = p.store.table("themes").where("facet = 'behavior' and label like 'calls over and over%'").first()
     members = {r.trace_id for r in p.store.table("assignments").where(F.col("theme_id") == found.id).collect()}
     assert len(members & looped) / len(members) > 0.95 and len(members & looped) / len(looped) > 0.9
     delta = {r.theme_id: r for r in p.delta().collect()}
@@ -234,6 +234,63 @@ def test_planted_failure_end_to_end(spark, tmp_path):
     assert not p.check()["passed"] and export.delta_text([r.asDict() for r in p.delta().collect()]).startswith("  regression")
     s = p.store
     out = export.export_theme(s.table("traces"), s.table("facet_summaries"), s.table("themes"), s.table("assignments"), found.id, 3)
-    assert len(out["cases"]) == 3 and "retry loop" in out["scorerPrompt"] and export.render_export(out, "jsonl").count("\n") == 3
+    assert len(out["cases"]) == 3 and "calls over and over" in out["scorerPrompt"] and export.render_export(out, "jsonl").count("\n") == 3
     with pytest.raises(KeyError):
         export.export_theme(s.table("traces"), s.table("facet_summaries"), s.table("themes"), s.table("assignments"), "nope")
+
+
+def test_views_of_written_counts_are_those_of_the_assignments(spark):
+    rows = [(f"{w}{i}", "a", "f", None if i % 4 == 0 else f"T-{i % 3}", 0.5, w) for w, n in (("w1", 9), ("w2", 17), ("w3", 30)) for i in range(n)]
+    a = spark.createDataFrame(rows, ASSIGNMENT)
+    c = stats.counted(a)
+    themes = spark.createDataFrame([("a", "f", f"T-{i}", "l", "active", 3, "w1") for i in range(3)], "agent_id string, facet string, id string, label string, state string, member_count int, first_window string")
+    same = lambda f: sorted(map(str, f(a).collect())) == sorted(map(str, f(c).collect()))
+    for view in (stats.windows, stats.residual_share, stats.latest_pair, stats.all_pairs, stats.grid, lambda x: stats.deltas(x, themes, stats.all_pairs(x)), lambda x: stats.facet_report(x, themes)):
+        assert same(view)
+
+
+def test_nearest_in_blocks_and_by_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    items = spark.createDataFrame([(i, "ab"[i % 2], rng.normal(size=8).tolist() if i else [0.0] * 8) for i in range(60)], "item_id long, s string, vector array<double>")
+    themes = spark.createDataFrame([(f"T-{i}", "ab"[i % 2], rng.normal(size=8).tolist()) for i in range(7)] + [("T-9", "a", [1.0] * 8), ("T-8", "a", [2.0] * 8)], "theme_id string, s string, centroid array<double>")
+    for scope in ([], ["s"]):
+        blocks = {r.item_id: r for r in V.nearest(items, themes, scope=scope).collect()}
+        with monkeypatch.context() as m:
+            m.setattr(V, "HELD_BYTES", 0)
+            pairs = {r.item_id: r for r in V.nearest(items, themes, scope=scope).collect()}
+        assert {i: r.theme_id for i, r in blocks.items()} == {i: r.theme_id for i, r in pairs.items()} and len(blocks) == 60
+        assert all(abs(r.similarity - pairs[i].similarity) < 1e-12 for i, r in blocks.items())
+    assert V.nearest(items.limit(0), themes).count() == 0 and V.nearest(items, themes.limit(0)).count() == 0
+
+
+def test_narrow_and_wide_scopes_are_clustered_alike(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    centers = rng.normal(size=(4, 12))
+    rows = [(s, f"{s}{i:03d}", (centers[i % 4] + rng.normal(size=12) * 0.1).tolist()) for s, n in (("x", 40), ("y", 9)) for i in range(n)]
+    items = spark.createDataFrame(rows, "s string, id string, vector array<double>")
+    direct = sorted(map(tuple, cluster.discover(items, ["s"], 0.3, 3).collect()), key=str)
+    for limit in (0, 20):
+        monkeypatch.setattr(cluster, "DIRECT", limit)
+        assert sorted(map(tuple, cluster.discover(items, ["s"], 0.3, 3).collect()), key=str) == direct
+
+
+def test_small_predicates(spark):
+    t = spark.createDataFrame([("a", "bot", "v1", NOW), ("b", "bot", None, NOW)], "id string, agent_id string, version string, started_at timestamp")
+    assert (store.window_for(t, "a"), store.window_for(t, "b"), store.window_for(t, "c")) == ("v1", NOW.strftime("%Y-%m-%d"), None)
+    s = spark.createDataFrame([("a", "goal"), ("b", "goal"), ("a", "outcome")], "trace_id string, facet string")
+    assert [r.facet for r in store.distinct_facets(s).collect()] == ["goal", "outcome"]
+    assert (store.counts(s).first().n, store.counts(s, facet="goal", trace_id=None).first().n) == (3, 2)
+
+
+def test_old_snapshots_and_compaction(spark, tmp_path):
+    from spanloom.sources.tables import Snapshot, migrate
+
+    old = migrate(Snapshot(4, 1, 7, {"assignments": ["x"], "themes": ["y"]}))
+    assert (old.schema_version, old.folders, old.theme_seq) == (3, {"alert_log": [], "assignments": [], "themes": ["y"]}, 7)
+    s = Store(spark, str(tmp_path / "t"))
+    for i in range(5):
+        s.set_meta(f"k{i % 2}", str(i))
+    s.compact_beyond("meta", 5)
+    assert len(s.snapshot.folders["meta"]) == 5
+    s.compact_beyond("meta", 4)
+    assert len(s.snapshot.folders["meta"]) == 1 and (s.get_meta("k0"), s.get_meta("k1")) == ("4", "3")

@@ -125,13 +125,14 @@ def write(pages: DataFrame, folder: str | None = None) -> DataFrame:
     folder = folder or new_path(spark, "warc")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     payload = F.col("html").cast("binary")
-    rows = rows.withColumn("digest", F.sha1(payload))
+    # payloads count as equal if a second hash and the length agree as well
+    rows = rows.withColumn("digest", F.sha1(payload)).withColumn("same", F.concat_ws(":", "digest", F.octet_length(payload).cast("string"), F.xxhash64("html").cast("string")))
     large = rows.where(F.octet_length(payload) >= REVISIT_BYTES)
-    shared = saved(large.groupBy("digest").agg(F.count("*").alias("n"), F.max("page_id").alias("holder")).where("n > 1 and holder is not null"), "payloads")
+    shared = saved(large.groupBy("same").agg(F.count("*").alias("n"), F.max("page_id").alias("holder")).where("n > 1 and holder is not null"), "payloads")
     least = (shared.agg(F.sum("n")).first()[0] or 0) // HOT
-    hot = F.broadcast(shared.where(F.col("n") > least).select("digest", F.col("holder").alias("hot_holder")))  # HOT rows at most
-    met = rows.join(hot, "digest", "left").withColumn("key", F.when(F.col("hot_holder").isNull(), F.col("digest")).otherwise(F.xxhash64("page_id", "url").cast("string")))
-    rest = shared.where(F.col("n") <= least).select(F.col("digest").alias("key"), "holder")
+    hot = F.broadcast(shared.where(F.col("n") > least).select("same", F.col("holder").alias("hot_holder")))  # HOT rows at most
+    met = rows.join(hot, "same", "left").withColumn("key", F.when(F.col("hot_holder").isNull(), F.col("same")).otherwise(F.xxhash64("page_id", "url").cast("string")))
+    rest = shared.where(F.col("n") <= least).select(F.col("same").alias("key"), "holder")
     judged = met.join(rest, "key", "left").withColumn("holder", F.coalesce("hot_holder", "holder")).withColumn("revisit", F.coalesce(F.col("holder").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("holder")), F.lit(False)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

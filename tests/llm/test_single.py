@@ -125,7 +125,7 @@ def test_taken_words_against_brute_force(docs_of, monkeypatch):
     assert sorted({(s.shard, s.slot) for s in slots}) == [(h, n) for h in range(shards) for n in range(total * (h + 1) // shards - total * h // shards)]
     uses = {}
     for s in slots:
-        uses[s.number, s.index] = uses.get((s.number, s.index), 0) + 1
+        uses[s.number, s["index"]] = uses.get((s.number, s["index"]), 0) + 1
     for source in m.sources:
         own = sorted((d.begin, d.begin + d["size"]) for d in documents if d.number == source.number)
         assert own[0][0] == 0 and own[-1][1] == source.size and all(x[1] == y[0] for x, y in zip(own, own[1:], strict=False))
@@ -142,7 +142,7 @@ def test_taken_words_against_brute_force(docs_of, monkeypatch):
         stream.setdefault(d.number, []).extend(text[d.doc_id, d.mark].split())
     packed = m.packed(docs_of(rows)).collect()
     assert sorted((r.shard, r.slot) for r in packed) == sorted((s.shard, s.slot) for s in slots)
-    assert all(r.words.split() == stream[r.number][r.index * 64 : (r.index + 1) * 64] for r in packed)
+    assert all(r.words.split() == stream[r.number][r["index"] * 64 : (r["index"] + 1) * 64] for r in packed)
 
 
 # ---------------------------------------------------------------- WARC

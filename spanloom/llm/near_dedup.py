@@ -51,6 +51,8 @@ COORDINATES = 60
 NODE_LIMIT = 128
 #: A pair at the threshold shares no node of any tree with this probability at most.
 MISS = 1e-6
+#: Bits of the map of wanted texts.
+BITS = 1 << 26
 #: Shingles and sets of one confirmation block.
 BLOCK_SHINGLES = 1 << 19
 BLOCK_SETS = 1024
@@ -114,6 +116,20 @@ def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(*_row_key(key, text), F.col(text).alias("text"))
 
 
+def _joined(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``texts`` (rep_id, rep_mark, text) beside the rows of ``wanted`` that ask for them.
+
+    Most texts are wanted by nobody, and needn't be shuffled to find that out: a bitmap of BITS bits of what is wanted,
+    8 MB whatever the tables' sizes, is broadcast, and lets pass what is wanted and little else.
+    """
+    place = lambda: F.pmod(F.xxhash64("rep_id", "rep_mark"), F.lit(BITS))
+    bit = F.bitmap_bit_position(place())
+    maps = wanted.select(F.bitmap_bucket_number(place()).alias("part"), bit.alias("bit")).groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    met = texts.withColumn("part", F.bitmap_bucket_number(place())).join(F.broadcast(maps), "part")
+    byte = F.conv(F.hex(F.substring("bits", F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return met.where(F.getbit(byte, (bit % 8).cast("int")) == 1).drop("part", "bits").join(wanted, ["rep_id", "rep_mark"])
+
+
 def features(docs: DataFrame, k: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(rep_id, rep_mark, digest, n_shingles, minima, marks) of each row; digest and minima null without words.
 
@@ -161,7 +177,7 @@ def further_paths(docs: DataFrame, needs: DataFrame, k: int, key: str = "doc_id"
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).take(index) for c in ("set_key", "first", "last")), pa.array([x.tobytes() for x in found], pa.binary())], ["set_key", "first", "last", "path"])
 
     small_batches(docs.sparkSession)
-    texts = _keyed(docs, key, text).join(needs, ["rep_id", "rep_mark"]).select("set_key", "digest", "first", "last", "text")
+    texts = _joined(_keyed(docs, key, text), needs).select("set_key", "digest", "first", "last", "text")
     return texts.mapInArrow(run, "set_key long, first int, last int, path binary").dropDuplicates(["set_key"]).withColumn("origin", F.col("first"))
 
 
@@ -287,7 +303,7 @@ def links(docs: DataFrame, classes: DataFrame, k: int, threshold: int, key: str
             labels = saved(base.select("set_key").join(joined, "set_key", "left").withColumn("label", F.coalesce("label", "set_key")), "labels")
         near = needs.where(F.col("first") < TREES).join(base, "set_key").select("set_key", F.lit(0).alias("origin"), "first", F.least("last", F.lit(TREES)).alias("last"), F.col("minima").alias("path"))
         far = needs.where(F.col("last") > TREES).withColumn("first", F.greatest("first", F.lit(TREES)))
-        paths = saved(near.unionByName(further_paths(docs, far.join(members, "set_key"), k, key, text)), "paths")
+        paths = saved(near.unionByName(further_paths(docs, saved(far.join(members, "set_key"), "far"), k, key, text)), "paths")
     return out
 
 
@@ -355,7 +371,7 @@ def confirm(docs: DataFrame, groups: DataFrame, k: int, threshold: int, key: str
             yield pa.RecordBatch.from_arrays([batch.column("set_key").take(index), batch.column("places").take(index), pa.array([sets[i].tobytes() for i in keep], pa.binary())], ["set_key", "places", "members"])
 
     small_batches(docs.sparkSession)
-    texts = _keyed(docs, key, text).join(wanted, ["rep_id", "rep_mark"]).select("set_key", "digest", "places", "text")
+    texts = _joined(_keyed(docs, key, text), saved(wanted, "wanted")).select("set_key", "digest", "places", "text")
     sets = texts.mapInArrow(sets_of, "set_key long, places array<struct<grp:long,blocks:long,block:long>>, members binary")
     placed = sets.select("set_key", "members", F.explode("places").alias("p")).select("set_key", "members", "p.*")
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))

@@ -49,9 +49,25 @@ def normalize(a: Column) -> Column:
 
 
 def mean_vectors(df: DataFrame, keys: list[str], vector: str, name: str = "centroid") -> DataFrame:
-    """Component-wise mean for each group, combined before the shuffle; ragged groups are an error."""
-    parts = df.select(*keys, F.size(vector).alias("_size"), F.posexplode(as_double(F.col(vector))).alias("_at", "_x"))
-    cells = parts.groupBy(*keys, "_at").agg(F.avg("_x").alias("_x"), F.min("_size").alias("_low"), F.max("_size").alias("_high"))
+    """Component-wise mean for each group; ragged groups are an error.
+
+    Every Arrow batch sums up its groups first, so what is shuffled, component by component, is one vector for
+    each batch and group and not one for each row.
+    """
+    ship(df.sparkSession)
+    rows = df.select(*keys, as_double(F.col(vector)).alias("_v")).where("_v is not null")
+    key_fields = [rows.schema[c] for c in keys]
+
+    def summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            batch["_size"] = batch["_v"].map(len)
+            out = [(*key, int(len(part)), np.sum(np.stack(part["_v"].tolist()), axis=0) if key[-1] else np.empty(0)) for key, part in batch.groupby([*keys, "_size"], sort=False, dropna=False)]
+            if out:
+                yield pd.DataFrame(out, columns=[*keys, "_size", "_n", "_sum"])
+
+    partial = rows.mapInPandas(summed, T.StructType([*key_fields, T.StructField("_size", T.IntegerType()), T.StructField("_n", T.LongType()), T.StructField("_sum", T.ArrayType(T.DoubleType()))]))
+    parts = partial.select(*keys, "_size", "_n", F.posexplode("_sum").alias("_at", "_x"))
+    cells = parts.groupBy(*keys, "_at").agg((F.sum("_x") / F.sum("_n")).alias("_x"), F.min("_size").alias("_low"), F.max("_size").alias("_high"))
     out = cells.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_at", "_x"))).alias("_cells"), F.min("_low").alias("_low"), F.max("_high").alias("_high"))
     values = F.transform("_cells", lambda c: c["_x"])
     return out.select(*keys, F.when(F.col("_low") == F.col("_high"), values).otherwise(F.raise_error(F.lit("vectors of one group differ in size")).cast("array<double>")).alias(name))

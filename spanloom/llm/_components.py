@@ -11,12 +11,13 @@ from ._spark import saved
 HUBS = 500
 
 
-def _with_least(rows: DataFrame, key: str, other: str, count: int) -> DataFrame:
-    """``rows`` (``count`` of them) with ``root``, the least of ``other`` among the rows of a row's ``key``.
+def with_least(rows: DataFrame, key: str, other: str, count: int | None = None) -> DataFrame:
+    """``rows`` (``count`` of them, counted where it isn't given) with ``root``, the least of ``other`` among the rows of a row's ``key``.
 
     The least is an aggregate, combined before the shuffle, and is joined back. A hub's rows would all meet
     it in one task, so hubs, of which there are HUBS at most, are broadcast, and their rows stay where they are.
     """
+    count = rows.count() if count is None else count
     least = rows.groupBy(key).agg(F.min(other).alias("root"), F.count("*").alias("degree"))
     hubs = least.where(F.col("degree") > count // HUBS).select(key, F.col("root").alias("hub_root"))
     met = rows.join(F.broadcast(hubs), key, "left")
@@ -36,8 +37,8 @@ def components(edges: DataFrame) -> DataFrame:
     sums = _sums(pairs)
     while sums[0]:
         both = pairs.select(F.explode(F.array(F.struct(F.col("lo").alias("n"), F.col("hi").alias("m")), F.struct(F.col("hi").alias("n"), F.col("lo").alias("m")))).alias("x")).select("x.*")
-        large = _with_least(both, "n", "m", 2 * sums[0]).where("m > n").select(F.least("root", "n").alias("lo"), F.col("m").alias("hi")).distinct()
-        small = _with_least(large, "hi", "lo", sums[0])
+        large = with_least(both, "n", "m", 2 * sums[0]).where("m > n").select(F.least("root", "n").alias("lo"), F.col("m").alias("hi")).distinct()
+        small = with_least(large, "hi", "lo", sums[0])
         links = F.explode(F.array(F.struct("root", F.col("lo").alias("other")), F.struct("root", F.col("hi").alias("other"))))
         pairs = saved(small.select(links.alias("x")).select(F.col("x.root").alias("lo"), F.col("x.other").alias("hi")).where("lo <> hi").distinct(), "stars")
         before, sums = sums, _sums(pairs)

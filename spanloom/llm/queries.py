@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, mixing, near_dedup, suffix_dedup, token_count, toxicity, url_filter, warc, winnow
+from . import chat, decontam, merkle, mixing, near_dedup, search, simhash, suffix_dedup, token_count, toxicity, url_filter, warc, winnow
 from ._spark import read
 
 
@@ -53,16 +53,38 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.digest(spark, read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filters, op2_source_mixing, op3_warc, op4_benchmark_decontamination, op5_chat_formatting, op6_token_counts, op7_winnowing, op8_suffix_array_dedup, op9_minhash_near_dedup, op10_toxicity)}
+def op11_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(read(spark, sf_dir, "documents"))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.summary(read(spark, sf_dir, "documents"))
+
+
+_ALL = (op1_url_filters, op2_source_mixing, op3_warc, op4_benchmark_decontamination, op5_chat_formatting, op6_token_counts, op7_winnowing, op8_suffix_array_dedup, op9_minhash_near_dedup, op10_toxicity, op11_simhash_near_dedup, op12_ranked_search, op13_merkle_manifest)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
 _LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
+_TERMS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _SPACED, _ALNUM = r"[^\x20\x09-\x0D]+", r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _WORDS = lambda text, rx: f"regexp_extract_all(translate(coalesce({text}, ''), {_LOWER}), '{rx}')"
 
 #: What grows by one character when op5 escapes it: backslashes, and control strings of chat templates.
 _MARKS = r"""'\\|<\|(?:turn|text|end|im_start|im_end|endoftext|system|user|assistant)\|>|</?s>|\[/?INST\]|<</?SYS>>'"""
 
+_FIELD = lambda value: f"coalesce(strlen(CAST({value} AS VARCHAR)) || ':' || CAST({value} AS VARCHAR), '-')"
+_LEAF = lambda n_chars: f"sha256({' || '.join(map(_FIELD, ('doc_id', 'source', 'lang', n_chars, 'text')))})"
+
+#: The CRC-32 of an id's digits, bit by bit: 2**32 marks the step that takes a byte in.
+_CRC = """CAST(xor(list_reduce(
+                list_prepend(CAST(4294967295 AS UBIGINT), flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: [CAST(ord(c) AS UBIGINT) + 4294967296, 0, 0, 0, 0, 0, 0, 0]))),
+                lambda a, b: xor(CASE WHEN b > 0 THEN xor(a, b - 4294967296) ELSE a END >> 1, CASE WHEN (CASE WHEN b > 0 THEN xor(a, b - 4294967296) ELSE a END) % 2 = 1 THEN 3988292384 ELSE 0 END)), CAST(4294967295 AS UBIGINT)) AS BIGINT)"""
+
 #: DuckDB SQL of the queries that SQL can express over whole tables.
 ORACLE_SQL: dict[str, str] = {
     "op1_url_filters": f"""
@@ -128,4 +150,35 @@ ORACLE_SQL: dict[str, str] = {
         reach(doc_id, other) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, l.b FROM reach r JOIN both_ways l ON l.a = r.other),
         least AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
         SELECT l.doc_id, coalesce(s.n, 0) AS n_shingles, l.component_id, l.doc_id = l.component_id AS kept FROM least l LEFT JOIN sizes s ON s.doc_id = l.doc_id""",
+    "op12_ranked_search": f"""
+        WITH dw AS (SELECT doc_id, unnest({_WORDS("text", _TERMS)}) AS term FROM documents),
+        tfs AS (SELECT doc_id, term, count(*) AS tf FROM dw GROUP BY doc_id, term), lengths AS (SELECT doc_id, CAST(sum(tf) AS BIGINT) AS n FROM tfs GROUP BY doc_id),
+        whole AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM lengths),
+        weights AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w FROM tfs, whole GROUP BY term, docs),
+        gains AS (SELECT t.doc_id, t.term, w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + ((75 * n * docs) // terms)))) AS gain FROM tfs t JOIN lengths l ON l.doc_id = t.doc_id JOIN weights v ON v.term = t.term, whole),
+        wanted AS (SELECT item_id, unnest({_WORDS("text", _TERMS)}) AS term FROM benchmark),
+        scores AS (SELECT item_id, doc_id, CAST(sum(gain) AS BIGINT) AS score FROM wanted i JOIN gains g ON g.term = i.term GROUP BY item_id, doc_id),
+        ranked AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM scores WHERE score > 0)
+        SELECT * FROM ranked WHERE rank <= 10""",
+    "op13_merkle_manifest": f"""
+        WITH RECURSIVE leaves AS (
+            SELECT doc_id, coalesce('=' || lang, '') AS grp, {_LEAF("n_chars")} AS leaf, CASE WHEN {_CRC} % 7 = 0 THEN {_LEAF("n_chars + 1")} END AS other FROM documents
+        ), placed AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY grp) AS n FROM leaves),
+        nodes(grp, depth, pos, node, n) AS (
+            SELECT grp, 0, pos, leaf, n FROM placed
+            UNION ALL SELECT grp, depth + 1, pos // 2, sha256(string_agg(node, '' ORDER BY pos)), (n + 1) // 2 FROM nodes WHERE n > 1 GROUP BY grp, depth, pos // 2, n
+        ), subroots AS (SELECT grp, node AS subroot, row_number() OVER (ORDER BY encode(grp)) - 1 AS pos, count(*) OVER () AS n FROM nodes WHERE n = 1),
+        tops(depth, pos, node, n) AS (
+            SELECT 0, pos, subroot, n FROM subroots
+            UNION ALL SELECT depth + 1, pos // 2, sha256(string_agg(node, '' ORDER BY pos)), (n + 1) // 2 FROM tops WHERE n > 1 GROUP BY depth, pos // 2, n
+        ), walks(doc_id, grp, leaf, depth, pos, n, own, beside) AS (
+            SELECT doc_id, grp, leaf, 0, pos, n, coalesce(other, leaf), '' FROM placed
+            UNION ALL SELECT w.doc_id, w.grp, w.leaf, w.depth + 1, w.pos // 2, (w.n + 1) // 2, sha256(CASE WHEN w.pos % 2 = 1 THEN s.node || w.own ELSE w.own || coalesce(s.node, '') END), w.beside || coalesce(s.node, '')
+            FROM walks w LEFT JOIN nodes s ON s.grp = w.grp AND s.depth = w.depth AND s.pos = xor(w.pos, 1) WHERE w.n > 1
+        ), climbs(doc_id, grp, leaf, subroot, depth, pos, n, own, beside) AS (
+            SELECT w.doc_id, w.grp, w.leaf, s.subroot, 0, s.pos, s.n, w.own, w.beside FROM walks w JOIN subroots s ON s.grp = w.grp WHERE w.n = 1
+            UNION ALL SELECT w.doc_id, w.grp, w.leaf, w.subroot, w.depth + 1, w.pos // 2, (w.n + 1) // 2, sha256(CASE WHEN w.pos % 2 = 1 THEN s.node || w.own ELSE w.own || coalesce(s.node, '') END), w.beside || coalesce(s.node, '')
+            FROM climbs w LEFT JOIN tops s ON s.depth = w.depth AND s.pos = xor(w.pos, 1) WHERE w.n > 1
+        )
+        SELECT c.doc_id, c.leaf, c.subroot, t.node AS root, sha256(c.beside) AS proof_sha256, c.own AS folded_root, c.own = t.node AS verified FROM climbs c, tops t WHERE c.n = 1 AND t.n = 1""",
 }

@@ -85,6 +85,14 @@ _CRC = """CAST(xor(list_reduce(
                 list_prepend(CAST(4294967295 AS UBIGINT), flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: [CAST(ord(c) AS UBIGINT) + 4294967296, 0, 0, 0, 0, 0, 0, 0]))),
                 lambda a, b: xor(CASE WHEN b > 0 THEN xor(a, b - 4294967296) ELSE a END >> 1, CASE WHEN (CASE WHEN b > 0 THEN xor(a, b - 4294967296) ELSE a END) % 2 = 1 THEN 3988292384 ELSE 0 END)), CAST(4294967295 AS UBIGINT)) AS BIGINT)"""
 
+#: XXH64 in 128-bit arithmetic: its five primes, a product and a rotation of 64 bits, and the little-endian number at a byte of a hex string.
+_P = (0, 11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261)
+_TWO64 = "CAST(18446744073709551616 AS UHUGEINT)"
+_times = lambda x, p: f"(CAST(({x}) AS UHUGEINT) * CAST({p} AS UHUGEINT)) % {_TWO64}"
+_turned = lambda x, r: f"((({x}) << {r}) % {_TWO64} + (({x}) >> {64 - r}))"
+_number = lambda at, n: "CAST(CAST('0x' || " + " || ".join(f"substr(hx, 2 * ({at}) + {2 * i + 1}, 2)" for i in reversed(range(n))) + " AS UBIGINT) AS UHUGEINT)"
+_lane = lambda v, at: f"({v} + {_times(_number(at, 8), _P[2])}) % {_TWO64} AS {v}"
+
 #: DuckDB SQL of the queries that SQL can express over whole tables.
 ORACLE_SQL: dict[str, str] = {
     "op1_url_filters": f"""
@@ -150,6 +158,32 @@ ORACLE_SQL: dict[str, str] = {
         reach(doc_id, other) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, l.b FROM reach r JOIN both_ways l ON l.a = r.other),
         least AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
         SELECT l.doc_id, coalesce(s.n, 0) AS n_shingles, l.component_id, l.doc_id = l.component_id AS kept FROM least l LEFT JOIN sizes s ON s.doc_id = l.doc_id""",
+    "op11_simhash_near_dedup": f"""
+        WITH RECURSIVE dw AS (SELECT doc_id, {_WORDS("text", _SPACED)} AS w FROM documents),
+        shingles AS (SELECT doc_id, array_to_string(w[pos : pos + 2], ' ') AS shingle FROM (SELECT *, unnest(range(1, greatest(len(w) - 1, 2))) AS pos FROM dw WHERE len(w) > 0)),
+        different AS (SELECT shingle, hex(encode(shingle)) AS hx, strlen(shingle) AS size FROM (SELECT DISTINCT shingle FROM shingles)),
+        stripes(shingle, hx, size, spot, a, b, c, d) AS (
+            SELECT shingle, hx, size, 0, CAST({(42 + _P[1] + _P[2]) % 2**64} AS UHUGEINT), CAST({42 + _P[2]} AS UHUGEINT), CAST(42 AS UHUGEINT), CAST({(42 - _P[1]) % 2**64} AS UHUGEINT) FROM different
+            UNION ALL SELECT shingle, hx, size, spot + 32, {", ".join(_times(_turned(v, 31), _P[1]) for v in "abcd")}
+            FROM (SELECT shingle, hx, size, spot, {", ".join(_lane(v, f"spot + {8 * i}") for i, v in enumerate("abcd"))} FROM stripes WHERE spot + 32 <= size)
+        ), striped AS (SELECT * FROM stripes WHERE spot + 32 > size),
+        merged AS (SELECT shingle, hx, size, spot, ({_turned("a", 1)} + {_turned("b", 7)} + {_turned("c", 12)} + {_turned("d", 18)}) % {_TWO64} AS h, {", ".join(f"{_times(_turned('x' + v, 31), _P[1])} AS {v}" for v in "abcd")}
+            FROM (SELECT *, {", ".join(f"{_times(v, _P[2])} AS x{v}" for v in "abcd")} FROM striped)),
+        joined AS (SELECT shingle, hx, size, spot, list_reduce(list_prepend(h, [a, b, c, d]), lambda x, y: ({_times("xor(x, y)", _P[1])} + {_P[4]}) % {_TWO64}) AS h FROM merged),
+        tails(shingle, hx, size, spot, h) AS (
+            SELECT shingle, hx, size, spot, ((CASE WHEN size >= 32 THEN h ELSE {42 + _P[5]} END) + CAST(size AS UHUGEINT)) % {_TWO64} FROM joined
+            UNION ALL SELECT shingle, hx, size, spot + step, CASE step WHEN 8 THEN ({_times(_turned("h", 27), _P[1])} + {_P[4]}) % {_TWO64} WHEN 4 THEN ({_times(_turned("h", 23), _P[2])} + {_P[3]}) % {_TWO64} ELSE {_times(_turned("h", 11), _P[1])} END
+            FROM (SELECT shingle, hx, size, spot, step, xor(h, CASE step WHEN 8 THEN {_times(_turned("x", 31), _P[1])} WHEN 4 THEN x ELSE x END) AS h
+                FROM (SELECT *, CASE step WHEN 8 THEN {_times(_number("spot", 8), _P[2])} WHEN 4 THEN {_times(_number("spot", 4), _P[1])} ELSE {_times(_number("spot", 1), _P[5])} END AS x
+                    FROM (SELECT *, CASE WHEN spot + 8 <= size THEN 8 WHEN spot + 4 <= size THEN 4 ELSE 1 END AS step FROM tails WHERE spot < size)))
+        ), first AS (SELECT shingle, {_times("xor(h, h >> 33)", _P[2])} AS h FROM tails WHERE spot = size), second AS (SELECT shingle, {_times("xor(h, h >> 29)", _P[3])} AS h FROM first),
+        hashes AS (SELECT shingle, CAST(xor(h, h >> 32) AS UBIGINT) AS h FROM second),
+        votes AS (SELECT doc_id, count(*) AS n, {", ".join(f"sum((h >> {i}) & 1) AS b{i}" for i in range(64))} FROM shingles s JOIN hashes x ON x.shingle = s.shingle GROUP BY doc_id),
+        prints AS (SELECT d.doc_id, coalesce(f, CAST(0 AS UBIGINT)) AS f FROM documents d LEFT JOIN (SELECT doc_id, CAST({" + ".join(f"CASE WHEN 2 * b{i} > n THEN CAST({2**i} AS UHUGEINT) ELSE 0 END" for i in range(64))} AS UBIGINT) AS f FROM votes) v ON v.doc_id = d.doc_id),
+        nodes AS (SELECT f, min(doc_id) AS least FROM prints GROUP BY f), links AS (SELECT x.f AS a, y.f AS b FROM nodes x JOIN nodes y ON x.f <> y.f AND bit_count(xor(x.f, y.f)) <= 2),
+        reach(f, other) AS (SELECT f, f FROM nodes UNION SELECT r.f, l.b FROM reach r JOIN links l ON l.a = r.other),
+        least AS (SELECT r.f, min(n.least) AS component_id FROM reach r JOIN nodes n ON n.f = r.other GROUP BY r.f)
+        SELECT p.doc_id, lower(lpad(hex(p.f), 16, '0')) AS fingerprint, coalesce(l.component_id, p.doc_id) AS component_id FROM prints p JOIN least l ON l.f = p.f""",
     "op12_ranked_search": f"""
         WITH dw AS (SELECT doc_id, unnest({_WORDS("text", _TERMS)}) AS term FROM documents),
         tfs AS (SELECT doc_id, term, count(*) AS tf FROM dw GROUP BY doc_id, term), lengths AS (SELECT doc_id, CAST(sum(tf) AS BIGINT) AS n FROM tfs GROUP BY doc_id),

@@ -20,6 +20,9 @@ Signature comparison lets a pair at the threshold pass up to five
 standard deviations below, and stops 8e-7 of such pairs at 0.8. Later rounds skip pairs that confirmed
 links have joined already, so a large group of copies is compared in the first trees and not in all.
 
+Texts are read once for the tokens of all trees, and twice more for confirmation: after the first trees, and after all others
+together. Each of these shuffles texts by row once, whatever the number of trees or rounds, so what is moved grows as the input does.
+
 Defined cases: documents without words (null, empty, only separators) have an empty set, are linked
 with nothing and are kept. Repeated rows fall into one class. Rows that share an id but not a text are
 documents of their own, and so are rows without an id. A null id never names a component unless all its
@@ -39,33 +42,27 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _text
-from ._components import components
+from ._components import components, with_least
 from ._spark import saved, small_batches
 
 TREES = 13
 #: Trees of the first round; what they join needs no comparison in the others.
 FIRST_TREES = 2
 LEVELS = 4
-#: Minwise tokens of a class: the first TREES * LEVELS are its path, and the low bytes of all its signature.
+#: Minwise tokens of a class that make its signature, a byte each.
 COORDINATES = 60
 NODE_LIMIT = 128
 #: A pair at the threshold shares no node of any tree with this probability at most.
 MISS = 1e-6
-#: Bits of the map of wanted texts.
-BITS = 1 << 26
 #: Shingles and sets of one confirmation block.
 BLOCK_SHINGLES = 1 << 19
 BLOCK_SETS = 1024
 
-_rng = np.random.Generator(np.random.PCG64(99))
-_XOR = _rng.integers(0, 2**63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_MUL = _rng.integers(0, 2**63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
-
-def _tree_coordinates(tree: int) -> tuple[np.ndarray, np.ndarray]:
-    """The hash functions of a tree beyond the first TREES."""
-    rng = np.random.Generator(np.random.PCG64([99, tree]))
-    return tuple(rng.integers(0, 2**63, (2, LEVELS), dtype=np.uint64) * np.uint64(2) + np.uint64(1))
+def _coordinates(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``n`` hash functions: those of a tree's levels follow one another, tree by tree."""
+    rng = np.random.Generator(np.random.PCG64(99))
+    pairs = rng.integers(0, 2**63, (n, 2), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    return pairs[:, 0].copy(), pairs[:, 1].copy()
 
 
 def gain(level: int, threshold: int) -> float:
@@ -87,7 +84,7 @@ def all_trees(threshold: int) -> int:
 NO_ID = -(2**63)
 
 
-def _minima(parts: list[np.ndarray], xor: np.ndarray = _XOR, mul: np.ndarray = _MUL) -> np.ndarray:
+def _minima(parts: list[np.ndarray], xor: np.ndarray, mul: np.ndarray) -> np.ndarray:
     """For each non-empty set its minwise token at each coordinate, as 32-bit numbers."""
     flat = np.concatenate(parts)
     at = np.cumsum([0, *map(len, parts[:-1])])
@@ -116,33 +113,21 @@ def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(*_row_key(key, text), F.col(text).alias("text"))
 
 
-def _joined(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``texts`` (rep_id, rep_mark, text) beside the rows of ``wanted`` that ask for them.
-
-    Most texts are wanted by nobody, and needn't be shuffled to find that out: a bitmap of BITS bits of what is wanted,
-    8 MB whatever the tables' sizes, is broadcast, and lets pass what is wanted and little else.
-    """
-    place = lambda: F.pmod(F.xxhash64("rep_id", "rep_mark"), F.lit(BITS))
-    bit = F.bitmap_bit_position(place())
-    maps = wanted.select(F.bitmap_bucket_number(place()).alias("part"), bit.alias("bit")).groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits"))
-    met = texts.withColumn("part", F.bitmap_bucket_number(place())).join(F.broadcast(maps), "part")
-    byte = F.conv(F.hex(F.substring("bits", F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return met.where(F.getbit(byte, (bit % 8).cast("int")) == 1).drop("part", "bits").join(wanted, ["rep_id", "rep_mark"])
-
-
-def features(docs: DataFrame, k: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+def features(docs: DataFrame, k: int, trees: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(rep_id, rep_mark, digest, n_shingles, minima, marks) of each row; digest and minima null without words.
 
-    ``minima`` are the tokens of the first trees, ``marks`` the low bytes of all of them: the short signature that nodes compare.
+    ``minima`` are the tokens of all ``trees``, ``marks`` the low bytes of the first: the short signature that nodes compare.
     """
+    n = max(trees * LEVELS, COORDINATES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        xor, mul = _coordinates(n)
         for batch in _text.slices(batches):
             sets = _sets(batch, "text", k)
             full = [i for i, s in enumerate(sets) if len(s)]
-            minima = dict(zip(full, _minima([sets[i] for i in full]), strict=True)) if full else {}
+            minima = dict(zip(full, _minima([sets[i] for i in full], xor, mul), strict=True)) if full else {}
             known = [minima.get(i) for i in range(len(sets))]
-            own = [pa.array([None if m is None else _digest(s) for s, m in zip(sets, known, strict=True)], pa.binary()), pa.array(list(map(len, sets)), pa.int64()), pa.array([None if m is None else m[: TREES * LEVELS].tobytes() for m in known], pa.binary()), pa.array([None if m is None else m.astype(np.uint8).tobytes() for m in known], pa.binary())]
+            own = [pa.array([None if m is None else _digest(s) for s, m in zip(sets, known, strict=True)], pa.binary()), pa.array(list(map(len, sets)), pa.int64()), pa.array([None if m is None else m[: trees * LEVELS].tobytes() for m in known], pa.binary()), pa.array([None if m is None else m[:COORDINATES].astype(np.uint8).tobytes() for m in known], pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column("rep_id"), batch.column("rep_mark"), *own], ["rep_id", "rep_mark", "digest", "n_shingles", "minima", "marks"])
 
     small_batches(docs.sparkSession)
@@ -157,33 +142,9 @@ def _classes(found: DataFrame) -> DataFrame:
     return one.select(F.monotonically_increasing_id().alias("set_key"), "digest", "rep.*", "least", "n_shingles", "minima", "marks")
 
 
-def further_paths(docs: DataFrame, needs: DataFrame, k: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Needs (set_key, rep_id, rep_mark, digest, first, last) -> (set_key, origin, first, last, path): tokens of trees first to last - 1."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for batch in _text.slices(batches):
-            want, first, last = (batch.column(c).to_pylist() for c in ("digest", "first", "last"))
-            asked: dict[tuple[int, int], list[tuple[int, np.ndarray]]] = {}
-            for i, shingles in enumerate(_sets(batch, "text", k)):
-                if len(shingles) and _digest(shingles) == want[i]:
-                    asked.setdefault((first[i], last[i]), []).append((i, shingles))
-            for (a, b), rows in asked.items():
-                for tree in range(a, b):
-                    known.setdefault(tree, _tree_coordinates(tree))
-                xor, mul = (np.concatenate([known[t][n] for t in range(a, b)]) for n in (0, 1))
-                found = _minima([s for _, s in rows], xor, mul)
-                index = pa.array([i for i, _ in rows], pa.int64())
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(index) for c in ("set_key", "first", "last")), pa.array([x.tobytes() for x in found], pa.binary())], ["set_key", "first", "last", "path"])
-
-    small_batches(docs.sparkSession)
-    texts = _joined(_keyed(docs, key, text), needs).select("set_key", "digest", "first", "last", "text")
-    return texts.mapInArrow(run, "set_key long, first int, last int, path binary").dropDuplicates(["set_key"]).withColumn("origin", F.col("first"))
-
-
 def _token(level: int):
-    """The minwise token that ``tree`` chooses at a level: four bytes of ``path``, which begins with tree ``origin``."""
-    return F.substring(F.col("path"), ((F.col("tree") - F.col("origin")) * LEVELS + level) * 4 + 1, 4)
+    """The minwise token that ``tree`` chooses at a level: four bytes of ``minima``."""
+    return F.substring(F.col("minima"), (F.col("tree") * LEVELS + level) * 4 + 1, 4)
 
 
 def _passing(threshold: int) -> int:
@@ -238,17 +199,18 @@ def _compare(threshold: int):
     return run
 
 
-def _branched(classes: DataFrame, paths: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame]:
-    """Groups (grp, set_key) from the trees of ``paths`` (set_key, label, fresh, origin, first, last, path), and (set_key, gain, level) of the classes that are new to them: what they gained, and their deepest node.
+def _branched(classes: DataFrame, wanted: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame]:
+    """Groups (grp, set_key) from the trees of ``wanted`` (set_key, label, fresh, first, last), and (set_key, gain, level) of the classes that are new to them: what they gained, and their deepest node.
 
     Only (node, set_key) rows of nodes that hold two labels or more, and a class that is new to their tree,
     fetch their marks, so the many classes that meet nobody never travel with them.
     """
-    rows = paths.select("set_key", "label", "fresh", "origin", "path", F.explode(F.sequence("first", F.col("last") - 1)).alias("tree"))
-    rows = rows.select("tree", "set_key", "label", "fresh", "origin", F.xxhash64("tree", F.lit(0), _token(0)).alias("node"))
+    tokens = classes.select("set_key", "minima")
+    rows = wanted.join(tokens, "set_key").select("set_key", "label", "fresh", "minima", F.explode(F.sequence("first", F.col("last") - 1)).alias("tree"))
+    rows = rows.select("tree", "set_key", "label", "fresh", F.xxhash64("tree", F.lit(0), _token(0)).alias("node"))
     out = None
     gains = [gain(level, threshold) for level in range(1, LEVELS + 1)]
-    reached = paths.where("fresh").select("set_key", ((F.col("last") - F.col("first")) * gains[0]).alias("gain"), F.lit(1).alias("level"))
+    reached = wanted.where("fresh").select("set_key", ((F.col("last") - F.col("first")) * gains[0]).alias("gain"), F.lit(1).alias("level"))
     for level in range(LEVELS):
         rows = saved(rows, "nodes")
         if level:
@@ -266,8 +228,8 @@ def _branched(classes: DataFrame, paths: DataFrame, threshold: int) -> tuple[Dat
             # the large nodes of several trees that have the same least member are one group
             out = out.unionByName(rows.join(large, "node").select(F.col("least").alias("grp"), "set_key"))
             break
-        deeper = rows.join(large.select("node"), "node").join(paths.select("set_key", "origin", "path"), ["set_key", "origin"])
-        rows = deeper.select("tree", "set_key", "label", "fresh", "origin", F.xxhash64("node", F.lit(level + 1), _token(level + 1)).alias("node"))
+        deeper = rows.join(large.select("node"), "node").join(tokens, "set_key")
+        rows = deeper.select("tree", "set_key", "label", "fresh", F.xxhash64("node", F.lit(level + 1), _token(level + 1)).alias("node"))
     return saved(out.distinct(), "groups"), saved(reached.groupBy("set_key").agg(F.sum("gain").alias("gain"), F.max("level").alias("level")), "gains")
 
 
@@ -275,36 +237,32 @@ def links(docs: DataFrame, classes: DataFrame, k: int, threshold: int, key: str
     """Confirmed links (a, b) between classes, as many as join every pair of classes that chains of links join.
 
     Who was in a tree before stays in it for those who come later. There are three rounds at most, as the second or the
-    third gives a class all trees.
+    third gives a class all trees; the groups of these two are confirmed together.
     """
     every = all_trees(threshold)
-    base = classes.select("set_key", "minima")
-    paths = base.select("set_key", F.lit(0).alias("origin"), F.lit(0).alias("first"), F.lit(FIRST_TREES).alias("last"), F.col("minima").alias("path"))
     members = classes.select("set_key", "rep_id", "rep_mark", "digest", "n_shingles")
-    labels, before, low, out, scores = classes.select("set_key", F.col("set_key").alias("label")), None, 0, None, None
-    for turn in range(3):
-        present = paths.withColumn("fresh", F.lit(True))
-        if before is not None:
-            present = present.unionByName(before.where(F.col("last") > low).withColumn("first", F.greatest("first", F.lit(low))).withColumn("fresh", F.lit(False)))
-        groups, gained = _branched(classes, present.join(labels, "set_key"), threshold)
-        found = saved(confirm(docs, groups.join(members, "set_key"), k, threshold, key, text), "links")
-        out, scores, before = (x if y is None else y.unionByName(x) for x, y in ((found, out), (gained, scores), (paths, before)))
-        if turn == 2:
-            break
+    confirmed = lambda groups: saved(confirm(docs, groups.join(members, "set_key"), k, threshold, key, text), "links")
+    wanted = classes.select("set_key", F.lit(0).alias("first"), F.lit(FIRST_TREES).alias("last"))
+    groups, scores = _branched(classes, wanted.withColumns({"label": F.col("set_key"), "fresh": F.lit(True)}), threshold)
+    found = confirmed(groups)
+    # what the first trees have joined is most of it; the labels serve the others
+    joined = components(found).select(F.col("node").alias("set_key"), F.col("root").alias("label"))
+    labels = saved(classes.select("set_key").join(joined, "set_key", "left").withColumn("label", F.coalesce("label", "set_key")), "labels")
+    before, later = wanted, None
+    for turn in range(2):
         done = before.groupBy("set_key").agg(F.max("last").alias("first"))
         total = scores.groupBy("set_key").agg(F.sum("gain").alias("gain"), F.max("level").alias("level"))
         enough = F.lit(every) if turn else F.when(F.col("level") == 1, F.lit(TREES)).otherwise(F.lit(every))
-        needs = saved(total.where(F.col("gain") < TARGET).join(done, "set_key").select("set_key", "first", enough.alias("last")).where("last > first"), "needs")
-        low = needs.agg(F.min("first")).first()[0]
+        wanted = saved(total.where(F.col("gain") < TARGET).join(done, "set_key").select("set_key", "first", enough.alias("last")).where("last > first"), "needs")
+        low = wanted.agg(F.min("first")).first()[0]
         if low is None:
             break
-        if turn == 0:  # what the first round has joined is most of it; the labels serve the others too
-            joined = components(out).select(F.col("node").alias("set_key"), F.col("root").alias("label"))
-            labels = saved(base.select("set_key").join(joined, "set_key", "left").withColumn("label", F.coalesce("label", "set_key")), "labels")
-        near = needs.where(F.col("first") < TREES).join(base, "set_key").select("set_key", F.lit(0).alias("origin"), "first", F.least("last", F.lit(TREES)).alias("last"), F.col("minima").alias("path"))
-        far = needs.where(F.col("last") > TREES).withColumn("first", F.greatest("first", F.lit(TREES)))
-        paths = saved(near.unionByName(further_paths(docs, saved(far.join(members, "set_key"), "far"), k, key, text)), "paths")
-    return out
+        met = before.where(F.col("last") > low).withColumn("first", F.greatest("first", F.lit(low)))
+        present = wanted.withColumn("fresh", F.lit(True)).unionByName(met.withColumn("fresh", F.lit(False)))
+        groups, gained = _branched(classes, present.join(labels, "set_key"), threshold)
+        later = groups if later is None else later.unionByName(groups).distinct()
+        scores, before = scores.unionByName(gained), before.unionByName(wanted)
+    return found if later is None else found.unionByName(confirmed(later))
 
 
 def _confirmed(sets: list[np.ndarray], threshold: int, split: int | None) -> list[tuple[int, int]]:
@@ -371,7 +329,7 @@ def confirm(docs: DataFrame, groups: DataFrame, k: int, threshold: int, key: str
             yield pa.RecordBatch.from_arrays([batch.column("set_key").take(index), batch.column("places").take(index), pa.array([sets[i].tobytes() for i in keep], pa.binary())], ["set_key", "places", "members"])
 
     small_batches(docs.sparkSession)
-    texts = _joined(_keyed(docs, key, text), saved(wanted, "wanted")).select("set_key", "digest", "places", "text")
+    texts = _keyed(docs, key, text).join(saved(wanted, "wanted"), ["rep_id", "rep_mark"]).select("set_key", "digest", "places", "text")
     sets = texts.mapInArrow(sets_of, "set_key long, places array<struct<grp:long,blocks:long,block:long>>, members binary")
     placed = sets.select("set_key", "members", F.explode("places").alias("p")).select("set_key", "members", "p.*")
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
@@ -404,12 +362,13 @@ def confirm(docs: DataFrame, groups: DataFrame, k: int, threshold: int, key: str
 
 def judged(docs: DataFrame, k: int, threshold: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """For every row: rep_id, rep_mark, n_shingles, component (a class number, null without words) and its least id."""
-    found = saved(features(docs, k, key, text), "features")
+    every = features(docs, k, all_trees(threshold), key, text)
+    found = saved(every, "features")
     classes = saved(_classes(found), "classes")
     joined = components(links(docs, classes, k, threshold, key, text)).select(F.col("node").alias("set_key"), "root")
     named = saved(classes.select("set_key", "digest", "least").join(joined, "set_key", "left").withColumn("root", F.coalesce("root", "set_key")), "named")
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    final = saved(named.select("digest", "root").join(least, "root").withColumnRenamed("root", "component"), "components")
+    least = with_least(named.withColumnRenamed("root", "component"), "component", "least")
+    final = saved(least.select("digest", "component", F.col("root").alias("component_id")), "components")
     return found.select("rep_id", "rep_mark", "n_shingles", "digest").join(final, "digest", "left").drop("digest")
 
 
@@ -430,9 +389,11 @@ def deduplicate(docs: DataFrame, k: int = 5, threshold: int = 80, key: str = "do
     first = F.min(F.struct((F.col("rep_id") == NO_ID).alias("lacks"), "rep_id", "rep_mark"))
     keepers = found.groupBy("component").agg(first.alias("first")).select("first.rep_id", "first.rep_mark")
     rows = ["rep_id", "rep_mark"]
-    plain = [c for c, kind in docs.dtypes if not kind.startswith(("map", "variant"))]
-    wordless = ~F.coalesce(F.col(text), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    whole = docs.select(F.struct(*docs.columns).alias("row"), F.struct(*plain).alias("order"), wordless.alias("wordless"), *_row_key(key, text))
+    quoted = {c: F.col("`" + c.replace("`", "``") + "`") for c in docs.columns}
+    wordless = ~F.coalesce(quoted[text], F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    # rows that repeat id and text differ in the others alone
+    order = F.xxhash64(F.to_json(F.struct(*[v.alias(f"c{i}") for i, (c, v) in enumerate(quoted.items()) if c != text])))
+    whole = docs.select(F.struct(*quoted.values()).alias("row"), order.alias("order"), wordless.alias("wordless"), *_row_key(key, text))
     kept = whole.where("not wordless").join(keepers, rows, "left_semi")
     one = kept.withColumn("place", F.row_number().over(Window.partitionBy(*rows).orderBy("order"))).where("place = 1")
     return one.select("row.*").unionByName(whole.where("wordless").select("row.*"))

@@ -84,7 +84,7 @@ def main(argv: list[str] | None = None) -> int:
             print(getattr(p, a.command)())
         elif a.command == "summarize":
             n, failed = p.summarize(a.limit)
-            print(f"{n} traces, {len(failed)} failures")
+            print(f"{n} traces, {failed.count()} failures")
         elif a.command == "assign":
             show(vars(p.assign()))
         elif a.command == "themes":

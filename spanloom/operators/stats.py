@@ -2,12 +2,14 @@
 
 Every view is a function of the same counts, for all agents and facets at once. The fact table is shuffled
 on (agent, facet, window, theme), after partial aggregation; what follows works on the counts, whose
-size is themes times windows and not the number of traces. Views take the assignments themselves or what
+size is themes times windows and not the number of traces. Views take the assignments themselves or ``Counts``, what
 ``counted`` has made of them: that is written once, so that several views scan the assignments once. Windows are ordered by their names.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,13 +28,20 @@ def counts_by_window(assignments: DataFrame) -> DataFrame:
     return counts.withColumn("total", F.sum("n").over(Window.partitionBy(*SCOPE, "window")))
 
 
-def counted(assignments: DataFrame) -> DataFrame:
+@dataclass(frozen=True)
+class Counts:
+    """Counts by (agent_id, facet, window, theme_id), for views in place of the assignments."""
+
+    rows: DataFrame
+
+
+def counted(assignments: DataFrame) -> Counts:
     """The counts, written and read again: what all views of one call start from."""
-    return checkpointed(counts_by_window(assignments))
+    return Counts(checkpointed(counts_by_window(assignments)))
 
 
-def _counts(given: DataFrame) -> DataFrame:
-    return given if {"n", "total"} <= set(given.columns) else counts_by_window(given)
+def _counts(given: DataFrame | Counts) -> DataFrame:
+    return given.rows if isinstance(given, Counts) else counts_by_window(given)
 
 
 def windows(assignments: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from ..config import Config, validate
 from ..functions import providers
 from ..operators import registry, stats, store as predicates
 from ..operators.traces import assemble
+from ..session import checkpointed
 from ..sources.spans import good, read_spans, rejected
 from ..sources.tables import Store
 from ..streaming import staging
@@ -50,18 +51,17 @@ class Pipeline:
     def pending(self, agent_id: str | None = None, since: datetime | None = None) -> DataFrame:
         return predicates.needing_summaries(self.store.table("traces"), self.store.table("facet_summaries"), self.facets, agent_id, since)
 
-    def summarize(self, limit: int | None = None, agent_id: str | None = None, since: datetime | None = None) -> tuple[int, list[tuple[str, str]]]:
-        """(summarized traces, failures); the result is written once, so no call is paid for twice."""
+    def summarize(self, limit: int | None = None, agent_id: str | None = None, since: datetime | None = None) -> tuple[int, DataFrame]:
+        """(summarized traces, failures (trace_id, error)); the result is written once, so no call is paid for twice."""
         rows = self.pending(agent_id, since)
         rows = predicates.page(rows, limit) if limit is not None else rows
-        found = providers.summarize(rows, self.config, self.make_summarizer).checkpoint()
+        found = checkpointed(providers.summarize(rows, self.config, self.make_summarizer))
         ok = found.where("error is null").select("trace_id", "facet", "summary", F.lit(None).cast("array<double>").alias("embedding"))
         self.store.put("facet_summaries", ok)
-        failed = [(r.trace_id, r.error) for r in found.where("error is not null").limit(100).collect()]
-        return ok.select("trace_id").distinct().count(), failed
+        return ok.select("trace_id").distinct().count(), found.where("error is not null").select("trace_id", "error")
 
     def embed(self) -> int:
-        rows = providers.embed_pending(self.store.table("facet_summaries"), self.embedder).checkpoint()
+        rows = checkpointed(providers.embed_pending(self.store.table("facet_summaries"), self.embedder))
         self.store.put("facet_summaries", rows)
         return rows.count()
 
@@ -75,14 +75,14 @@ class Pipeline:
             pool = pool.join(scopes.select(*SCOPE), SCOPE, "left_semi")
         least = self.config.min_cluster_size
         enough = pool.groupBy(*SCOPE).agg(F.count("*").alias("n")).where(F.col("n") >= least).select(*SCOPE)
-        pool = pool.join(enough, SCOPE, "left_semi").checkpoint()
+        pool = checkpointed(pool.join(enough, SCOPE, "left_semi"))
         if pool.isEmpty():
             return 0
         now = self.clock()
         with self.store.transaction():
             first = self.store.next_theme_number(0)
             found, assigned = registry.discover(pool, None, first, now, self.config.merge_threshold, least, self.config.activate_after, self.config.max_exemplars, self.facets)
-            found = found.checkpoint()
+            found = checkpointed(found)
             if not isinstance(self.labeler, providers.StubLabeler):
                 found = self._labelled(found, pool, assigned)
             n = found.count()
@@ -94,7 +94,7 @@ class Pipeline:
     def _labelled(self, themes: DataFrame, pool: DataFrame, assigned: DataFrame) -> DataFrame:
         members = pool.join(assigned.where("theme_id is not null").select("trace_id", "facet", F.col("theme_id").alias("cluster")), ["trace_id", "facet"])
         labels = providers.label_clusters(members, self.labeler, SCOPE).select(F.col("cluster").alias("id"), "label", "description")
-        return themes.drop("label", "description").join(labels, "id", "left").select(*themes.columns).checkpoint()
+        return checkpointed(themes.drop("label", "description").join(labels, "id", "left").select(*themes.columns))
 
     def bootstrap(self) -> int:
         """Discovery for agents that have no theme yet."""
@@ -108,11 +108,11 @@ class Pipeline:
         c = self.config
         with self.store.transaction():
             if c.assign_mode == "exact":
-                events = registry.assign_exact(pool, themes, now, c.assign_threshold, c.activate_after, c.max_exemplars).checkpoint()
+                events = checkpointed(registry.assign_exact(pool, themes, now, c.assign_threshold, c.activate_after, c.max_exemplars))
                 assigned, changed, moved = registry.assignments_of(events), registry.themes_of(events), registry.transitions_of(events)
             else:
-                assigned = registry.assign_frozen(pool, themes, c.assign_threshold).checkpoint()
-                changed = registry.fold_frozen(themes, pool, assigned, now, c.activate_after, c.max_exemplars).join(assigned.where("theme_id is not null").select(F.col("theme_id").alias("id")).distinct(), "id", "left_semi").checkpoint()
+                assigned = checkpointed(registry.assign_frozen(pool, themes, c.assign_threshold))
+                changed = checkpointed(registry.fold_frozen(themes, pool, assigned, now, c.activate_after, c.max_exemplars).join(assigned.where("theme_id is not null").select(F.col("theme_id").alias("id")).distinct(), "id", "left_semi"))
                 was = themes.select(F.col("id").alias("theme_id"), F.col("state").alias("from_state"))
                 moved = changed.select(F.col("id").alias("theme_id"), F.col("state").alias("to_state")).join(was, "theme_id").where("from_state <> to_state")
             self.store.put("assignments", assigned)
@@ -126,17 +126,17 @@ class Pipeline:
     def assign(self) -> Assigned:
         """Assign the pool; where the latest window leaves too much over, discover once and assign again; then sweep."""
         out = Assigned()
-        pool = self.pool().checkpoint()
+        pool = checkpointed(self.pool())
         if not pool.isEmpty():
             self._assign_pool(pool, out)
-        needed = stats.needs_rediscovery(self.store.table("assignments"), self.config.rediscover_residual_share).where("needed").select(*SCOPE).checkpoint()
+        needed = checkpointed(stats.needs_rediscovery(self.store.table("assignments"), self.config.rediscover_residual_share).where("needed").select(*SCOPE))
         if not needed.isEmpty():
             out.discovered = self.discover(needed)
-            again = self.pool().join(needed, SCOPE, "left_semi").checkpoint()
+            again = checkpointed(self.pool().join(needed, SCOPE, "left_semi"))
             if out.discovered and not again.isEmpty():
                 self._assign_pool(again, out)
         if self.config.auto_resolve_after_empty_windows:
-            swept = registry.sweep(self.store.table("assignments"), self.store.table("themes"), self.config.auto_resolve_after_empty_windows, self.clock()).checkpoint()
+            swept = checkpointed(registry.sweep(self.store.table("assignments"), self.store.table("themes"), self.config.auto_resolve_after_empty_windows, self.clock()))
             out.resolved = swept.count()
             self.store.put("themes", swept)
         return out

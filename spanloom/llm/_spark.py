@@ -2,33 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import ship
+from ..session import shared_dir, ship
 
 #: Rows of one Arrow batch; texts may be long, so batches stay far below Spark's 10,000 rows.
 BATCH_ROWS = 512
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names.
-
-    Where none is set, a temporary one serves a local session, whose driver and executors are one process; on a cluster that is an error.
-    """
-    context = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-    if not found:
-        if not context.master.startswith("local[") and context.master != "local":
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = tempfile.mkdtemp(prefix="spanloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
-        context.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
 def new_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder, deleted when the driver's JVM ends."""
     path = f"{shared_dir(spark)}/spanloom/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"

@@ -19,8 +19,8 @@ words or more and occurs more than once anywhere, in one document or in several.
 
 Both sorts are by range and end in the document and position, so a suffix that a third of all documents
 share is spread over many tasks. A group that reaches a task's border, or has more than GROUP unlike
-members, is not gathered: its windows are written out, sorted by 128-bit hashes of their words, and
-compared with their neighbours, which gives the same spans.
+members, is not gathered: of equal windows in a part of it the first is written out, the others are settled there. What is
+written out is sorted by 128-bit hashes of its words and compared with its neighbours, which gives the same spans.
 
 Defined cases: null and empty texts have no words and no passages. Rows that repeat id and text are
 one document; rows that share an id only are several, in order of a hash of the text. Rows without an
@@ -188,29 +188,33 @@ class _Suffixes:
     def window(self, extent: int, rows: np.ndarray, h: int) -> np.ndarray:
         return _text.mix(self.behind[h, rows, extent] * _SALTS[h] + self.ahead[h, rows, self.most - extent] + np.uint64(extent))
 
-    def spans(self) -> Iterator[tuple]:
-        """What members of one group repeat of each other: (row, start, end, removed)."""
+    def compare(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For each extent, (extent, rows, hashes) of its different windows, each at its first occurrence; ``spans`` then has the rest."""
         n = len(self.place)
         rank = np.empty(n, np.int64)
         rank[np.lexsort((self.place, self.mark, self.doc))] = np.arange(n)
-        widest, least = np.full((2, n), -1), np.full((2, n), self.most + 1)
+        self.widest, self.least = np.full((2, n), -1), np.full((2, n), self.most + 1)
         for extent in range(self.most + 1):
             rows = self.fits(extent)
-            if len(rows) < 2:
+            if not len(rows):
                 continue
-            key = _text.mix(self.window(extent, rows, 0) + self.group[rows].astype(np.uint64))
-            order = np.argsort(key)
-            rows, key = rows[order], key[order]
-            start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-            size = np.diff(np.append(start, len(rows)))
-            among = np.repeat(np.minimum.reduceat(rank[rows], start), size)
+            own = [self.window(extent, rows, h) for h in range(len(self.ahead))]
+            key = np.stack([_text.mix(own[0] + self.group[rows].astype(np.uint64)), *own[1:]])
+            order = np.lexsort((rank[rows], *key))
+            rows, key = rows[order], key[:, order]
+            first = np.append(True, (key[:, 1:] != key[:, :-1]).any(axis=0))
+            size = np.diff(np.append(np.flatnonzero(first), len(rows)))
             twin = np.repeat(size > 1, size)
-            for kind, hit in enumerate((rows[twin], rows[twin & (rank[rows] > among)])):
-                widest[kind, hit] = extent
-                least[kind, hit] = np.minimum(least[kind, hit], extent)
+            for kind, hit in enumerate((rows[twin], rows[twin & ~first])):
+                self.widest[kind, hit] = extent
+                self.least[kind, hit] = np.minimum(self.least[kind, hit], extent)
+            yield extent, rows[first], np.stack(own)[:, order[first]]
+
+    def spans(self) -> Iterator[tuple]:
+        """What members repeat of each other: (row, start, end, removed)."""
         for kind in (0, 1):
-            rows = np.flatnonzero(widest[kind] >= 0)
-            yield rows, self.place[rows] - widest[kind, rows], self.place[rows] - least[kind, rows] + self.min_words, bool(kind)
+            rows = np.flatnonzero(self.widest[kind] >= 0)
+            yield rows, self.place[rows] - self.widest[kind, rows], self.place[rows] - self.least[kind, rows] + self.min_words, bool(kind)
 
 
 _SALTS = (np.uint64(0xD1342543DE82EF95), np.uint64(0xA0761D6478BD642F))
@@ -231,15 +235,17 @@ def _extended(min_words: int, anchor: int):
         def windows(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
             for a in range(0, len(rows), CHUNK):
                 found = _Suffixes(rows[a : a + CHUNK], min_words, anchor, 2)
-                for extent in range(found.most + 1):
-                    at = found.fits(extent)
-                    if len(at):
-                        start = found.place[at] - extent
-                        yield out(found.doc[at], found.mark[at], start, start + min_words, False, found.window(extent, at, 0), found.window(extent, at, 1))
+                for extent, at, (one, two) in found.compare():
+                    start = found.place[at] - extent
+                    yield out(found.doc[at], found.mark[at], start, start + min_words, False, one, two)
+                for at, start, end, removed in found.spans():
+                    yield out(found.doc[at], found.mark[at], start, end, removed)
 
         def settle(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
             if len(rows) > 1:
                 found = _Suffixes(rows, min_words, anchor)
+                for _ in found.compare():
+                    pass
                 for at, start, end, removed in found.spans():
                     yield out(found.doc[at], found.mark[at], start, end, removed)
 
@@ -362,7 +368,7 @@ def remove(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("_row").take(index), pa.array([texts[i] for i in keep], pa.string())], ["_row", "_text"])
 
     other = [F.col("_row")[c].alias(c) for c in docs.columns if c != "text"]
-    keyed = docs.select(F.struct(*docs.columns).alias("_row"), F.col("text").alias("_text"), *_row_key("doc_id", "text"))
+    keyed = docs.select(F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]).alias("_row"), F.col("text").alias("_text"), *_row_key("doc_id", "text"))
     joined = keyed.join(passages(docs, min_words).withColumnRenamed("removed", "_removed"), ["doc_id", "mark"], "left")
     body = joined.select(F.struct(*other).alias("_row"), "_text", "_removed")
     fixed = body.mapInArrow(cut, T.StructType([body.schema["_row"], body.schema["_text"]]))

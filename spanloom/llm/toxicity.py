@@ -335,11 +335,12 @@ def score(docs: DataFrame, classifier: Classifier, text: str = "text") -> DataFr
 
 
 def threshold_of(classifier: Classifier, lang: Column) -> Column:
-    out = F.lit(classifier.thresholds[""])
-    for name, value in classifier.thresholds.items():
-        if name:
-            out = F.when(lang == name, F.lit(value)).otherwise(out)
-    return out
+    """A language's threshold, by one look-up in a literal map of those that differ from the common one."""
+    common = classifier.thresholds[""]
+    own = {k: v for k, v in classifier.thresholds.items() if k and v != common}
+    if not own:
+        return F.lit(common)
+    return F.coalesce(F.try_element_at(F.map_from_arrays(F.lit(list(own)), F.lit(list(own.values()))), lang), F.lit(common))
 
 
 def reject(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -10,12 +10,11 @@ link holds exactly where 100 * |A & B| >= threshold * |A | B|. Only confirmed li
 so unlike ones are never chained into one group. Groups of more than one block are compared block by
 block, so no task holds a whole group.
 
-A pair at similarity s shares a node of level l in one tree with probability s**l, so trees are repeated
-until a class has met its target: the logarithms of 1 - s**l at the threshold, over its trees with the level l that
-its node had in each, must add up to that of MISS, so that it may be apart from a like one in all of them with that
-probability at most. Every class starts with FIRST_TREES trees and takes TREES in all if its nodes there were
-small at the first level, else ALL trees, which suffice at the last level; one that lacks anything after that takes
-the rest as well. At 0.8 that is 13 or 27 trees of four levels.
+A pair at similarity s shares a node of level l in one tree with probability s**l. A class that stays at the first level
+in TREES trees is apart from a like one in all of them with probability (1 - s)**TREES; any other takes as many trees as suffice at the last
+level, after which it is apart from a like one with probability MISS at most. So a class is missed with less than the sum of the two, 1e-6 at
+0.8, where that is 13 or 27 trees of four levels. How deep a class went may depend on whom it failed to meet; that is why only
+the greatest of its levels counts, and not a mean of them. Every class starts with FIRST_TREES trees, so that what they join needn't be compared again.
 Signature comparison lets a pair at the threshold pass up to five
 standard deviations below, and stops 8e-7 of such pairs at 0.8. Later rounds skip pairs that confirmed
 links have joined already, so a large group of copies is compared in the first trees and not in all.
@@ -52,7 +51,7 @@ LEVELS = 4
 #: Minwise tokens of a class that make its signature, a byte each.
 COORDINATES = 60
 NODE_LIMIT = 128
-#: A pair at the threshold shares no node of any tree with this probability at most.
+#: A pair at the threshold shares no node of the last level in any of all trees with this probability at most.
 MISS = 1e-6
 #: Shingles and sets of one confirmation block.
 BLOCK_SHINGLES = 1 << 19
@@ -66,12 +65,12 @@ def _coordinates(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def gain(level: int, threshold: int) -> float:
-    """What a tree adds whose node had ``level``: minus the logarithm of the chance that a pair at the threshold is apart in it."""
+    """Minus the logarithm of the chance that a pair at the threshold is apart at ``level`` of a tree."""
     apart = 1 - (threshold / 100) ** level
     return -math.log(apart) if 0 < apart < 1 else TARGET
 
 
-#: The sum of gains at which a class is done.
+#: The sum of gains that is enough.
 TARGET = -math.log(MISS)
 
 
@@ -200,7 +199,7 @@ def _compare(threshold: int):
 
 
 def _branched(classes: DataFrame, wanted: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame]:
-    """Groups (grp, set_key) from the trees of ``wanted`` (set_key, label, fresh, first, last), and (set_key, gain, level) of the classes that are new to them: what they gained, and their deepest node.
+    """Groups (grp, set_key) from the trees of ``wanted`` (set_key, label, fresh, first, last), and (set_key, level) of the classes that are new to them: how deep they went.
 
     Only (node, set_key) rows of nodes that hold two labels or more, and a class that is new to their tree,
     fetch their marks, so the many classes that meet nobody never travel with them.
@@ -209,12 +208,11 @@ def _branched(classes: DataFrame, wanted: DataFrame, threshold: int) -> tuple[Da
     rows = wanted.join(tokens, "set_key").select("set_key", "label", "fresh", "minima", F.explode(F.sequence("first", F.col("last") - 1)).alias("tree"))
     rows = rows.select("tree", "set_key", "label", "fresh", F.xxhash64("tree", F.lit(0), _token(0)).alias("node"))
     out = None
-    gains = [gain(level, threshold) for level in range(1, LEVELS + 1)]
-    reached = wanted.where("fresh").select("set_key", ((F.col("last") - F.col("first")) * gains[0]).alias("gain"), F.lit(1).alias("level"))
+    reached = wanted.where("fresh").select("set_key", F.lit(1).alias("level"))
     for level in range(LEVELS):
         rows = saved(rows, "nodes")
         if level:
-            reached = reached.unionByName(rows.where("fresh").select("set_key", F.lit(gains[level] - gains[level - 1]).alias("gain"), F.lit(level + 1).alias("level")))
+            reached = reached.unionByName(rows.where("fresh").select("set_key", F.lit(level + 1).alias("level")))
         sizes = rows.groupBy("node").agg(F.count("*").alias("n"), F.min("set_key").alias("least"), F.min("label").alias("low"), F.max("label").alias("high"), F.max("fresh").alias("fresh"))
         sizes = saved(sizes.where("low < high and fresh").select("node", "n", "least"), "node-sizes")
         small = rows.join(sizes.where(F.col("n") <= NODE_LIMIT).select("node"), "node").select("node", "set_key", "label")
@@ -230,7 +228,7 @@ def _branched(classes: DataFrame, wanted: DataFrame, threshold: int) -> tuple[Da
             break
         deeper = rows.join(large.select("node"), "node").join(tokens, "set_key")
         rows = deeper.select("tree", "set_key", "label", "fresh", F.xxhash64("node", F.lit(level + 1), _token(level + 1)).alias("node"))
-    return saved(out.distinct(), "groups"), saved(reached.groupBy("set_key").agg(F.sum("gain").alias("gain"), F.max("level").alias("level")), "gains")
+    return saved(out.distinct(), "groups"), saved(reached.groupBy("set_key").agg(F.max("level").alias("level")), "levels")
 
 
 def links(docs: DataFrame, classes: DataFrame, k: int, threshold: int, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -243,7 +241,7 @@ def links(docs: DataFrame, classes: DataFrame, k: int, threshold: int, key: str
     members = classes.select("set_key", "rep_id", "rep_mark", "digest", "n_shingles")
     confirmed = lambda groups: saved(confirm(docs, groups.join(members, "set_key"), k, threshold, key, text), "links")
     wanted = classes.select("set_key", F.lit(0).alias("first"), F.lit(FIRST_TREES).alias("last"))
-    groups, scores = _branched(classes, wanted.withColumns({"label": F.col("set_key"), "fresh": F.lit(True)}), threshold)
+    groups, levels = _branched(classes, wanted.withColumns({"label": F.col("set_key"), "fresh": F.lit(True)}), threshold)
     found = confirmed(groups)
     # what the first trees have joined is most of it; the labels serve the others
     joined = components(found).select(F.col("node").alias("set_key"), F.col("root").alias("label"))
@@ -251,17 +249,17 @@ def links(docs: DataFrame, classes: DataFrame, k: int, threshold: int, key: str
     before, later = wanted, None
     for turn in range(2):
         done = before.groupBy("set_key").agg(F.max("last").alias("first"))
-        total = scores.groupBy("set_key").agg(F.sum("gain").alias("gain"), F.max("level").alias("level"))
-        enough = F.lit(every) if turn else F.when(F.col("level") == 1, F.lit(TREES)).otherwise(F.lit(every))
-        wanted = saved(total.where(F.col("gain") < TARGET).join(done, "set_key").select("set_key", "first", enough.alias("last")).where("last > first"), "needs")
+        deepest = levels.groupBy("set_key").agg(F.max("level").alias("level"))
+        enough = F.when(F.col("level") == 1, F.lit(TREES)).otherwise(F.lit(every))
+        wanted = saved(deepest.join(done, "set_key").select("set_key", "first", enough.alias("last")).where("last > first"), "needs")
         low = wanted.agg(F.min("first")).first()[0]
         if low is None:
             break
         met = before.where(F.col("last") > low).withColumn("first", F.greatest("first", F.lit(low)))
         present = wanted.withColumn("fresh", F.lit(True)).unionByName(met.withColumn("fresh", F.lit(False)))
-        groups, gained = _branched(classes, present.join(labels, "set_key"), threshold)
+        groups, found_levels = _branched(classes, present.join(labels, "set_key"), threshold)
         later = groups if later is None else later.unionByName(groups).distinct()
-        scores, before = scores.unionByName(gained), before.unionByName(wanted)
+        levels, before = levels.unionByName(found_levels), before.unionByName(wanted)
     return found if later is None else found.unionByName(confirmed(later))
 
 

@@ -104,6 +104,52 @@ def test_distributed_discovery_equals_whole_set(spark, monkeypatch):
     assert sorted(map(sorted, got.values())) == sorted(clusters)
 
 
+def grouped(rows):
+    out = {}
+    for r in rows:
+        out.setdefault(r.cluster, []).append(r.id)
+    return sorted(map(sorted, (v for k, v in out.items() if k is not None))), sorted(out.get(None, []))
+
+
+def test_mergers_in_rounds_equal_the_matrix(spark, monkeypatch):
+    """One component of unlike groups, noise at its rim, and copies; rounds down to a handful of groups."""
+    rng = np.random.default_rng(11)
+    x = np.concatenate([rng.normal(size=6) * 0.6 + rng.normal(0, 0.35, (n, 6)) + 0.5 for n in (90, 60, 40, 30, 20)] + [rng.normal(size=(20, 6)), np.zeros((1, 6))])
+    clusters, noise = cluster.discover_vectors(x.tolist(), 0.2, 4)
+    rows = spark.createDataFrame([("s", f"i{i:04d}", v.tolist()) for i, v in enumerate(x)], "scope string, id string, vector array<double>")
+    monkeypatch.setattr(cluster, "DIRECT", 0)
+    monkeypatch.setattr(cluster, "LOCAL", 180)
+    monkeypatch.setattr(cluster, "BLOCK", 100)
+    found, rest = grouped(cluster.discover(rows, ["scope"], 0.2, 4).collect())
+    name = lambda group: [f"i{i:04d}" for i in group]
+    assert len(clusters) > 4 and found == sorted(map(name, clusters)) and rest == name(noise)
+
+
+def test_groups_are_linked_by_their_sums():
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(60, 5)) + 0.8
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for cut in (0.05, 0.1):
+        first = cluster.agglomerate(x, cut)
+        sums, sizes = np.array([unit[g].sum(axis=0) for g in first]), np.array([len(g) for g in first])
+        again = [sorted(i for k in g for i in first[k]) for g in cluster.agglomerate(sums, 0.25, sizes)]
+        assert sorted(again) == sorted(cluster.agglomerate(x, 0.25))
+
+
+def test_caps_leave_most_block_pairs_out(spark, monkeypatch):
+    rng = np.random.default_rng(13)
+    centers = np.linalg.qr(rng.normal(size=(24, 24)))[0]
+    x = np.concatenate([c + rng.normal(0, 0.03, (30, 24)) for c in centers])
+    rows = spark.createDataFrame([("s", i, v.tolist()) for i, v in enumerate(x)] + [("t", i, v.tolist()) for i, v in enumerate(x[:50])], "scope string, id long, vector array<double>")
+    plain = {(r.scope, r.a, r.b) for r in cluster.edges(rows, ["scope"], 0.35).collect()}
+    monkeypatch.setattr(cluster, "BLOCK", 20)
+    blocks = cluster.capped(cluster.packed(rows, ["scope"], ["id"]), ["scope"])
+    n = blocks.where("scope = 's'").select("block").distinct().count()
+    kept = cluster.block_pairs(blocks, ["scope"], 0.35).where("scope = 's'").count()
+    assert n >= 24 and kept < n * (n + 1) / 2 / 4
+    assert {(r.scope, r.a, r.b) for r in cluster.edges(rows, ["scope"], 0.35).collect()} == plain and len(plain) > 24 * 30 * 29 / 2
+
+
 def test_vectors(spark):
     rows = spark.createDataFrame([("a", [1.0, 0.0]), ("a", [0.0, 1.0]), ("b", [0.0, 0.0])], "k string, v array<double>")
     means = {r.k: r.centroid for r in V.mean_vectors(rows, ["k"], "v").collect()}

@@ -446,18 +446,21 @@ def told_days(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH e AS (SELECT CAST(user_id AS VARCHAR) || '/' || strftime(ts, '%Y-%m-%d') AS id, event_type AS kind, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, row_number() OVER (PARTITION BY user_id, strftime(ts, '%Y-%m-%d') ORDER BY ts, event_id) AS place FROM events),
-  tools AS (SELECT id, 't' || (k % 3) AS tool, min(place) AS place, count(*) AS n FROM e WHERE kind = 'click' GROUP BY id, k % 3),
-  used AS (SELECT id, string_agg(tool, ', ' ORDER BY place) AS tools, coalesce(string_agg(tool, ', ' ORDER BY place) FILTER (WHERE n > 1), '') AS repeated, count(*) AS kinds FROM tools GROUP BY id),
-  f AS (SELECT e.id, bool_or(kind = 'view' AND k % 7 = 0) AS late, count(*) FILTER (WHERE kind = 'view' AND k % 7 <> 0) AS steps, coalesce(max(k) FILTER (WHERE kind = 'view' AND k % 7 <> 0), 0) AS slowest, arg_min('code ' || (k % 4), place) FILTER (WHERE kind = 'error') AS error,
-    arg_min('join ' || k, place) FILTER (WHERE kind = 'signup') AS asked, arg_max('bought ' || k, place) FILTER (WHERE kind = 'purchase') AS said FROM e GROUP BY e.id),
-  g AS (SELECT f.*, coalesce(u.tools, '') AS tools, coalesce(u.repeated, '') AS repeated, coalesce(u.kinds, 0) AS kinds, steps || CASE WHEN steps = 1 THEN ' step' ELSE ' steps' END AS taken FROM f LEFT JOIN used u ON u.id = f.id)
-  SELECT id, steps, slowest, coalesce(asked, 'nothing asked') AS goal, CASE WHEN late THEN 'not done, ran out of time' WHEN error IS NOT NULL THEN 'not done, error: ' || error WHEN said IS NOT NULL THEN 'done, said: ' || said ELSE 'open, nothing said in the end' END AS outcome,
-  CASE WHEN repeated <> '' THEN 'calls over and over: ' || repeated || CASE WHEN late THEN '; ran out of time' ELSE '' END WHEN late AND kinds > 0 THEN 'waits too long for: ' || tools WHEN late THEN 'waits too long' WHEN error IS NOT NULL THEN 'meets an error: ' || error WHEN kinds > 0 THEN 'one call each: ' || tools || '; ' || taken ELSE 'no tools; ' || taken END AS behavior,
-  CASE WHEN late OR error IS NOT NULL THEN 'likely annoyed' ELSE 'even' END AS sentiment, CASE WHEN error IS NOT NULL OR late THEN 'at ' || coalesce(nullif(split_part(tools, ', ', 1), ''), 'no tool') || ': ' || coalesce(error, 'timeout') ELSE 'none' END AS failure_stage FROM g""")
+  v AS (SELECT id, place, k, CASE WHEN kind = 'signup' THEN 'ask' WHEN kind = 'click' THEN 'tool' WHEN kind = 'error' THEN 'error' WHEN kind = 'purchase' THEN 'answer' WHEN k % 7 = 0 THEN 'stall' ELSE 'step' END AS kind,
+    CASE WHEN kind = 'signup' THEN 'join ' || k WHEN kind = 'click' THEN 't' || (k % 3) WHEN kind = 'error' THEN 'code ' || (k % 4) WHEN kind = 'purchase' THEN 'bought ' || k ELSE 'page ' || k || ' timed out' END AS what FROM e),
+  bad AS (SELECT id, min(place) AS place FROM v WHERE kind IN ('error', 'stall') GROUP BY id),
+  f AS (SELECT v.id, count(*) FILTER (WHERE kind = 'step') AS steps, coalesce(max(k) FILTER (WHERE kind = 'step'), 0) AS slowest, arg_min(what, v.place) FILTER (WHERE kind = 'ask') AS goal, arg_max(kind || ': ' || what, v.place) FILTER (WHERE kind IN ('answer', 'error', 'stall')) AS outcome,
+    count(*) FILTER (WHERE kind = 'answer') AS good, count(*) FILTER (WHERE kind IN ('error', 'stall')) AS wrong, max(what) FILTER (WHERE v.place = bad.place) AS onset, arg_max(what, v.place) FILTER (WHERE kind = 'tool' AND v.place < bad.place) AS tool FROM v LEFT JOIN bad ON bad.id = v.id GROUP BY v.id),
+  told AS (SELECT id, kind, what || CASE WHEN count(*) > 1 THEN ' (recurs)' ELSE '' END AS what, min(place) AS place FROM v WHERE kind IN ('tool', 'error', 'stall') GROUP BY id, kind, v.what),
+  kinds AS (SELECT id, kind, kind || ': ' || string_agg(what, ', ' ORDER BY place) AS what FROM told GROUP BY id, kind),
+  tally AS (SELECT id, string_agg(what, '; ' ORDER BY CASE kind WHEN 'tool' THEN 1 WHEN 'error' THEN 2 ELSE 3 END) AS behavior FROM kinds GROUP BY id)
+  SELECT f.id, steps, slowest, coalesce(goal, 'nothing to tell') AS goal, coalesce(outcome, 'nothing to tell') AS outcome, coalesce(behavior, 'nothing to tell') AS behavior, CASE WHEN wrong = 0 THEN 'calm' WHEN good > wrong THEN 'mixed' ELSE 'troubled' END AS sentiment,
+    coalesce(onset || ' after ' || coalesce(tool, 'no tool'), 'nothing to tell') AS failure_stage FROM f LEFT JOIN tally t ON t.id = f.id""")
 def rule_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Signals of each day's text, and one line for each of several facets, by rules."""
-    told = told_days(spark, sf_dir).select("id", rules.signals(F.col("text")).alias("s"), rules.summaries(F.col("text"), ["goal", "outcome", "behavior", "sentiment", "failure-stage"]).alias("m"))
-    return told.select("id", F.col("s.steps").cast("long").alias("steps"), F.col("s.slowest_ms").alias("slowest"), *[F.col("m")[f].alias(f.replace("-", "_")) for f in ("goal", "outcome", "behavior", "sentiment", "failure-stage")])
+    """Steps of each day's text, and one line for each of several facets, by rules."""
+    told = told_days(spark, sf_dir).select("id", rules.events(F.col("text")).alias("e"), rules.summaries(F.col("text"), ["goal", "outcome", "behavior", "sentiment", "failure-stage"]).alias("m"))
+    steps = F.size(F.filter("e", lambda x: x["kind"] == "step")).cast("long")
+    return told.select("id", steps.alias("steps"), rules.slowest(F.col("e")).alias("slowest"), *[F.col("m")[f].alias(f.replace("-", "_")) for f in ("goal", "outcome", "behavior", "sentiment", "failure-stage")])
 
 
 @query("""WITH t AS (SELECT conv_id, turn, md5(unnest(regexp_extract_all(lower(text), '[a-z0-9]+'))) AS h FROM conversations),

@@ -178,15 +178,16 @@ def test_replies():
 def test_rule_summaries(spark):
     looped = "## chat\ninput: why\n## execute_tool (9ms)\ntool: kb\nERROR: T: timed out\n## execute_tool (12ms)\ntool: kb"
     texts = [looped, "output: done", "## chat\ntool: a\ntool: b args: 1\nuser: u\nassistant: no\nassistant: yes", "ERROR: boom\nERROR: boom\nERROR: bang", "", None, "## timeout (3ms)"]
-    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", rules.signals(F.col("t")).alias("s"), rules.summaries(F.col("t"), ["goal", "outcome", "behavior", "sentiment", "failure-stage", "resolution-path", "files-touched", "own"]).alias("m"))
-    s, m = zip(*((r.s, r.m) for r in rows.orderBy("i").collect()), strict=True)
-    assert (s[0].steps, s[0].slowest_ms, s[0].tools, s[0].repeated, s[0].errors, s[0].late, s[0].asked, s[0].said) == (3, 12, ["kb"], ["kb"], ["T: timed out", "timeout"], True, "why", "")
-    assert (s[2].tools, s[2].repeated, s[2].asked, s[2].said) == (["a", "b"], [], "u", "yes") and s[3].errors == ["boom", "bang"]
-    assert (s[6].late, s[6].errors) == (True, []) and s[4] == s[5]
-    assert m[0]["behavior"] == "calls over and over: kb; ran out of time" and m[0]["goal"] == "why" and m[0]["sentiment"] == "likely annoyed"
-    assert m[1]["outcome"] == "done, said: done" and m[4]["outcome"] == "open, nothing said in the end" and m[4]["goal"] == "nothing asked"
-    assert m[2]["behavior"] == "one call each: a, b; 1 step" and m[2]["resolution-path"] == "by way of a, b, 1 step" and m[2]["own"] == "u"
-    assert m[3]["outcome"] == "not done, error: boom" and m[3]["failure-stage"] == "at no tool: boom" and m[3]["behavior"] == "meets an error: boom"
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", rules.events(F.col("t")).alias("e"), rules.summaries(F.col("t"), ["goal", "outcome", "behavior", "sentiment", "failure-stage", "resolution-path", "files-touched", "own"]).alias("m"))
+    found = rows.select("*", rules.slowest(F.col("e")).alias("slowest")).orderBy("i").collect()
+    e, m = [[tuple(x) for x in r.e] for r in found], [r.m for r in found]
+    assert e[0] == [("step", "chat"), ("ask", "why"), ("step", "execute_tool (9ms)"), ("tool", "kb"), ("error", "T: timed out"), ("step", "execute_tool (12ms)"), ("tool", "kb")] and found[0].slowest == 12
+    assert e[4] == e[5] == [] and e[6] == [("step", "timeout (3ms)")] and e[3] == [("error", "boom"), ("error", "boom"), ("error", "bang")]
+    assert m[0]["behavior"] == "tool: kb (recurs); error: T: timed out" and m[0]["goal"] == "why" and m[0]["sentiment"] == "troubled"
+    assert m[0]["failure-stage"] == "T: timed out after kb" and m[0]["outcome"] == "error: T: timed out"
+    assert m[1]["outcome"] == "answer: done" and m[1]["sentiment"] == "calm" and set(m[4].values()) == {"calm", rules.NOTHING}
+    assert m[2]["behavior"] == "tool: a, b" and m[2]["resolution-path"] == "tool: a, b; answer: no, yes" and m[2]["own"] == "u" and m[2]["outcome"] == "answer: yes"
+    assert m[3]["outcome"] == "error: bang" and m[3]["failure-stage"] == "boom after no tool" and m[3]["files-touched"] == rules.NOTHING
 
 
 def test_hash_embedder():

@@ -87,23 +87,47 @@ def theme_series(assignments: DataFrame) -> DataFrame:
     return grid(assignments)
 
 
-def deltas(assignments: DataFrame, themes: DataFrame, pairs: DataFrame, sigma: float = 2.0) -> DataFrame:
+def _others_deviation(points: Column, at: Column) -> Column:
+    """Sample deviation of all shares but the one at place ``at``: 0 below two points, and exactly 0 where they are equal."""
+
+    def more(state, share):
+        n = state["n"] + 1.0
+        step = share - state["mean"]
+        mean = state["mean"] + step / n
+        return F.struct(n.alias("n"), mean.alias("mean"), (state["square"] + step * (share - mean)).alias("square"))
+
+    others = F.transform(F.filter(points, lambda p, i: i != at), lambda p: p["share"])
+    none = F.lit(0.0)
+    start = F.struct(none.alias("n"), none.alias("mean"), none.alias("square")).cast("struct<n:double,mean:double,square:double>")
+    return F.aggregate(others, start, more, lambda s: F.when(s["n"] > 1, F.sqrt(s["square"] / (s["n"] - 1))).otherwise(none))
+
+
+def deltas(assignments: DataFrame | Counts, themes: DataFrame, pairs: DataFrame, sigma: float = 2.0) -> DataFrame:
     """Findings for each (scope, from_window, to_window): change of share against the theme's history.
 
     History holds the theme's shares in all windows but the later one, zeros included; its sample
     deviation is 0 below two points. Themes that are unknown or muted are passed over.
+
+    A theme is one row, its points an array in order of windows. It meets the later windows that are asked for, which gives a deviation for
+    each, and unfolds into their earlier windows from there: T x W rows are joined, and the T x W x W of a report of all pairs are only made.
     """
-    points = grid(assignments).join(pairs, SCOPE)
-    hist = F.when(F.col("window") != F.col("to_window"), F.col("share"))
-    at = lambda name, value: F.max(F.when(F.col("window") == F.col(name), F.col(value)))
-    changed = points.groupBy(*SCOPE, "from_window", "to_window", "theme_id").agg(
-        F.coalesce(at("from_window", "n"), F.lit(0)).alias("from_count"), F.coalesce(at("to_window", "n"), F.lit(0)).alias("to_count"), F.coalesce(at("from_window", "share"), F.lit(0.0)).alias("from_share"), F.coalesce(at("to_window", "share"), F.lit(0.0)).alias("to_share"), F.coalesce(F.stddev_samp(hist), F.lit(0.0)).alias("deviation")
-    )
-    seen = changed.where("from_count + to_count > 0").withColumn("delta", F.col("to_share") - F.col("from_share"))
+    dense = grid(assignments)
+    places = windows(assignments).select(*SCOPE, "window", (F.row_number().over(Window.partitionBy(*SCOPE).orderBy("window")) - 1).alias("at"))
+    side = lambda name: places.withColumnsRenamed({"window": f"{name}_window", "at": f"{name}_at"})
+    asked = pairs.select(*SCOPE, "from_window", "to_window").join(side("from"), [*SCOPE, "from_window"], "left").join(side("to"), [*SCOPE, "to_window"], "left")
+    later = asked.groupBy(*SCOPE, "to_window", "to_at").agg(F.collect_list(F.struct("from_window", "from_at")).alias("earlier"))
     known = themes.where("state <> 'muted'").select("agent_id", "facet", F.col("id").alias("theme_id"), "label", "state")
-    judged = seen.join(known, [*SCOPE, "theme_id"]).withColumn("exceeded", F.abs("delta") > F.greatest(F.col("deviation") * sigma, F.lit(FLOOR)))
+    series = dense.groupBy(*SCOPE, "theme_id").agg(F.array_sort(F.collect_list(F.struct("window", "n", "share"))).alias("points")).join(known, [*SCOPE, "theme_id"])
+    met = series.join(later, SCOPE)
+    point = lambda at, name, none: F.coalesce(F.get("points", at)[name], none)
+    one = lambda e: F.struct(e["from_window"].alias("from_window"), point(e["from_at"], "n", F.lit(0).cast("long")).alias("from_count"), point(e["from_at"], "share", F.lit(0.0)).alias("from_share"))
+    own = ["theme_id", "label", "state"]
+    unfolded = met.select(*SCOPE, *own, "to_window", point(F.col("to_at"), "n", F.lit(0).cast("long")).alias("to_count"), point(F.col("to_at"), "share", F.lit(0.0)).alias("to_share"), _others_deviation(F.col("points"), F.coalesce("to_at", F.lit(-1))).alias("deviation"), F.explode(F.transform("earlier", one)).alias("e"))
+    changed = unfolded.select(*SCOPE, "theme_id", "e.from_window", "to_window", "e.from_count", "to_count", "e.from_share", "to_share", "deviation", "label", "state")
+    judged = changed.where("from_count + to_count > 0").withColumn("delta", F.col("to_share") - F.col("from_share")).withColumn("exceeded", F.abs("delta") > F.greatest(F.col("deviation") * sigma, F.lit(FLOOR)))
     sigmas = F.when(F.col("deviation") > 0, F.abs("delta") / F.col("deviation")).otherwise(F.lit(0.0))
-    return judged.withColumn("sigmas", sigmas).withColumn("severity", severity(F.col("exceeded"), F.col("delta"), F.col("state"), F.col("from_count")))
+    out = judged.withColumn("sigmas", sigmas).withColumn("severity", severity(F.col("exceeded"), F.col("delta"), F.col("state"), F.col("from_count")))
+    return out.select(*SCOPE, "theme_id", "from_window", "to_window", "from_count", "to_count", "from_share", "to_share", "deviation", "delta", "label", "state", "exceeded", "sigmas", "severity")
 
 
 def severity(exceeded: Column, delta: Column, state: Column, from_count: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from datetime import datetime, timedelta, timezone
 
+import math
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -340,3 +341,22 @@ def test_old_snapshots_and_compaction(spark, tmp_path):
     assert len(s.snapshot.folders["meta"]) == 5
     s.compact_beyond("meta", 4)
     assert len(s.snapshot.folders["meta"]) == 1 and (s.get_meta("k0"), s.get_meta("k1")) == ("4", "3")
+
+
+def test_deviations_leave_one_window_out(spark):
+    rng = np.random.default_rng(21)
+    counts = {t: rng.integers(0, 9, 7) for t in ("A", "B", "C")} | {"E": np.array([3, 0, 0, 0, 0, 0, 0])}
+    counts["R"] = 40 - sum(counts.values())  # all windows hold forty
+    rows = [("bot", "goal", f"w{w}", None if t == "R" else t) for t, ns in counts.items() for w, n in enumerate(ns) for _ in range(n)]
+    a = spark.createDataFrame(rows, "agent_id string, facet string, window string, theme_id string")
+    t = spark.createDataFrame([("bot", "goal", x, x, "active") for x in counts], "agent_id string, facet string, id string, label string, state string")
+    found = stats.deltas(a, t, stats.all_pairs(a)).collect()
+    for r in found:
+        shares = counts[r.theme_id] / 40
+        i, j = int(r.from_window[1]), int(r.to_window[1])
+        assert (r.from_count, r.to_count) == (counts[r.theme_id][i], counts[r.theme_id][j]) and math.isclose(r.delta, shares[j] - shares[i], abs_tol=1e-12)
+        assert math.isclose(r.deviation, np.std(np.delete(shares, j), ddof=1), abs_tol=1e-12)
+    assert {r.deviation for r in found if r.theme_id == "E" and r.to_window == "w0"} == {0.0}
+    assert len(found) == sum(counts[x][i] + counts[x][j] > 0 for x in "ABCE" for i in range(7) for j in range(7) if i != j)
+    missing = spark.createDataFrame([("bot", "goal", "w0", "w9")], "agent_id string, facet string, from_window string, to_window string")
+    assert {(r.theme_id, r.to_count) for r in stats.deltas(a, t, missing).collect()} == {(x, 0) for x in "ABCE" if counts[x][0]}

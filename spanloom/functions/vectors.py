@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import ship
+from ..session import checkpointed, ship
 
 
 def as_double(v: Column) -> Column:
@@ -48,8 +50,8 @@ def normalize(a: Column) -> Column:
     return F.when(size == 0, a).otherwise(F.transform(a, lambda x: x / size))
 
 
-def mean_vectors(df: DataFrame, keys: list[str], vector: str, name: str = "centroid") -> DataFrame:
-    """Component-wise mean for each group; ragged groups are an error.
+def mean_vectors(df: DataFrame, keys: list[str], vector: str, name: str = "centroid", total: bool = False) -> DataFrame:
+    """Component-wise mean (or ``total``) for each group; ragged groups are an error.
 
     Every Arrow batch sums up its groups first, so what is shuffled, component by component, is one vector for
     each batch and group and not one for each row.
@@ -67,7 +69,7 @@ def mean_vectors(df: DataFrame, keys: list[str], vector: str, name: str = "centr
 
     partial = rows.mapInPandas(summed, T.StructType([*key_fields, T.StructField("_size", T.IntegerType()), T.StructField("_n", T.LongType()), T.StructField("_sum", T.ArrayType(T.DoubleType()))]))
     parts = partial.select(*keys, "_size", "_n", F.posexplode("_sum").alias("_at", "_x"))
-    cells = parts.groupBy(*keys, "_at").agg((F.sum("_x") / F.sum("_n")).alias("_x"), F.min("_size").alias("_low"), F.max("_size").alias("_high"))
+    cells = parts.groupBy(*keys, "_at").agg((F.sum("_x") if total else F.sum("_x") / F.sum("_n")).alias("_x"), F.min("_size").alias("_low"), F.max("_size").alias("_high"))
     out = cells.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_at", "_x"))).alias("_cells"), F.min("_low").alias("_low"), F.max("_high").alias("_high"))
     values = F.transform("_cells", lambda c: c["_x"])
     return out.select(*keys, F.when(F.col("_low") == F.col("_high"), values).otherwise(F.raise_error(F.lit("vectors of one group differ in size")).cast("array<double>")).alias(name))
@@ -84,24 +86,43 @@ def fold_centroid(centroid: Column, count: Column, total: Column, added: Column)
     return F.zip_with(centroid, total, lambda c, s: (c * count + s) / (count + added))
 
 
-#: Bytes of centroids that are held beside every task; more are joined by scope.
+#: Bytes of centroids that are held beside every task at a time.
 HELD_BYTES = 64 << 20
+#: Blocks of centroids whose results are put together before the next ones are compared.
+TOGETHER = 16
 
 
 def nearest(items: DataFrame, themes: DataFrame, item: str = "item_id", scope: list[str] | None = None) -> DataFrame:
     """Each item's most similar theme within its scope, ties to the smallest theme id.
 
-    ``items(item, scope.., vector)`` and ``themes(theme_id, scope.., centroid)``. While the themes' centroids take
-    HELD_BYTES at most, which is measured, they go to every task, and a batch of items is one matrix product and
-    a row's best place; no pairs are made and nothing is shuffled. Beyond that, items and themes are joined by scope.
+    ``items(item, scope.., vector)`` and ``themes(theme_id, scope.., centroid)``. Themes are evaluated once and measured. Blocks of them of
+    about HELD_BYTES go to every task, one after the other: a batch of items is one matrix product with a block and
+    gives a row's best place in it, so no pairs are made and no vectors are shuffled, however many themes there are. With several blocks, the usual case being one, an
+    item's best of each are compared, after partial aggregation.
     """
     scope = scope or []
-    size = themes.agg(F.coalesce(F.sum(F.size("centroid") * 8 + 64), F.lit(0)).alias("n")).first().n
-    if size > HELD_BYTES:
-        return _nearest_joined(items, themes, item, scope)
+    known = checkpointed(themes.select("theme_id", *scope, as_double(F.col("centroid")).alias("centroid")))
+    size = known.agg(F.coalesce(F.sum(F.size("centroid") * 8 + 64), F.lit(0)).alias("bytes"), F.count("*").alias("n")).first()
+    blocks = max(1, min(size.n, math.ceil(size.bytes / max(HELD_BYTES, 1))))
     ship(items.sparkSession)
-    held: dict[tuple, tuple[list[str], np.ndarray]] = {}
-    rows = themes.select("theme_id", *scope, as_double(F.col("centroid")).alias("centroid")).collect()
+    best = None
+    for first in range(0, blocks, TOGETHER):
+        parts = [] if best is None else [best]
+        for block in range(first, min(first + TOGETHER, blocks)):
+            rows = known if blocks == 1 else known.where(F.pmod(F.xxhash64("theme_id"), F.lit(blocks)) == block)
+            parts.append(_nearest_held(items, rows.collect(), item, scope))
+        if blocks == 1:
+            return parts[0]
+        every = reduce(DataFrame.unionByName, parts)
+        order = F.struct(-F.col("similarity"), F.col("theme_id"))
+        best = every.groupBy(item, *scope).agg(F.min_by("theme_id", order).alias("theme_id"), F.max("similarity").alias("similarity"))
+        best = checkpointed(best) if first + TOGETHER < blocks else best
+    return best
+
+
+def _nearest_held(items: DataFrame, rows: list, item: str, scope: list[str]) -> DataFrame:
+    """The same against themes that the driver holds."""
+    held: dict[tuple, list] = {}
     for r in sorted(rows, key=lambda r: r.theme_id):
         held.setdefault(tuple(r[c] for c in scope), []).append(r)
     known = {k: ([r.theme_id for r in own], _units(own[0].centroid, [r.centroid for r in own])) for k, own in held.items()}
@@ -129,13 +150,3 @@ def _units(first, vectors: list) -> np.ndarray:
     x = np.array(vectors, np.float64).reshape(len(vectors), len(first))
     size = np.linalg.norm(x, axis=1, keepdims=True)
     return np.divide(x, size, out=np.zeros_like(x), where=size > 0)
-
-
-def _nearest_joined(items: DataFrame, themes: DataFrame, item: str, scope: list[str]) -> DataFrame:
-    """The same by pairs: a group limit by item keeps one of them before anything else is shuffled."""
-    left = items.withColumn("_n", norm(F.col("vector")))
-    right = themes.withColumn("_m", norm(F.col("centroid")))
-    pairs = left.withColumn("_one", F.lit(1)).join(right.withColumn("_one", F.lit(1)), [*scope, "_one"]).drop("_one")
-    scored = pairs.select(item, *scope, "theme_id", cosine(F.col("vector"), F.col("centroid"), F.col("_n"), F.col("_m")).alias("similarity"))
-    best = Window.partitionBy(item, *scope).orderBy(F.desc("similarity"), "theme_id")
-    return scored.withColumn("_r", F.row_number().over(best)).where("_r = 1").drop("_r")

@@ -120,8 +120,7 @@ def fold_frozen(themes: DataFrame, pool: DataFrame, assigned: DataFrame, now: da
     """Themes after a frozen batch: every field in its batch form."""
     hits = assigned.where("theme_id is not null")
     vectors = hits.join(pool.select("trace_id", "facet", V.as_double(F.col("embedding")).alias("v")), ["trace_id", "facet"])
-    sums = vectors.select("theme_id", F.posexplode("v").alias("at", "x")).groupBy("theme_id", "at").agg(F.sum("x").alias("x"))
-    totals = sums.groupBy("theme_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "x"))), lambda c: c["x"]).alias("total"))
+    totals = V.mean_vectors(vectors, ["theme_id"], "v", "total", total=True)
     facts = hits.groupBy("theme_id").agg(F.count("*").cast("int").alias("added"), F.min("window").alias("least"), F.max_by("window", "trace_id").alias("last"))
     order = Window.partitionBy("theme_id").orderBy("trace_id")
     firsts = hits.withColumn("p", F.row_number().over(order)).where(F.col("p") <= max_exemplars).groupBy("theme_id").agg(F.array_sort(F.collect_list("trace_id")).alias("fresh"))

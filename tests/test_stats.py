@@ -1,8 +1,8 @@
 """Window statistics, clustering, registry, store, streaming and the whole loop."""
 
+import math
 from datetime import datetime, timedelta, timezone
 
-import math
 import numpy as np
 import pytest
 from pyspark.sql import functions as F

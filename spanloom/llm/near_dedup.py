@@ -10,14 +10,13 @@ link holds exactly where 100 * |A & B| >= threshold * |A | B|. Only confirmed li
 so unlike ones are never chained into one group. Groups of more than one block are compared block by
 block, so no task holds a whole group.
 
-A pair at similarity s shares a node of level l in one tree with probability s**l. A class that stays at the first level
-in TREES trees is apart from a like one in all of them with probability (1 - s)**TREES; any other takes as many trees as suffice at the last
-level, after which it is apart from a like one with probability MISS at most. So a class is missed with less than the sum of the two, 1e-6 at
-0.8, where that is 13 or 27 trees of four levels. How deep a class went may depend on whom it failed to meet; that is why only
-the greatest of its levels counts, and not a mean of them. Every class starts with FIRST_TREES trees, so that what they join needn't be compared again.
+A pair at similarity s shares a node of level l in one tree with probability s**l. Every class takes as many trees as suffice at the last
+level, after which a pair at the threshold is apart with probability MISS at most: 27 trees of four levels at 0.8. Their number doesn't depend on how a class fared, as
+that may depend on whom it failed to meet. The first FIRST_TREES trees come by themselves, so that what they join needn't be compared again.
 Signature comparison lets a pair at the threshold pass up to five
 standard deviations below, and stops 8e-7 of such pairs at 0.8. Later rounds skip pairs that confirmed
 links have joined already, so a large group of copies is compared in the first trees and not in all.
+A row of a tree carries the four tokens that it chooses, 16 bytes, down its levels.
 
 Texts are read once for the tokens of all trees, and twice more for confirmation: after the first trees, and after all others
 together. Each of these shuffles texts by row once, whatever the number of trees or rounds, so what is moved grows as the input does.
@@ -142,8 +141,8 @@ def _classes(found: DataFrame) -> DataFrame:
 
 
 def _token(level: int):
-    """The minwise token that ``tree`` chooses at a level: four bytes of ``minima``."""
-    return F.substring(F.col("minima"), (F.col("tree") * LEVELS + level) * 4 + 1, 4)
+    """The minwise token that a tree chooses at a level: four bytes of ``path``."""
+    return F.substring(F.col("path"), level * 4 + 1, 4)
 
 
 def _passing(threshold: int) -> int:
@@ -198,23 +197,22 @@ def _compare(threshold: int):
     return run
 
 
-def _branched(classes: DataFrame, wanted: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame]:
-    """Groups (grp, set_key) from the trees of ``wanted`` (set_key, label, fresh, first, last), and (set_key, level) of the classes that are new to them: how deep they went.
+def _branched(classes: DataFrame, labels: DataFrame | None, trees: range, threshold: int) -> DataFrame:
+    """Groups (grp, set_key) from some trees.
 
-    Only (node, set_key) rows of nodes that hold two labels or more, and a class that is new to their tree,
+    ``labels(set_key, label)`` tells what earlier trees have joined. Only (node, set_key) rows of nodes that hold two labels or more
     fetch their marks, so the many classes that meet nobody never travel with them.
     """
-    tokens = classes.select("set_key", "minima")
-    rows = wanted.join(tokens, "set_key").select("set_key", "label", "fresh", "minima", F.explode(F.sequence("first", F.col("last") - 1)).alias("tree"))
-    rows = rows.select("tree", "set_key", "label", "fresh", F.xxhash64("tree", F.lit(0), _token(0)).alias("node"))
+    own = classes.select("set_key", "minima")
+    own = own.withColumn("label", F.col("set_key")) if labels is None else own.join(labels, "set_key")
+    rows = own.select("set_key", "label", "minima", F.explode(F.sequence(F.lit(trees.start), F.lit(trees.stop - 1))).alias("tree"))
+    rows = rows.select("set_key", "label", "tree", F.substring("minima", F.col("tree") * (4 * LEVELS) + 1, F.lit(4 * LEVELS)).alias("path"))
+    rows = rows.select("set_key", "label", "path", F.xxhash64("tree", F.lit(0), _token(0)).alias("node"))
     out = None
-    reached = wanted.where("fresh").select("set_key", F.lit(1).alias("level"))
     for level in range(LEVELS):
         rows = saved(rows, "nodes")
-        if level:
-            reached = reached.unionByName(rows.where("fresh").select("set_key", F.lit(level + 1).alias("level")))
-        sizes = rows.groupBy("node").agg(F.count("*").alias("n"), F.min("set_key").alias("least"), F.min("label").alias("low"), F.max("label").alias("high"), F.max("fresh").alias("fresh"))
-        sizes = saved(sizes.where("low < high and fresh").select("node", "n", "least"), "node-sizes")
+        sizes = rows.groupBy("node").agg(F.count("*").alias("n"), F.min("set_key").alias("least"), F.min("label").alias("low"), F.max("label").alias("high"))
+        sizes = saved(sizes.where("low < high").select("node", "n", "least"), "node-sizes")
         small = rows.join(sizes.where(F.col("n") <= NODE_LIMIT).select("node"), "node").select("node", "set_key", "label")
         ordered = small.join(classes.select("set_key", "n_shingles", "marks"), "set_key").repartition("node").sortWithinPartitions("node", "set_key")
         groups = ordered.mapInArrow(_compare(threshold), "grp long, set_key long")
@@ -226,41 +224,20 @@ def _branched(classes: DataFrame, wanted: DataFrame, threshold: int) -> tuple[Da
             # the large nodes of several trees that have the same least member are one group
             out = out.unionByName(rows.join(large, "node").select(F.col("least").alias("grp"), "set_key"))
             break
-        deeper = rows.join(large.select("node"), "node").join(tokens, "set_key")
-        rows = deeper.select("tree", "set_key", "label", "fresh", F.xxhash64("node", F.lit(level + 1), _token(level + 1)).alias("node"))
-    return saved(out.distinct(), "groups"), saved(reached.groupBy("set_key").agg(F.max("level").alias("level")), "levels")
+        deeper = rows.join(large.select("node"), "node")
+        rows = deeper.select("set_key", "label", "path", F.xxhash64("node", F.lit(level + 1), _token(level + 1)).alias("node"))
+    return saved(out.distinct(), "groups")
 
 
 def links(docs: DataFrame, classes: DataFrame, k: int, threshold: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Confirmed links (a, b) between classes, as many as join every pair of classes that chains of links join.
-
-    Who was in a tree before stays in it for those who come later. There are three rounds at most, as the second or the
-    third gives a class all trees; the groups of these two are confirmed together.
-    """
-    every = all_trees(threshold)
+    """Confirmed links (a, b) between classes, as many as join every pair of classes that chains of links join."""
     members = classes.select("set_key", "rep_id", "rep_mark", "digest", "n_shingles")
     confirmed = lambda groups: saved(confirm(docs, groups.join(members, "set_key"), k, threshold, key, text), "links")
-    wanted = classes.select("set_key", F.lit(0).alias("first"), F.lit(FIRST_TREES).alias("last"))
-    groups, levels = _branched(classes, wanted.withColumns({"label": F.col("set_key"), "fresh": F.lit(True)}), threshold)
-    found = confirmed(groups)
+    found = confirmed(_branched(classes, None, range(FIRST_TREES), threshold))
     # what the first trees have joined is most of it; the labels serve the others
     joined = components(found).select(F.col("node").alias("set_key"), F.col("root").alias("label"))
     labels = saved(classes.select("set_key").join(joined, "set_key", "left").withColumn("label", F.coalesce("label", "set_key")), "labels")
-    before, later = wanted, None
-    for turn in range(2):
-        done = before.groupBy("set_key").agg(F.max("last").alias("first"))
-        deepest = levels.groupBy("set_key").agg(F.max("level").alias("level"))
-        enough = F.when(F.col("level") == 1, F.lit(TREES)).otherwise(F.lit(every))
-        wanted = saved(deepest.join(done, "set_key").select("set_key", "first", enough.alias("last")).where("last > first"), "needs")
-        low = wanted.agg(F.min("first")).first()[0]
-        if low is None:
-            break
-        met = before.where(F.col("last") > low).withColumn("first", F.greatest("first", F.lit(low)))
-        present = wanted.withColumn("fresh", F.lit(True)).unionByName(met.withColumn("fresh", F.lit(False)))
-        groups, found_levels = _branched(classes, present.join(labels, "set_key"), threshold)
-        later = groups if later is None else later.unionByName(groups).distinct()
-        levels, before = levels.unionByName(found_levels), before.unionByName(wanted)
-    return found if later is None else found.unionByName(confirmed(later))
+    return found.unionByName(confirmed(_branched(classes, labels, range(FIRST_TREES, all_trees(threshold)), threshold)))
 
 
 def _confirmed(sets: list[np.ndarray], threshold: int, split: int | None) -> list[tuple[int, int]]:

@@ -197,7 +197,7 @@ def block_pairs(blocks: DataFrame, scope: list[str], threshold: float) -> DataFr
         centers, caps = _stacked(group["center"]), group["cap"].to_numpy()
         apart = _angle(centers @ centers.T) - caps[:, None] - caps
         x, y = np.nonzero(np.triu(apart <= _angle(1.0 - threshold - _SLACK) + 1e-7))
-        return pd.DataFrame({**{c: [group[c].iloc[0]] * len(x) for c in scope}, "x": group["block"].to_numpy()[x], "y": group["block"].to_numpy()[y]})
+        return pd.DataFrame({**{c: [group[c].iloc[0]] * len(x) for c in scope}, "x": group["block"].to_numpy()[x], "y": group["block"].to_numpy()[y]}, dtype=object)
 
     return caps.groupBy(*scope).applyInPandas(pair, T.StructType([*(fields[c] for c in scope), T.StructField("x", T.IntegerType()), T.StructField("y", T.IntegerType())]))
 
@@ -236,12 +236,12 @@ def edges(items: DataFrame, scope: list[str], threshold: float = MERGE_THRESHOLD
         if spanning:
             ids = left["id"].tolist() if x == y else [*left["id"], *right["id"]]
             links = _forest(distance <= threshold + _SLACK, x == y)
-            return pd.DataFrame({**{c: [group[c].iloc[0]] * len(links) for c in scope}, "a": [ids[u] for u, _ in links], "b": [ids[v] for _, v in links], "distance": [threshold] * len(links)})
+            return pd.DataFrame({**{c: [group[c].iloc[0]] * len(links) for c in scope}, "a": [ids[u] for u, _ in links], "b": [ids[v] for _, v in links], "distance": [threshold] * len(links)}, dtype=object)
         i, j = np.nonzero(distance <= threshold + _SLACK)
         a, b = left["id"].to_numpy()[i], right["id"].to_numpy()[j]
         keep = (a < b) if x == y else np.ones(len(a), bool)
         a, b, found = a[keep], b[keep], distance[i, j][keep]
-        return pd.DataFrame({**{c: [group[c].iloc[0]] * len(a) for c in scope}, "a": np.where(a < b, a, b), "b": np.where(a < b, b, a), "distance": found})
+        return pd.DataFrame({**{c: [group[c].iloc[0]] * len(a) for c in scope}, "a": np.where(a < b, a, b), "b": np.where(a < b, b, a), "distance": found}, dtype=object)
 
     return paired.groupBy(*scope, "x", "y").applyInPandas(compare, schema)
 
@@ -291,7 +291,7 @@ def _nearest(live: DataFrame, stale: DataFrame, by: list[str], threshold: float)
             at = d.argmin(axis=1)
             best = d[np.arange(len(own)), at]
             near = best <= threshold
-            out.append(pd.DataFrame({**{c: [group[c].iloc[0]] * int(near.sum()) for c in by}, "id": own[near], "other": other[at][near], "distance": best[near]}))
+            out.append(pd.DataFrame({**{c: [group[c].iloc[0]] * int(near.sum()) for c in by}, "id": own[near], "other": other[at][near], "distance": best[near]}, dtype=object))
         return pd.concat(out) if out else pd.DataFrame(columns=[*by, "id", "other", "distance"])
 
     found = paired.groupBy(*by, "_x", "_y").applyInPandas(search, schema)

@@ -1,29 +1,23 @@
-"""Span lines -> normalized spans: three JSON shapes, one schema, rejected lines as rows of their own."""
+"""Span lines -> normalized spans: three JSON shapes, one schema, rejected lines as rows of their own.
+
+``json_spans`` has the columns that do so; ``spread`` and ``normalize`` are the plain form for what the receiver checks before it answers.
+"""
 
 from __future__ import annotations
 
-import json
 import re
 from collections.abc import Iterator
 from datetime import datetime, timezone
 from pathlib import Path
 from typing import Any
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import as_text
-from ..schemas import SPAN
-from ..session import ship
+from . import json_spans
 
-# Names under which senders give ids, times and nested lists.
-TRACE_ID = ("trace_id", "traceId", "traceID")
-SPAN_ID = ("span_id", "spanId", "spanID")
-START = ("start_time", "startTime", "startTimeUnixNano", "start_time_unix_nano", "timestamp")
-END = ("end_time", "endTime", "endTimeUnixNano", "end_time_unix_nano")
-RESOURCES = ("resourceSpans", "resource_spans")
-SCOPES = ("scopeSpans", "scope_spans", "instrumentationLibrarySpans")
+from .json_spans import END, RESOURCES, SCOPES, SPAN_ID, START, TRACE_ID
 
 
 class SpanError(ValueError):
@@ -127,34 +121,9 @@ def normalize(raw: dict[str, Any]) -> dict[str, Any]:
     }
 
 
-def parse_line(line: str, line_no: int) -> Iterator[dict[str, Any]]:
-    """Spans of one line, or one row with ``error``; blank lines give nothing."""
-    if not line.strip():
-        return
-    try:
-        for raw in spread(json.loads(line)):
-            try:
-                yield normalize(raw) | {"line_no": line_no, "raw": json.dumps(raw, ensure_ascii=False, separators=(",", ":")), "error": None}
-            except SpanError as e:
-                yield {"line_no": line_no, "error": f"line {line_no}: {e}"}
-    except ValueError as e:
-        yield {"line_no": line_no, "error": f"line {line_no}: {e if isinstance(e, SpanError) else 'invalid JSON'}"}
-
-
-_FIELDS = ("line_no", "trace_id", "span_id", "name", "start_ms", "end_ms", "attributes", "events", "status", "raw", "error")
-
-
 def parse_lines(lines: DataFrame) -> DataFrame:
-    """(line_no, value) -> SPAN rows, rejected lines among them."""
-    ship(lines.sparkSession)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [r for n, v in zip(batch["line_no"], batch["value"], strict=True) for r in parse_line(v, int(n))]
-            if rows:
-                yield pd.DataFrame([{f: r.get(f) for f in _FIELDS} for r in rows], columns=list(_FIELDS)).astype(object).where(lambda d: d.notna(), None)
-
-    return lines.select("line_no", "value").mapInPandas(run, SPAN)
+    """(line_no, value) -> SPAN rows, rejected lines among them; blank lines give nothing."""
+    return json_spans.parse(lines)
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:

@@ -32,6 +32,35 @@ def test_three_span_shapes():
     assert only[0]["attributes"] == {"service.name": "svc", "n": "5", "l": '["x"]'}
 
 
+ODD_SPANS = [
+    FLAT | {"attributes": {"o": {"q": 1, "a": [2, {"z": 1, "b": None}]}, "n": 1.0, "s": "1.0", "none": None, "b": True, "e": "", "f": 2.5}, "status": {"code": 2, "message": "m"}},
+    FLAT | {"events": [{"name": "x", "attributes": [{"key": "k", "value": {"boolValue": False}}, {"key": "k", "value": {"doubleValue": 2.0}}]}, 5, {"name": 3}], "status": {"code": "2"}},
+    WIRE | {"attributes": [{"key": "a", "value": {"arrayValue": {"values": [{"stringValue": 'q"x'}, {"intValue": "7"}, {"arrayValue": {"values": [{"boolValue": True}]}}, {"doubleValue": 0.5}]}}}, {"key": "p", "value": "plain"}, {"key": "bad", "value": {"intValue": "x"}}, {"key": "obj", "value": {"kv": {"z": 1, "a": 2}}}]},
+    {"trace_id": "", "traceId": "second", "start_time": "nope", "timestamp": 5, "name": 7, "status": "ok", "events": {}, "attributes": 3},
+    {"trace_id": "é\n", "start_time": True, "startTime": "1782900000000", "end_time": 1782900000000000000},
+]
+
+
+def test_native_spans_equal_the_plain_form(spark):
+    rows = [FLAT, WIRE, ENVELOPE, *ODD_SPANS, ENVELOPE | {"resource_spans": [], "resourceSpans": [{"resource": None, "scope_spans": [{"spans": [WIRE, 3, FLAT]}, 4]}, 5]}]
+    lines = spark.createDataFrame([(i, json.dumps(r, indent=i % 2 or None)) for i, r in enumerate(rows)], "line_no long, value string")
+    parsed = spans.parse_lines(lines)
+    found = parsed.collect()
+    plain = [(i, spans.normalize(x)) for i, r in enumerate(rows) for x in spans.spread(r)]
+    told = lambda i, x: json.dumps([i, {k: x[k] for k in ("trace_id", "span_id", "name", "start_ms", "end_ms", "attributes", "events", "status")}], sort_keys=True, ensure_ascii=False)
+    assert sorted(told(r.line_no, r.asDict(True)) for r in found) == sorted(told(i, x) for i, x in plain)
+    assert not any(word in parsed._jdf.queryExecution().toString() for word in ("Python", "Pandas", "Arrow"))
+    again = spans.parse_lines(parsed.select("line_no", F.col("raw").alias("value"))).collect()
+    assert sorted(map(str, again)) == sorted(map(str, found))  # what is staged reads the same
+
+
+def test_times_of_spans(spark):
+    cases = {"2026-07-01": 1782864000000, "2026-07-01T10:00:00": 1782900000000, "2026-07-01T10:00:00.123+02:00": 1782892800123, "2026-07-01 10:00": 1782900000000, "Wed, 01 Jul 2026 10:00:00 GMT": 1782900000000, "1 Jul 2026 10:00:00 -0130": 1782905400000, "Jul 1, 2026": 1782864000000, "Jul 1, 2026 10:00:00": 1782900000000, "Wed Jul 1 2026 10:00:00 GMT": 1782900000000, "7/1/2026": 1782864000000, "2026/07/01 10:00:00": 1782900000000, "nope": 0, "": 0, "1782900000000000000": 1782900000000, "1782900000000": 1782900000000}
+    lines = spark.createDataFrame([(i, json.dumps({"trace_id": "t", "start_time": t})) for i, t in enumerate(cases)], "line_no long, value string")
+    got = {r.line_no: r.start_ms for r in spans.parse_lines(lines).collect()}
+    assert {t: got[i] for i, t in enumerate(cases)} == cases
+
+
 def test_bad_lines_are_rows(spark, tmp_path):
     path = tmp_path / "spans.jsonl"
     path.write_text(json.dumps(FLAT) + "\n\nnot json\n" + json.dumps({"x": 1}) + "\n[1]\n")

@@ -271,7 +271,7 @@ def test_planted_failure_end_to_end(spark, tmp_path):
     assert p.summarize()[0] == 120 and p.embed() == 480
     assert p.bootstrap() > 0 and p.pending().count() == 0
     looped = {r.trace_id for r in truth.where("scenario = 'search-retry-loop'").collect()}
-    found = p.store.table("themes").where("facet = 'behavior' and label like 'calls over and over%'").first()
+    found = p.store.table("themes").where("facet = 'behavior' and label like 'tool: %(recurs)%'").orderBy(F.desc("member_count")).first()
     members = {r.trace_id for r in p.store.table("assignments").where(F.col("theme_id") == found.id).collect()}
     assert len(members & looped) / len(members) > 0.95 and len(members & looped) / len(looped) > 0.9
     delta = {r.theme_id: r for r in p.delta().collect()}
@@ -281,7 +281,7 @@ def test_planted_failure_end_to_end(spark, tmp_path):
     assert not p.check()["passed"] and export.delta_text([r.asDict() for r in p.delta().collect()]).startswith("  regression")
     s = p.store
     out = export.export_theme(s.table("traces"), s.table("facet_summaries"), s.table("themes"), s.table("assignments"), found.id, 3)
-    assert len(out["cases"]) == 3 and "calls over and over" in out["scorerPrompt"] and export.render_export(out, "jsonl").count("\n") == 3
+    assert len(out["cases"]) == 3 and "(recurs)" in out["scorerPrompt"] and export.render_export(out, "jsonl").count("\n") == 3
     with pytest.raises(KeyError):
         export.export_theme(s.table("traces"), s.table("facet_summaries"), s.table("themes"), s.table("assignments"), "nope")
 

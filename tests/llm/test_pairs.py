@@ -313,3 +313,29 @@ def test_decontamination(spark, docs_of, block_words):
     left = decontam.clean(docs, items)
     assert left.columns == docs.columns and {r.doc_id for r in left.collect()} == {i for i, v in got.items() if not v[4]}
     assert decontam.clean(docs, items.limit(0)).count() == len(rows) and decontam.clean(docs.limit(0), items).count() == 0
+
+
+def test_deduplicate_and_remove_keep_any_column(docs_of):
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [(1, "one two three four five six"), (2, "one two three four five six"), (2, "one two three four five six"), (3, passage), (4, "start " + passage), (5, None)]
+    docs = docs_of(rows).withColumns({"a.b": F.lit("dot"), "x`y": F.lit(1), "maps": F.array(F.create_map(F.lit("k"), F.lit(1)))})
+    kept = near_dedup.deduplicate(docs)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 3, 5]
+    cut = suffix_dedup.remove(docs)
+    assert cut.columns == docs.columns and {(r["a.b"], r["x`y"]) for r in cut.collect()} == {("dot", 1)}
+    assert {r.doc_id: r.text for r in cut.collect()}[4] == "start"
+
+
+def test_copies_that_cross_task_borders(spark, docs_of):
+    """A passage in many documents, each with words of its own before it: its groups span tasks."""
+    passage = " ".join(f"p{i}" for i in range(70))
+    rows = [(i, " ".join(f"{i}x{j}" for j in range(i % 40 + 1)) + " " + passage + f" {i}end") for i in range(300)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "37")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r.doc_id: (r.n_repeated, r.n_removed) for r in suffix_dedup.summary(docs_of(rows)).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == {i: (70, 70 if i else 0) for i in range(300)}

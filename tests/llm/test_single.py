@@ -534,3 +534,36 @@ def test_pipeline_over_empty_tables(spark, tmp_path, toxic_corpus):
 def test_registered_queries():
     assert sorted(int(re.match(r"op(\d+)_", q)[1]) for q in queries.QUERIES) == list(range(1, 11))
     assert set(queries.ORACLE_SQL) <= set(queries.QUERIES) and json.dumps(queries.ORACLE_SQL)
+
+
+def test_thresholds_of_many_languages(spark):
+    """A dirty language column: one look-up, not an expression for each."""
+    known = {"": 0.5} | {f"l{i}": 0.5 + i / 10_000 for i in range(3000)}
+    classifier = toxicity.Classifier(None, known)
+    rows = spark.createDataFrame([("l7",), ("l2999",), ("l0",), ("other",), (None,)], "lang string")
+    got = {r.lang: r.t for r in rows.select("lang", toxicity.threshold_of(classifier, F.col("lang")).alias("t")).collect()}
+    assert got == {"l7": known["l7"], "l2999": known["l2999"], "l0": 0.5, "other": 0.5, None: 0.5}
+
+
+BARE = """
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+from spanloom.llm import merkle, mixing
+from spanloom.operators import cluster
+docs = spark.createDataFrame([(i, "some words", "en", "s", 10) for i in range(4)], "doc_id long, text string, lang string, source string, n_chars long")
+assert mixing.digest(docs).count() == 4 and merkle.summary(docs).count() == 4
+items = spark.createDataFrame([("s", 1, [1.0]), ("s", 2, [1.0])], "s string, id long, vector array<double>")
+assert cluster.discover(items, ["s"], 0.3, 2).count() == 2
+print("fine")
+"""
+
+
+def test_a_session_without_a_checkpoint_folder(tmp_path):
+    """No setting anywhere: a local session takes a temporary folder."""
+    import os
+    import subprocess
+    import sys
+
+    env = {k: v for k, v in os.environ.items() if not k.startswith(("SPARK_", "PYSPARK_"))} | {"SPARK_CONF_DIR": str(tmp_path), "TMPDIR": str(tmp_path)}
+    run = subprocess.run([sys.executable, "-c", BARE], env=env, capture_output=True, text=True, timeout=600)
+    assert run.stdout.strip().endswith("fine"), run.stderr[-2000:]

@@ -29,6 +29,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--fail-on", default="regression,new")
     p.add_argument("--min-share", type=float, default=0.0)
     p.add_argument("--allow-partial", action="store_true")
+    p.add_argument("--no-probe", action="store_true")
     p.add_argument("--out")
     p.add_argument("--port", type=int, default=4318)
     return p
@@ -47,9 +48,17 @@ def main(argv: list[str] | None = None) -> int:
     from .plans import export
 
     if a.command == "preflight":
-        found = export.preflight(config)
-        print("\n".join(f"{'ok  ' if ok else 'FAIL'} {name}: {said}" for name, ok, said in found))
-        return int(not all(ok for _, ok, _ in found))
+        from .plans.readiness import readiness
+
+        known = {}
+        if Path(config.table_root).exists():
+            from .plans.pipeline import Pipeline
+
+            p = Pipeline(local_session(), config)
+            known = {"themes": p.store.table("themes"), "pending": p.pending()}
+        found = readiness(config, not a.no_probe, **known)
+        print("\n".join(f"{f.level.upper() if f.level == 'fail' else f.level:5}{f.what}: {f.said}" for f in found))
+        return int(any(f.level == "fail" for f in found))
     if a.command == "redact":
         text = Path(a.args[0]).read_text() if a.args else sys.stdin.read()
         r = redact_text(text, Gate(config.privacy.mode, config.privacy.scope, config.privacy.salt or ""))

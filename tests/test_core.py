@@ -301,3 +301,33 @@ def test_preview(spark):
     rows = spark.createDataFrame([(t,) for t in PRIVATE], "text string")
     got = {r.rule: (r.total, r.texts) for r in privacy.preview(rows).collect()}
     assert got["email"] == (2, 1) and got["url"] == (1, 1) and "phone" in got
+
+
+def test_readiness_by_one_call_each(spark):
+    from spanloom.config import Embeddings, Llm, Privacy
+    from spanloom.plans import readiness as R
+
+    said = lambda found: {f.what: (f.level, f.said) for f in found}
+    plain = said(R.readiness(Config()))
+    assert {v[0] for v in plain.values()} == {"ok", "note"} and "vectors" in plain
+    hosted = Config(llm=Llm("openai", api_key="secret-key"), embeddings=Embeddings("openai", api_key="secret-key", dimensions=2))
+    sent = []
+
+    def post(url, body, headers, attempts, timeout):
+        sent.append((url, json.dumps(body), attempts))
+        if url.endswith("embeddings"):
+            return {"data": [{"index": i, "embedding": v} for i, v in enumerate([[1.0, 0.1], [1.0, 0.0], [0.0, 1.0]])]}
+        return {"choices": [{"message": {"content": json.dumps({f.name: "a line" for f in hosted.active_facets()})}}]}
+
+    good = said(R.readiness(hosted, post=post))
+    assert good["model answers"][0] == good["vectors"][0] == "ok" and [s[2] for s in sent] == [1, 1]
+    assert "jo@example.org" not in sent[0][1] and "secret-key" not in str(good)
+    fails = lambda *a, **k: (_ for _ in ()).throw(RuntimeError("answered 500"))
+    assert {k: v[0] for k, v in said(R.readiness(hosted, post=fails)).items() if k in ("model answers", "vectors")} == {"model answers": "fail", "vectors": "fail"}
+    silent = lambda *a, **k: {"choices": [{"message": {"content": '{"goal": "x"}'}}], "data": [{"index": i, "embedding": [1.0, 0.0]} for i in range(3)]}
+    poor = said(R.readiness(hosted, post=silent))
+    assert "outcome" in poor["model answers"][1] and poor["vectors"][0] == "note" and "hardly differ" in poor["vectors"][1]
+    mixed = said(R.readiness(Config(llm=Llm("anthropic", api_key="k"), privacy=Privacy(mode="off")), post=fails))
+    assert mixed["coherence"][0] == "fail" and mixed["privacy"][0] == "fail" and "model answers" not in mixed
+    themes = spark.createDataFrame([([1.0, 2.0, 3.0],)], "centroid array<double>")
+    assert said(R.readiness(hosted, False, themes=themes, pending=themes))["themes"] == ("fail", "stored themes have 3 dimensions, 2 are configured")

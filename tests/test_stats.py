@@ -284,6 +284,13 @@ def test_planted_failure_end_to_end(spark, tmp_path):
     assert len(out["cases"]) == 3 and "(recurs)" in out["scorerPrompt"] and export.render_export(out, "jsonl").count("\n") == 3
     with pytest.raises(KeyError):
         export.export_theme(s.table("traces"), s.table("facet_summaries"), s.table("themes"), s.table("assignments"), "nope")
+    api = export.Api(p)
+    agent, facet, windows = api.scope(facet="behavior")
+    assert len(windows) > 1 and {r["window"] for r in api.themes(agent, facet, windows[0])} == {windows[0]}
+    assert {r["facet"] for r in api.delta(agent=agent, facet=facet)} == {"behavior"}
+    for ask, there in ((lambda: api.themes("no one"), agent), (lambda: api.themes(facet="mood"), "behavior"), (lambda: api.themes(window="w?", facet="behavior"), windows[0]), (lambda: api.delta("w?", windows[1], facet="behavior"), windows[0])):
+        with pytest.raises(export.NotFound, match=there):
+            ask()
 
 
 def test_views_of_written_counts_are_those_of_the_assignments(spark):

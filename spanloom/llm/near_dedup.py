@@ -304,7 +304,7 @@ def confirm(docs: DataFrame, groups: DataFrame, k: int, threshold: int, key: str
             yield pa.RecordBatch.from_arrays([batch.column("set_key").take(index), batch.column("places").take(index), pa.array([sets[i].tobytes() for i in keep], pa.binary())], ["set_key", "places", "members"])
 
     small_batches(docs.sparkSession)
-    texts = _keyed(docs, key, text).join(saved(wanted, "wanted"), ["rep_id", "rep_mark"]).select("set_key", "digest", "places", "text")
+    texts = _keyed(docs, key, text).join(saved(wanted, "wanted").hint("merge"), ["rep_id", "rep_mark"]).select("set_key", "digest", "places", "text")
     sets = texts.mapInArrow(sets_of, "set_key long, places array<struct<grp:long,blocks:long,block:long>>, members binary")
     placed = sets.select("set_key", "members", F.explode("places").alias("p")).select("set_key", "members", "p.*")
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import _text
-from ._spark import small_batches
+from ._spark import give_back, small_batches
 
 #: Bound of the labelled sample that the network is fitted on: documents, and words of each.
 TRAIN_ROWS = 10_000
@@ -285,6 +285,8 @@ def train(docs: DataFrame, labels: DataFrame) -> Classifier:
         s = float(1 / (1 + np.exp(-np.clip(hidden @ model.out + model.out_bias, -30, 30)))[0])
         for name in (lang, None):
             scores.setdefault(name, []).append((s, y))
+    del fitted, held, tables
+    give_back()
     return Classifier(model, calibrate(scores))
 
 

@@ -26,6 +26,7 @@ TABLES = {
     "themes": (THEME, ("id",)),
     "assignments": (ASSIGNMENT, ("trace_id", "facet")),
     "pending_spans": (PENDING, ("trace_id", "span_key")),
+    "late_spans": (PENDING, ("trace_id", "span_key")),
     "alert_log": (ALERT_LOG, ("agent_id", "theme_id", "event", "window")),
     "meta": (META_KV, ("k",)),
 }

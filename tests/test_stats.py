@@ -367,3 +367,37 @@ def test_deviations_leave_one_window_out(spark):
     assert len(found) == sum(counts[x][i] + counts[x][j] > 0 for x in "ABCE" for i in range(7) for j in range(7) if i != j)
     missing = spark.createDataFrame([("bot", "goal", "w0", "w9")], "agent_id string, facet string, from_window string, to_window string")
     assert {(r.theme_id, r.to_count) for r in stats.deltas(a, t, missing).collect()} == {(x, 0) for x in "ABCE" if counts[x][0]}
+
+
+def test_traces_settle_inside_the_stream(spark, tmp_path):
+    """Duplicates, a restart from the checkpoint, and a span that comes late."""
+    import json
+    import time
+
+    from spanloom.sources.tables import Store
+    from spanloom.streaming import settling
+
+    landing = tmp_path / "landing"
+    landing.mkdir()
+    span = lambda t, i: json.dumps({"trace_id": t, "span_id": i, "name": "chat", "start_time": 1000, "attributes": {"gen_ai.prompt": f"hi {i}"}})
+
+    def arrive(name, *lines):
+        (tmp_path / name).write_text("\n".join(lines) + "\n")
+        (tmp_path / name).rename(landing / name)
+
+    def until(query, done):
+        end = time.monotonic() + 240
+        while not done() and time.monotonic() < end:
+            assert query.exception() is None
+            time.sleep(1)
+        query.stop()
+
+    start = lambda: (s := Store(spark, str(tmp_path / "t")), settling.run(s, str(landing), str(tmp_path / "checkpoint"), timedelta(seconds=2), poll="1 second"))
+    arrive("a.jsonl", span("t1", "1"), span("t1", "1"), span("t1", "2"), span("t2", "1"), "not json")
+    store_, query = start()
+    until(query, lambda: store_.table("traces").count() == 2)
+    arrive("b.jsonl", span("t1", "3"), span("t3", "1"))
+    store_, query = start()
+    until(query, lambda: store_.table("traces").count() == 3 and store_.table("late_spans").count() == 1)
+    assert {r.id: r.meta.span_count for r in store_.table("traces").collect()} == {"t1": 2, "t2": 1, "t3": 1}
+    assert [(r.trace_id, r.span_key) for r in store_.table("late_spans").collect()] == [("t1", "3")]

@@ -120,19 +120,22 @@ def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def _shifted(prints: Column, by: Column) -> Column:
-    return F.transform(prints, lambda x: F.struct(x["hash"].alias("hash"), (x["at"] + by).alias("at")))
+    return _let(by, lambda more: F.transform(prints, lambda x: F.struct(x["hash"].alias("hash"), (x["at"] + more).alias("at"))))
 
 
 def _within(prints: Column, size: Column) -> Column:
     """The prints that the windows within the first ``size`` characters of a text choose.
 
-    The last such window's choice is the least print in it, the rightmost of equals, and no window before it chooses beyond that.
+    The last such window's choice is the least print in it, the rightmost of equals, and no window before it chooses beyond that. The size is evaluated once,
+    not for each print: it comes of a text's length, which is counted through the whole text.
     """
-    last = (size - SPAN).cast("long")
-    inside = F.filter(prints, lambda x: x["at"].between(last, last + WINDOW - 1))
-    choice = -F.array_min(F.transform(inside, lambda x: F.struct(x["hash"].alias("hash"), (-x["at"]).alias("back"))))["back"]
-    kept = _let(choice, lambda most: F.filter(prints, lambda x: x["at"] <= most))
-    return F.when(last >= 0, kept).otherwise(F.array().cast(PRINTS))
+
+    def kept(last: Column) -> Column:
+        inside = F.filter(prints, lambda x: x["at"].between(last, last + WINDOW - 1))
+        choice = -F.array_min(F.transform(inside, lambda x: F.struct(x["hash"].alias("hash"), (-x["at"]).alias("back"))))["back"]
+        return F.when(last >= 0, _let(choice, lambda most: F.filter(prints, lambda x: x["at"] <= most))).otherwise(F.array().cast(PRINTS))
+
+    return _let((size - SPAN).cast("long"), kept)
 
 
 def joined(first: Column, first_prints: Column, size: Column, second: Column, second_prints: Column, more: Column) -> Column:

@@ -3,8 +3,7 @@
 Every run of GRAM characters (code points) of a text is a gram. Gram hashes roll over the text in two steps,
 each sharing its work among overlapping grams: four characters give one hash at every place, and four of those,
 four places apart, give a gram's. Of every WINDOW consecutive gram hashes the least is chosen, the rightmost of
-equals, and kept once with its position; the least of a window comes from leasts of 4, 16 and 64 in the same
-way. Two texts that share a run of GRAM + WINDOW - 1 characters share a fingerprint for certain, whatever stands
+equals, and kept once with its position; hashes that no window can choose go in passes, and the rest are the choices. Two texts that share a run of GRAM + WINDOW - 1 characters share a fingerprint for certain, whatever stands
 before it, and runs shorter than GRAM never count. A text of fewer characters than GRAM is one gram; one with
 fewer grams than WINDOW is one window.
 
@@ -28,6 +27,7 @@ rows have equal fingerprints. An empty table gives an empty result; other column
 
 from __future__ import annotations
 
+import functools
 from collections import Counter
 
 from pyspark.sql import Column, DataFrame, Window
@@ -54,10 +54,28 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _rolled(values: Column, step: int, most: Column | None, join) -> Column:
-    """At every place (or the first ``most``) ``join`` of four values, ``step`` places apart; null past the end."""
-    starts = values if most is None else F.slice(values, 1, most)
-    return F.transform(starts, lambda x, i: join(x, *[F.get(values, i + j * step) for j in (1, 2, 3)]))
+def _rolled(values: Column, join) -> Column:
+    """At every place ``join`` of four values from there on; null past the end."""
+    return F.transform(values, lambda x, i: join(x, *[F.get(values, i + j) for j in (1, 2, 3)]))
+
+
+def _least(grams: Column) -> Column:
+    """The least of every window of packed hashes, each once, in order of place.
+
+    A hash goes if a lesser one lies before it and another behind it, or the end, and no window fits between them; no window chooses it. Whatever made it
+    fail makes every hash fail that it made fail, so hashes go in passes, until each gap between two choices is empty. It has WINDOW - 1 at most, and every pass takes its greatest.
+    """
+    less = lambda x, xs, places: functools.reduce(lambda a, b: a & b, [x < F.get(xs, p) for p in places])
+    near = F.filter(grams, lambda x, i: less(x, grams, [i - 1, i - 2, i - 3]) | less(x, grams, [i + 1, i + 2, i + 3]))
+    end = F.lit(_LAST) - F.size(grams)
+
+    def thinner(xs: Column) -> Column:
+        apart = lambda i: F.coalesce(F.get(xs, i - 1).bitwiseAND(_LAST), F.lit(_LAST + 1)) - F.coalesce(F.get(xs, i + 1).bitwiseAND(_LAST), end)
+        return F.filter(xs, lambda x, i: (x < F.get(xs, i - 1)) | (x < F.get(xs, i + 1)) | (apart(i) > WINDOW))
+
+    step = lambda s: _let(thinner(s["xs"]), lambda ys: F.struct(ys.alias("xs"), (F.size(ys) == F.size(s["xs"])).alias("done")))
+    passes = F.aggregate(F.sequence(F.lit(2), F.lit(WINDOW)), F.struct(near.alias("xs"), F.lit(False).alias("done")), lambda s, _: F.when(s["done"], s).otherwise(step(s)), lambda s: s["xs"])
+    return F.when(F.size(grams) <= WINDOW, F.array(F.array_min(grams))).otherwise(passes)
 
 
 def _chosen(piece: Column) -> Column:
@@ -69,9 +87,7 @@ def _chosen(piece: Column) -> Column:
         value = lambda x, i: F.xxhash64(x, *[F.get(fours, i + j) for j in (4, 8, 12)])
         return F.transform(starts, lambda x, i: value(x, i).bitwiseAND(_HASH).bitwiseOR(F.lit(_LAST) - i))
 
-    windows = lambda xs: F.greatest(F.size(xs) - (WINDOW - 1), F.lit(1))
-    least = lambda xs: _let(_rolled(xs, 1, None, F.least), lambda a: _let(_rolled(a, 4, None, F.least), lambda b: _rolled(b, 16, windows(b), F.least)))
-    return _let(F.split(piece, ""), lambda cs: _let(_rolled(cs, 1, None, F.xxhash64), lambda fours: _let(packed(fours), lambda grams: F.array_distinct(least(grams)))))
+    return _let(F.split(piece, ""), lambda cs: _let(_rolled(cs, F.xxhash64), lambda fours: _let(packed(fours), _least)))
 
 
 def _onward(prints: Column) -> Column:

@@ -464,6 +464,25 @@ def test_calibration():
     assert ties["en"] > 0.9 and toxicity.calibrate({}) == {"": usual}
 
 
+def test_all_labelled_words_are_learnt_from(spark, toxic_corpus, docs_of, monkeypatch):
+    """Marks beyond any sample's bounds: late in a long text, and one of many rows in one of several parts."""
+    monkeypatch.setattr(toxicity, "PART_ROWS", 100)
+    docs, labels = toxic_corpus
+    seen = {}
+    count = toxicity.start
+    monkeypatch.setattr(toxicity, "start", lambda s, toxic, clean, rng: (seen.update(s=s, n=(toxic, clean)), count(s, toxic, clean, rng))[1])
+    long = docs_of([(n, "z " * 5000 + f"late{n % 2}") for n in range(5000, 5060)])
+    more = spark.createDataFrame([(n, 1, n % 2) for n in range(5000, 5060)], "doc_id long, quality int, toxic int")
+    classifier = toxicity.train(docs.unionByName(long), labels.unionByName(more))
+    truth = {r.doc_id: r.toxic for r in labels.unionByName(more).collect() if r.toxic is not None and r.doc_id != 4000}
+    fitted = [y for i, y in truth.items() if zlib.crc32(str(i).encode()) % 3 != 1 and zlib.crc32(f"calibration {i}".encode()) % 5]
+    assert seen["n"] == (sum(fitted), len(fitted) - sum(fitted)) and len(fitted) > 400
+    late = toxicity.slots(toxicity._text.tokenize(toxicity.pa.array(["late1"]), toxicity._text.ALNUM))[0, 0]
+    assert seen["s"][0, 1, late] == sum(i >= 5000 and y for i, y in truth.items() if zlib.crc32(str(i).encode()) % 3 != 1 and zlib.crc32(f"calibration {i}".encode()) % 5)
+    got = toxicity.score(docs, classifier).select("row.doc_id", "score").collect()
+    assert np.mean([(r.score >= 0.7) == truth[r.doc_id] for r in got if r.doc_id in truth]) > 0.97
+
+
 def test_sample_is_bounded_and_spread(spark, docs_of):
     docs = docs_of([(i, " ".join(f"w{i}x{n}" for n in range(i))) for i in range(300)] + [(5, "again")])
     labels = spark.createDataFrame([(i, 1, i % 2) for i in range(300)], "doc_id long, quality int, toxic int")

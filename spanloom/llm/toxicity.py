@@ -38,9 +38,9 @@ from . import _text
 from ._spark import give_back, saved, small_batches
 
 #: Documents and words of one part of the fit, about, and sums that are added in one task.
-PART_ROWS = 10_000
-PART_WORDS = 4_000_000
-FAN = 8
+PART_ROWS = 4_000
+PART_WORDS = 1_000_000
+FAN = 4
 #: Steps of scores that thresholds are told by.
 GRID = 1e-4
 #: Labelled documents in which a slot must occur to be trained.
@@ -297,7 +297,8 @@ class Classifier:
 def _words(docs: DataFrame, toxic: DataFrame, words: int | None) -> DataFrame:
     """(doc_id, words, lang, toxic) of the documents of ``toxic(doc_id, toxic)``, one for each id: slot numbers packed by hash, all or a window of ``words``."""
     lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string").alias("lang")
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", lang).join(toxic.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic"), "doc_id")
+    found = docs.where(remainder(F.col("doc_id")) != 1).select(F.col("doc_id").cast("long").alias("doc_id"), "text", lang).join(toxic.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic"), "doc_id")
+    one = found.groupBy("doc_id").agg(F.min(F.struct("text", "lang", "toxic")).alias("x")).select("doc_id", "x.*")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _text.slices(batches):
@@ -311,7 +312,7 @@ def _words(docs: DataFrame, toxic: DataFrame, words: int | None) -> DataFrame:
                 kept.append((own if words is None else own[:, first : first + words]).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), batch.column("toxic"), pa.array(kept, pa.binary())], ["doc_id", "lang", "toxic", "words"])
 
-    return found.mapInArrow(hashed, "doc_id long, lang string, toxic int, words binary").groupBy("doc_id").agg(F.min(F.struct("words", "lang", "toxic")).alias("x")).select("doc_id", "x.*")
+    return one.mapInArrow(hashed, "doc_id long, lang string, toxic int, words binary").select("doc_id", "words", "lang", "toxic")
 
 
 def _known(labels: DataFrame) -> DataFrame:
@@ -379,6 +380,8 @@ def _fitted(parts: DataFrame, many: int, epochs: int = EPOCHS, seed: int = SEED)
                 own, labels, _ = _texts(row)
                 tail = [labels.sum(), len(labels) - labels.sum()]
                 yield pd.DataFrame({"part": [row.part], "data": [np.concatenate([counts(own, labels).ravel(), tail]).astype(np.float64).tobytes()]})
+                del own
+                give_back()
 
     seen = _summed(parts.mapInPandas(count, "part int, data binary"), many, HASHES * 2 * SLOTS + 2)
     toxic, clean = int(seen[-2]), int(seen[-1])
@@ -400,6 +403,8 @@ def _fitted(parts: DataFrame, many: int, epochs: int = EPOCHS, seed: int = SEED)
                     change = state.vector().astype(np.float64) - before
                     touched = change[slots_ * DIM : slots_ * (DIM + 1)] != 0
                     yield pd.DataFrame({"part": [row.part], "data": [np.concatenate([change, touched, [1.0, state.step - step]]).tobytes()]})
+                    del own
+                    give_back()
 
         total = _summed(parts.mapInPandas(learn, "part int, data binary"), many, len(before) + slots_ + 2)
         change, touched, learnt, steps = total[: len(before)], np.maximum(total[len(before) : -2], 1), total[-2], total[-1]

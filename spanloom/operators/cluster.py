@@ -10,12 +10,15 @@ task's work from the start, as three rounds of jobs would cost more than its mat
 member. By the triangle inequality on angles no vectors of two blocks are closer than their centres' angle less both caps', so block
 pairs for which that exceeds the threshold's angle are never made.
 
+Where caps rule out less than half of the block pairs, a spanning pass deals the scope's vectors to few large blocks instead, as each vector travels
+once for each block of its scope.
+
 (3) The average distance of two groups is 1 - s_a.s_b / (n_a n_b), where s is the sum of a group's unit vectors, so a group is one vector
 whatever its size, and no distance matrix is kept. Average linkage is reducible: a merger comes no closer to a third group than the
 closer of its parts was. So *reciprocal nearest neighbours* may merge at the same time, a group none of whose neighbours is within the threshold is final,
 and a group whose nearest neighbour is still there keeps it. A component beyond LOCAL groups goes through such rounds, in which
-block pairs find the nearest neighbours of the groups that need one; once LOCAL groups are left, one task ends it. Memory is linear in the
-component, and a task's is bounded.
+block pairs find the nearest neighbours of the groups that need one; once LOCAL groups are left, one task ends it. Exact copies are one group before
+the first round. Memory is linear in the component, and a task's is bounded: products are made and judged strip by strip.
 """
 
 from __future__ import annotations
@@ -33,6 +36,10 @@ from ..session import checkpointed, ship
 MERGE_THRESHOLD = 0.35
 MIN_CLUSTER_SIZE = 5
 BLOCK = 2048
+#: Bytes of a large block's vectors, the blocks that a scope has at least if BLOCK allows, and the rows of a product at a time.
+WIDE = 4 << 20
+FEW = 8
+STRIP = 256
 #: Groups of one component whose matrix one task holds.
 LOCAL = 4_000
 #: Pivots of a scope at most, and vectors of it that they are chosen from.
@@ -41,6 +48,7 @@ SAMPLE = 512
 #: Vectors of a scope that one task links without looking for components first.
 DIRECT = 2_500
 _SLACK = 1e-9
+_TIE = 1e-12
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -97,20 +105,63 @@ def discover_vectors(vectors: list, threshold: float = MERGE_THRESHOLD, least: i
 
 
 def _forest(near: np.ndarray, same: bool) -> list[tuple[int, int]]:
-    """Star links of the components of a block pair: rows number from 0, columns follow, or are the rows."""
-    n, m = near.shape
-    rows, cols = np.arange(n), np.arange(m) if same else n + np.arange(m)
-    top = n + m
-    while True:
-        to_rows = np.minimum(rows, np.where(near, cols, top).min(axis=1, initial=top))
-        to_cols = np.minimum(cols, np.where(near, to_rows[:, None], top).min(axis=0, initial=top))
+    """Star links of the components of a block pair: rows number from 0, columns follow, or are the rows.
+
+    A search by levels from each row not yet reached; each row and column is looked at once.
+    """
+    n = len(near)
+    rows, cols = near.any(axis=1), np.ones(near.shape[1], bool)
+    links = []
+    for start in np.flatnonzero(rows).tolist():
+        if not rows[start]:
+            continue
+        fresh = np.array([start])
+        rows[start] = False
         if same:
-            to_rows = to_cols = np.minimum(to_rows, to_cols)
-        if (to_rows == rows).all() and (to_cols == cols).all():
-            break
-        rows, cols = to_rows, to_cols
-    every = rows if same else np.concatenate([rows, cols])
-    return [(int(r), i) for i, r in enumerate(every) if r != i]
+            cols[start] = False
+        while len(fresh):
+            across = np.flatnonzero(near[fresh].any(axis=0) & cols)
+            cols[across] = False
+            if same:
+                rows[across] = False
+                fresh = across
+                links += [(start, i) for i in across.tolist()]
+                continue
+            links += [(start, n + i) for i in across.tolist()]
+            fresh = np.flatnonzero(near[:, across].any(axis=1) & rows)
+            rows[fresh] = False
+            links += [(start, i) for i in fresh.tolist()]
+    return links
+
+
+def _near(p: np.ndarray, q: np.ndarray, threshold: float) -> np.ndarray:
+    """Which rows are within the threshold of each other."""
+    out = np.empty((len(p), len(q)), bool)
+    for s in range(0, len(p), STRIP):
+        np.less_equal(1.0 - np.clip(p[s : s + STRIP] @ q.T, -1.0, 1.0), threshold + _SLACK, out=out[s : s + STRIP])
+    return out
+
+
+def _closest(p: np.ndarray, q: np.ndarray, same: np.ndarray | None = None, both: bool = False) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(distance, place) of the nearest row of ``q`` for each of ``p``, and for ``both`` the other way round as well; the first of those that rounding can't tell apart.
+
+    ``same`` is each row's own place in ``q``, which is no neighbour.
+    """
+    best, at = np.empty(len(p)), np.empty(len(p), np.int64)
+    back, back_at = np.full(len(q), -np.inf), np.zeros(len(q), np.int64)
+    for s in range(0, len(p), STRIP):
+        product = p[s : s + STRIP] @ q.T
+        if same is not None:
+            product[np.arange(len(product)), same[s : s + STRIP]] = -np.inf
+        top = product.max(axis=1)
+        best[s : s + STRIP], at[s : s + STRIP] = top, (product >= (top - _TIE)[:, None]).argmax(axis=1)
+        if both:
+            top = product.max(axis=0)
+            closer = np.flatnonzero(top > back + _TIE)
+            back_at[closer] = s + (product[:, closer] >= top[closer] - _TIE).argmax(axis=0)
+            back[closer] = top[closer]
+    found = [(best, at), (back, back_at)] if both else [(best, at)]
+    return [(np.round(1.0 - np.clip(x, -np.inf, 1.0), 12), y) for x, y in found]
 
 
 def _stacked(column) -> np.ndarray:
@@ -148,6 +199,22 @@ def _chosen(sample: np.ndarray, most: int) -> list[int]:
     return found
 
 
+def _parts(n, size):
+    """Blocks of ``n`` vectors of ``size`` bytes: of WIDE bytes, but FEW at least, and never smaller than BLOCK vectors."""
+    return F.least(F.ceil(n / BLOCK), F.greatest(F.ceil(n * size / WIDE), F.lit(FEW))).cast("int")
+
+
+def widened(blocks: DataFrame, pairs: DataFrame, scope: list[str]) -> tuple[DataFrame, DataFrame]:
+    """``blocks`` and ``pairs``, with large blocks and all their pairs in the scopes where more than half of the pairs are left."""
+    sizes = blocks.groupBy(*scope).agg(_parts(F.count("*"), F.max(F.length("unit"))).alias("_k"), F.countDistinct("block").alias("_b"))
+    left = pairs.groupBy(*scope).agg(F.count("*").alias("_p")).join(sizes, scope)
+    dense = checkpointed(left.where((F.col("_p") * 4 > F.col("_b") * (F.col("_b") + 1)) & (F.col("_k") < F.col("_b"))).select(*scope, "_k"))
+    dealt = blocks.join(dense, scope, "left").withColumn("block", F.when(F.col("_k").isNull(), F.col("block")).otherwise(F.pmod(F.xxhash64("id"), F.col("_k")).cast("int"))).drop("_k")
+    last = F.col("_k") - 1
+    every = dense.withColumn("x", F.explode(F.sequence(F.lit(0), last))).withColumn("y", F.explode(F.sequence("x", last))).select(*scope, "x", "y")
+    return dealt, pairs.join(dense, scope, "left_anti").select(*scope, "x", "y").unionByName(every)
+
+
 def capped(units: DataFrame, scope: list[str]) -> DataFrame:
     """``units(scope.., id, unit)`` dealt to blocks: (scope, id, unit, block), blocks of about BLOCK vectors near one pivot.
 
@@ -221,6 +288,8 @@ def edges(items: DataFrame, scope: list[str], threshold: float = MERGE_THRESHOLD
     else:
         blocks = checkpointed(capped(units, scope))
         pairs = block_pairs(blocks, scope, threshold)
+        if spanning:
+            blocks, pairs = widened(blocks, checkpointed(pairs), scope)
         both = pairs.select(*scope, "x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("block"))
         paired = blocks.join(both, [*scope, "block"])
 
@@ -232,11 +301,11 @@ def edges(items: DataFrame, scope: list[str], threshold: float = MERGE_THRESHOLD
             return pd.DataFrame(columns=[*scope, "a", "b", "distance"])
         if p.shape[1] != q.shape[1]:
             raise ValueError("vectors differ in size")
-        distance = 1.0 - np.clip(p @ q.T, -1.0, 1.0)
         if spanning:
             ids = left["id"].tolist() if x == y else [*left["id"], *right["id"]]
-            links = _forest(distance <= threshold + _SLACK, x == y)
+            links = _forest(_near(p, q, threshold), x == y)
             return pd.DataFrame({**{c: [group[c].iloc[0]] * len(links) for c in scope}, "a": [ids[u] for u, _ in links], "b": [ids[v] for _, v in links], "distance": [threshold] * len(links)}, dtype=object)
+        distance = 1.0 - np.clip(p @ q.T, -1.0, 1.0)
         i, j = np.nonzero(distance <= threshold + _SLACK)
         a, b = left["id"].to_numpy()[i], right["id"].to_numpy()[j]
         keep = (a < b) if x == y else np.ones(len(a), bool)
@@ -268,7 +337,7 @@ def _nearest(live: DataFrame, stale: DataFrame, by: list[str], threshold: float)
     """(by, id, other, distance): the nearest live group within the threshold of each stale one, ties to the pair of least ids."""
     kinds = {f.name: f.dataType.simpleString() for f in live.schema.fields}
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in by) + f", id {kinds['id']}, other {kinds['id']}, distance double"
-    sizes = live.groupBy(*by).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("_blocks"))
+    sizes = live.groupBy(*by).agg(_parts(F.count("*"), F.max(F.length("total"))).alias("_blocks"))
     marked = live.join(stale.select(*by, "id", F.lit(True).alias("_stale")), [*by, "id"], "left").withColumn("_stale", F.coalesce("_stale", F.lit(False)))
     dealt = marked.join(sizes, by).withColumn("_b", F.pmod(F.xxhash64("id"), F.col("_blocks")).cast("int"))
     paired = dealt.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
@@ -278,20 +347,26 @@ def _nearest(live: DataFrame, stale: DataFrame, by: list[str], threshold: float)
         x, y = int(group["_x"].iloc[0]), int(group["_y"].iloc[0])
         group = group.sort_values("id")  # the first of equals has the least id
         sides = [group[group["_b"] == x], group[group["_b"] == y]]
+        means = [_stacked(g["total"]) / g["n"].to_numpy()[:, None] if len(g) else None for g in sides]
+        wants = [g["_stale"].to_numpy(bool) for g in sides]
         out = []
-        for one, two in [sides] if x == y else [sides, sides[::-1]]:
-            one = one[one["_stale"]]
-            if not len(one) or not len(two):
-                continue
-            p, q = (_stacked(s["total"]) / s["n"].to_numpy()[:, None] for s in (one, two))
-            d = np.round(1.0 - np.clip(p @ q.T, -1.0, 1.0), 12)  # alike from either side
-            own, other = one["id"].to_numpy(), two["id"].to_numpy()
-            if x == y:
-                d[np.arange(len(own)), np.flatnonzero(two["_stale"].to_numpy())] = np.inf
-            at = d.argmin(axis=1)
-            best = d[np.arange(len(own)), at]
-            near = best <= threshold
-            out.append(pd.DataFrame({**{c: [group[c].iloc[0]] * int(near.sum()) for c in by}, "id": own[near], "other": other[at][near], "distance": best[near]}, dtype=object))
+
+        def add(i: int, want: np.ndarray, best: np.ndarray, at: np.ndarray) -> None:
+            own, other = sides[i]["id"].to_numpy()[want], sides[1 - i]["id"].to_numpy()[at]
+            close = best <= threshold
+            out.append(pd.DataFrame({**{c: [group[c].iloc[0]] * int(close.sum()) for c in by}, "id": own[close], "other": other[close], "distance": best[close]}, dtype=object))
+
+        if x == y:
+            if wants[0].any():
+                add(0, wants[0], *_closest(means[0][wants[0]], means[0], np.flatnonzero(wants[0]))[0])
+        elif len(sides[0]) and len(sides[1]):
+            if wants[0].mean() + wants[1].mean() > 1:  # one product serves both
+                for i, (best, at) in enumerate(_closest(*means, both=True)):
+                    add(i, wants[i], best[wants[i]], at[wants[i]])
+            else:
+                for i in (0, 1):
+                    if wants[i].any():
+                        add(i, wants[i], *_closest(means[i][wants[i]], means[1 - i])[0])
         return pd.concat(out) if out else pd.DataFrame(columns=[*by, "id", "other", "distance"])
 
     found = paired.groupBy(*by, "_x", "_y").applyInPandas(search, schema)
@@ -310,13 +385,28 @@ def _summed(pairs: DataFrame) -> DataFrame:
     return pairs.mapInPandas(run, T.StructType([f for f in pairs.schema.fields if f.name != "total_2"]))
 
 
+def _multiplied(groups: DataFrame) -> DataFrame:
+    """Rows (.., n, total) with ``total``, a vector that n rows have, as their sum."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch.assign(total=[(np.frombuffer(x, np.float64) * n).tobytes() for x, n in zip(batch["total"], batch["n"], strict=True)])
+
+    return groups.mapInPandas(run, groups.schema)
+
+
 def merged(units: DataFrame, by: list[str], threshold: float) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Rounds of reciprocal nearest neighbours over ``units(by.., id, unit)``: groups (by, id, n, total) that may still merge, those that are final, and (by, id, head), the group of each vector.
 
     A group's id is its least member's. Rounds end once no component has more than LOCAL groups that may still merge; components that are small enough are
     left as they are.
     """
-    live = checkpointed(units.select(*by, "id", F.lit(1).cast("long").alias("n"), F.col("unit").alias("total")))
+    # a zero vector is near none, its copies neither
+    zero = F.btrim(F.col("unit").cast("string"), F.lit("\0")) == ""
+    lone = zero | F.lit(threshold <= _SLACK)
+    units = checkpointed(units.select(*by, "id", "unit", F.when(lone, F.concat(F.lit("id "), F.col("id").cast("string"))).otherwise("").alias("_own")))
+    copies = checkpointed(units.groupBy(*by, "unit", "_own").agg(F.min("id").alias("first"), F.count("*").alias("n")))
+    live = checkpointed(_multiplied(copies.select(*by, F.col("first").alias("id"), "n", F.col("unit").alias("total"))))
     items, final, near, mergers = live.select(*by, "id"), None, None, None
     while True:
         wide = checkpointed(live.groupBy(*by).agg(F.count("*").alias("_n")).where(F.col("_n") > LOCAL).select(*by))
@@ -344,8 +434,9 @@ def merged(units: DataFrame, by: list[str], threshold: float) -> tuple[DataFrame
         # a neighbour that was merged has to be looked for again, and so has a merged group's
         kept = near.join(ends, [*by, "id"], "left_anti").join(ends.withColumnRenamed("id", "other"), [*by, "other"], "left_anti")
         near = kept.select(*near.columns)
-    heads = components(items, mergers, by, "head")
-    return live, final, heads
+    heads = items.withColumn("head", F.col("id")) if mergers is None else components(items, mergers, by, "head")
+    of = units.join(copies.drop("n"), [*by, "unit", "_own"]).select(*by, "id", "first")
+    return live, live.limit(0) if final is None else final, of.join(heads.withColumnRenamed("id", "first"), [*by, "first"]).select(*by, "id", "head")
 
 
 def discover(items: DataFrame, scope: list[str], threshold: float = MERGE_THRESHOLD, least: int = MIN_CLUSTER_SIZE) -> DataFrame:

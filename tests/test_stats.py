@@ -126,6 +126,37 @@ def test_mergers_in_rounds_equal_the_matrix(spark, monkeypatch):
     assert len(clusters) > 4 and found == sorted(map(name, clusters)) and rest == name(noise)
 
 
+def test_copies_need_no_rounds_of_their_own(spark, monkeypatch):
+    """Of m copies only two were nearest to each other, so m copies took m rounds."""
+    rng = np.random.default_rng(13)
+    x = np.concatenate([np.repeat(rng.normal(size=(2, 6)), 20, axis=0), rng.normal(size=(12, 6)), np.zeros((3, 6))])
+    clusters, noise = cluster.discover_vectors(x.tolist(), 0.3, 2)
+    rows = spark.createDataFrame([("s", i, v.tolist()) for i, v in enumerate(x)], "scope string, id long, vector array<double>")
+    rounds, nearest = [], cluster._nearest
+    monkeypatch.setattr(cluster, "LOCAL", 2)
+    monkeypatch.setattr(cluster, "_nearest", lambda *a: rounds.append(1) or nearest(*a))
+    live, final, heads = cluster.merged(cluster.packed(rows, ["scope"], ["id"]), ["scope"], 0.3)
+    groups = {}
+    for r in heads.collect():
+        groups.setdefault(r.head, []).append(r.id)
+    sizes = {r.id: r.n for r in live.unionByName(final).collect()}
+    assert len(rounds) < 12 and sizes == {k: len(v) for k, v in groups.items()}
+    assert sorted(sorted(v) for v in groups.values() if len(v) > 1) == sorted(clusters) and sorted(v[0] for v in groups.values() if len(v) == 1) == noise
+
+
+def test_where_caps_rule_out_little_blocks_are_few(spark, monkeypatch):
+    """64 pivots made 64 blocks at least, and each vector went to all of them."""
+    monkeypatch.setattr(cluster, "BLOCK", 30)
+    x = np.random.default_rng(14).normal(size=(600, 8))
+    rows = spark.createDataFrame([("s", i, v.tolist()) for i, v in enumerate(x)], "scope string, id long, vector array<double>")
+    blocks = cluster.capped(cluster.packed(rows, ["scope"], ["id"]), ["scope"])
+    wide, pairs = cluster.widened(blocks, cluster.block_pairs(blocks, ["scope"], 0.35), ["scope"])
+    assert blocks.select("block").distinct().count() > 2 * cluster.FEW
+    assert wide.select("block").distinct().count() == cluster.FEW and pairs.count() == cluster.FEW * (cluster.FEW + 1) // 2 and wide.count() == 600
+    roots = lambda links: {r.id: r.root for r in cluster.components(rows, links, ["scope"]).collect()}
+    assert roots(cluster.edges(rows, ["scope"], 0.15, spanning=True)) == roots(cluster.edges(rows, ["scope"], 0.15))
+
+
 def test_groups_are_linked_by_their_sums():
     rng = np.random.default_rng(12)
     x = rng.normal(size=(60, 5)) + 0.8

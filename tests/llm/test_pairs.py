@@ -339,3 +339,15 @@ def test_copies_that_cross_task_borders(spark, docs_of):
         spark.conf.set("spark.sql.shuffle.partitions", before)
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert got == {i: (70, 70 if i else 0) for i in range(300)}
+
+
+def test_saving_a_table_gives_the_drivers_heap_back(spark, monkeypatch):
+    from spanloom.llm import _spark
+
+    beans = spark.sparkContext._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans
+    full = lambda: sum(b.getCollectionCount() for b in beans() if "Old" in b.getName() or "MarkSweep" in b.getName())
+    monkeypatch.setattr(_spark, "HEAP", 1.0)
+    before = full()
+    assert _spark.saved(spark.range(3).toDF("n"), "heap").count() == 3 and full() == before
+    monkeypatch.setattr(_spark, "HEAP", 0.0)
+    assert _spark.saved(spark.range(3).toDF("n"), "heap").count() == 3 and full() > before

@@ -3,8 +3,8 @@
 Every run of GRAM characters (code points) of a text is a gram. Gram hashes roll over the text in two steps,
 each sharing its work among overlapping grams: four characters give one hash at every place, and four of those,
 four places apart, give a gram's. Of every WINDOW consecutive gram hashes the least is chosen, the rightmost of
-equals, and kept once with its position; hashes that no window can choose go in passes, and the rest are the choices. Two texts that share a run of GRAM + WINDOW - 1 characters share a fingerprint for certain, whatever stands
-before it, and runs shorter than GRAM never count. A text of fewer characters than GRAM is one gram; one with
+equals, and kept once with its position; hashes beyond the leasts that windows share go first, the others that no window can choose in passes, and the rest are the choices.
+Two texts that share a run of GRAM + WINDOW - 1 characters share a fingerprint for certain, whatever stands before it, and runs shorter than GRAM never count. A text of fewer characters than GRAM is one gram; one with
 fewer grams than WINDOW is one window.
 
 Texts go in pieces of PIECE windows, which overlap by a window, so arrays stay small however long a text is. In
@@ -27,7 +27,6 @@ rows have equal fingerprints. An empty table gives an empty result; other column
 
 from __future__ import annotations
 
-import functools
 from collections import Counter
 
 from pyspark.sql import Column, DataFrame, Window
@@ -35,6 +34,8 @@ from pyspark.sql import functions as F
 
 GRAM = 16
 WINDOW = 64
+#: Windows that start within so many places, a power of two and at most WINDOW, share what bounds their choices.
+BLOCK = 32
 #: Windows of one piece of a text, and the bits that hold a place in it.
 PIECE = 1 << 12
 _PLACES = 13
@@ -59,14 +60,24 @@ def _rolled(values: Column, join) -> Column:
     return F.transform(values, lambda x, i: join(x, *[F.get(values, i + j) for j in (1, 2, 3)]))
 
 
+def _low(grams: Column) -> Column:
+    """The packed hashes, of more than WINDOW, that a window may choose, by one comparison each: about one in eighteen, all choices among them.
+
+    Windows that start within the same BLOCK places share the places from the block's last start to its first window's end, so none of them chooses more than
+    the least hash there. A place lies in windows of its own block and of the two before.
+    """
+    block = lambda at: F.shiftright(at, BLOCK.bit_length() - 1)
+    shared = F.transform(F.sequence(F.lit(0), block(F.size(grams) - 1)), lambda b: F.array_min(F.slice(grams, b * BLOCK + BLOCK, F.lit(WINDOW - BLOCK + 1))))
+    bounds = lambda least: F.transform(least, lambda x, b: F.greatest(x, *[F.get(least, b - n) for n in range(1, (WINDOW - 1) // BLOCK + 2)]))
+    return _let(shared, lambda least: _let(bounds(least), lambda most: F.filter(grams, lambda x, i: x <= F.get(most, block(i)))))
+
+
 def _least(grams: Column) -> Column:
     """The least of every window of packed hashes, each once, in order of place.
 
-    A hash goes if a lesser one lies before it and another behind it, or the end, and no window fits between them; no window chooses it. Whatever made it
-    fail makes every hash fail that it made fail, so hashes go in passes, until each gap between two choices is empty. It has WINDOW - 1 at most, and every pass takes its greatest.
+    Of the low ones, a hash goes if a lesser one lies before it and another behind it, or the end, and no window fits between them; no window chooses it. Hashes
+    between two choices that follow each other are greater than both, so they go in passes, of which every one takes the greatest; there are WINDOW - 1 at most.
     """
-    less = lambda x, xs, places: functools.reduce(lambda a, b: a & b, [x < F.get(xs, p) for p in places])
-    near = F.filter(grams, lambda x, i: less(x, grams, [i - 1, i - 2, i - 3]) | less(x, grams, [i + 1, i + 2, i + 3]))
     end = F.lit(_LAST) - F.size(grams)
 
     def thinner(xs: Column) -> Column:
@@ -74,7 +85,7 @@ def _least(grams: Column) -> Column:
         return F.filter(xs, lambda x, i: (x < F.get(xs, i - 1)) | (x < F.get(xs, i + 1)) | (apart(i) > WINDOW))
 
     step = lambda s: _let(thinner(s["xs"]), lambda ys: F.struct(ys.alias("xs"), (F.size(ys) == F.size(s["xs"])).alias("done")))
-    passes = F.aggregate(F.sequence(F.lit(2), F.lit(WINDOW)), F.struct(near.alias("xs"), F.lit(False).alias("done")), lambda s, _: F.when(s["done"], s).otherwise(step(s)), lambda s: s["xs"])
+    passes = F.aggregate(F.sequence(F.lit(1), F.lit(WINDOW)), F.struct(_low(grams).alias("xs"), F.lit(False).alias("done")), lambda s, _: F.when(s["done"], s).otherwise(step(s)), lambda s: s["xs"])
     return F.when(F.size(grams) <= WINDOW, F.array(F.array_min(grams))).otherwise(passes)
 
 

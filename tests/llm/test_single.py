@@ -380,6 +380,16 @@ def test_winnowing_of_a_very_long_text(docs_of):
     assert prints == brute_prints(long) and got[1].near_next > 0.99 and 0.45 < got[1].near_edited < 0.55  # its own first half, twice
 
 
+def test_few_hashes_go_in_passes(docs_of):
+    """One comparison leaves about an eighteenth of a text's hashes to the passes, and every choice of a window among them."""
+    rng = random.Random(3)
+    for size in (65, 96, 97, 128, 4159):
+        values = [rng.randrange(1 << 50) << 13 | 8191 - i for i in range(size)]
+        low, least = docs_of([(1, "a")]).select(winnow._low(F.lit(values)), winnow._least(F.lit(values))).first()
+        want = sorted({min(values[i : i + 64]) for i in range(size - 63)}, key=values.index)
+        assert least == want and set(want) <= set(low) and (size < 4000 or len(low) < size / 12)
+
+
 def test_match_guarantee(docs_of):
     rng = random.Random(1)
     fresh = lambda n: "".join(rng.choice("abcdefghijklmnop日é ") for _ in range(n))

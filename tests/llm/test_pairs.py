@@ -6,6 +6,7 @@ import math
 import random
 import re
 from collections import defaultdict
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -351,3 +352,12 @@ def test_saving_a_table_gives_the_drivers_heap_back(spark, monkeypatch):
     assert _spark.saved(spark.range(3).toDF("n"), "heap").count() == 3 and full() == before
     monkeypatch.setattr(_spark, "HEAP", 0.0)
     assert _spark.saved(spark.range(3).toDF("n"), "heap").count() == 3 and full() > before
+
+
+def test_a_half_filled_heap_is_collected():
+    """The driver's heap shares its memory with what lies outside it: half of what it may have is too much already."""
+    called = []
+    runtime = SimpleNamespace(totalMemory=lambda: 50, maxMemory=lambda: 100, gc=lambda: called.append(1))
+    jvm = SimpleNamespace(java=SimpleNamespace(lang=SimpleNamespace(Runtime=SimpleNamespace(getRuntime=lambda: runtime))))
+    _spark.shrink(SimpleNamespace(sparkContext=SimpleNamespace(_jvm=jvm)))
+    assert called

@@ -35,12 +35,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import _text
-from ._spark import give_back, saved, small_batches
+from ._spark import give_back, released, saved, small_batches
 
-#: Documents and words of one part of the fit, about, and sums that are added in one task.
+#: Documents and words of one part of the fit, about.
 PART_ROWS = 4_000
 PART_WORDS = 1_000_000
-FAN = 4
+#: Sums travel in slices of so many numbers, so that no row is large, and so many rows of a slice are added at once.
+SLICE = 1 << 15
+FAN = 8
 #: Steps of scores that thresholds are told by.
 GRID = 1e-4
 #: Labelled documents in which a slot must occur to be trained.
@@ -327,21 +329,34 @@ def sample(docs: DataFrame, labels: DataFrame, rows: int, words: int) -> list:
     return sorted(_words(docs, chosen, words).toLocalIterator(), key=lambda r: r.doc_id)
 
 
+def _sliced(part: int, vector: np.ndarray) -> pd.DataFrame:
+    """A part's vector as rows (slice, part, data) of SLICE doubles each."""
+    starts = range(0, len(vector), SLICE)
+    return pd.DataFrame({"slice": np.arange(len(starts), dtype=np.int32), "part": np.int32(part), "data": [vector[a : a + SLICE].astype(np.float64).tobytes() for a in starts]})
+
+
+_SLICES = "slice int, part int, data binary"
+
+
 def _summed(parts: DataFrame, many: int, size: int) -> np.ndarray:
-    """The sum of ``parts(part, data)``, vectors of ``size`` doubles with numbers below ``many``, FAN at a time; the driver gets one."""
+    """The sum of ``_sliced`` vectors of ``size`` numbers, of parts below ``many``, FAN rows at a time; the driver gets one vector."""
 
     def add(group: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(size)
+        total = 0
         for data in group.sort_values("part")["data"]:
-            total += np.frombuffer(data, np.float64)
-        return pd.DataFrame({"part": [int(group["part"].iloc[0])], "data": [total.tobytes()]})
+            total = total + np.frombuffer(data, np.float64)
+        return pd.DataFrame({"slice": group["slice"].iloc[:1], "part": group["up"].iloc[:1], "data": [total.tobytes()]})
 
-    while True:
-        parts = parts.withColumn("part", F.floor(F.col("part") / FAN).cast("int")).groupBy("part").applyInPandas(add, "part int, data binary")
-        many = -(-many // FAN)
-        if many == 1:
-            found = parts.first()
-            return np.zeros(size) if found is None else np.frombuffer(found.data, np.float64)
+    with released(parts.sparkSession):
+        while True:
+            parts = parts.withColumn("up", F.floor(F.col("part") / FAN).cast("int")).groupBy("slice", "up").applyInPandas(add, _SLICES)
+            many = -(-many // FAN)
+            if many == 1:
+                break
+        found = np.zeros(size)
+        for row in parts.collect():  # one vector, in slices
+            found[row.slice * SLICE : row.slice * SLICE + len(row.data) // 8] = np.frombuffer(row.data, np.float64)
+    return found
 
 
 def _texts(row) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
@@ -379,11 +394,11 @@ def _fitted(parts: DataFrame, many: int, epochs: int = EPOCHS, seed: int = SEED)
             for row in batch.itertuples():
                 own, labels, _ = _texts(row)
                 tail = [labels.sum(), len(labels) - labels.sum()]
-                yield pd.DataFrame({"part": [row.part], "data": [np.concatenate([counts(own, labels).ravel(), tail]).astype(np.float64).tobytes()]})
+                yield _sliced(row.part, np.concatenate([counts(own, labels).ravel(), tail]))
                 del own
                 give_back()
 
-    seen = _summed(parts.mapInPandas(count, "part int, data binary"), many, HASHES * 2 * SLOTS + 2)
+    seen = _summed(parts.mapInPandas(count, _SLICES), many, HASHES * 2 * SLOTS + 2)
     toxic, clean = int(seen[-2]), int(seen[-1])
     state = start(seen[:-2].reshape(HASHES, 2, SLOTS).astype(np.int64), toxic, clean, np.random.Generator(np.random.PCG64(seed)))
     if not toxic or not clean:
@@ -402,11 +417,11 @@ def _fitted(parts: DataFrame, many: int, epochs: int = EPOCHS, seed: int = SEED)
                     run_epoch(state, own, labels, weights, order, _rate(epoch, epochs))
                     change = state.vector().astype(np.float64) - before
                     touched = change[slots_ * DIM : slots_ * (DIM + 1)] != 0
-                    yield pd.DataFrame({"part": [row.part], "data": [np.concatenate([change, touched, [1.0, state.step - step]]).tobytes()]})
+                    yield _sliced(row.part, np.concatenate([change, touched, [1.0, state.step - step]]))
                     del own
                     give_back()
 
-        total = _summed(parts.mapInPandas(learn, "part int, data binary"), many, len(before) + slots_ + 2)
+        total = _summed(parts.mapInPandas(learn, _SLICES), many, len(before) + slots_ + 2)
         change, touched, learnt, steps = total[: len(before)], np.maximum(total[len(before) : -2], 1), total[-2], total[-1]
         share = np.full(len(before), learnt)
         share[: slots_ * DIM], share[slots_ * DIM : slots_ * (DIM + 1)] = np.repeat(touched, DIM), touched

@@ -4,6 +4,7 @@ import hashlib
 import json
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -493,6 +494,28 @@ def test_all_labelled_words_are_learnt_from(spark, toxic_corpus, docs_of, monkey
     assert np.mean([(r.score >= 0.7) == truth[r.doc_id] for r in got if r.doc_id in truth]) > 0.97
 
 
+def test_sums_travel_in_small_rows_and_leave_no_shuffle_files(spark):
+    size, many, fan = 3 * toxicity.SLICE + 5, 20, toxicity.FAN
+    vector = lambda part: np.arange(size) * 0.5 + part
+
+    def own(batches):
+        for batch in batches:
+            for part in batch["id"]:
+                yield toxicity._sliced(part, vector(part))
+
+    files = lambda: sum("shuffle_" in f.getName() for f in list(spark.sparkContext._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles())))
+    parts = spark.range(many, numPartitions=4).mapInPandas(own, toxicity._SLICES)
+    assert parts.selectExpr("max(length(data))").first()[0] == 8 * toxicity.SLICE and many > fan
+    before = files()
+    assert np.array_equal(toxicity._summed(parts, many, size), sum(map(vector, range(many))))
+    assert len(toxicity.saved(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "counts").collect()) == 7
+    for _ in range(50):
+        if files() <= before:
+            break
+        time.sleep(0.1)
+    assert files() <= before
+
+
 def test_sample_is_bounded_and_spread(spark, docs_of):
     docs = docs_of([(i, " ".join(f"w{i}x{n}" for n in range(i))) for i in range(300)] + [(5, "again")])
     labels = spark.createDataFrame([(i, 1, i % 2) for i in range(300)], "doc_id long, quality int, toxic int")

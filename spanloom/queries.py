@@ -290,8 +290,12 @@ def span_dedupe_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def span_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A line for each event, in one of three span shapes, and some that are none: (line_no, value)."""
-    e = read(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    """A line for each event, in one of three span shapes, and some that are none: (line_no, value).
+
+    Events are dealt to tasks anew, as a table of a million rows may be one row group, and so one task. A line is unfolded from a list of one, below
+    which no filter on it is moved: whatever reads it does so after the events have been dealt.
+    """
+    e = read(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "props", F.col("ts").cast("timestamp").alias("ts")).repartition("event_id")
     n, ms = F.col("event_id"), F.unix_millis("ts")
     quoted = lambda x: F.to_json(F.struct(x.alias("v")))
     k = F.get_json_object("props", "$.k")
@@ -300,7 +304,7 @@ def span_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     camel = F.format_string(wire, "user_id", n, ms, ms + 1500, k, "event_type")
     envelope = F.format_string('{"resourceSpans":[{"resource":{"attributes":[{"key":"service.name","value":{"stringValue":"svc"}},{"key":"k","value":{"intValue":9}}]},"scopeSpans":[{"spans":[%s]}]}]}', camel)
     bad = F.when(n % 50 == 7, "not json").when(n % 50 == 8, '{"name":"no trace"}').when(n % 50 == 9, " ").when(n % 50 == 10, "[1]")
-    return e.select(n.alias("line_no"), F.coalesce(bad, F.when(n % 3 == 0, flat).when(n % 3 == 1, camel).otherwise(envelope)).alias("value"))
+    return e.select(n.alias("line_no"), F.explode(F.array(F.coalesce(bad, F.when(n % 3 == 0, flat).when(n % 3 == 1, camel).otherwise(envelope)))).alias("value"))
 
 
 @query("""WITH e AS (SELECT event_id AS n, event_id % 50 AS odd, event_id % 3 AS shape, epoch_us(ts) // 1000 AS ms, * FROM events WHERE event_id % 50 <> 9), g AS (SELECT *, odd IN (7, 8, 10) AS bad FROM e)

@@ -32,3 +32,13 @@ def test_own_queries_match_sql(spark):
         want = con.sql(own.ORACLE_SQL[name])
         assert sorted(got.columns) == sorted(want.columns), name
         assert rows(got.columns, [tuple(r) for r in got.collect()]) == rows(want.columns, want.fetchall()), name
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables are not here")
+def test_span_lines_are_read_after_events_are_dealt_to_tasks(spark):
+    from spanloom import queries
+
+    lines = queries.span_lines(spark, "/root/testdata/sf0.001")
+    plan = lines.where("value rlike 'resource[A-Z]pans'")._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 <= plan.index("resource[A-Z]pans") < plan.index("RepartitionByExpression"), plan
+    assert lines.count() == spark.read.parquet(f"{SF}/events.parquet").count()

@@ -35,7 +35,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import _text
-from ._spark import give_back, released, saved, small_batches
+from ..session import released
+from ._spark import give_back, saved, small_batches
 
 #: Documents and words of one part of the fit, about.
 PART_ROWS = 4_000

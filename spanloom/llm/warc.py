@@ -38,7 +38,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text
-from ._spark import new_path, saved, small_batches
+from ..session import new_path
+from ._spark import saved, small_batches
 
 REVISIT_BYTES = 1000
 HOT = 1000

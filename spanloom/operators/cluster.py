@@ -23,6 +23,7 @@ the first round. Memory is linear in the component, and a task's is bounded: pro
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import checkpointed, ship
+from ..session import new_path, ship, written
 
 MERGE_THRESHOLD = 0.35
 MIN_CLUSTER_SIZE = 5
@@ -208,7 +209,7 @@ def widened(blocks: DataFrame, pairs: DataFrame, scope: list[str]) -> tuple[Data
     """``blocks`` and ``pairs``, with large blocks and all their pairs in the scopes where more than half of the pairs are left."""
     sizes = blocks.groupBy(*scope).agg(_parts(F.count("*"), F.max(F.length("unit"))).alias("_k"), F.countDistinct("block").alias("_b"))
     left = pairs.groupBy(*scope).agg(F.count("*").alias("_p")).join(sizes, scope)
-    dense = checkpointed(left.where((F.col("_p") * 4 > F.col("_b") * (F.col("_b") + 1)) & (F.col("_k") < F.col("_b"))).select(*scope, "_k"))
+    dense = written(left.where((F.col("_p") * 4 > F.col("_b") * (F.col("_b") + 1)) & (F.col("_k") < F.col("_b"))).select(*scope, "_k"), "dense")
     dealt = blocks.join(dense, scope, "left").withColumn("block", F.when(F.col("_k").isNull(), F.col("block")).otherwise(F.pmod(F.xxhash64("id"), F.col("_k")).cast("int"))).drop("_k")
     last = F.col("_k") - 1
     every = dense.withColumn("x", F.explode(F.sequence(F.lit(0), last))).withColumn("y", F.explode(F.sequence("x", last))).select(*scope, "x", "y")
@@ -241,7 +242,7 @@ def capped(units: DataFrame, scope: list[str]) -> DataFrame:
 
     by = [*scope, "_chunk"]
     cells = dealt.groupBy(*by).cogroup(pivots.groupBy(*by)).applyInPandas(deal, T.StructType([*(fields[c] for c in (*scope, "id", "unit")), T.StructField("cell", T.IntegerType())]))
-    cells = checkpointed(cells)
+    cells = written(cells, "cells")
     parts = cells.groupBy(*scope, "cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("_parts"))
     part = F.pmod(F.xxhash64("id", F.lit(1)), F.col("_parts")).cast("int")
     return cells.join(parts, [*scope, "cell"]).select(*scope, "id", "unit", (F.col("cell") + part * PIVOTS).alias("block"))
@@ -286,10 +287,10 @@ def edges(items: DataFrame, scope: list[str], threshold: float = MERGE_THRESHOLD
     if widest <= BLOCK:
         paired = units.select("*", F.lit(0).alias("block"), F.lit(0).alias("x"), F.lit(0).alias("y"))
     else:
-        blocks = checkpointed(capped(units, scope))
+        blocks = written(capped(units, scope), "blocks")
         pairs = block_pairs(blocks, scope, threshold)
         if spanning:
-            blocks, pairs = widened(blocks, checkpointed(pairs), scope)
+            blocks, pairs = widened(blocks, written(pairs, "pairs"), scope)
         both = pairs.select(*scope, "x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("block"))
         paired = blocks.join(both, [*scope, "block"])
 
@@ -319,15 +320,15 @@ def components(items: DataFrame, links: DataFrame, scope: list[str], name: str =
     """(scope, id, root) with ``root`` under the name given: the least id each item reaches over ``links(scope, a, b)``.
 
     Labels take the least of their neighbourhood and then jump to their label's label; rounds are written
-    to the checkpoint folder, so lineage stays short and a lost executor costs no more than a read.
+    to the shared folder, so lineage stays short and a lost executor costs no more than a read.
     """
-    both = checkpointed(links.select(*scope, F.col("a").alias("u"), F.col("b").alias("v")).unionByName(links.select(*scope, F.col("b").alias("u"), F.col("a").alias("v"))).distinct())
-    labels = checkpointed(items.select(*scope, "id", F.col("id").alias("_root")))
+    both = written(links.select(*scope, F.col("a").alias("u"), F.col("b").alias("v")).unionByName(links.select(*scope, F.col("b").alias("u"), F.col("a").alias("v"))).distinct(), "links")
+    labels = written(items.select(*scope, "id", F.col("id").alias("_root")), "labels")
     while True:
         around = both.join(labels.withColumnsRenamed({"id": "v", "_root": "r"}), [*scope, "v"]).groupBy(*scope, F.col("u").alias("id")).agg(F.min("r").alias("least"))
         met = labels.join(around, [*scope, "id"], "left").select(*scope, "id", F.least("_root", F.coalesce("least", "_root")).alias("_root"), F.col("_root").alias("was"))
         jumps = met.select(*scope, F.col("id").alias("_root"), F.col("_root").alias("next"))
-        moved = checkpointed(met.join(jumps, [*scope, "_root"], "left").select(*scope, "id", F.least("_root", F.coalesce("next", "_root")).alias("_root"), "was"))
+        moved = written(met.join(jumps, [*scope, "_root"], "left").select(*scope, "id", F.least("_root", F.coalesce("next", "_root")).alias("_root"), "was"), "labels")
         if moved.where("_root <> was").isEmpty():
             return moved.select(*scope, "id", F.col("_root").alias(name))
         labels = moved.drop("was")
@@ -404,39 +405,41 @@ def merged(units: DataFrame, by: list[str], threshold: float) -> tuple[DataFrame
     # a zero vector is near none, its copies neither
     zero = F.btrim(F.col("unit").cast("string"), F.lit("\0")) == ""
     lone = zero | F.lit(threshold <= _SLACK)
-    units = checkpointed(units.select(*by, "id", "unit", F.when(lone, F.concat(F.lit("id "), F.col("id").cast("string"))).otherwise("").alias("_own")))
-    copies = checkpointed(units.groupBy(*by, "unit", "_own").agg(F.min("id").alias("first"), F.count("*").alias("n")))
-    live = checkpointed(_multiplied(copies.select(*by, F.col("first").alias("id"), "n", F.col("unit").alias("total"))))
-    items, final, near, mergers = live.select(*by, "id"), None, None, None
-    while True:
-        wide = checkpointed(live.groupBy(*by).agg(F.count("*").alias("_n")).where(F.col("_n") > LOCAL).select(*by))
+    units = written(units.select(*by, "id", "unit", F.when(lone, F.concat(F.lit("id "), F.col("id").cast("string"))).otherwise("").alias("_own")), "units")
+    copies = written(units.groupBy(*by, "unit", "_own").agg(F.min("id").alias("first"), F.count("*").alias("n")), "copies")
+    live = written(_multiplied(copies.select(*by, F.col("first").alias("id"), "n", F.col("unit").alias("total"))), "live")
+    items, near = live.select(*by, "id"), None
+    spark, rounds = units.sparkSession, new_path(units.sparkSession, "rounds")
+    for k in itertools.count():
+        wide = written(live.groupBy(*by).agg(F.count("*").alias("_n")).where(F.col("_n") > LOCAL).select(*by), "wide")
         if wide.isEmpty():
             break
         active = live.join(wide, by, "left_semi")
         stale = active.select(*by, "id") if near is None else active.select(*by, "id").join(near, [*by, "id"], "left_anti")
         fresh = _nearest(active, stale, by, threshold)
-        near = checkpointed(fresh if near is None else near.join(wide, by, "left_semi").unionByName(fresh))
+        near = written(fresh if near is None else near.join(wide, by, "left_semi").unionByName(fresh), "near")
         back = near.select(*by, F.col("id").alias("other"), F.col("other").alias("id"))
-        pairs = checkpointed(near.where("id < other").join(back, [*by, "id", "other"], "left_semi").select(*by, F.col("id").alias("a"), F.col("other").alias("b")))
+        pairs = written(near.where("id < other").join(back, [*by, "id", "other"], "left_semi").select(*by, F.col("id").alias("a"), F.col("other").alias("b")), f"pairs-{k}", rounds)
         if pairs.isEmpty():  # distances that rounding tells apart from one side only
             order = F.struct("distance", F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"))
             closest = near.groupBy(*by).agg(F.min(order).alias("x")).select(*by, "x.a", "x.b")
-            pairs = checkpointed(closest)
+            pairs = written(closest, f"pairs-{k}-closest", rounds)
         ends = pairs.select(*by, F.explode(F.array("a", "b")).alias("id"))
         alone = active.join(near.select(*by, "id"), [*by, "id"], "left_anti")  # nothing within the threshold, now or later
-        final = alone if final is None else final.unionByName(alone)
         two = live.select(*by, F.col("id").alias("b"), F.col("n").alias("n_2"), F.col("total").alias("total_2"))
         joined = live.join(pairs.withColumn("id", F.col("a")), [*by, "id"]).join(two, [*by, "b"])
         fused = _summed(joined.select(*by, "id", (F.col("n") + F.col("n_2")).alias("n"), "total", "total_2"))
         rest = live.join(wide, by, "left_anti").unionByName(active.join(near.select(*by, "id"), [*by, "id"], "left_semi").join(ends, [*by, "id"], "left_anti"))
-        live = checkpointed(rest.unionByName(fused))
-        mergers = pairs if mergers is None else mergers.unionByName(pairs)
+        after = written(rest.unionByName(fused).withColumn("_done", F.lit(False)).unionByName(alone.withColumn("_done", F.lit(True))), f"live-{k}", rounds)
+        live = after.where("not _done").drop("_done")
         # a neighbour that was merged has to be looked for again, and so has a merged group's
         kept = near.join(ends, [*by, "id"], "left_anti").join(ends.withColumnRenamed("id", "other"), [*by, "other"], "left_anti")
         near = kept.select(*near.columns)
-    heads = items.withColumn("head", F.col("id")) if mergers is None else components(items, mergers, by, "head")
+    # all rounds at once: a scan each, however many there were
+    heads = components(items, spark.read.schema(pairs.schema).parquet(f"{rounds}/pairs-*"), by, "head") if k else items.withColumn("head", F.col("id"))
+    final = spark.read.schema(after.schema).parquet(f"{rounds}/live-*").where("_done").drop("_done") if k else live.limit(0)
     of = units.join(copies.drop("n"), [*by, "unit", "_own"]).select(*by, "id", "first")
-    return live, live.limit(0) if final is None else final, of.join(heads.withColumnRenamed("id", "first"), [*by, "first"]).select(*by, "id", "head")
+    return live, final, of.join(heads.withColumnRenamed("id", "first"), [*by, "first"]).select(*by, "id", "head")
 
 
 def discover(items: DataFrame, scope: list[str], threshold: float = MERGE_THRESHOLD, least: int = MIN_CLUSTER_SIZE) -> DataFrame:
@@ -466,7 +469,7 @@ def discover(items: DataFrame, scope: list[str], threshold: float = MERGE_THRESH
         return group[[*scope, "root", "id"]].rename(columns={"id": "head"}).astype(object).assign(cluster=pd.Series(out, dtype=object))
 
     sizes = items.groupBy(*scope).agg(F.count("*").alias("_n"))
-    wide = checkpointed(sizes.where(F.col("_n") > DIRECT).select(*scope))
+    wide = written(sizes.where(F.col("_n") > DIRECT).select(*scope), "wide")
     if wide.isEmpty():
         return items.groupBy(*scope).applyInPandas(link, schema)
     narrow = items.join(wide, scope, "left_anti").groupBy(*scope).applyInPandas(link, schema)

@@ -126,6 +126,23 @@ def test_mergers_in_rounds_equal_the_matrix(spark, monkeypatch):
     assert len(clusters) > 4 and found == sorted(map(name, clusters)) and rest == name(noise)
 
 
+def test_rounds_leave_size_estimates_as_they_are(spark, monkeypatch):
+    """A checkpoint kept its plan's estimate, a product over all joins before it: its digits grew fourfold a round, until they filled the driver."""
+    size = lambda df: df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    rng = np.random.default_rng(17)
+    x = rng.normal(size=(60, 6))
+    rows = spark.createDataFrame([("s", i, v.tolist()) for i, v in enumerate(x)], "scope string, id long, vector array<double>")
+    sizes, nearest = [], cluster._nearest
+    monkeypatch.setattr(cluster, "LOCAL", 12)
+    monkeypatch.setattr(cluster, "_nearest", lambda live, *a: sizes.append(size(live)) or nearest(live, *a))
+    live, final, heads = cluster.merged(cluster.packed(rows, ["scope"], ["id"]), ["scope"], 0.7)
+    assert len(sizes) > 3 and max(sizes) < 1 << 63
+    assert live.unionByName(final).agg({"n": "sum"}).first()[0] == heads.count() == 60
+    links = spark.createDataFrame([("s", i, i + 1) for i in range(59)], "scope string, a long, b long")
+    found = cluster.components(rows, links, ["scope"])
+    assert {r.root for r in found.collect()} == {0} and size(found) < 1 << 63
+
+
 def test_copies_need_no_rounds_of_their_own(spark, monkeypatch):
     """Of m copies only two were nearest to each other, so m copies took m rounds."""
     rng = np.random.default_rng(13)
